@@ -20,10 +20,14 @@ def hundredths(price: str | Column) -> Column:
     return F.floor(_col(price) * 100 + 0.5)
 
 
+# how far below a tie a double may lie and still count as the tie (1.005 -> 1.01)
+TIE_SLACK = 1e-6
+
+
 def half_up(value: str | Column, digits: int = 2) -> Column:
     """Round half away from zero with plain double arithmetic."""
     value, scale = _col(value), 10.0**digits
-    return F.signum(value) * F.floor(F.abs(value) * scale + 0.5) / scale
+    return F.signum(value) * F.floor(F.abs(value) * scale + (0.5 + TIE_SLACK)) / scale
 
 
 def mean_price(total: Column, count: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallbook.operators import quality, summaries
+from stallbook.operators import daily, forecast, quality, recency, summaries
 from stallbook.plans import prices as price_plan
 from stallbook.plans.observations import price_observations, table
 
@@ -56,3 +56,78 @@ def top_commodities(spark, folder):
 @_query
 def commodity_counts(spark, folder):
     return summaries.commodity_counts(price_observations(spark, folder))
+
+
+@_query
+def daily_trend(spark, folder):
+    return summaries.daily_trend(price_plan.enriched(price_observations(spark, folder)))
+
+
+@_query
+def trend_overview(spark, folder):
+    trend = summaries.daily_trend(price_plan.enriched(price_observations(spark, folder)))
+    return summaries.trend_overview(trend)
+
+
+@_query
+def trend_last_n_days(spark, folder):
+    return daily.price_trend(price_observations(spark, folder), ("commodity", "state"), days=90)
+
+
+@_query
+def daily_prices(spark, folder):
+    return daily.price_trend(price_observations(spark, folder), ("commodity",), days=None)
+
+
+@_query
+def best_markets(spark, folder):
+    return recency.best_markets(price_observations(spark, folder))
+
+
+@_query
+def state_comparison(spark, folder):
+    return recency.state_comparison(price_observations(spark, folder))
+
+
+@_query
+def latest_prices(spark, folder):
+    return recency.latest_prices(price_observations(spark, folder))
+
+
+@_query
+def price_forecast(spark, folder):
+    return forecast.price_forecast(price_observations(spark, folder), ("commodity", "state"))
+
+
+@_query
+def price_outlook(spark, folder):
+    return forecast.price_outlook(price_observations(spark, folder))
+
+
+@_query
+def commodity_outlook(spark, folder):
+    return forecast.price_outlook(price_observations(spark, folder), ("commodity",))
+
+
+@_query
+def dimension_lists(spark, folder):
+    obs = price_observations(spark, folder)
+    return (
+        summaries.value_lists(obs, ["commodity"], "state")
+        .join(summaries.value_lists(obs, ["commodity"], "market"), "commodity")
+    )
+
+
+@_query
+def market_choices(spark, folder):
+    return summaries.distinct_values(price_observations(spark, folder), "commodity", "state", "market")
+
+
+@_query
+def first_commodities(spark, folder):
+    return summaries.first_commodities(price_observations(spark, folder))
+
+
+@_query
+def rule_counts(spark, folder):
+    return quality.rule_counts(price_observations(spark, folder), quality.price_rules())

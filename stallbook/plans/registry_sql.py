@@ -34,7 +34,7 @@ def mean(price: str, over: str = "") -> str:
 
 
 def half_up(x: str, digits: int = 2) -> str:
-    return f"(sign({x}) * floor(abs({x}) * 1e{digits} + 0.5) / 1e{digits})"
+    return f"(sign({x}) * floor(abs({x}) * 1e{digits} + 0.500001) / 1e{digits})"
 
 
 ENRICHED = f"""
@@ -103,3 +103,180 @@ SQL["commodity_counts"] = f"""
 WITH {PRICE_OBS}
 SELECT commodity, count(*) AS count FROM obs GROUP BY commodity ORDER BY count DESC, commodity LIMIT 20
 """
+
+TREND = f"""
+trend AS (
+  SELECT commodity, arrival_date, {mean("modal_price")} AS avg_price, {mean("moving_avg_7d")} AS ma_7d,
+         {mean("moving_avg_30d")} AS ma_30d, count(*) AS records
+  FROM enriched GROUP BY commodity, arrival_date)
+"""
+
+SQL["daily_trend"] = f"WITH {PRICE_OBS}, {DEDUPED}, {ENRICHED}, {TREND} SELECT * FROM trend"
+
+SQL["trend_overview"] = f"""
+WITH {PRICE_OBS}, {DEDUPED}, {ENRICHED}, {TREND}
+SELECT commodity, count(*) AS data_points, min(arrival_date) AS first_day, max(arrival_date) AS last_day,
+       {mean("avg_price")} AS avg_price
+FROM trend GROUP BY commodity
+"""
+
+
+def raw_mean(price: str) -> str:
+    return f"CAST(sum(CAST(floor({price} * 100 + 0.5) AS BIGINT)) AS DOUBLE) / count({price}) / 100"
+
+
+def series(keys: str) -> str:
+    return f"""
+daily AS (
+  SELECT {keys}, arrival_date, {raw_mean("modal_price")} AS avg_price, {raw_mean("min_price")} AS min_price,
+         {raw_mean("max_price")} AS max_price, count(modal_price) AS volume
+  FROM obs GROUP BY {keys}, arrival_date)
+"""
+
+
+def rolled(keys: str, source: str) -> str:
+    window = f"PARTITION BY {keys} ORDER BY arrival_date ROWS BETWEEN"
+    return f"""
+SELECT {keys}, arrival_date, volume, {half_up("avg_price", 4)} AS avg_price,
+       {half_up("min_price", 4)} AS min_price, {half_up("max_price", 4)} AS max_price,
+       {half_up(f"(avg(avg_price) OVER ({window} 6 PRECEDING AND CURRENT ROW))", 4)} AS ma_7d,
+       {half_up(f"(avg(avg_price) OVER ({window} 29 PRECEDING AND CURRENT ROW))", 4)} AS ma_30d
+FROM {source}
+"""
+
+
+SQL["trend_last_n_days"] = f"""
+WITH {PRICE_OBS}, {series("commodity, state")},
+sized AS (SELECT *, count(*) OVER (PARTITION BY commodity, state) AS points,
+                 max(arrival_date) OVER (PARTITION BY commodity, state) AS newest FROM daily),
+cut AS (SELECT * FROM sized WHERE points <= 90 OR arrival_date >= newest - 90)
+{rolled("commodity, state", "cut")}
+"""
+
+SQL["daily_prices"] = f"""
+WITH {PRICE_OBS}, {series("commodity")}
+{rolled("commodity", "daily")}
+"""
+
+
+def recent(keys: str) -> str:
+    return f"""
+recent AS (
+  SELECT * FROM (SELECT *, max(arrival_date) OVER (PARTITION BY {keys}) AS newest FROM obs)
+  WHERE arrival_date >= newest - 30)
+"""
+
+
+SQL["best_markets"] = f"""
+WITH {PRICE_OBS}, {recent("commodity, state")},
+means AS (
+  SELECT commodity, state, market, {mean("modal_price")} AS avg_price,
+         {half_up("max(max_price)")} AS max_price, count(modal_price) AS data_points
+  FROM recent GROUP BY commodity, state, market)
+SELECT *, CAST(row_number() OVER (PARTITION BY commodity, state ORDER BY avg_price DESC, market) AS INT) AS rank
+FROM means QUALIFY rank <= 10
+"""
+
+SQL["state_comparison"] = f"""
+WITH {PRICE_OBS}, {recent("commodity")},
+means AS (SELECT commodity, state, {mean("modal_price")} AS avg_price FROM recent GROUP BY commodity, state),
+top AS (
+  SELECT *, row_number() OVER (PARTITION BY commodity ORDER BY avg_price DESC, state DESC) AS r
+  FROM means QUALIFY r <= 5)
+SELECT commodity, state, avg_price,
+       CAST(row_number() OVER (PARTITION BY commodity ORDER BY r DESC) AS INT) AS position
+FROM top
+"""
+
+SQL["latest_prices"] = f"""
+WITH {PRICE_OBS}
+SELECT market, state, commodity, modal_price, min_price, max_price, arrival_date,
+       CAST(row_number() OVER (PARTITION BY commodity ORDER BY arrival_date DESC, price_id) AS INT) AS rank
+FROM obs QUALIFY rank <= 15
+"""
+
+
+def outlook(keys: str) -> str:
+    """Level by the plain recursion and forecast by stepping day by day."""
+    same = " AND ".join(f"n.{k.strip()} = l.{k.strip()}" for k in keys.split(","))
+    mine = ", ".join(f"n.{k.strip()}" for k in keys.split(","))
+    return f"""
+daily AS (
+  SELECT {keys}, arrival_date, {raw_mean("modal_price")} AS price, count(*) AS n_rows
+  FROM obs GROUP BY {keys}, arrival_date),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY arrival_date) AS i,
+         row_number() OVER (PARTITION BY {keys} ORDER BY arrival_date DESC) AS back FROM daily),
+levels AS (
+  SELECT {keys}, i, price AS level FROM numbered WHERE i = 1
+  UNION ALL
+  SELECT {mine}, n.i, 0.3 * n.price + 0.7 * l.level
+  FROM levels l JOIN numbered n ON {same} AND n.i = l.i + 1),
+facts AS (
+  SELECT {keys}, CAST(sum(n_rows) AS BIGINT) AS records, count(*) AS points, max(arrival_date) AS last_day,
+         max(CASE WHEN back = 1 THEN price END) AS last_price,
+         avg(CASE WHEN back <= 7 THEN price END) AS m7, avg(CASE WHEN back <= 30 THEN price END) AS m30
+  FROM numbered GROUP BY {keys}),
+state AS (
+  SELECT f.*, l.level,
+         CASE WHEN points >= 7 AND m30 > 0 THEN (m7 - m30) / m30 * 100 ELSE 0.0 END AS pct
+  FROM facts f JOIN levels l ON {same.replace("n.", "f.")} AND l.i = f.points),
+steps AS (
+  SELECT {keys}, 1 AS day, last_day, last_price, pct, records,
+         greatest(level * (1 + pct / 100 / 30), last_price * 0.7) AS price FROM state
+  UNION ALL
+  SELECT {keys}, day + 1, last_day, last_price, pct, records,
+         greatest(price * (1 + pct / 100 / 30), last_price * 0.7) FROM steps WHERE day < 7)
+"""
+
+
+def label(pct: str) -> str:
+    return f"CASE WHEN {pct} > 3 THEN 'rising' WHEN {pct} < -3 THEN 'falling' ELSE 'stable' END"
+
+
+SQL["price_forecast"] = f"""
+WITH RECURSIVE {PRICE_OBS}, {outlook("commodity, state")}
+SELECT commodity, state, day, last_day + day AS date, {half_up("price")} AS predicted_price, {label("pct")} AS trend
+FROM steps WHERE records >= 10
+"""
+
+
+def outlook_rows(keys: str) -> str:
+    joined = ", ".join(f"s.{k.strip()}" for k in keys.split(","))
+    return f"""
+WITH RECURSIVE {PRICE_OBS}, {outlook(keys)},
+means AS (
+  SELECT {keys}, CAST(sum(CAST(floor(price * 100 + 0.5) AS BIGINT)) AS DOUBLE) / 7 / 100 AS forecast
+  FROM steps GROUP BY {keys})
+SELECT {joined}, CASE WHEN records >= 10 THEN 'ok' ELSE 'insufficient data' END AS status, records,
+       CASE WHEN records >= 10 THEN points END AS points,
+       CASE WHEN records >= 10 THEN last_day END AS last_day,
+       CASE WHEN records >= 10 THEN {half_up("last_price")} END AS current_price,
+       CASE WHEN records >= 10 THEN {half_up("forecast")} END AS forecast_avg,
+       CASE WHEN records >= 10 THEN {half_up("pct")} END AS pct_change,
+       CASE WHEN records >= 10 THEN {label("pct")} ELSE 'unknown' END AS trend
+FROM state s JOIN means m USING ({keys})
+"""
+
+
+SQL["price_outlook"] = outlook_rows("commodity, state, market")
+SQL["commodity_outlook"] = outlook_rows("commodity")
+
+SQL["dimension_lists"] = f"""
+WITH {PRICE_OBS}
+SELECT commodity, list_sort(list(DISTINCT state)) AS state_list, list_sort(list(DISTINCT market)) AS market_list
+FROM obs GROUP BY commodity
+"""
+
+SQL["market_choices"] = f"WITH {PRICE_OBS} SELECT DISTINCT commodity, state, market FROM obs WHERE market <> ''"
+
+SQL["first_commodities"] = f"WITH {PRICE_OBS} SELECT DISTINCT commodity FROM obs ORDER BY commodity LIMIT 100"
+
+SQL["rule_counts"] = f"""
+WITH {PRICE_OBS}, flags AS (
+  SELECT coalesce(modal_price > 0, false) AS a, arrival_date IS NOT NULL AS b,
+         coalesce(length(trim(commodity)) > 0, false) AS c FROM obs)
+SELECT 'valid_price' AS rule, count(*) AS rows, count_if(a) AS passed, count_if(NOT a) AS failed FROM flags
+UNION ALL SELECT 'valid_date', count(*), count_if(b), count_if(NOT b) FROM flags
+UNION ALL SELECT 'valid_commodity', count(*), count_if(c), count_if(NOT c) FROM flags
+"""
