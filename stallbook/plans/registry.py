@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallbook.operators import daily, forecast, quality, recency, summaries
+from stallbook.operators import daily, forecast, matching, quality, recency, retrieval, summaries
+from stallbook.operators import vectors as vectors_op
 from stallbook.plans import prices as price_plan
 from stallbook.plans.observations import price_observations, table
 
@@ -131,3 +132,40 @@ def first_commodities(spark, folder):
 @_query
 def rule_counts(spark, folder):
     return quality.rule_counts(price_observations(spark, folder), quality.price_rules())
+
+
+# ---- texts --------------------------------------------------------------------
+
+
+def _questions(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+def _texts(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+
+
+@_query
+def keyword_topk(spark, folder):
+    return matching.keyword_top_k(_questions(spark, folder), _texts(spark, folder), k=5)
+
+
+@_query
+def keyword_topk_whole_word(spark, folder):
+    return matching.keyword_top_k(
+        _questions(spark, folder), _texts(spark, folder), k=5, whole_word=True
+    )
+
+
+@_query
+def context_assembly(spark, folder):
+    return retrieval.answers(_questions(spark, folder), _texts(spark, folder), mode="keyword").select(
+        "query_id", "answer"
+    )
+
+
+@_query
+def vector_topk(spark, folder):
+    vectors = table(spark, folder, "embeddings")
+    centres = vectors_op.centroids(vectors, "label")
+    return vectors_op.cosine_top_k(centres, vectors, k=5, query_id="label", vector_id="vec_id")

@@ -280,3 +280,57 @@ SELECT 'valid_price' AS rule, count(*) AS rows, count_if(a) AS passed, count_if(
 UNION ALL SELECT 'valid_date', count(*), count_if(b), count_if(NOT b) FROM flags
 UNION ALL SELECT 'valid_commodity', count(*), count_if(c), count_if(NOT c) FROM flags
 """
+
+SPACE = r"'[\s\x0b\x1c-\x1f\x{85}\p{Z}]+'"
+
+
+def keyword_hits(whole_word: bool = False) -> str:
+    found = (
+        f"list_contains(string_split_regex(lower(d.text), {SPACE}), w.word)"
+        if whole_word
+        else "contains(lower(d.text), w.word)"
+    )
+    return f"""
+qw AS (
+  SELECT item_id AS query_id, word, count(*) AS times
+  FROM (SELECT item_id, unnest(string_split_regex(lower(text), {SPACE})) AS word FROM benchmark)
+  WHERE word <> '' GROUP BY ALL),
+hits AS (SELECT d.doc_id, w.word FROM documents d, (SELECT DISTINCT word FROM qw) w WHERE {found}),
+scores AS (
+  SELECT query_id, doc_id AS chunk_id, CAST(sum(times) AS BIGINT) AS score
+  FROM qw JOIN hits USING (word) GROUP BY ALL),
+best AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INT) AS rank,
+         chunk_id, score
+  FROM scores QUALIFY rank <= 5)
+"""
+
+
+SQL["keyword_topk"] = f"WITH {keyword_hits()} SELECT * FROM best"
+SQL["keyword_topk_whole_word"] = f"WITH {keyword_hits(True)} SELECT * FROM best"
+
+SQL["context_assembly"] = f"""
+WITH {keyword_hits()},
+joined AS (
+  SELECT query_id, string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context
+  FROM best JOIN documents ON doc_id = chunk_id GROUP BY query_id)
+SELECT item_id AS query_id,
+       coalesce('Based on available information:' || chr(10) || chr(10) || context,
+                'I couldn''t find specific scheme information for your question. Please try asking about a specific '
+                || 'scheme like PM-KISAN, PMFBY, KCC, e-NAM, or Soil Health Card.') AS answer
+FROM benchmark LEFT JOIN joined ON query_id = item_id
+"""
+
+SQL["vector_topk"] = """
+WITH parts AS (
+  SELECT label, unnest(range(1, len(embedding) + 1)) AS pos, unnest(embedding) AS value FROM embeddings),
+means AS (SELECT label, pos, avg(CAST(value AS DOUBLE)) AS value FROM parts GROUP BY ALL),
+centres AS (SELECT label, list(value ORDER BY pos) AS centre FROM means GROUP BY label),
+scores AS (
+  SELECT c.label AS query_id, v.vec_id AS vector_id,
+         round(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), c.centre), 6) AS score
+  FROM centres c, embeddings v)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vector_id) AS INT) AS rank,
+       vector_id, score
+FROM scores QUALIFY rank <= 5
+"""
