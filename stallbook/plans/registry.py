@@ -7,10 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallbook.operators import daily, forecast, matching, quality, recency, retrieval, summaries
+from stallbook.functions import texts
+from stallbook.operators import (
+    changes,
+    chunks,
+    daily,
+    forecast,
+    intents,
+    matching,
+    quality,
+    recency,
+    retrieval,
+    summaries,
+    treatments,
+    windows,
+)
 from stallbook.operators import vectors as vectors_op
+from stallbook.operators.text_vectors import fit_text_vectors, with_text_vectors
+from stallbook.plans import advice, model
 from stallbook.plans import prices as price_plan
-from stallbook.plans.observations import price_observations, table
+from stallbook.plans.observations import from_lines, price_observations, table
+from stallbook.session import scratch_path, settle
+from stallbook.sources import tables
+from stallbook.streaming import gold, ingest
+from stallbook.streaming.silver import dedupe_stream, silver_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -169,3 +189,328 @@ def vector_topk(spark, folder):
     vectors = table(spark, folder, "embeddings")
     centres = vectors_op.centroids(vectors, "label")
     return vectors_op.cosine_top_k(centres, vectors, k=5, query_id="label", vector_id="vec_id")
+
+
+@_query
+def text_vectors(spark, folder):
+    documents = _texts(spark, folder)
+    return with_text_vectors(documents, fit_text_vectors(documents)).select("chunk_id", "embedding")
+
+
+@_query
+def text_vector_search(spark, folder):
+    questions, documents = advice.with_vectors(_questions(spark, folder), _texts(spark, folder))
+    return retrieval.search(questions, documents, k=5, mode="vector")
+
+
+def _documents_as_schemes(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").select(
+        F.col("doc_id").cast("string").alias("scheme_id"),
+        F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("name"),
+        F.when(F.col("lang") != "fr", F.concat_ws(" ", "lang", F.lit("text"))).alias("name_en"),
+        F.col("lang").alias("category"),
+        F.col("text").alias("description"),
+        F.array("lang", "source").alias("eligibility"),
+        F.col("text").alias("benefits"),
+        F.lit(None).cast("string").alias("how_to_apply"),
+        F.array("source", F.col("n_chars").cast("string")).alias("documents_required"),
+        F.concat(F.lit("https://example.com/"), "source").alias("official_url"),
+        F.lit("none").alias("helpline"),
+        F.col("source").alias("coverage"),
+    )
+
+
+@_query
+def doc_chunks(spark, folder):
+    return chunks.scheme_chunks(_documents_as_schemes(spark, folder))
+
+
+@_query
+def doc_chunks_bracketed(spark, folder):
+    return chunks.scheme_chunks(_documents_as_schemes(spark, folder), list_style="bracketed")
+
+
+@_query
+def doc_list(spark, folder):
+    return chunks.scheme_list(_documents_as_schemes(spark, folder))
+
+
+def _parts_as_guide(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "part").select(
+        F.col("p_brand").alias("crop"),
+        F.col("p_type").alias("growth_stage"),
+        F.split_part("p_name", F.lit(" "), F.lit(2)).alias("category"),
+        F.split_part("p_name", F.lit(" "), F.lit(1)).alias("problem"),
+        F.col("p_name").alias("product_name"),
+        F.col("p_size").cast("string").alias("dosage"),
+        F.lit(None).cast("string").alias("application_method"),
+        F.lit("any").alias("timing"),
+        F.lit("₹").alias("precautions"),
+        F.lit("").alias("organic_alternative"),
+        F.col("p_partkey").cast("string").alias("cost_estimate"),
+    )
+
+
+@_query
+def guide_chunks(spark, folder):
+    return chunks.guide_chunks(_parts_as_guide(spark, folder))
+
+
+@_query
+def guide_recommendations(spark, folder):
+    """A request per part kind, answered from the part texts."""
+    requests = (
+        _parts_as_guide(spark, folder)
+        .groupBy("growth_stage", "category")
+        .agg(F.max("crop").alias("crop"))
+        .select(
+            F.concat_ws("/", "growth_stage", "category").alias("query_id"),
+            "crop",
+            "growth_stage",
+            F.col("category").alias("problem"),
+            (F.col("category") == "ring").alias("prefer_organic"),
+        )
+    )
+    return advice.recommend(requests, _parts_as_guide(spark, folder)).select("query_id", "text", "answer")
+
+
+# words that occur in the conversations, by language
+TONGUES = {
+    "english": ("the", "tion", "and", "with"),
+    "german": ("der", "ung", "und", "sch"),
+    "french": ("eau", "que", "les", "des"),
+    "spanish": ("los", "ción", "por", "una"),
+}
+
+
+def _turns(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+
+
+@_query
+def intent_classify(spark, folder):
+    return intents.classify(_turns(spark, folder), lexicon=TONGUES).drop("text")
+
+
+@_query
+def intent_classify_default(spark, folder):
+    return intents.classify(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
+
+
+@_query
+def intent_classify_whole_word(spark, folder):
+    return intents.classify(_turns(spark, folder), lexicon=TONGUES, whole_word=True).drop("text")
+
+
+@_query
+def entity_extract(spark, folder):
+    named = intents.extract_names(
+        _turns(spark, folder), commodities=("thing", "heit", "eau", "ing"), crops=("ment", "sch", "ble")
+    )
+    return named.drop("text")
+
+
+@_query
+def entity_extract_default(spark, folder):
+    return intents.extract_names(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
+
+
+@_query
+def question_routes(spark, folder):
+    return intents.with_route(intents.classify(_turns(spark, folder))).drop("text")
+
+
+@_query
+def routing_counts(spark, folder):
+    routed = intents.with_route(intents.classify(_turns(spark, folder), lexicon=TONGUES))
+    return intents.routing_counts(routed)
+
+
+# ---- labels, versions, keys -----------------------------------------------------
+
+
+def _document_labels(spark: SparkSession, folder: str) -> DataFrame:
+    state = F.when(F.col("source") == "src1", "healthy").otherwise("spots")
+    number = F.col("doc_id").cast("string")
+    label = F.concat(F.lit("Doc_"), "lang", F.lit("___"), state, F.lit("_"), number)
+    return table(spark, folder, "documents").select("doc_id", label.alias("label"))
+
+
+@_query
+def label_lookup(spark, folder):
+    knowledge = _document_labels(spark, folder).join(table(spark, folder, "labels"), "doc_id").select(
+        F.col("label").alias("disease_class"),
+        F.concat(F.lit("quality "), F.col("quality").cast("string")).alias("treatment"),
+        F.concat(F.lit("toxic "), F.col("toxic").cast("string")).alias("prevention"),
+        F.when(F.col("toxic") == 0, "none needed").alias("organic"),
+        "doc_id",
+    )
+    return treatments.with_treatments(_document_labels(spark, folder), knowledge, position="doc_id")
+
+
+@_query
+def ingest_labels(spark, folder):
+    return _document_labels(spark, folder).select(
+        "doc_id",
+        texts.ingest_crop("label").alias("crop"),
+        texts.ingest_disease("label").alias("disease_name"),
+    )
+
+
+@_query
+def top_predictions(spark, folder):
+    lines, part = table(spark, folder, "lineitem"), table(spark, folder, "part")
+    scores = (
+        lines.join(part, F.col("l_partkey") == F.col("p_partkey"))
+        .groupBy(F.col("l_suppkey").alias("image_id"), F.col("p_brand").alias("label"))
+        .agg((F.sum("l_quantity") / 8192).alias("score"))
+    )
+    return treatments.with_confidence(treatments.top_predictions(scores))
+
+
+def _order_versions(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Orders and a batch of changes: open orders closed, urgent ones copied."""
+    old = table(spark, folder, "orders")
+    closed = old.filter("o_orderstatus = 'P'").withColumn("o_orderstatus", F.lit("F"))
+    copies = old.filter("o_orderpriority = '1-URGENT'").withColumn("o_orderkey", -F.col("o_orderkey") - 1)
+    return old, closed.unionByName(copies)
+
+
+@_query
+def upsert(spark, folder):
+    old, new = _order_versions(spark, folder)
+    return changes.upsert(old, new, ["o_orderkey"])
+
+
+@_query
+def snapshot_diff(spark, folder):
+    old, new = _order_versions(spark, folder)
+    after = changes.upsert(old, new, ["o_orderkey"]).filter("o_orderpriority <> '5-LOW'")
+    return changes.snapshot_diff(old, after, ["o_orderkey"])
+
+
+@_query
+def append_evolving(spark, folder):
+    customers = table(spark, folder, "customer").select(F.col("c_name").alias("name"), "c_mktsegment")
+    suppliers = table(spark, folder, "supplier").select(F.col("s_name").alias("name"), "s_acctbal")
+    return changes.append_evolving(customers, suppliers)
+
+
+@_query
+def key_check(spark, folder):
+    return quality.key_check(table(spark, folder, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@_query
+def repeated_keys(spark, folder):
+    return quality.repeated_keys(table(spark, folder, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+def _line_rules() -> quality.Rules:
+    return {
+        "quantity_up_to_45": F.col("l_quantity") <= 45,
+        "taxed": F.col("l_tax") > 0,
+        "finished": F.col("l_linestatus") == "F",
+    }
+
+
+@_query
+def quarantine(spark, folder):
+    return quality.quarantine(table(spark, folder, "lineitem"), _line_rules())
+
+
+@_query
+def line_rule_counts(spark, folder):
+    return quality.rule_counts(table(spark, folder, "lineitem"), _line_rules())
+
+
+@_query
+def valid_lines(spark, folder):
+    return quality.keep_valid(table(spark, folder, "lineitem"), _line_rules())
+
+
+@_query
+def table_counts(spark, folder):
+    names = (
+        "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
+        "embeddings", "pages", "benchmark", "labels", "conversations",
+    )
+    return tables.table_counts({n: table(spark, folder, n) for n in names})
+
+
+@_query
+def filtered_read(spark, folder):
+    orders = table(spark, folder, "orders")
+    return tables.matching(orders, {"o_orderstatus": "F", "o_orderpriority": ["1-URGENT", "2-HIGH"]})
+
+
+# ---- streams ------------------------------------------------------------------
+
+
+def _observation_stream(spark: SparkSession, folder: str) -> DataFrame:
+    dims = [table(spark, folder, n) for n in ("part", "supplier", "nation")]
+    schema = table(spark, folder, "lineitem").schema
+    # a glob, because a streaming source takes a single file only by pattern;
+    # it matches a table stored as a folder of files as well
+    path = f"{folder}/lineitem.parque[t]"
+    return from_lines(ingest.file_stream(spark, path, schema, file_format="parquet"), *dims)
+
+
+@_query
+def stream_silver(spark, folder):
+    rows = silver_stream(_observation_stream(spark, folder))
+    out = scratch_path(spark, "silver")
+    ingest.drain(rows, scratch_path(spark, "offsets"), path=out)
+    return spark.read.schema(rows.schema).parquet(out)
+
+
+@_query
+def stream_dedupe(spark, folder):
+    rows = dedupe_stream(silver_stream(_observation_stream(spark, folder))).select(
+        *quality.PRICE_IDENTITY
+    )
+    out = scratch_path(spark, "deduped")
+    ingest.drain(rows, scratch_path(spark, "offsets"), path=out)
+    return spark.read.schema(rows.schema).parquet(out)
+
+
+@_query
+def stream_gold(spark, folder):
+    rows = silver_stream(_observation_stream(spark, folder))
+    silver_path, gold_path = scratch_path(spark, "silver"), scratch_path(spark, "gold")
+    ingest.drain(rows, scratch_path(spark, "offsets"), path=silver_path, partition_by=gold.MONTH)
+    follow = ingest.file_stream(spark, silver_path, rows.schema, file_format="parquet")
+    gold.drain_gold(spark, follow, silver_path, gold_path, scratch_path(spark, "offsets"))
+    return spark.read.parquet(gold_path)
+
+
+# ---- price model --------------------------------------------------------------
+
+
+def _predictions(spark: SparkSession, folder: str) -> DataFrame:
+    rows = price_plan.enriched(price_observations(spark, folder))
+    train, test = model.split(settle(model.training_rows(rows), "training"))
+    return model.fit(train).transform(test)
+
+
+@_query
+def price_model_eval(spark, folder):
+    return model.evaluate(_predictions(spark, folder))
+
+
+@_query
+def error_by_commodity(spark, folder):
+    return model.error_by_commodity(_predictions(spark, folder))
+
+
+@_query
+def model_residuals(spark, folder):
+    return model.residuals(_predictions(spark, folder))
+
+
+@_query
+def lagged_features(spark, folder):
+    clean = quality.dedupe(quality.valid_prices(price_observations(spark, folder)))
+    return windows.with_lagged_averages(settle(clean, "silver")).select(
+        "price_id", "lagged_avg_7d", "lagged_avg_30d"
+    )

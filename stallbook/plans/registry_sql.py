@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from stallbook.functions import lexicon as lx
+
 PRICE_OBS = """
 obs AS (
   SELECT sha256(concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_shipdate AS DATE))) AS price_id,
@@ -334,3 +336,259 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
        vector_id, score
 FROM scores QUALIFY rank <= 5
 """
+
+SCHEMES = """
+schemes AS (
+  SELECT CAST(doc_id AS VARCHAR) AS scheme_id, 'Document ' || doc_id AS doc_name,
+         CASE WHEN lang <> 'fr' THEN lang || ' text' ELSE 'Document ' || doc_id END AS name,
+         lang AS category, text, source, n_chars
+  FROM documents)
+"""
+
+
+def doc_chunks(eligibility: str, papers: str) -> str:
+    return f"""
+WITH {SCHEMES}
+SELECT scheme_id, name, category, 'overview' AS chunk_type,
+       concat('Scheme: ', name, chr(10), 'Category: ', category, chr(10), 'Description: ', text, chr(10),
+              'Benefits: ', text, chr(10), 'Coverage: ', source) AS text
+FROM schemes
+UNION ALL
+SELECT scheme_id, name, category, 'application',
+       concat('Scheme: ', name, chr(10), 'Eligibility: ', {eligibility}, chr(10), 'How to Apply: ', chr(10),
+              'Documents Required: ', {papers}, chr(10), 'Helpline: none', chr(10),
+              'Official URL: https://example.com/', source)
+FROM schemes
+"""
+
+
+SQL["doc_chunks"] = doc_chunks("category || '; ' || source", "source || ', ' || n_chars")
+SQL["doc_chunks_bracketed"] = doc_chunks(
+    "'[' || category || ', ' || source || ']'", "'[' || source || ', ' || n_chars || ']'"
+)
+
+SQL["doc_list"] = f"""
+WITH {SCHEMES}
+SELECT scheme_id, name, doc_name AS short_name, category, substring(text, 1, 100) || '...' AS benefits_summary
+FROM schemes
+"""
+
+GUIDE = """
+guide AS (
+  SELECT p_brand AS crop, p_type AS growth_stage, split_part(p_name, ' ', 2) AS category,
+         concat('Crop: ', p_brand, chr(10), 'Growth Stage: ', p_type, chr(10), 'Category: ',
+                split_part(p_name, ' ', 2), chr(10), 'Problem: ', split_part(p_name, ' ', 1), chr(10), 'Product: ',
+                p_name, chr(10), 'Dosage: ', p_size, chr(10), 'Application Method: ', chr(10), 'Timing: any', chr(10),
+                'Precautions: ₹', chr(10), 'Organic Alternative: ', chr(10), 'Cost Estimate: ', p_partkey) AS text
+  FROM part)
+"""
+
+SQL["guide_chunks"] = f"WITH {GUIDE} SELECT * FROM guide"
+
+SQL["guide_recommendations"] = f"""
+WITH {GUIDE},
+requests AS (
+  SELECT growth_stage || '/' || category AS query_id,
+         max(crop) || ' ' || growth_stage || ' ' || category
+           || CASE WHEN category = 'ring' THEN ' organic biological natural' ELSE '' END AS text
+  FROM guide GROUP BY growth_stage, category),
+qw AS (
+  SELECT query_id, word, count(*) AS times
+  FROM (SELECT query_id, unnest(string_split(lower(text), ' ')) AS word FROM requests) GROUP BY ALL),
+texts AS (SELECT sha256(concat_ws('|', crop, growth_stage, category, text)) AS chunk_id, text FROM guide),
+scores AS (
+  SELECT query_id, chunk_id, text, sum(times) AS score
+  FROM qw JOIN texts ON contains(lower(text), word) GROUP BY ALL),
+best AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank
+  FROM scores QUALIFY rank <= 5),
+joined AS (
+  SELECT query_id, string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context
+  FROM best GROUP BY query_id)
+SELECT query_id, r.text, 'Based on available guidance:' || chr(10) || chr(10) || context AS answer
+FROM requests r JOIN joined USING (query_id)
+"""
+
+TONGUES = {
+    "english": ("the", "tion", "and", "with"),
+    "german": ("der", "ung", "und", "sch"),
+    "french": ("eau", "que", "les", "des"),
+    "spanish": ("los", "ción", "por", "una"),
+}
+
+
+def intents(source: str, columns: str, lexicon, whole_word: bool = False) -> str:
+    def hit(word: str) -> str:
+        if whole_word:
+            return f"CAST(regexp_matches(clean, '(^|[^\\p{{L}}\\p{{N}}_]){word}($|[^\\p{{L}}\\p{{N}}_])') AS INT)"
+        return f"CAST(contains(clean, '{word}') AS INT)"
+
+    scores = ", ".join(f"{' + '.join(hit(w) for w in words)} AS n_{i}" for i, words in lexicon.items())
+    names = [f"n_{i}" for i in lexicon]
+    cases = " ".join(f"WHEN n_{i} = best THEN '{i}'" for i in lexicon)
+    return f"""
+scored AS (SELECT *, {scores} FROM (SELECT *, trim(lower(coalesce(text, '')), ' ' || chr(10) || chr(9)) AS clean FROM {source})),
+summed AS (SELECT *, greatest({", ".join(names)}) AS best, {" + ".join(names)} AS total FROM scored),
+intents AS (
+  SELECT {columns}, text, CASE WHEN clean = '' OR best = 0 THEN 'general' {cases} END AS intent,
+         CASE WHEN clean = '' THEN 0.0 WHEN best = 0 THEN 0.3
+              ELSE {half_up("(CAST(best AS DOUBLE) / total)")} END AS confidence
+  FROM summed)
+"""
+
+
+TURN = "conv_id, turn, role"
+SQL["intent_classify"] = f"WITH {intents('conversations', TURN, TONGUES)} SELECT * EXCLUDE (text) FROM intents"
+SQL["intent_classify_whole_word"] = (
+    f"WITH {intents('conversations', TURN, TONGUES, True)} SELECT * EXCLUDE (text) FROM intents"
+)
+SQL["intent_classify_default"] = (
+    f"WITH {intents('documents', 'doc_id', lx.INTENT_KEYWORDS)} SELECT * EXCLUDE (text) FROM intents"
+)
+SQL["question_routes"] = f"""
+WITH {intents('conversations', TURN, lx.INTENT_KEYWORDS)}
+SELECT * EXCLUDE (text), CASE intent WHEN 'general' THEN 'general' ELSE intent || '_tab' END AS feature,
+       substring(text, 1, 100) AS preview
+FROM intents
+"""
+SQL["routing_counts"] = f"""
+WITH {intents('conversations', TURN, TONGUES)}
+SELECT intent, intent AS feature, count(*) AS questions,
+       {half_up("(CAST(sum(CAST(floor(confidence * 100 + 0.5) AS BIGINT)) AS DOUBLE) / count(*) / 100)", 4)} AS avg_confidence
+FROM intents GROUP BY intent
+"""
+
+
+def first_of(names) -> str:
+    return " ".join(f"WHEN contains(lower(text), '{n}') THEN '{n.title()}'" for n in names)
+
+
+SQL["entity_extract"] = f"""
+SELECT {TURN}, CASE {first_of(("thing", "heit", "eau", "ing"))} END AS commodity,
+       CASE {first_of(("ment", "sch", "ble"))} ELSE 'General' END AS crop
+FROM conversations
+"""
+SQL["entity_extract_default"] = f"""
+SELECT doc_id, CASE {first_of(lx.COMMODITY_NAMES)} END AS commodity,
+       CASE {first_of(lx.CROP_NAMES)} ELSE 'General' END AS crop
+FROM documents
+"""
+
+LABELS = """
+marked AS (
+  SELECT doc_id, lang, CASE WHEN source = 'src1' THEN 'healthy' ELSE 'spots' END AS condition,
+         'Doc_' || lang || '___' || CASE WHEN source = 'src1' THEN 'healthy' ELSE 'spots' END || '_' || doc_id AS label
+  FROM documents)
+"""
+
+SQL["label_lookup"] = f"""
+WITH {LABELS}
+SELECT m.doc_id, label, 'Doc ' || lang AS crop, condition || ' ' || m.doc_id AS disease,
+       condition = 'healthy' AS is_healthy,
+       CASE condition WHEN 'healthy' THEN 'Healthy' ELSE 'Disease Detected' END AS status,
+       coalesce('quality ' || quality, 'Consult a local agriculture expert.') AS treatment,
+       coalesce('toxic ' || toxic, 'Practice good farm hygiene.') AS prevention,
+       CASE WHEN toxic = 0 THEN 'none needed' ELSE 'Use neem-based sprays.' END AS organic
+FROM marked m LEFT JOIN labels l ON l.doc_id = m.doc_id
+"""
+
+SQL["ingest_labels"] = f"""
+WITH {LABELS} SELECT doc_id, 'Doc' AS crop, condition || ' ' || doc_id AS disease_name FROM marked
+"""
+
+SQL["top_predictions"] = f"""
+WITH scores AS (
+  SELECT l_suppkey AS image_id, p_brand AS label, sum(l_quantity) / 8192 AS score
+  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)
+SELECT image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY scores.score DESC, label) AS INT) AS rank, label,
+       {half_up("scores.score", 4)} AS score,
+       printf('%.1f%%', {half_up("(" + half_up("scores.score", 4) + " * 100)", 1)}) AS confidence
+FROM scores QUALIFY rank <= 5
+"""
+
+VERSIONS = """
+changed AS (
+  SELECT * REPLACE ('F' AS o_orderstatus) FROM orders WHERE o_orderstatus = 'P'
+  UNION ALL SELECT * REPLACE (-o_orderkey - 1 AS o_orderkey) FROM orders WHERE o_orderpriority = '1-URGENT'),
+merged AS (
+  SELECT * FROM changed
+  UNION ALL SELECT * FROM orders o WHERE NOT EXISTS (SELECT 1 FROM changed c WHERE c.o_orderkey = o.o_orderkey))
+"""
+
+SQL["upsert"] = f"WITH {VERSIONS} SELECT * FROM merged"
+
+SQL["snapshot_diff"] = f"""
+WITH {VERSIONS}, later AS (SELECT * FROM merged WHERE o_orderpriority <> '5-LOW')
+SELECT *, 'insert' AS change FROM later WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders)
+UNION ALL
+SELECT *, 'delete' FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM later)
+UNION ALL
+SELECT *, 'update' FROM (SELECT * FROM later EXCEPT SELECT * FROM orders)
+WHERE o_orderkey IN (SELECT o_orderkey FROM orders)
+"""
+
+SQL["append_evolving"] = """
+SELECT c_name AS name, c_mktsegment, CAST(NULL AS DOUBLE) AS s_acctbal FROM customer
+UNION ALL SELECT s_name, NULL, s_acctbal FROM supplier
+"""
+
+SQL["key_check"] = """
+WITH keys AS (SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL)
+SELECT CAST(sum(n) AS BIGINT) AS rows, CAST(0 AS BIGINT) AS null_keys, count_if(n > 1) AS repeated_keys,
+       CAST(sum(n - 1) AS BIGINT) AS surplus_rows
+FROM keys
+"""
+
+SQL["repeated_keys"] = """
+SELECT l_orderkey, l_linenumber, count(*) AS rows FROM lineitem GROUP BY ALL HAVING count(*) > 1
+"""
+
+RULES = "l_quantity <= 45 AS a, l_tax > 0 AS b, l_linestatus = 'F' AS c"
+
+SQL["quarantine"] = """
+SELECT *, list_filter([CASE WHEN l_quantity > 45 THEN 'quantity_up_to_45' END, CASE WHEN l_tax <= 0 THEN 'taxed' END,
+                       CASE WHEN l_linestatus <> 'F' THEN 'finished' END], lambda x: x IS NOT NULL) AS failed_rules
+FROM lineitem WHERE NOT (l_quantity <= 45 AND l_tax > 0 AND l_linestatus = 'F')
+"""
+
+SQL["line_rule_counts"] = f"""
+WITH flags AS (SELECT {RULES} FROM lineitem)
+SELECT 'quantity_up_to_45' AS rule, count(*) AS rows, count_if(a) AS passed, count_if(NOT a) AS failed FROM flags
+UNION ALL SELECT 'taxed', count(*), count_if(b), count_if(NOT b) FROM flags
+UNION ALL SELECT 'finished', count(*), count_if(c), count_if(NOT c) FROM flags
+"""
+
+SQL["valid_lines"] = "SELECT * FROM lineitem WHERE l_quantity <= 45 AND l_tax > 0 AND l_linestatus = 'F'"
+
+SQL["table_counts"] = " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, count(*) AS row_count, CAST({n} AS INT) AS column_count FROM {t}"
+    for t, n in {
+        "region": 2, "nation": 3, "customer": 5, "supplier": 4, "part": 6, "orders": 6, "lineitem": 11, "events": 6,
+        "documents": 5, "embeddings": 3, "pages": 3, "benchmark": 2, "labels": 3, "conversations": 4,
+    }.items()
+)
+
+SQL["filtered_read"] = """
+SELECT * FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority IN ('1-URGENT', '2-HIGH')
+"""
+
+SQL["stream_silver"] = f"""
+WITH {PRICE_OBS}
+SELECT *, {CALENDAR} FROM obs
+WHERE modal_price > 0 AND arrival_date IS NOT NULL AND length(trim(commodity)) > 0
+  AND state IS NOT NULL AND market IS NOT NULL
+"""
+
+SQL["stream_dedupe"] = f"WITH {PRICE_OBS} SELECT DISTINCT arrival_date, market, commodity, variety FROM obs"
+
+SQL["stream_gold"] = SQL["gold_price_analytics"]
+
+SQL["lagged_features"] = f"""
+WITH {PRICE_OBS}, {DEDUPED}
+SELECT price_id, {mean("modal_price", "OVER w7")} AS lagged_avg_7d, {mean("modal_price", "OVER w30")} AS lagged_avg_30d
+FROM dedup
+WINDOW w7 AS (PARTITION BY commodity, market ORDER BY arrival_date, variety, price_id
+              ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING),
+       w30 AS (PARTITION BY commodity, market ORDER BY arrival_date, variety, price_id
+               ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING)
+"""
