@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+NON_WORD = r"\W+"
+
 # The keywords of each intent.  The order of the intents decides ties.
 INTENT_KEYWORDS: dict[str, tuple[str, ...]] = {
     "disease": (
@@ -56,27 +59,27 @@ INTENT_FEATURES: dict[str, str] = {
 }
 
 
-def _occurs(text: Column, keyword: str, whole_word: bool) -> Column:
-    keyword = keyword.lower()
-    if whole_word:
-        return F.rlike(text, F.lit(r"(?U)(?<!\w)\Q" + keyword + r"\E(?!\w)"))
-    return F.contains(text, F.lit(keyword))
+def _spaced(text: str) -> str:
+    """A keyword as it looks in a text prepared by :func:`searchable`."""
+    return f" {re.sub(NON_WORD, ' ', text).strip()} "
 
 
-def keyword_hits(text: Column, keywords: Sequence[str], whole_word: bool = False) -> Column:
-    """How many of the keywords occur in an already lower-cased text."""
-    hits = [_occurs(text, k, whole_word).cast("int") for k in keywords]
-    return sum(hits[1:], hits[0])
+def searchable(text: str | Column, whole_word: bool = False) -> Column:
+    """Lower-cased text; for whole words, single blanks around every word."""
+    text = F.lower(F.col(text) if isinstance(text, str) else text)
+    if not whole_word:
+        return text
+    return F.concat(F.lit(" "), F.regexp_replace(text, f"(?U){NON_WORD}", " "), F.lit(" "))
 
 
-def first_name(text: str | Column, names: Sequence[str]) -> Column:
-    """First name of the ordered list contained in the text, capitalised; else null."""
-    text = F.lower(F.col(text) if isinstance(text, str) else text)
-    found = F.lit(None).cast("string")
-    for name in reversed(names):
-        found = F.when(F.contains(text, F.lit(name)), name.title()).otherwise(found)
-    return found
+def keyword_hits(text: Column, keywords: Sequence[str], whole_word: bool = False) -> Column:
+    """How many of the keywords occur in a :func:`searchable` text."""
+    wanted = [_spaced(k.lower()) if whole_word else k.lower() for k in keywords]
+    found = F.filter(F.array(*map(F.lit, wanted)), lambda k: F.contains(text, k))
+    return F.size(found)
 
 
-def intent_scores(text: Column, lexicon: Mapping[str, Sequence[str]], whole_word: bool) -> dict[str, Column]:
-    return {intent: keyword_hits(text, words, whole_word) for intent, words in lexicon.items()}
+def first_name(text: Column, names: Sequence[str]) -> Column:
+    """First name of the ordered list in a :func:`searchable` text, capitalised; else null."""
+    found = F.filter(F.array(*map(F.lit, names)), lambda n: F.contains(text, n))
+    return F.initcap(F.get(found, F.lit(0)))

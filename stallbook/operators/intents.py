@@ -22,27 +22,27 @@ def classify(
 
     Most hits win, ties go to the intent listed first; confidence is the share
     of the winner in all hits.  Blank text is (general, 0), no hit (general, 0.3).
-    The lexicon is part of the program, so it is planned as one projection.
+    The lexicon is part of the program and planned as literals of one projection.
     """
-    clean = F.col("_clean")
-    scored = df.withColumn("_clean", strip(F.lower(F.coalesce(text, F.lit(""))))).withColumns(
-        {f"_n_{i}": score for i, score in lx.intent_scores(clean, lexicon, whole_word).items()}
+    clean = strip(F.coalesce(text, F.lit("")))
+    hits = [lx.keyword_hits(F.col("_text"), words, whole_word) for words in lexicon.values()]
+    scored = (
+        df.withColumns({"_text": lx.searchable(clean, whole_word), "_blank": clean == ""})
+        .withColumn("_hits", F.array(*hits))
+        .withColumn("_best", F.array_max("_hits"))
+    )
+    best, total = F.col("_best"), F.aggregate("_hits", F.lit(0), lambda a, b: a + b)
+    winner = F.element_at(
+        F.array(*map(F.lit, lexicon)), F.array_position("_hits", best).cast("int")
     )
-    counts = {i: F.col(f"_n_{i}") for i in lexicon}
-    total = sum(counts.values(), F.lit(0))
-    best = F.greatest(*counts.values()) if len(counts) > 1 else next(iter(counts.values()))
-    winner = F.lit(None).cast("string")
-    for intent in reversed(list(lexicon)):
-        winner = F.when(counts[intent] == best, intent).otherwise(winner)
-    blank = clean == ""
     return scored.withColumns(
         {
-            "intent": F.when(blank | (best == 0), "general").otherwise(winner),
-            "confidence": F.when(blank, 0.0)
+            "intent": F.when(F.col("_blank") | (best == 0), "general").otherwise(winner),
+            "confidence": F.when(F.col("_blank"), 0.0)
             .when(best == 0, 0.3)
             .otherwise(half_up(F.least(best / total, F.lit(1.0)))),
         }
-    ).drop("_clean", *[f"_n_{i}" for i in lexicon])
+    ).drop("_text", "_blank", "_hits", "_best")
 
 
 def extract_names(
@@ -53,22 +53,25 @@ def extract_names(
 ) -> DataFrame:
     """Add the first commodity named in the text (or null) and the first crop
     (or ``General``)."""
-    return df.withColumns(
-        {
-            "commodity": lx.first_name(text, commodities),
-            "crop": F.coalesce(lx.first_name(text, crops), F.lit("General")),
-        }
+    lowered = F.col("_text")
+    return (
+        df.withColumn("_text", lx.searchable(text))
+        .withColumns(
+            {
+                "commodity": lx.first_name(lowered, commodities),
+                "crop": F.coalesce(lx.first_name(lowered, crops), F.lit("General")),
+            }
+        )
+        .drop("_text")
     )
 
 
 def with_route(df: DataFrame, text: str = "text") -> DataFrame:
     """Add the feature that answers a classified question and a text preview."""
-    feature = F.lit(None).cast("string")
-    for intent, name in reversed(lx.INTENT_FEATURES.items()):
-        feature = F.when(F.col("intent") == intent, name).otherwise(feature)
+    features = F.create_map(*[F.lit(x) for pair in lx.INTENT_FEATURES.items() for x in pair])
     return df.withColumns(
         {
-            "feature": F.coalesce(feature, F.col("intent")),
+            "feature": F.coalesce(features[F.col("intent")], "intent"),
             "preview": F.substring(F.coalesce(text, F.lit("")), 1, 100),
         }
     )

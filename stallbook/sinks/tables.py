@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,9 +73,8 @@ def merge_table(
     replaced = old.join(new.select(*keys), list(keys), "left_semi").select(*parts)
     touched = settle(new.select(*parts).union(replaced).distinct(), "touched")
     merged = settle(upsert(old.join(touched, parts, "left_semi"), new, keys), "merged")
-    merged.select(*old.columns).write.option("partitionOverwriteMode", "dynamic").insertInto(
-        name, overwrite=True
-    )
+    with _dynamic_overwrite(spark):
+        merged.select(*old.columns).write.insertInto(name, overwrite=True)
     # a partition all of whose rows moved elsewhere is not overwritten, so drop it;
     # the list is as long as the number of touched partitions
     for gone in touched.join(merged, parts, "left_anti").collect():
@@ -82,6 +82,19 @@ def merge_table(
         spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION ({spec})")
 
 
+@contextmanager
+def _dynamic_overwrite(spark: SparkSession):
+    """Replace only the partitions that receive rows.  ``insertInto`` takes the
+    mode from the session, not from a write option."""
+    setting = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "dynamic")
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def _literal(value) -> str:
     return str(value) if isinstance(value, (int, float)) else "'" + str(value).replace("'", "\\'") + "'"
 
