@@ -57,8 +57,9 @@ def words_in_tokens(tokens: DataFrame, wanted: DataFrame) -> DataFrame:
     )
 
 
-def matched_words(tokens: DataFrame, wanted: DataFrame, whole_word: bool = False) -> DataFrame:
-    """(chunk_id, words): the wanted words found in each chunk that has any."""
+def postings(tokens: DataFrame, wanted: DataFrame, whole_word: bool = False) -> DataFrame:
+    """(chunk_id, word, breadth): the wanted words of each chunk, with the number
+    of wanted words in the chunk."""
     if whole_word:
         pairs = wanted.select(F.col("word").alias("token"), "word")
     else:
@@ -67,50 +68,82 @@ def matched_words(tokens: DataFrame, wanted: DataFrame, whole_word: bool = False
         tokens.join(pairs, "token")
         .groupBy("chunk_id")
         .agg(F.collect_set("word").alias("words"))
+        .select("chunk_id", F.explode("words").alias("word"), F.size("words").alias("breadth"))
     )
 
 
-def _scored(pairs: DataFrame) -> DataFrame:
-    """Score of (query_id, chunk_id, words, times): query words found, repeats
-    counted.  ``times`` maps the words of the query to their number."""
-    found = F.array_intersect(F.map_keys("times"), F.col("words"))
-    score = F.aggregate(
-        found, F.lit(0).cast("bigint"), lambda sum_, word: sum_ + F.element_at("times", word)
-    )
-    return pairs.select("query_id", "chunk_id", score.alias("score"))
-
-
 def _best(scored: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _seeds(hits: DataFrame, asked: DataFrame, profiles: DataFrame, k: int) -> DataFrame:
+def _scores(pairs: DataFrame, asked: DataFrame, found: DataFrame) -> DataFrame:
+    """Score of given (query_id, chunk_id) pairs over the words in ``asked``."""
+    return (
+        pairs.join(asked, "query_id")
+        .join(found.select("chunk_id", "word"), ["chunk_id", "word"])
+        .groupBy("query_id", "chunk_id")
+        .agg(F.sum("times").alias("score"))
+    )
+
+
+def _seeds(found: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """Exact scores of a few promising chunks per query: for each of its words
     the k chunks that match most words altogether.  A query with fewer than k
     seeds has no other matching chunks."""
     richest = Window.partitionBy("word").orderBy(F.desc("breadth"), "chunk_id")
-    rich = (
-        hits.select("chunk_id", F.size("words").alias("breadth"), F.explode("words").alias("word"))
-        .withColumn("nth", F.row_number().over(richest))
-        .filter(F.col("nth") <= k)
-    )
+    rich = found.withColumn("nth", F.row_number().over(richest)).filter(F.col("nth") <= k)
     pairs = rich.join(asked, "word").select("query_id", "chunk_id").distinct()
-    return _best(_scored(pairs.join(hits, "chunk_id").join(profiles, "query_id")), k)
+    return _best(_scores(pairs, asked, found), k)
 
 
-def _essential(asked: DataFrame, document_counts: DataFrame, floor: DataFrame) -> DataFrame:
-    """The rarest words of each query, as many as it takes for the remaining
-    words to add up to less than the k-th best seed score."""
-    rest = Window.partitionBy("query_id").orderBy("chunks", "word").rowsBetween(
+def _divided(asked: DataFrame, found: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
+    """The words of each query with ``essential`` and ``floor``.
+
+    ``floor`` is the k-th best seed score.  Essential are the rarest words, as
+    many as it takes for the others to add up to less than the floor; ``spare``
+    is what the others add up to.
+    """
+    floor = (
+        seeds.groupBy("query_id")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("floor"))
+        .filter(F.col("n") >= k)
+        .select("query_id", "floor")
+    )
+    chunks = found.groupBy("word").agg(F.count(F.lit(1)).alias("chunks"))
+    query = Window.partitionBy("query_id")
+    onwards = query.orderBy("chunks", "word").rowsBetween(
         Window.currentRow, Window.unboundedFollowing
     )
     return (
-        asked.join(document_counts, "word")
-        .withColumn("reachable", F.sum("times").over(rest))
+        asked.join(chunks, "word")
         .join(floor, "query_id", "left")
-        .filter(F.col("reachable") >= F.coalesce("floor", F.lit(0)))
-        .select("query_id", "word")
+        .fillna(0, ["floor"])
+        .withColumn("essential", F.sum("times").over(onwards) >= F.col("floor"))
+        .withColumn("spare", F.sum(F.when(F.col("essential"), 0).otherwise(F.col("times"))).over(query))
+        .select("query_id", "word", "times", "essential", "floor", "spare")
+    )
+
+
+def _finalists(found: DataFrame, divided: DataFrame) -> DataFrame:
+    """Exact scores of all chunks that can still reach the floor: first over the
+    essential words, then the remaining words for those within reach."""
+    first = (
+        found.select("chunk_id", "word")
+        .join(divided.filter("essential"), "word")
+        .groupBy("query_id", "chunk_id", "floor", "spare")
+        .agg(F.sum("times").alias("part"))
+        .filter(F.col("part") + F.col("spare") >= F.col("floor"))
+        .select("query_id", "chunk_id", "part")
+    )
+    rest = _scores(
+        first.select("query_id", "chunk_id"),
+        divided.filter("NOT essential").select("query_id", "word", "times"),
+        found,
+    )
+    return (
+        first.join(rest, ["query_id", "chunk_id"], "left")
+        .select("query_id", "chunk_id", (F.col("part") + F.coalesce("score", F.lit(0))).alias("score"))
     )
 
 
@@ -132,24 +165,11 @@ def keyword_top_k(
     distinct = distinct.withColumn("query_id", F.col("text"))
 
     asked = settle(query_words(distinct), "query_words")
-    profiles = asked.groupBy("query_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("word", "times"))).alias("times")
-    )
     tokens = chunk_tokens(chunks, chunk_id, chunk_text)
-    wanted = asked.select("word").distinct()
-    hits = settle(matched_words(tokens, wanted, whole_word), "matched_words")
-
-    seeds = settle(_seeds(hits, asked, profiles, k), "seeds")
-    floor = (
-        seeds.groupBy("query_id")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("floor"))
-        .filter(F.col("n") >= k)
-        .select("query_id", "floor")
-    )
-    found = hits.select("chunk_id", F.explode("words").alias("word"))
-    counts = found.groupBy("word").agg(F.count(F.lit(1)).alias("chunks"))
-    pairs = found.join(_essential(asked, counts, floor), "word").select("query_id", "chunk_id").distinct()
-    best = _best(_scored(pairs.join(hits, "chunk_id").join(profiles, "query_id")), k)
+    found = settle(postings(tokens, asked.select("word").distinct(), whole_word), "postings")
+    seeds = _seeds(found, asked, k)
+    divided = settle(_divided(asked, found, seeds, k), "query_words_divided")
+    best = _best(_finalists(found, divided), k)
 
     return (
         queries.select(F.col(query_id).alias("query_id"), texts.alias("_text"))
