@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stallbook.session import settle
+
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """New rows plus the old rows whose key is not among them.
@@ -25,24 +27,33 @@ def append_evolving(old: DataFrame, new: DataFrame) -> DataFrame:
 def snapshot_diff(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Inserted, updated and deleted rows between two versions.
 
-    Updates and inserts carry the new values, deletes the old ones.  Rows are
-    compared as a struct with null-safe equality; unchanged rows are dropped in
-    the join's output, before anything else runs.
+    Updates and inserts carry the new values, deletes the old ones; ``copies``
+    says how often the row was added or removed.  Equal rows of both versions
+    cancel out in one aggregate over whole rows, so nothing is paired up: copies
+    are combined on the map side and a repeated or null key cannot multiply.
+    Only the changed rows are looked at by key.
     """
-    values = [c for c in new.columns if c not in keys]
-
-    def side(df: DataFrame, name: str) -> DataFrame:
-        return df.select(*keys, F.struct(*values).alias(name))
-
-    both = side(old, "before").join(side(new, "after"), list(keys), "full_outer")
-    change = (
-        F.when(F.col("before").isNull(), "insert")
-        .when(F.col("after").isNull(), "delete")
-        .when(~F.col("before").eqNullSafe(F.col("after")), "update")
+    columns = new.columns
+
+    def side(df: DataFrame, sign: int) -> DataFrame:
+        return df.select(*columns).withColumn("_sign", F.lit(sign))
+
+    balance = side(new, 1).union(side(old, -1)).groupBy(*columns).agg(F.sum("_sign").alias("_n"))
+    changed = settle(balance.filter(F.col("_n") != 0), "changed_rows")
+    on_both = (
+        changed.groupBy(*keys)
+        .agg(F.bool_or(F.col("_n") > 0).alias("added"), F.bool_or(F.col("_n") < 0).alias("removed"))
+        .filter("added AND removed")
+        .select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.lit(True).alias("_both"))
     )
+    same_key = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
+    updated = F.coalesce("_both", F.lit(False))
     return (
-        both.withColumn("change", change)
-        .filter(F.col("change").isNotNull())
-        .select(*keys, "change", F.coalesce("after", "before").alias("row"))
-        .select(*keys, "change", "row.*")
+        changed.join(on_both, same_key, "left")
+        .filter(~updated | (F.col("_n") > 0))
+        .withColumn(
+            "change",
+            F.when(updated, "update").when(F.col("_n") > 0, "insert").otherwise("delete"),
+        )
+        .select(*columns, "change", F.abs("_n").alias("copies"))
     )

@@ -42,7 +42,10 @@ def daily_prices(prices: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
 def last_days(daily: DataFrame, keys: Sequence[str] = KEYS, days: int = 90) -> DataFrame:
     """Cut a series to its last ``days`` days, but only if it has more points."""
-    key = Window.partitionBy(*keys)
+    # ordered like the rolling means that follow, so that one sort serves both
+    key = Window.partitionBy(*keys).orderBy("arrival_date").rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing
+    )
     return (
         daily.withColumns(
             {

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stallbook.functions.numeric import avg_price, half_up
+from stallbook.session import settle
 
 
 def recent_days(
@@ -15,11 +16,13 @@ def recent_days(
 ) -> DataFrame:
     """Rows within ``days`` of the last date of their own key.
 
-    The last dates come from a two-column aggregate that is combined on the map
-    side and joined back, so only rows that pass the cut reach a later shuffle.
-    A window ``max`` would move every row and gather each key in one task.
+    The last dates come from a narrow aggregate, combined on the map side, and
+    are joined back, so only rows that pass the cut reach a later shuffle.  (A
+    window ``max`` would move every row and gather each key in one task.)  They
+    are stored first: Spark then knows how many bytes they have and broadcasts
+    them only if that is under its threshold.
     """
-    last = df.groupBy(*keys).agg(F.max(date).alias("_last"))
+    last = settle(df.groupBy(*keys).agg(F.max(date).alias("_last")), "last_days")
     return (
         df.join(last, list(keys))
         .filter(F.col(date) >= F.date_sub("_last", days))
@@ -27,6 +30,30 @@ def recent_days(
     )
 
 
+def newest_rows(
+    df: DataFrame, keys: Sequence[str], per_key: int, date: str = "arrival_date"
+) -> DataFrame:
+    """All rows of the newest days that together hold at least ``per_key`` rows.
+
+    Counting by day is a hash aggregate over two or three columns and leaves
+    few rows to sort, where ranking the whole table would sort all of it.
+    """
+    by_day = df.groupBy(*keys, date).agg(F.count(F.lit(1)).alias("n"))
+    newest = Window.partitionBy(*keys).orderBy(F.desc(date))
+    since = (
+        by_day.filter(F.col(date).isNotNull())
+        .withColumn("later", F.sum("n").over(newest) - F.col("n"))
+        .filter(F.col("later") < per_key)
+        .groupBy(*keys)
+        .agg(F.min(date).alias("_since"))
+    )
+    return (
+        df.join(settle(since, "newest_days"), list(keys))
+        .filter(F.col(date) >= F.col("_since"))
+        .drop("_since")
+    )
+
+
 def latest_prices(
     prices: DataFrame,
     per_key: int = 15,
@@ -37,7 +64,8 @@ def latest_prices(
     before the shuffle: every task sends at most ``per_key`` rows per key."""
     newest = Window.partitionBy(*keys).orderBy(F.desc("arrival_date"), *tie)
     return (
-        prices.withColumn("rank", F.row_number().over(newest))
+        newest_rows(prices, keys, per_key)
+        .withColumn("rank", F.row_number().over(newest))
         .filter(F.col("rank") <= per_key)
         .select(
             "market", "state", "commodity", "modal_price", "min_price", "max_price",

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stallbook.functions.numeric import avg_price, half_up
+from stallbook.functions.numeric import avg_price, half_up, hundredths, rounded_mean
 
 MONTH_KEYS = ("commodity", "market", "state", "year", "month")
 
@@ -54,18 +54,38 @@ def commodity_summary(prices: DataFrame, top: int = 20) -> DataFrame:
 
 
 def commodity_analytics(prices: DataFrame, more_than: int = 100, top: int = 10) -> DataFrame:
-    """Breadth and price level of commodities with enough records."""
+    """Breadth and price level of commodities with enough records.
+
+    Two distinct counts in one aggregate would make Spark expand every row
+    threefold.  Folding the rows per commodity, state and market first leaves
+    the distinct counts to a small table.  The spread is put together from the
+    spread within and between the groups.
+    """
+    cents = hundredths("modal_price")
+    groups = prices.groupBy("commodity", "state", "market").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count("modal_price").alias("n"),
+        F.sum(cents).alias("cents"),
+        F.avg("modal_price").alias("mean"),
+        F.var_pop("modal_price").alias("within"),
+        F.max("modal_price").alias("highest"),
+        F.min("arrival_date").alias("first"),
+        F.max("arrival_date").alias("last"),
+    )
+    total, mean = F.sum("n"), F.sum(F.col("n") * F.col("mean")) / F.sum("n")
+    squares = F.sum(F.col("n") * (F.col("within") + F.col("mean") * F.col("mean")))
+    variance = F.when(total > 1, F.greatest(squares - total * mean * mean, F.lit(0.0)) / (total - 1))
     return (
-        prices.groupBy("commodity")
+        groups.groupBy("commodity")
         .agg(
-            F.count(F.lit(1)).alias("total_records"),
+            F.sum("rows").alias("total_records"),
             F.countDistinct("market").alias("num_markets"),
             F.countDistinct("state").alias("num_states"),
-            avg_price("modal_price").alias("avg_price"),
-            half_up(F.max("modal_price")).alias("max_price"),
-            half_up(F.stddev("modal_price")).alias("price_stddev"),
-            F.min("arrival_date").alias("data_from"),
-            F.max("arrival_date").alias("data_until"),
+            rounded_mean(F.sum("cents"), total).alias("avg_price"),
+            half_up(F.max("highest")).alias("max_price"),
+            half_up(F.sqrt(variance)).alias("price_stddev"),
+            F.min("first").alias("data_from"),
+            F.max("last").alias("data_until"),
         )
         .filter(F.col("total_records") > more_than)
         .orderBy(F.desc("avg_price"), "commodity")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stallbook.functions import texts
 from stallbook.functions.numeric import half_up
+from stallbook.session import settle
 
 # Texts used when the knowledge base has no entry.
 DEFAULT_TEXTS = {
@@ -46,11 +47,12 @@ def with_treatments(
     """Parsed labels with treatment, prevention and organic option, defaults
     where the label is unknown.
 
-    The join carries no hint: Spark broadcasts the knowledge base while it is
-    under the size threshold, otherwise the adaptive skew join splits the rows
-    of a very frequent label.
+    The entries are stored first, so that Spark knows their size: it broadcasts
+    them while they are under its threshold, otherwise the adaptive skew join
+    splits the rows of a very frequent label.
     """
     entries = last_entries(knowledge, position).select("disease_class", *DEFAULT_TEXTS)
+    entries = settle(entries, "knowledge")
     joined = parse_labels(predictions, label).join(
         entries, F.col(label) == F.col("disease_class"), "left"
     )

@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stallbook.session import settle
+
 MAX_LOCAL_QUERY_BYTES = 16 << 20
 BLOCK_ROWS = 2_048  # queries per block of the shuffled form
 DIGITS = 6  # scores are compared after rounding, so equal vectors tie
@@ -157,7 +159,7 @@ def cosine_top_k(
             F.col("embedding").isNotNull()
         )
 
-    asked = two_columns(queries, query_id, "query_id")
+    asked = settle(two_columns(queries, query_id, "query_id"), "query_vectors")
     stored = two_columns(vectors, vector_id, "vector_id")
     schema = _pairs_schema(asked, stored)
     size = asked.agg(

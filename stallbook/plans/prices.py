@@ -18,8 +18,9 @@ def silver(raw: DataFrame, deduplicate: bool = False) -> DataFrame:
     ``stallbook.streaming.silver``, and passes ``deduplicate=False`` here).
     """
     rows = quality.keep_valid(raw, quality.price_rules())
-    rows = with_calendar(quality.not_null(rows, "state", "market"))
-    return quality.dedupe(rows) if deduplicate else rows
+    rows = quality.not_null(rows, "state", "market")
+    # derived columns come last, so that they are not shuffled
+    return with_calendar(quality.dedupe(rows) if deduplicate else rows)
 
 
 def enriched(
@@ -33,5 +34,5 @@ def enriched(
     more than once; a pipeline that keeps a silver table calls
     ``windows.with_indicators`` on that table instead.
     """
-    clean = quality.dedupe(with_calendar(quality.valid_prices(raw)))
+    clean = with_calendar(quality.dedupe(quality.valid_prices(raw)))
     return windows.with_indicators(settle(clean, "silver"), keys, rows_per_piece=rows_per_piece)

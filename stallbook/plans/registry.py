@@ -256,6 +256,18 @@ def guide_chunks(spark, folder):
     return chunks.guide_chunks(_parts_as_guide(spark, folder))
 
 
+@_query
+def guide_lists(spark, folder):
+    guide = _parts_as_guide(spark, folder)
+    stages = summaries.value_lists(guide, ["crop"], "growth_stage")
+    return stages.select("crop", F.array_join("growth_stage_list", ", ").alias("growth_stages"))
+
+
+@_query
+def guide_categories(spark, folder):
+    return summaries.distinct_values(_parts_as_guide(spark, folder), "category")
+
+
 @_query
 def guide_recommendations(spark, folder):
     """A request per part kind, answered from the part texts."""

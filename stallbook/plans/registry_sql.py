@@ -385,6 +385,14 @@ guide AS (
 
 SQL["guide_chunks"] = f"WITH {GUIDE} SELECT * FROM guide"
 
+SQL["guide_lists"] = f"""
+WITH {GUIDE}
+SELECT crop, string_agg(growth_stage, ', ' ORDER BY growth_stage) AS growth_stages
+FROM (SELECT DISTINCT crop, growth_stage FROM guide) GROUP BY crop
+"""
+
+SQL["guide_categories"] = f"WITH {GUIDE} SELECT DISTINCT category FROM guide WHERE category <> ''"
+
 SQL["guide_recommendations"] = f"""
 WITH {GUIDE},
 requests AS (
@@ -519,11 +527,11 @@ SQL["upsert"] = f"WITH {VERSIONS} SELECT * FROM merged"
 
 SQL["snapshot_diff"] = f"""
 WITH {VERSIONS}, later AS (SELECT * FROM merged WHERE o_orderpriority <> '5-LOW')
-SELECT *, 'insert' AS change FROM later WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders)
+SELECT *, 'insert' AS change, CAST(1 AS BIGINT) AS copies FROM later WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders)
 UNION ALL
-SELECT *, 'delete' FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM later)
+SELECT *, 'delete', 1 FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM later)
 UNION ALL
-SELECT *, 'update' FROM (SELECT * FROM later EXCEPT SELECT * FROM orders)
+SELECT *, 'update', 1 FROM (SELECT * FROM later EXCEPT SELECT * FROM orders)
 WHERE o_orderkey IN (SELECT o_orderkey FROM orders)
 """
 

@@ -7,6 +7,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stallbook import schemas
 from stallbook.operators.changes import append_evolving, upsert
@@ -24,32 +25,42 @@ def write_table(
 ) -> None:
     """Overwrite or append to a table, or ``merge`` rows into it by ``keys``.
 
-    Appending rows with new columns rewrites the table with the wider schema;
-    rows that fit are appended in place.
+    Appending rows with new columns adds the columns to the table first; the
+    stored rows read as null there and are not rewritten.
     """
     spark = df.sparkSession
     if mode == "merge":
         merge_table(df, name, keys, partition_by)
         return
     if mode == "append" and spark.catalog.tableExists(name):
-        stored = spark.table(name)
-        if not set(df.columns) <= set(stored.columns):
-            _replace(settle(append_evolving(stored, df), "evolved"), name, partition_by)
-            return
-        df = stored.limit(0).unionByName(df, allowMissingColumns=True)
-        df.write.insertInto(name)
+        add_columns(spark, name, df.schema)
+        append_evolving(spark.table(name).limit(0), df).write.insertInto(name)
         return
+    _save(df, name, mode, partition_by)
+
+
+def _save(df: DataFrame, name: str, mode: str, partition_by: Sequence[str]) -> None:
+    if partition_by:
+        # few, even files per partition instead of one per task and partition;
+        # the adaptive plan splits a partition value that holds most rows
+        df = df.hint("rebalance", *partition_by)
     writer = df.write.format("parquet").mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.saveAsTable(name)
 
 
-def _replace(df: DataFrame, name: str, partition_by: Sequence[str]) -> None:
-    writer = df.write.format("parquet").mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.saveAsTable(name)
+def add_columns(spark: SparkSession, name: str, schema: T.StructType) -> None:
+    """Add the columns of ``schema`` that a stored table does not have yet."""
+    known = set(spark.table(name).columns)
+    for field in schema.fields:
+        if field.name not in known:
+            spark.sql(f"ALTER TABLE {name} ADD COLUMNS (`{field.name}` {field.dataType.simpleString()})")
+
+
+def comment_table(spark: SparkSession, name: str, text: str) -> None:
+    escaped = text.replace("\\", "\\\\").replace("'", "\\'")
+    spark.sql(f"COMMENT ON TABLE {name} IS '{escaped}'")
 
 
 def merge_table(
@@ -68,7 +79,7 @@ def merge_table(
         return
     old, parts = spark.table(name), list(partition_by)
     if not parts or set(new.columns) - set(old.columns):
-        _replace(settle(upsert(old, new, keys), "merged"), name, partition_by)
+        _save(settle(upsert(old, new, keys), "merged"), name, "overwrite", partition_by)
         return
     replaced = old.join(new.select(*keys), list(keys), "left_semi").select(*parts)
     touched = settle(new.select(*parts).union(replaced).distinct(), "touched")

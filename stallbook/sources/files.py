@@ -83,6 +83,11 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
 
 
+def read_parquet(spark: SparkSession, path: str, merge_schema: bool = True) -> DataFrame:
+    """Parquet files written over time; columns added later are null in older files."""
+    return spark.read.option("mergeSchema", merge_schema).parquet(path)
+
+
 def _found(df: DataFrame, headers: tuple[str, ...]) -> Column:
     present = {c.lower(): c for c in df.columns}
     names = list(dict.fromkeys(present[h.lower()] for h in headers if h.lower() in present))

@@ -32,7 +32,9 @@ def refresh_months(spark: SparkSession, silver_path: str, gold_path: str) -> Cal
         )
         silver = spark.read.schema(batch.schema).parquet(silver_path).filter(touched)
         (
+            # few, even files per month instead of one per task and month
             monthly_analytics(silver)
+            .hint("rebalance", *MONTH)
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy(*MONTH)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from stallbook.sinks.tables import add_columns
 from stallbook.sources.files import FILE_PATTERNS, FILE_SCHEMAS, PROJECTIONS
 
 
@@ -37,6 +38,11 @@ def source_stream(spark: SparkSession, kind: str, folder: str, max_files: int |
     return PROJECTIONS[kind](raw)
 
 
+def table_stream(spark: SparkSession, name: str) -> DataFrame:
+    """Rows appended to a table, as a stream."""
+    return spark.readStream.table(name)
+
+
 def drain(
     stream: DataFrame,
     checkpoint: str,
@@ -44,9 +50,17 @@ def drain(
     path: str | None = None,
     partition_by: Sequence[str] = (),
 ) -> StreamingQuery:
-    """Process everything available, append it exactly once, and stop."""
+    """Process everything available, append it exactly once, and stop.
+
+    Columns the target table does not have yet are added to it first.  A target
+    belongs to one checkpoint: its file log remembers the batch numbers, so a
+    second stream into the same place would have its first batches skipped.
+    """
     if (table is None) == (path is None):
         raise ValueError("give either table or path")
+    spark = stream.sparkSession
+    if table and spark.catalog.tableExists(table):
+        add_columns(spark, table, stream.schema)
     writer = (
         stream.writeStream.format("parquet")
         .outputMode("append")

@@ -11,8 +11,9 @@ DATA = Path("/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(4, partitions=4, memory="4g")
+def spark(tmp_path_factory):
+    warehouse = str(tmp_path_factory.mktemp("warehouse"))
+    session = local_session(4, partitions=4, memory="4g", **{"spark.sql.warehouse.dir": warehouse})
     yield session
     session.stop()
 

@@ -185,6 +185,28 @@ def test_streamed_silver_and_gold_equal_the_batch(spark, tmp_path):
     assert follow() == {(4, 3, 2), (5, 2, 2)}
 
 
+def test_a_later_stream_adds_columns(spark, tmp_path, table_name):
+    first = spark.createDataFrame([(1,)], "k int")
+    second = spark.createDataFrame([(2, "x")], "k int, extra string")
+    for df in (first, second):
+        df.write.mode("append").parquet(str(tmp_path / "in"))
+        stream = ingest.file_stream(spark, str(tmp_path / "in"), df.schema, "parquet")
+        ingest.drain(stream, str(tmp_path / "offsets"), table=table_name)
+    assert sorted(tuple(r) for r in spark.table(table_name).collect()) == [(1, None), (2, "x")]
+
+
+def test_merged_parquet_and_table_stream(spark, tmp_path, table_name):
+    spark.createDataFrame([(1,)], "k int").write.parquet(str(tmp_path / "p" / "a"))
+    spark.createDataFrame([(2, "x")], "k int, extra string").write.parquet(str(tmp_path / "p" / "b"))
+    both = files.read_parquet(spark, str(tmp_path / "p" / "*"))
+    assert sorted(tuple(r) for r in both.collect()) == [(1, None), (2, "x")]
+    sinks.write_table(both, table_name)
+    sinks.comment_table(spark, table_name, "it's a table")
+    assert spark.catalog.getTable(table_name).description == "it's a table"
+    ingest.drain(ingest.table_stream(spark, table_name), str(tmp_path / "o"), path=str(tmp_path / "copy"))
+    assert spark.read.parquet(str(tmp_path / "copy")).count() == 2
+
+
 def test_streamed_dedupe_across_batches(spark, tmp_path):
     inbox = tmp_path / "in"
     write(inbox, "prices_1.json", [raw(1), raw(1, **{"Modal Price (Rs./Quintal)": 7}), raw(2)])

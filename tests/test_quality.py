@@ -80,3 +80,10 @@ def test_append_evolving_fills_missing_columns(spark):
     both = changes.append_evolving(a, b).orderBy("k").collect()
     assert [tuple(r) for r in both] == [(1, None), (2, "x")]
     assert changes.append_evolving(b, a).filter(F.col("extra").isNull()).count() == 1
+
+
+def test_diff_counts_copies_and_null_keys(spark):
+    old = spark.createDataFrame([(1, "a"), (1, "a"), (None, "n"), (None, "m")], "k int, v string")
+    new = spark.createDataFrame([(1, "a"), (1, "a"), (1, "a"), (None, "n"), (2, "b")], "k int, v string")
+    got = {(r.k, r.v, r.change, r.copies) for r in changes.snapshot_diff(old, new, ["k"]).collect()}
+    assert got == {(1, "a", "insert", 1), (None, "m", "delete", 1), (2, "b", "insert", 1)}
