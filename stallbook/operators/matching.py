@@ -40,7 +40,7 @@ def chunk_tokens(chunks: DataFrame, chunk_id: str = "chunk_id", text: str = "tex
 
 
 def words_in_tokens(tokens: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(token, word) for every distinct token that contains a wanted word."""
+    """(token, words) for every distinct token that contains wanted words."""
     probes = wanted.select("word", F.substring("word", 1, GRAM).alias("gram"))
     # overlapping grams through a look-ahead: one pass over the token
     grams = [
@@ -53,7 +53,8 @@ def words_in_tokens(tokens: DataFrame, wanted: DataFrame) -> DataFrame:
     return (
         pieces.join(probes, "gram")
         .filter(F.contains("token", F.col("word")))
-        .select("token", "word")
+        .groupBy("token")
+        .agg(F.collect_list("word").alias("words"))
     )
 
 
@@ -61,13 +62,17 @@ def postings(tokens: DataFrame, wanted: DataFrame, whole_word: bool = False) ->
     """(chunk_id, word, breadth): the wanted words of each chunk, with the number
     of wanted words in the chunk."""
     if whole_word:
-        pairs = wanted.select(F.col("word").alias("token"), "word")
+        known = wanted.select(F.col("word").alias("token"), F.array("word").alias("words"))
     else:
-        pairs = words_in_tokens(tokens, wanted)
+        known = words_in_tokens(tokens, wanted)
+    # stored, so that Spark can see whether the vocabulary is small enough to
+    # broadcast; otherwise both sides are shuffled by token
+    known = settle(known, "known_tokens")
+    # a chunk collects no more tokens than its own text has
     return (
-        tokens.join(pairs, "token")
+        tokens.join(known, "token")
         .groupBy("chunk_id")
-        .agg(F.collect_set("word").alias("words"))
+        .agg(F.array_distinct(F.flatten(F.collect_list("words"))).alias("words"))
         .select("chunk_id", F.explode("words").alias("word"), F.size("words").alias("breadth"))
     )
 
@@ -136,6 +141,7 @@ def _finalists(found: DataFrame, divided: DataFrame) -> DataFrame:
         .filter(F.col("part") + F.col("spare") >= F.col("floor"))
         .select("query_id", "chunk_id", "part")
     )
+    first = settle(first, "within_reach")
     rest = _scores(
         first.select("query_id", "chunk_id"),
         divided.filter("NOT essential").select("query_id", "word", "times"),
@@ -159,12 +165,13 @@ def keyword_top_k(
 ) -> DataFrame:
     """(query_id, rank, chunk_id, score) of the k best chunks with a score above
     zero; ties go to the lower chunk id."""
-    # equal texts are answered once, so copies of a question cost a join row each
-    texts = F.lower(F.col(query_text))
-    distinct = queries.select(texts.alias("text")).filter(F.col("text").isNotNull()).distinct()
-    distinct = distinct.withColumn("query_id", F.col("text"))
-
-    asked = settle(query_words(distinct), "query_words")
+    # equal texts are answered once, under the lowest id among them
+    named = queries.select(F.col(query_id).alias("query_id"), F.lower(query_text).alias("text"))
+    texts = settle(
+        named.filter(F.col("text").isNotNull()).groupBy("text").agg(F.min("query_id").alias("first_id")),
+        "query_texts",
+    )
+    asked = settle(query_words(texts, "first_id"), "query_words")
     tokens = chunk_tokens(chunks, chunk_id, chunk_text)
     found = settle(postings(tokens, asked.select("word").distinct(), whole_word), "postings")
     seeds = _seeds(found, asked, k)
@@ -172,7 +179,8 @@ def keyword_top_k(
     best = _best(_finalists(found, divided), k)
 
     return (
-        queries.select(F.col(query_id).alias("query_id"), texts.alias("_text"))
-        .join(best.withColumnRenamed("query_id", "_text"), "_text")
+        named.join(texts, "text")
+        .select("query_id", "first_id")
+        .join(best.withColumnRenamed("query_id", "first_id"), "first_id")
         .select("query_id", "rank", "chunk_id", "score")
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stallbook.functions.texts import text_or_empty
 from stallbook.operators.matching import keyword_top_k
 from stallbook.operators.vectors import cosine_top_k
+from stallbook.session import settle
 
 # How retrieved texts are joined, and the answers built from them.
 SEPARATOR = "\n\n---\n\n"
@@ -48,7 +49,10 @@ def contexts(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     """(query_id, context): the texts of the hits in rank order.
 
     A group holds the k hits of one query, so collecting it is bounded by k.
+    The hits are stored first: Spark then sees how few they are and looks them up
+    while scanning the chunk texts, instead of shuffling the texts.
     """
+    hits = settle(hits, "hits")
     texts = hits.join(chunks.select("chunk_id", "text"), "chunk_id")
     ranked = F.array_sort(F.collect_list(F.struct("rank", "text")))
     return texts.groupBy("query_id").agg(

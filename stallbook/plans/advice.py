@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stallbook.operators import chunks as ck
 from stallbook.operators import intents, retrieval
 from stallbook.operators.text_vectors import fit_text_vectors, with_text_vectors
+from stallbook.session import settle
 from stallbook.sinks.tables import chat_log_rows
 
 
@@ -48,6 +49,7 @@ def recommend(requests: DataFrame, guide: DataFrame, k: int = 5, mode: str = "ke
 def route(questions: DataFrame, schemes: DataFrame, guide: DataFrame) -> DataFrame:
     """Classify questions and answer the scheme and product ones."""
     routed = intents.with_route(intents.extract_names(intents.classify(questions)))
+    routed = settle(routed, "routed")
     about_schemes = ask_schemes(routed.filter(F.col("intent") == "scheme"), schemes)
     about_products = recommend(
         routed.filter(F.col("intent") == "pesticide").select(

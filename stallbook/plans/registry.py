@@ -30,7 +30,7 @@ from stallbook.plans.observations import from_lines, price_observations, table
 from stallbook.session import scratch_path, settle
 from stallbook.sources import tables
 from stallbook.streaming import gold, ingest
-from stallbook.streaming.silver import dedupe_stream, silver_stream
+from stallbook.streaming.silver import dedupe_stream, drain_unique, silver_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -486,6 +486,14 @@ def stream_dedupe(spark, folder):
     return spark.read.schema(rows.schema).parquet(out)
 
 
+@_query
+def stream_unique(spark, folder):
+    rows = silver_stream(_observation_stream(spark, folder))
+    out = scratch_path(spark, "unique")
+    drain_unique(rows, out, scratch_path(spark, "offsets"))
+    return spark.read.schema(rows.schema).parquet(out).select(*rows.columns)
+
+
 @_query
 def stream_gold(spark, folder):
     rows = silver_stream(_observation_stream(spark, folder))

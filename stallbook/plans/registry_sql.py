@@ -589,6 +589,8 @@ WHERE modal_price > 0 AND arrival_date IS NOT NULL AND length(trim(commodity)) >
 
 SQL["stream_dedupe"] = f"WITH {PRICE_OBS} SELECT DISTINCT arrival_date, market, commodity, variety FROM obs"
 
+SQL["stream_unique"] = SQL["silver_prices"]
+
 SQL["stream_gold"] = SQL["gold_price_analytics"]
 
 SQL["lagged_features"] = f"""

@@ -6,9 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
-from stallbook.operators.quality import PRICE_IDENTITY
+from stallbook.operators.quality import PRICE_IDENTITY, dedupe
 from stallbook.plans.prices import silver
+from stallbook.session import settle
 
 silver_stream = silver  # the batch projection and rules apply to a stream unchanged
 
@@ -31,3 +34,52 @@ def dedupe_stream(
         .dropDuplicatesWithinWatermark(list(keys))
         .drop("_event_time")
     )
+
+
+def drain_unique(
+    stream: DataFrame,
+    path: str,
+    checkpoint: str,
+    keys: Sequence[str] = PRICE_IDENTITY,
+    order: Sequence[str] = ("price_id",),
+) -> StreamingQuery:
+    """Append only rows whose key the target has not seen, however long ago.
+
+    The target itself is the state.  Each batch is deduplicated by the batch
+    operator, which sends one row per key and task, so a key with very many
+    copies does not gather in one task; what remains is checked against the
+    months it falls into.  A batch writes to partitions of its own number, so a
+    repeated batch replaces its files.  Rows need ``year`` and ``month``, derived
+    from a date among the keys.
+    """
+
+    def append(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        fresh = settle(dedupe(batch, keys, order), "fresh")
+        months = fresh.select("year", "month").distinct().collect()  # bounded by the calendar
+        if not months:
+            return
+        schema = batch.select(*keys, "year", "month").schema.add("batch", T.LongType())
+        if number > 0:
+            inside = F.struct("year", "month").isin(
+                *[F.struct(F.lit(m["year"]), F.lit(m["month"])) for m in months]
+            )
+            stored = spark.read.schema(schema).parquet(path).filter((F.col("batch") < number) & inside)
+            fresh = fresh.join(stored.select(*keys), list(keys), "left_anti")
+        (
+            fresh.withColumn("batch", F.lit(number).cast("bigint"))
+            .hint("rebalance", "year", "month")
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("batch", "year", "month")
+            .parquet(path)
+        )
+
+    query = (
+        stream.writeStream.foreachBatch(append)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return query

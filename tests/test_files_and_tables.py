@@ -11,7 +11,7 @@ from stallbook.session import scratch_path, settle, shared_folder
 from stallbook.sinks import tables as sinks
 from stallbook.sources import files, tables
 from stallbook.streaming import gold, ingest
-from stallbook.streaming.silver import dedupe_stream, silver_stream
+from stallbook.streaming.silver import dedupe_stream, drain_unique, silver_stream
 
 
 def raw(i, **over):
@@ -220,6 +220,21 @@ def test_streamed_dedupe_across_batches(spark, tmp_path):
     assert sorted(got.select(*keys).collect()) == sorted(batch.select(*keys).collect()) and got.count() == 3
 
 
+def test_unique_across_batches_without_a_watermark(spark, tmp_path):
+    inbox, out, offsets = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "offsets")
+    write(inbox, "prices_1.json", [raw(1), raw(1, **{"Modal Price (Rs./Quintal)": 7}), raw(2)])
+
+    def run():
+        stream = silver_stream(ingest.source_stream(spark, "prices", str(inbox), max_files=1))
+        drain_unique(stream, out, offsets)
+        return sorted((r.batch, r.arrival_date.day, r.variety) for r in spark.read.parquet(out).collect())
+
+    assert run() == [(0, 1, "V"), (0, 2, "V")]
+    write(inbox, "prices_2.json", [raw(2), raw(2, Variety="W"), raw(1)])
+    write(inbox, "prices_3.json", [raw(2, Variety="W")])
+    assert run() == [(0, 1, "V"), (0, 2, "V"), (1, 2, "W")]
+
+
 def test_cluster_without_a_shared_folder_is_refused(monkeypatch, spark):
     if spark.conf.get("spark.checkpoint.dir", None):
         pytest.skip("the session names a shared folder")
