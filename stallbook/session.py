@@ -67,12 +67,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def clear_scratch(spark: SparkSession) -> bool:
+    """Delete what this application wrote to the shared folder, once no frame
+    that reads it is needed any more."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(f"{shared_folder(spark)}/{spark.sparkContext.applicationId}")
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     Used where several later steps read the same shuffled result: the lineage
-    is cut by files that outlive any executor, and each reader still prunes
-    columns and pushes filters.
+    is cut by files that outlive any executor, each reader still prunes columns
+    and pushes filters, and Spark knows the size when it plans a join with the
+    result.  The files stay until :func:`clear_scratch`.
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)

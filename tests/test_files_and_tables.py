@@ -7,7 +7,7 @@ import pytest
 from stallbook import schemas
 from stallbook.operators import quality
 from stallbook.plans.prices import silver
-from stallbook.session import scratch_path, settle, shared_folder
+from stallbook.session import clear_scratch, scratch_path, settle, shared_folder
 from stallbook.sinks import tables as sinks
 from stallbook.sources import files, tables
 from stallbook.streaming import gold, ingest
@@ -235,6 +235,12 @@ def test_unique_across_batches_without_a_watermark(spark, tmp_path):
     assert run() == [(0, 1, "V"), (0, 2, "V"), (1, 2, "W")]
 
 
+def test_scratch_can_be_cleared(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr("stallbook.session.shared_folder", lambda _: str(tmp_path))
+    kept = settle(spark.range(3), "numbers").inputFiles()[0]
+    assert clear_scratch(spark) and not list(tmp_path.rglob("*.parquet")) and str(tmp_path) in kept
+
+
 def test_cluster_without_a_shared_folder_is_refused(monkeypatch, spark):
     if spark.conf.get("spark.checkpoint.dir", None):
         pytest.skip("the session names a shared folder")
