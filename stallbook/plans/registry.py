@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stallbook.functions import texts
+from stallbook.functions.numeric import half_up
 from stallbook.operators import (
     changes,
     chunks,
@@ -28,7 +29,8 @@ from stallbook.plans import advice, model
 from stallbook.plans import prices as price_plan
 from stallbook.plans.observations import from_lines, price_observations, table
 from stallbook.session import scratch_path, settle
-from stallbook.sources import tables
+from stallbook.sinks import tables as sinks
+from stallbook.sources import files, tables
 from stallbook.streaming import gold, ingest
 from stallbook.streaming.silver import dedupe_stream, drain_unique, silver_stream
 
@@ -154,6 +156,75 @@ def rule_counts(spark, folder):
     return quality.rule_counts(price_observations(spark, folder), quality.price_rules())
 
 
+# ---- price files --------------------------------------------------------------
+
+
+def _raw_price_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Observations under the headers of raw price files."""
+    return price_observations(spark, folder).select(
+        F.col("state").alias("State"),
+        F.col("district").alias("District Name"),
+        F.col("market").alias("Market Name"),
+        F.col("commodity").alias("Commodity"),
+        F.col("variety").alias("Variety"),
+        F.col("grade").alias("Grade"),
+        F.date_format("arrival_date", "dd MMM yyyy").alias("Price Date"),
+        F.col("min_price").alias("Min Price (Rs./Quintal)"),
+        F.col("max_price").alias("Max Price (Rs./Quintal)"),
+        # unusable texts, as they occur in such files
+        F.when(F.col("grade") == "F", F.col("modal_price").cast("string"))
+        .otherwise("NR")
+        .alias("Modal Price (Rs./Quintal)"),
+    )
+
+
+FILE_COLUMNS = list(files.PRICE_HEADERS)
+
+
+@_query
+def price_files_json(spark, folder):
+    path = scratch_path(spark, "json")
+    _raw_price_rows(spark, folder).write.json(path)
+    return files.load_prices(spark, path, multi_line=False).select(FILE_COLUMNS)
+
+
+@_query
+def price_files_csv(spark, folder):
+    path = scratch_path(spark, "csv")
+    _raw_price_rows(spark, folder).write.option("header", True).csv(path)
+    return files.load_prices(spark, path, "csv").select(FILE_COLUMNS)
+
+
+@_query
+def stream_ingest(spark, folder):
+    inbox, out = scratch_path(spark, "inbox"), scratch_path(spark, "raw")
+    _raw_price_rows(spark, folder).write.json(inbox)
+    rows = ingest.source_stream(spark, "prices", inbox, pattern="*.json", multi_line=False)
+    ingest.drain(rows, scratch_path(spark, "offsets"), path=out)
+    return spark.read.schema(rows.schema).parquet(out).select(FILE_COLUMNS)
+
+
+# ---- log rows -------------------------------------------------------------------
+
+
+@_query
+def price_log(spark, folder):
+    days = forecast.price_forecast(price_observations(spark, folder), ("commodity", "state"))
+    return sinks.price_log_rows(days).drop("prediction_id", "timestamp")
+
+
+@_query
+def chat_log(spark, folder):
+    routed = intents.with_route(intents.classify(_turns(spark, folder), lexicon=TONGUES))
+    return sinks.chat_log_rows(routed, answer="text").drop("session_id", "timestamp")
+
+
+@_query
+def disease_log(spark, folder):
+    treated = treatments.parse_labels(_document_labels(spark, folder))
+    return sinks.disease_log_rows(treated).drop("prediction_id", "timestamp")
+
+
 # ---- texts --------------------------------------------------------------------
 
 
@@ -528,6 +599,29 @@ def model_residuals(spark, folder):
     return model.residuals(_predictions(spark, folder))
 
 
+def _average_as_prediction(spark: SparkSession, folder: str) -> DataFrame:
+    """The seven-row average taken as the prediction: metrics SQL can follow."""
+    rows = price_plan.enriched(price_observations(spark, folder))
+    return model.training_rows(rows).withColumn("prediction", F.col("moving_avg_7d"))
+
+
+@_query
+def average_eval(spark, folder):
+    metrics = model.evaluate(_average_as_prediction(spark, folder))
+    return metrics.select("samples", *[half_up(c, 4).alias(c) for c in ("rmse", "mae", "r2")])
+
+
+@_query
+def average_error_by_commodity(spark, folder):
+    errors = model.error_by_commodity(_average_as_prediction(spark, folder))
+    return errors.select("commodity", "samples", *[half_up(c, 4).alias(c) for c in ("rmse", "mae")])
+
+
+@_query
+def average_residuals(spark, folder):
+    return model.residuals(_average_as_prediction(spark, folder))
+
+
 @_query
 def lagged_features(spark, folder):
     clean = quality.dedupe(quality.valid_prices(price_observations(spark, folder)))

@@ -602,3 +602,54 @@ WINDOW w7 AS (PARTITION BY commodity, market ORDER BY arrival_date, variety, pri
        w30 AS (PARTITION BY commodity, market ORDER BY arrival_date, variety, price_id
                ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING)
 """
+
+FILE_COLUMNS = "state, district, market, commodity, variety, grade, arrival_date, min_price, max_price, modal_price"
+SQL["price_files_json"] = f"WITH {PRICE_OBS} SELECT {FILE_COLUMNS} FROM obs WHERE grade = 'F' AND modal_price > 0"
+SQL["price_files_csv"] = SQL["price_files_json"]
+SQL["stream_ingest"] = f"""
+WITH {PRICE_OBS}
+SELECT * REPLACE (CASE WHEN grade = 'F' THEN modal_price END AS modal_price) FROM (SELECT {FILE_COLUMNS} FROM obs)
+"""
+
+SQL["price_log"] = f"""
+WITH RECURSIVE {PRICE_OBS}, {outlook("commodity, state")}
+SELECT commodity, '' AS market, state, {half_up("price")} AS predicted_price, day AS days_ahead, 'latest' AS model_version
+FROM steps WHERE records >= 10
+"""
+
+SQL["chat_log"] = f"""
+WITH {intents('conversations', TURN, TONGUES)}
+SELECT coalesce(text, '') AS user_query, intent, substring(coalesce(text, ''), 1, 500) AS response_summary,
+       'en' AS language, intent AS feature_used
+FROM intents
+"""
+
+SQL["disease_log"] = f"""
+WITH {LABELS}
+SELECT label AS predicted_disease, 'Doc ' || lang AS predicted_crop, CAST(0 AS DOUBLE) AS confidence, '' AS treatment,
+       'latest' AS model_version, 'en' AS user_language
+FROM marked
+"""
+
+ERRORS = "errors AS (SELECT *, moving_avg_7d - modal_price AS e FROM enriched WHERE modal_price > 0)"
+
+SQL["average_eval"] = f"""
+WITH {PRICE_OBS}, {DEDUPED}, {ENRICHED}, {ERRORS}
+SELECT count(*) AS samples, {half_up("sqrt(avg(e * e))", 4)} AS rmse, {half_up("avg(abs(e))", 4)} AS mae,
+       {half_up("(1 - sum(e * e) / (var_pop(modal_price) * count(*)))", 4)} AS r2
+FROM errors
+"""
+
+SQL["average_error_by_commodity"] = f"""
+WITH {PRICE_OBS}, {DEDUPED}, {ENRICHED}, {ERRORS},
+per AS (SELECT commodity, count(*) AS samples, sqrt(avg(e * e)) AS a, avg(abs(e)) AS b FROM errors GROUP BY commodity)
+SELECT commodity, samples, {half_up("a", 4)} AS rmse, {half_up("b", 4)} AS mae
+FROM per ORDER BY a, commodity LIMIT 10
+"""
+
+SQL["average_residuals"] = f"""
+WITH {PRICE_OBS}, {DEDUPED}, {ENRICHED}, {ERRORS}
+SELECT commodity, market, arrival_date, modal_price, moving_avg_7d AS prediction, {half_up("e")} AS error,
+       {half_up("(e / modal_price * 100)")} AS error_pct
+FROM errors
+"""

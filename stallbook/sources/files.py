@@ -5,6 +5,9 @@ The same projections serve batch reads and file streams.
 
 from __future__ import annotations
 
+import json
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,6 +63,19 @@ def inferred_schema(spark: SparkSession, path: str, multi_line: bool = True) ->
     return spark.read.option("multiLine", multi_line).json(path).schema
 
 
+def remembered_schema(
+    spark: SparkSession, path: str, memory: str, multi_line: bool = True
+) -> T.StructType:
+    """The schema inferred on the first call, kept as a small file at ``memory``
+    and read back from there afterwards, so that later files cannot change it."""
+    try:
+        return T.StructType.fromJson(json.loads(spark.read.text(memory, wholetext=True).first()[0]))
+    except AnalysisException:
+        schema = inferred_schema(spark, path, multi_line)
+        spark.createDataFrame([(schema.json(),)], "value string").coalesce(1).write.text(memory)
+        return schema
+
+
 def read_json(
     spark: SparkSession,
     path: str,
@@ -161,14 +177,16 @@ def load_prices(
     path: str,
     file_format: str = "json",
     headers: list[str] | None = None,
+    multi_line: bool = True,
 ) -> DataFrame:
     """Price files in JSON or CSV, usable rows only (price present and positive).
 
     JSON headers are looked up by one inference pass unless they are given.
     """
     if file_format == "json":
-        headers = headers or inferred_schema(spark, path).names
-        raw = read_json(spark, path, T.StructType([T.StructField(h, T.StringType()) for h in headers]))
+        headers = headers or inferred_schema(spark, path, multi_line).names
+        schema = T.StructType([T.StructField(h, T.StringType()) for h in headers])
+        raw = read_json(spark, path, schema, multi_line=multi_line)
     elif file_format == "csv":
         raw = read_csv(spark, path)
     else:

@@ -32,9 +32,23 @@ def file_stream(
     return reader.load(folder)
 
 
-def source_stream(spark: SparkSession, kind: str, folder: str, max_files: int | None = None) -> DataFrame:
+def source_stream(
+    spark: SparkSession,
+    kind: str,
+    folder: str,
+    pattern: str | None = None,
+    multi_line: bool = True,
+    max_files: int | None = None,
+) -> DataFrame:
     """One of the four JSON sources (prices, schemes, knowledge, guide) as a stream."""
-    raw = file_stream(spark, folder, FILE_SCHEMAS[kind], pattern=FILE_PATTERNS[kind], max_files=max_files)
+    raw = file_stream(
+        spark,
+        folder,
+        FILE_SCHEMAS[kind],
+        pattern=pattern or FILE_PATTERNS[kind],
+        multi_line=multi_line,
+        max_files=max_files,
+    )
     return PROJECTIONS[kind](raw)
 
 

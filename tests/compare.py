@@ -19,7 +19,7 @@ TABLES = (
 
 def _plain(value):
     if isinstance(value, float):
-        return "nan" if math.isnan(value) else round(value, 9) + 0.0
+        return "nan" if math.isnan(value) else value + 0.0
     if isinstance(value, (list, tuple)):
         return tuple(_plain(v) for v in value)
     if value is not None and not isinstance(value, (int, str, bool)):

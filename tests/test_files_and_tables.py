@@ -78,6 +78,15 @@ def test_text_sources(spark, tmp_path):
         "documents_required", "eligibility", "scheme_id"]
 
 
+def test_remembered_schema(spark, tmp_path):
+    write(tmp_path / "in", "a.json", [{"k": 1}])
+    memory = str(tmp_path / "schema")
+    first = files.remembered_schema(spark, str(tmp_path / "in"), memory)
+    write(tmp_path / "in", "b.json", [{"k": "text", "new": 1}])
+    assert files.remembered_schema(spark, str(tmp_path / "in"), memory) == first
+    assert first.names == ["k"]
+
+
 def test_comments_reach_the_catalog(spark, table_name, price_frame):
     rows = schemas.with_comments(price_frame([{}]), schemas.RAW_PRICES)
     sinks.write_table(rows, table_name)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from stallbook.functions import texts
 from stallbook.operators import chunks, intents, matching, retrieval, treatments, vectors
+from stallbook.operators.text_vectors import fit_text_vectors, with_text_vectors
 from stallbook.plans import advice
 
 
@@ -255,3 +256,20 @@ def test_routing(spark, schemes, guide):
     assert rows[1].answer.startswith("Based on available information") and rows[3].answer is None
     log = advice.chat_log(spark.createDataFrame(list(rows.values()))).collect()
     assert all(len(r.response_summary) <= 500 for r in log) and len({r.session_id for r in log}) == 4
+
+
+def test_text_vectors_follow_tf_idf(spark):
+    documents = [(0, "Rice rice wheat"), (1, "wheat, rust"), (2, "rust in wheat"), (3, ""), (4, None)]
+    df = spark.createDataFrame(documents, "chunk_id int, text string")
+    model = fit_text_vectors(df, dimensions=4096)  # wide enough for no collisions here
+    rows = {r.chunk_id: np.array(r.embedding) for r in with_text_vectors(df, model).collect()}
+    assert set(rows) == {0, 1, 2, 3} and not rows[3].any()
+
+    def weights(words):
+        n = {"rice": 1, "wheat": 3, "rust": 2, "in": 1}
+        w = {t: words.count(t) * np.log((4 + 1) / (n[t] + 1)) for t in set(words)}
+        norm = np.sqrt(sum(x * x for x in w.values()))
+        return sorted(round(x / norm, 4) for x in w.values())
+
+    for i, words in ((0, ["rice", "rice", "wheat"]), (1, ["wheat", "rust"]), (2, ["rust", "in", "wheat"])):
+        assert sorted(round(float(x), 4) for x in rows[i] if x) == weights(words)
