@@ -46,6 +46,7 @@ def avg_price(price: str | Column) -> Column:
 
 
 def change_pct(now: Column, before: Column) -> Column:
-    """Change of ``now`` against ``before`` in percent, two decimals."""
+    """Change of ``now`` against ``before`` in percent, two decimals; null if
+    the price before was below half a hundredth."""
     now, before = hundredths(now), hundredths(before)
-    return half_up((now - before) * 10000 / before, 0) / 100
+    return half_up(F.try_divide((now - before) * 10000, before), 0) / 100

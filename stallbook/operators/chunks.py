@@ -10,6 +10,38 @@ from pyspark.sql import functions as F
 from stallbook.functions.texts import labelled, preview, text_or_empty
 
 
+# The line labels of each kind of chunk and the columns behind them.
+OVERVIEW_LINES = {
+    "Scheme": "name",
+    "Category": "category",
+    "Description": "description",
+    "Benefits": "benefits",
+    "Coverage": "coverage",
+}
+APPLICATION_LINES = {
+    "Scheme": "name",
+    "Eligibility": "eligibility",
+    "How to Apply": "how_to_apply",
+    "Documents Required": "documents_required",
+    "Helpline": "helpline",
+    "Official URL": "official_url",
+}
+GUIDE_LINES = {
+    "Crop": "crop",
+    "Growth Stage": "growth_stage",
+    "Category": "category",
+    "Problem": "problem",
+    "Product": "product_name",
+    "Dosage": "dosage",
+    "Application Method": "application_method",
+    "Timing": "timing",
+    "Precautions": "precautions",
+    "Organic Alternative": "organic_alternative",
+    "Cost Estimate": "cost_estimate",
+}
+LIST_SEPARATORS = {"eligibility": "; ", "documents_required": ", "}
+
+
 def chunk_rows(df: DataFrame, ids: list[str], texts: Mapping[str, Column]) -> DataFrame:
     """One row per source row and chunk type.  The source is scanned once; both
     kinds of chunk leave the same projection."""
@@ -26,40 +58,20 @@ def scheme_chunks(schemes: DataFrame, list_style: str = "joined") -> DataFrame:
     ``"bracketed"`` writes them as ``[a, b]``.
     """
     if list_style == "joined":
-        eligibility = F.array_join("eligibility", "; ")
-        documents = F.array_join("documents_required", ", ")
+        lists = {c: F.array_join(c, separator) for c, separator in LIST_SEPARATORS.items()}
     elif list_style == "bracketed":
-        eligibility = F.col("eligibility").cast("string")
-        documents = F.col("documents_required").cast("string")
+        lists = {c: F.col(c).cast("string") for c in LIST_SEPARATORS}
     else:
         raise ValueError(f"unknown list_style {list_style!r}")
-    rows = schemes.filter(F.col("scheme_id").isNotNull()).withColumn(
-        "name", F.coalesce("name_en", "name", F.lit(""))
+    rows = (
+        schemes.filter(F.col("scheme_id").isNotNull())
+        .withColumn("name", F.coalesce("name_en", "name", F.lit("")))
+        .withColumns(lists)
     )
     return chunk_rows(
         rows,
         ["scheme_id", "name", "category"],
-        {
-            "overview": labelled(
-                {
-                    "Scheme": "name",
-                    "Category": "category",
-                    "Description": "description",
-                    "Benefits": "benefits",
-                    "Coverage": "coverage",
-                }
-            ),
-            "application": labelled(
-                {
-                    "Scheme": "name",
-                    "Eligibility": eligibility,
-                    "How to Apply": "how_to_apply",
-                    "Documents Required": documents,
-                    "Helpline": "helpline",
-                    "Official URL": "official_url",
-                }
-            ),
-        },
+        {"overview": labelled(OVERVIEW_LINES), "application": labelled(APPLICATION_LINES)},
     )
 
 
@@ -67,21 +79,7 @@ def guide_chunks(guide: DataFrame) -> DataFrame:
     """One chunk per product entry."""
     return guide.select(
         *[text_or_empty(c).alias(c) for c in ("crop", "growth_stage", "category")],
-        labelled(
-            {
-                "Crop": "crop",
-                "Growth Stage": "growth_stage",
-                "Category": "category",
-                "Problem": "problem",
-                "Product": "product_name",
-                "Dosage": "dosage",
-                "Application Method": "application_method",
-                "Timing": "timing",
-                "Precautions": "precautions",
-                "Organic Alternative": "organic_alternative",
-                "Cost Estimate": "cost_estimate",
-            }
-        ).alias("text"),
+        labelled(GUIDE_LINES).alias("text"),
     )
 
 

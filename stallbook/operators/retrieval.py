@@ -20,6 +20,12 @@ NO_SCHEME = (
     "KCC, e-NAM, or Soil Health Card."
 )
 ORGANIC_WORDS = "organic biological natural"
+NO_GUIDE_START = "No specific recommendation found for "
+NO_GUIDE_STAGE = (" at ", " stage")
+NO_GUIDE_END = (
+    ". Please consult your nearest Krishi Vigyan Kendra (KVK) or "
+    "agriculture department for personalized advice."
+)
 
 
 def search(queries: DataFrame, chunks: DataFrame, k: int = 5, mode: str = "auto") -> DataFrame:
@@ -63,16 +69,9 @@ def contexts(hits: DataFrame, chunks: DataFrame) -> DataFrame:
 def no_guide_text() -> Column:
     """Fixed answer for a request without a hit."""
     stage = F.nullif(text_or_empty("growth_stage"), F.lit(""))
-    at_stage = F.coalesce(F.concat(F.lit(" at "), stage, F.lit(" stage")), F.lit(""))
-    return F.concat(
-        F.lit("No specific recommendation found for "),
-        text_or_empty("crop"),
-        at_stage,
-        F.lit(
-            ". Please consult your nearest Krishi Vigyan Kendra (KVK) or "
-            "agriculture department for personalized advice."
-        ),
-    )
+    before, after = map(F.lit, NO_GUIDE_STAGE)
+    at_stage = F.coalesce(F.concat(before, stage, after), F.lit(""))
+    return F.concat(F.lit(NO_GUIDE_START), text_or_empty("crop"), at_stage, F.lit(NO_GUIDE_END))
 
 
 def answers(

@@ -85,7 +85,7 @@ def merge_table(
     touched = settle(new.select(*parts).union(replaced).distinct(), "touched")
     merged = settle(upsert(old.join(touched, parts, "left_semi"), new, keys), "merged")
     with _dynamic_overwrite(spark):
-        merged.select(*old.columns).write.insertInto(name, overwrite=True)
+        merged.select(*old.columns).hint("rebalance", *parts).write.insertInto(name, overwrite=True)
     # a partition all of whose rows moved elsewhere is not overwritten, so drop it;
     # the list is as long as the number of touched partitions
     for gone in touched.join(merged, parts, "left_anti").collect():

@@ -133,7 +133,11 @@ def price_rows(raw: DataFrame) -> DataFrame:
     typed = named.withColumns(
         {
             "arrival_date": parse_date("arrival_date"),
-            **{c: F.col(c).try_cast("double") for c in ("min_price", "max_price", "modal_price")},
+            # the text "NaN" is a double for Spark, but not a price
+            **{
+                c: F.nullif(F.col(c).try_cast("double"), F.lit(float("nan")))
+                for c in ("min_price", "max_price", "modal_price")
+            },
         }
     )
     return typed.select(price_key().alias("price_id"), *typed.columns)

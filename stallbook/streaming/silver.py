@@ -26,7 +26,9 @@ def dedupe_stream(
 
     State is kept per key until the watermark passes it, so it is bounded by the
     keys of one delay.  Rows later than the watermark are dropped, and a repeat
-    later than that passes: equal to the batch form only within the delay.
+    later than that passes: equal to the batch form only within the delay.  All
+    copies of a key meet in one task; where a key may hold a large part of a
+    batch, use :func:`drain_unique`.
     """
     timed = stream.withColumn("_event_time", F.col(day).cast("timestamp"))
     return (

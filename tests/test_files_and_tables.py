@@ -37,12 +37,13 @@ def test_raw_price_files(spark, tmp_path):
     write(tmp_path, "a_prices_1.json", [
         raw(1), raw(2, **{"Modal Price (Rs./Quintal)": "NR"}), raw(3, **{"Price Date": "soon"}),
         raw(4, **{"Modal Price (Rs./Quintal)": -1}),
+        raw(5, **{"Modal Price (Rs./Quintal)": "NaN"}),
     ])
     write(tmp_path, "schemes.json", [{"scheme_id": "x"}])
     rows = files.load(spark, "prices", str(tmp_path), files.FILE_PATTERNS["prices"])
     assert rows.columns == schemas.RAW_PRICES.names
     got = {r.arrival_date: r for r in rows.collect()}
-    assert len(got) == 4 and None in got
+    assert len(got) == 5 and None in got
     first = got[dt.date(2025, 4, 1)]
     assert (first.min_price, first.max_price, first.modal_price) == (90.0, 110.0, 100.5)
     assert first.source_file.endswith("a_prices_1.json") and got[dt.date(2025, 4, 2)].modal_price is None

@@ -1,12 +1,14 @@
 import datetime as dt
 import random
+import statistics
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from stallbook.functions.dates import with_calendar
-from stallbook.operators import daily, forecast, recency, summaries
+from stallbook.operators import daily, forecast, recency, summaries, windows
 from stallbook.plans.report import price_report
 
 
@@ -26,6 +28,28 @@ def test_monthly_analytics(price_frame):
     assert february.price_stddev is None and february.avg_min_price == 8.0
 
 
+def test_missing_and_tiny_prices_do_not_fail(price_frame):
+    rows = price_frame([{"price": 0.004}, {"price": 5.0}]).withColumns(
+        {"min_price": F.lit(None).cast("double"), "max_price": F.lit(None).cast("double")}
+    )
+    month = summaries.monthly_analytics(with_calendar(rows)).first()
+    assert month.avg_min_price is None and month.total_records == 2
+    assert daily.price_trend(rows, ("commodity",)).first().min_price is None
+    changes = [r.price_change_pct for r in windows.with_indicators(rows).orderBy("arrival_date").collect()]
+    assert changes == [0.0, None]
+
+
+def test_commodity_spread_is_put_together_from_groups(price_frame):
+    rng = random.Random(6)
+    prices = [round(rng.uniform(10, 500), 2) for _ in range(200)]
+    rows = price_frame([{"market": f"m{i % 7}", "state": f"s{i % 3}", "price": p} for i, p in enumerate(prices)])
+    row = summaries.commodity_analytics(rows).first()
+    assert row.price_stddev == pytest.approx(statistics.stdev(prices), abs=0.0051)
+    assert (row.num_markets, row.num_states, row.total_records) == (7, 3, 200)
+    constant = price_frame([{"market": f"m{i % 7}", "price": 123456.78} for i in range(101)])
+    assert summaries.commodity_analytics(constant).first().price_stddev == 0.0
+
+
 def test_mean_rounds_ties_up_exactly(price_frame):
     row = summaries.top_commodities(price_frame([{"price": 1.0}, {"price": 1.01}])).first()
     assert row.avg_price == 1.01  # 1.005
