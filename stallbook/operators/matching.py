@@ -164,7 +164,7 @@ def keyword_top_k(
     whole_word: bool = False,
 ) -> DataFrame:
     """(query_id, rank, chunk_id, score) of the k best chunks with a score above
-    zero; ties go to the lower chunk id."""
+    zero; ties go to the lower chunk id.  Chunk ids are unique."""
     # equal texts are answered once, under the lowest id among them
     named = queries.select(F.col(query_id).alias("query_id"), F.lower(query_text).alias("text"))
     texts = settle(

@@ -22,6 +22,8 @@ from stallbook.session import settle
 
 MAX_LOCAL_QUERY_BYTES = 16 << 20
 BLOCK_ROWS = 2_048  # queries per block of the shuffled form
+SLICE_ROWS = 50_000  # vectors per slice of the shuffled form
+STEP_ROWS = 256  # queries scored at a time: bounds the score matrix of a batch
 DIGITS = 6  # scores are compared after rounding, so equal vectors tie
 
 
@@ -59,13 +61,14 @@ def _top_rows(query_ids, queries: np.ndarray, batches, k: int) -> pd.DataFrame:
             continue
         if rows.shape[1] != queries.shape[1]:
             raise ValueError("queries and vectors differ in length")
-        scores = np.round(queries @ rows.T, DIGITS)
-        for i in range(len(query_ids)):
-            mine, theirs = _best_of(scores[i], ids, k)
-            old_scores, old_ids = best[i]
-            best[i] = _best_of(
-                np.concatenate([old_scores, mine]), np.concatenate([old_ids.astype(ids.dtype), theirs]), k
-            )
+        for start in range(0, len(query_ids), STEP_ROWS):
+            scores = np.round(queries[start : start + STEP_ROWS] @ rows.T, DIGITS)
+            for i, row in enumerate(scores, start):
+                mine, theirs = _best_of(row, ids, k)
+                seen, seen_ids = best[i]
+                best[i] = _best_of(
+                    np.concatenate([seen, mine]), np.concatenate([seen_ids.astype(ids.dtype), theirs]), k
+                )
     sizes = [len(s) for s, _ in best]
     return pd.DataFrame(
         {
@@ -149,8 +152,8 @@ def cosine_top_k(
 ) -> DataFrame:
     """(query_id, rank, vector_id, score): exact cosine, ties by vector id.
 
-    ``slices`` sets the number of vector groups of the shuffled form; choose it
-    so that a slice fits a task (default: ``spark.sql.shuffle.partitions``).
+    ``slices`` sets the number of vector groups of the shuffled form; by default
+    it follows from the number of vectors, so that a slice fits a task.
     """
 
     def two_columns(df: DataFrame, key: str, name: str) -> DataFrame:
@@ -170,7 +173,7 @@ def cosine_top_k(
     elif size["bytes"] <= max_query_bytes:
         pairs = _scan(asked.toArrow(), stored, k, schema)
     else:
-        slices = slices or int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        slices = slices or max(1, -(-stored.count() // SLICE_ROWS))
         pairs = _meet(asked, stored, k, schema, slices)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vector_id")
     return (

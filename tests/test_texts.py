@@ -179,8 +179,10 @@ def brute_vectors(queries, stored, k):
     return [[int(i) for i in np.lexsort((np.arange(len(stored)), -row))[:k]] for row in scores]
 
 
-@pytest.mark.parametrize("bound", [1 << 20, 0])
-def test_vector_search_equals_brute_force(spark, bound):
+@pytest.mark.parametrize("bound,rows", [(1 << 20, 50_000), (0, 50_000), (0, 37)])
+def test_vector_search_equals_brute_force(spark, monkeypatch, bound, rows):
+    monkeypatch.setattr(vectors, "SLICE_ROWS", rows)
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 3)
     rng = np.random.default_rng(7)
     stored = rng.normal(size=(300, 8))
     stored[10:40] = stored[9]  # copies tie
