@@ -2,8 +2,10 @@ import random
 import statistics
 
 import pytest
+from pyspark.sql import functions as F
 
-from stallbook.operators import windows
+from stallbook.operators import quality, windows
+from stallbook.plans import prices as plan
 
 
 def brute(rows):
@@ -74,12 +76,26 @@ def test_no_group_is_longer_than_piece_day_and_lookback(price_frame):
     assert pieces.filter("NOT _carried").count() == prices.count()
 
 
-def test_all_indicators_share_one_sort(price_frame):
-    df = windows.with_indicators(price_frame([{}, {}]))
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    specs = [line for line in plan.splitlines() if "Window [" in line and "moving_avg" not in line]
-    # frames differ, but every window of the indicators is partitioned by the same columns
-    assert specs
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_short_series_take_one_exchange_and_one_sort(price_frame):
+    text = plan_of(plan.enriched(observations(price_frame)))
+    assert text.count("Exchange") == 1 and text.count("Sort [") == 1
+    assert "row_number()" in text and "moving_avg_30d" in text
+
+
+@pytest.mark.parametrize("rows_per_piece", [20, 10**6])
+def test_enriched_deduplicates_before_the_windows(price_frame, rows_per_piece):
+    raw = observations(price_frame, seed=9)
+    copies = raw.withColumn("price_id", F.concat(F.lit("z"), "price_id"))
+    once = quality.dedupe(raw)
+    expected = brute(once.collect())
+    got = plan.enriched(raw.union(copies), rows_per_piece=rows_per_piece).collect()
+    assert {r.price_id for r in got} == set(expected)
+    for r in got:
+        assert r.moving_avg_30d == pytest.approx(expected[r.price_id][2], abs=0.0051)
 
 
 def test_averages_stay_within_the_frame(price_frame):
