@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The date formats found in price files, in the order they are tried.
-DATE_FORMATS = ("dd MMM yyyy", "dd/MM/yyyy", "yyyy-MM-dd", "dd-MM-yyyy")
+# Single letters accept days and months with and without a leading zero.
+DATE_FORMATS = ("d MMM yyyy", "d/M/yyyy", "yyyy-M-d", "d-M-yyyy")
 
 
 def parse_date(text: str | Column, formats: tuple[str, ...] = DATE_FORMATS) -> Column:

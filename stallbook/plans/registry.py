@@ -301,6 +301,13 @@ def doc_chunks_bracketed(spark, folder):
     return chunks.scheme_chunks(_documents_as_schemes(spark, folder), list_style="bracketed")
 
 
+@_query
+def chunk_files(spark, folder):
+    path = scratch_path(spark, "chunks")
+    sinks.write_chunks(chunks.scheme_chunks(_documents_as_schemes(spark, folder)), path)
+    return spark.read.schema("scheme_id string, name string, category string, chunk_type string, text string").json(path)
+
+
 @_query
 def doc_list(spark, folder):
     return chunks.scheme_list(_documents_as_schemes(spark, folder))
@@ -465,6 +472,30 @@ def upsert(spark, folder):
     return changes.upsert(old, new, ["o_orderkey"])
 
 
+@_query
+def table_merge(spark, folder):
+    """Orders stored by status, then changed in place: only touched partitions
+    are rewritten, and a row may move to another one."""
+    old, new = _order_versions(spark, folder)
+    path = scratch_path(spark, "orders")
+    name = "orders_" + path[-12:]
+    sinks.write_table(old, name, partition_by=["o_orderstatus"], location=path)
+    sinks.write_table(new, name, "merge", partition_by=["o_orderstatus"], keys=["o_orderkey"])
+    return tables.read_table(spark, name)
+
+
+@_query
+def table_append(spark, folder):
+    """Customers stored, then suppliers with another column appended."""
+    path = scratch_path(spark, "parties")
+    name = "parties_" + path[-12:]
+    customers = table(spark, folder, "customer").select(F.col("c_name").alias("name"), "c_mktsegment")
+    suppliers = table(spark, folder, "supplier").select(F.col("s_name").alias("name"), "s_acctbal")
+    sinks.write_table(customers, name, location=path)
+    sinks.write_table(suppliers, name, "append")
+    return tables.read_table(spark, name)
+
+
 @_query
 def snapshot_diff(spark, folder):
     old, new = _order_versions(spark, folder)

@@ -367,6 +367,8 @@ SQL["doc_chunks_bracketed"] = doc_chunks(
     "'[' || category || ', ' || source || ']'", "'[' || source || ', ' || n_chars || ']'"
 )
 
+SQL["chunk_files"] = SQL["doc_chunks"]
+
 SQL["doc_list"] = f"""
 WITH {SCHEMES}
 SELECT scheme_id, name, doc_name AS short_name, category, substring(text, 1, 100) || '...' AS benefits_summary
@@ -523,6 +525,8 @@ merged AS (
   UNION ALL SELECT * FROM orders o WHERE NOT EXISTS (SELECT 1 FROM changed c WHERE c.o_orderkey = o.o_orderkey))
 """
 
+SQL["table_merge"] = f"WITH {VERSIONS} SELECT * FROM merged"
+
 SQL["upsert"] = f"WITH {VERSIONS} SELECT * FROM merged"
 
 SQL["snapshot_diff"] = f"""
@@ -540,6 +544,8 @@ SELECT c_name AS name, c_mktsegment, CAST(NULL AS DOUBLE) AS s_acctbal FROM cust
 UNION ALL SELECT s_name, NULL, s_acctbal FROM supplier
 """
 
+SQL["table_append"] = SQL["append_evolving"]
+
 SQL["key_check"] = """
 WITH keys AS (SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL)
 SELECT CAST(sum(n) AS BIGINT) AS rows, CAST(0 AS BIGINT) AS null_keys, count_if(n > 1) AS repeated_keys,

@@ -20,7 +20,8 @@ def price_report(
 ) -> dict[str, DataFrame]:
     """The tables of a report, for one selection or, without one, for all keys.
 
-    The series are keyed by the parts of the selection that are given, so a
+    ``prices`` is read by each of the tables: pass a stored table.  The series
+    are keyed by the parts of the selection that are given, so a
     commodity without state or market is one series over all of its markets.
     """
     keys = ["commodity"]

@@ -22,9 +22,12 @@ def write_table(
     mode: str = "overwrite",
     partition_by: Sequence[str] = (),
     keys: Sequence[str] = (),
+    location: str | None = None,
 ) -> None:
     """Overwrite or append to a table, or ``merge`` rows into it by ``keys``.
 
+    ``location`` places the files of a new table outside the warehouse.
+
     Appending rows with new columns adds the columns to the table first; the
     stored rows read as null there and are not rewritten.
     """
@@ -36,15 +39,19 @@ def write_table(
         add_columns(spark, name, df.schema)
         append_evolving(spark.table(name).limit(0), df).write.insertInto(name)
         return
-    _save(df, name, mode, partition_by)
+    _save(df, name, mode, partition_by, location)
 
 
-def _save(df: DataFrame, name: str, mode: str, partition_by: Sequence[str]) -> None:
+def _save(
+    df: DataFrame, name: str, mode: str, partition_by: Sequence[str], location: str | None = None
+) -> None:
     if partition_by:
         # few, even files per partition instead of one per task and partition;
         # the adaptive plan splits a partition value that holds most rows
         df = df.hint("rebalance", *partition_by)
     writer = df.write.format("parquet").mode(mode)
+    if location:
+        writer = writer.option("path", location)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.saveAsTable(name)

@@ -95,8 +95,9 @@ def read_json(
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with a header line, all columns as text."""
-    return spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
+    """CSV with a header line, all columns as text.  Files whose header differs
+    from the first one fail instead of being read by position."""
+    return spark.read.option("header", True).option("enforceSchema", False).csv(path)
 
 
 def read_parquet(spark: SparkSession, path: str, merge_schema: bool = True) -> DataFrame:

@@ -11,7 +11,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from stallbook.operators.quality import PRICE_IDENTITY, dedupe
 from stallbook.plans.prices import silver
-from stallbook.session import settle
 
 silver_stream = silver  # the batch projection and rules apply to a stream unchanged
 
@@ -57,10 +56,10 @@ def drain_unique(
 
     def append(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        fresh = settle(dedupe(batch, keys, order), "fresh")
-        months = fresh.select("year", "month").distinct().collect()  # bounded by the calendar
+        months = batch.select("year", "month").distinct().collect()  # bounded by the calendar
         if not months:
             return
+        fresh = dedupe(batch, keys, order)
         schema = batch.select(*keys, "year", "month").schema.add("batch", T.LongType())
         if number > 0:
             inside = F.struct("year", "month").isin(

@@ -51,7 +51,7 @@ def test_raw_price_files(spark, tmp_path):
     assert files.load_prices(spark, str(tmp_path / "a_prices_1.json")).count() == 2
 
 
-@pytest.mark.parametrize("text", ["05 Apr 2025", "05/04/2025", "2025-04-05", "05-04-2025"])
+@pytest.mark.parametrize("text", ["05 Apr 2025", "05/04/2025", "2025-04-05", "05-04-2025", "5/4/2025"])
 def test_alternative_headers_and_dates(spark, tmp_path, text):
     write(tmp_path, "p.json", [{
         "state": "S", "District": "D", "Market": "M", "Commodity": "Rice", "Arrival_Date": text, "Modal_Price": "7",

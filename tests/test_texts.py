@@ -197,6 +197,17 @@ def test_vector_search_equals_brute_force(spark, monkeypatch, bound, rows):
     assert [rows[i] for i in range(len(asked))] == brute_vectors(asked, stored, 4)
 
 
+def test_search_modes(spark):
+    asked = frame(spark, "query_id", np.eye(3)[:2]).withColumn("text", F.lit("rust"))
+    stored = frame(spark, "chunk_id", np.eye(3)).withColumn("text", F.lit("Rust"))
+    top = {(r.query_id, r.chunk_id) for r in retrieval.search(asked, stored, k=1).collect()}
+    assert top == {(0, 0), (1, 1)}  # both sides have vectors
+    words = {(r.query_id, r.chunk_id) for r in retrieval.search(asked, stored.drop("embedding"), k=1).collect()}
+    assert words == {(0, 0), (1, 0)}  # falls back to words
+    with pytest.raises(ValueError):
+        retrieval.search(asked, stored, mode="other")
+
+
 def test_k_larger_than_the_table_and_no_query(spark):
     stored = frame(spark, "vector_id", np.eye(3))
     asked = frame(spark, "query_id", np.eye(3)[:1])
