@@ -437,7 +437,8 @@ def intents(source: str, columns: str, lexicon, whole_word: bool = False) -> str
     names = [f"n_{i}" for i in lexicon]
     cases = " ".join(f"WHEN n_{i} = best THEN '{i}'" for i in lexicon)
     return f"""
-scored AS (SELECT *, {scores} FROM (SELECT *, trim(lower(coalesce(text, '')), ' ' || chr(10) || chr(9)) AS clean FROM {source})),
+cleaned AS (SELECT *, trim(lower(coalesce(text, '')), ' ' || chr(10) || chr(9)) AS clean FROM {source}),
+scored AS (SELECT *, {scores} FROM cleaned),
 summed AS (SELECT *, greatest({", ".join(names)}) AS best, {" + ".join(names)} AS total FROM scored),
 intents AS (
   SELECT {columns}, text, CASE WHEN clean = '' OR best = 0 THEN 'general' {cases} END AS intent,
@@ -464,7 +465,7 @@ FROM intents
 SQL["routing_counts"] = f"""
 WITH {intents('conversations', TURN, TONGUES)}
 SELECT intent, intent AS feature, count(*) AS questions,
-       {half_up("(CAST(sum(CAST(floor(confidence * 100 + 0.5) AS BIGINT)) AS DOUBLE) / count(*) / 100)", 4)} AS avg_confidence
+       {half_up("(sum(CAST(floor(confidence * 100 + 0.5) AS BIGINT)) / count(*) / 100)", 4)} AS avg_confidence
 FROM intents GROUP BY intent
 """
 

@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 import statistics
+from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
 from hypothesis import given, settings
@@ -8,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from stallbook.functions.dates import with_calendar
+from stallbook.functions.numeric import half_up
 from stallbook.operators import daily, forecast, recency, summaries, windows
 from stallbook.plans.report import price_report
 
@@ -187,3 +189,10 @@ def test_report_for_one_selection(many_series):
     assert tables["forecast"].count() == 7 and tables["outlook"].count() == 1
     assert tables["trend"].count() == 75
     assert price_report(many_series)["outlook"].count() == len(SERIES)
+
+
+def test_half_up_is_decimal_half_up(spark):
+    values = [k / 1000 for k in range(-3000, 3000)] + [52030.365, 1.005, 2.675, 99999.995]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for r in df.select("v", half_up("v").alias("r")).collect():
+        assert r.r == float(Decimal(repr(r.v)).quantize(Decimal("0.01"), ROUND_HALF_UP)), r.v

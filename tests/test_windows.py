@@ -57,6 +57,15 @@ def test_pieces_give_the_same_result_as_the_whole_series(price_frame, rows_per_p
         assert r.volatility_7d == (None if spread is None else pytest.approx(spread, abs=0.0051))
 
 
+def test_a_long_series_without_a_market_is_cut_too(price_frame):
+    prices = price_frame([{"market": None, "price": 10.0 + i % 7} for i in range(80)])
+    pieces = windows.split_long_series(prices, windows.SERIES, "arrival_date", 29, 20)
+    assert pieces.select("_piece").distinct().count() == 4
+    expected = brute(prices.collect())
+    for r in windows.with_indicators(prices, rows_per_piece=20).collect():
+        assert r.moving_avg_30d == pytest.approx(expected[r.price_id][2], abs=0.0051)
+
+
 def test_one_day_may_exceed_a_piece(price_frame):
     """A giant day next to single-row days: pieces stay shorter than the frame."""
     rows = [{"variety": f"v{i:03d}", "day": 1} for i in range(60)]
