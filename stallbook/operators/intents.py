@@ -11,6 +11,8 @@ from stallbook.functions import lexicon as lx
 from stallbook.functions.numeric import half_up
 from stallbook.functions.texts import strip
 
+PREVIEW_LENGTH = 100
+
 
 def classify(
     df: DataFrame,
@@ -66,15 +68,15 @@ def extract_names(
     )
 
 
-def with_route(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add the feature that answers a classified question and a text preview."""
+def with_feature(df: DataFrame) -> DataFrame:
+    """Add the feature that answers a classified question."""
     features = F.create_map(*[F.lit(x) for pair in lx.INTENT_FEATURES.items() for x in pair])
-    return df.withColumns(
-        {
-            "feature": F.coalesce(features[F.col("intent")], "intent"),
-            "preview": F.substring(F.coalesce(text, F.lit("")), 1, 100),
-        }
-    )
+    return df.withColumn("feature", F.coalesce(features[F.col("intent")], "intent"))
+
+
+def with_preview(df: DataFrame, text: str = "answer") -> DataFrame:
+    """Add the first characters of a text, as kept in a history of answers."""
+    return df.withColumn("preview", F.substring(F.coalesce(text, F.lit("")), 1, PREVIEW_LENGTH))
 
 
 def routing_counts(routed: DataFrame) -> DataFrame:

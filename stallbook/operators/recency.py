@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stallbook.functions.numeric import avg_price, half_up
+from stallbook.functions.numeric import avg_price, half_up, hundredths, mean_price
 from stallbook.session import settle
 
 
@@ -74,6 +74,11 @@ def latest_prices(
     )
 
 
+def _mean(price: str) -> Column:
+    """Unrounded mean to rank by: two groups may differ by less than a hundredth."""
+    return mean_price(F.sum(hundredths(price)), F.count(price))
+
+
 def best_markets(prices: DataFrame, per_key: int = 10, days: int = 30) -> DataFrame:
     """Best paying markets per commodity and state over its last days."""
     keys = ("commodity", "state")
@@ -81,13 +86,15 @@ def best_markets(prices: DataFrame, per_key: int = 10, days: int = 30) -> DataFr
         recent_days(prices.select(*keys, "market", "arrival_date", "modal_price", "max_price"), keys, days)
         .groupBy(*keys, "market")
         .agg(
+            _mean("modal_price").alias("_mean"),
             avg_price("modal_price").alias("avg_price"),
             half_up(F.max("max_price")).alias("max_price"),
             F.count("modal_price").alias("data_points"),
         )
     )
-    best = Window.partitionBy(*keys).orderBy(F.desc("avg_price"), "market")
-    return markets.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= per_key)
+    best = Window.partitionBy(*keys).orderBy(F.desc("_mean"), "market")
+    ranked = markets.withColumn("rank", F.row_number().over(best))
+    return ranked.filter(F.col("rank") <= per_key).drop("_mean")
 
 
 def state_comparison(prices: DataFrame, top: int = 5, days: int = 30) -> DataFrame:
@@ -98,9 +105,9 @@ def state_comparison(prices: DataFrame, top: int = 5, days: int = 30) -> DataFra
             prices.select("commodity", "state", "arrival_date", "modal_price"), ["commodity"], days
         )
         .groupBy("commodity", "state")
-        .agg(avg_price("modal_price").alias("avg_price"))
+        .agg(_mean("modal_price").alias("_mean"), avg_price("modal_price").alias("avg_price"))
     )
-    highest = Window.partitionBy("commodity").orderBy(F.desc("avg_price"), F.desc("state"))
+    highest = Window.partitionBy("commodity").orderBy(F.desc("_mean"), F.desc("state"))
     ranked = states.withColumn("_rank", F.row_number().over(highest)).filter(F.col("_rank") <= top)
     lowest = Window.partitionBy("commodity").orderBy(F.desc("_rank"))
-    return ranked.withColumn("position", F.row_number().over(lowest)).drop("_rank")
+    return ranked.withColumn("position", F.row_number().over(lowest)).drop("_rank", "_mean")

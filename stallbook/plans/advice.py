@@ -48,7 +48,7 @@ def recommend(requests: DataFrame, guide: DataFrame, k: int = 5, mode: str = "ke
 
 def route(questions: DataFrame, schemes: DataFrame, guide: DataFrame) -> DataFrame:
     """Classify questions and answer the scheme and product ones."""
-    routed = intents.with_route(intents.extract_names(intents.classify(questions)))
+    routed = intents.with_feature(intents.extract_names(intents.classify(questions)))
     routed = settle(routed, "routed")
     about_schemes = ask_schemes(routed.filter(F.col("intent") == "scheme"), schemes)
     about_products = recommend(
@@ -64,7 +64,7 @@ def route(questions: DataFrame, schemes: DataFrame, guide: DataFrame) -> DataFra
     found = about_schemes.select("query_id", "answer").unionByName(
         about_products.select("query_id", "answer")
     )
-    return routed.join(found, "query_id", "left")
+    return intents.with_preview(routed.join(found, "query_id", "left"))
 
 
 def chat_log(routed: DataFrame) -> DataFrame:

@@ -215,7 +215,7 @@ def price_log(spark, folder):
 
 @_query
 def chat_log(spark, folder):
-    routed = intents.with_route(intents.classify(_turns(spark, folder), lexicon=TONGUES))
+    routed = intents.with_feature(intents.classify(_turns(spark, folder), lexicon=TONGUES))
     return sinks.chat_log_rows(routed, answer="text").drop("session_id", "timestamp")
 
 
@@ -407,12 +407,13 @@ def entity_extract_default(spark, folder):
 
 @_query
 def question_routes(spark, folder):
-    return intents.with_route(intents.classify(_turns(spark, folder))).drop("text")
+    routed = intents.with_feature(intents.classify(_turns(spark, folder)))
+    return intents.with_preview(routed, "text").drop("text")
 
 
 @_query
 def routing_counts(spark, folder):
-    routed = intents.with_route(intents.classify(_turns(spark, folder), lexicon=TONGUES))
+    routed = intents.with_feature(intents.classify(_turns(spark, folder), lexicon=TONGUES))
     return intents.routing_counts(routed)
 
 

@@ -172,18 +172,20 @@ recent AS (
 SQL["best_markets"] = f"""
 WITH {PRICE_OBS}, {recent("commodity, state")},
 means AS (
-  SELECT commodity, state, market, {mean("modal_price")} AS avg_price,
+  SELECT commodity, state, market, {raw_mean("modal_price")} AS m, {mean("modal_price")} AS avg_price,
          {half_up("max(max_price)")} AS max_price, count(modal_price) AS data_points
   FROM recent GROUP BY commodity, state, market)
-SELECT *, CAST(row_number() OVER (PARTITION BY commodity, state ORDER BY avg_price DESC, market) AS INT) AS rank
+SELECT * EXCLUDE (m), CAST(row_number() OVER (PARTITION BY commodity, state ORDER BY m DESC, market) AS INT) AS rank
 FROM means QUALIFY rank <= 10
 """
 
 SQL["state_comparison"] = f"""
 WITH {PRICE_OBS}, {recent("commodity")},
-means AS (SELECT commodity, state, {mean("modal_price")} AS avg_price FROM recent GROUP BY commodity, state),
+means AS (
+  SELECT commodity, state, {raw_mean("modal_price")} AS m, {mean("modal_price")} AS avg_price
+  FROM recent GROUP BY commodity, state),
 top AS (
-  SELECT *, row_number() OVER (PARTITION BY commodity ORDER BY avg_price DESC, state DESC) AS r
+  SELECT *, row_number() OVER (PARTITION BY commodity ORDER BY m DESC, state DESC) AS r
   FROM means QUALIFY r <= 5)
 SELECT commodity, state, avg_price,
        CAST(row_number() OVER (PARTITION BY commodity ORDER BY r DESC) AS INT) AS position

@@ -267,6 +267,7 @@ def test_routing(spark, schemes, guide):
     assert [rows[i].intent for i in (1, 2, 3, 4)] == ["scheme", "pesticide", "price", "general"]
     assert rows[2].crop == "Rice" and rows[3].commodity == "Onion" and rows[4].feature == "general"
     assert rows[1].answer.startswith("Based on available information") and rows[3].answer is None
+    assert rows[1].preview == rows[1].answer[:100] and rows[4].preview == ""
     log = advice.chat_log(spark.createDataFrame(list(rows.values()))).collect()
     assert all(len(r.response_summary) <= 500 for r in log) and len({r.session_id for r in log}) == 4
 
