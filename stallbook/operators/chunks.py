@@ -84,9 +84,10 @@ def guide_chunks(guide: DataFrame) -> DataFrame:
 
 
 def with_chunk_id(chunks: DataFrame, *parts: str) -> DataFrame:
-    """A repeatable chunk id from natural key columns."""
+    """A repeatable chunk id from the columns that make up a chunk.  Equal chunks
+    share an id and are kept once, combined on the map side."""
     key = F.concat_ws("|", *[text_or_empty(p) for p in parts])
-    return chunks.withColumn("chunk_id", F.sha2(key, 256))
+    return chunks.withColumn("chunk_id", F.sha2(key, 256)).dropDuplicates(["chunk_id"])
 
 
 def scheme_list(schemes: DataFrame) -> DataFrame:

@@ -54,12 +54,13 @@ def guide_query(requests: DataFrame) -> DataFrame:
 def contexts(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     """(query_id, context): the texts of the hits in rank order.
 
-    A group holds the k hits of one query, so collecting it is bounded by k.
-    The hits are stored first: Spark then sees how few they are and looks them up
+    A group holds the k hits of one query, so collecting it is bounded by k; a
+    chunk id that occurs more than once gives one text.  The hits are stored first: Spark then sees how few they are and looks them up
     while scanning the chunk texts, instead of shuffling the texts.
     """
     hits = settle(hits, "hits")
     texts = hits.join(chunks.select("chunk_id", "text"), "chunk_id")
+    texts = texts.dropDuplicates(["query_id", "rank"])
     ranked = F.array_sort(F.collect_list(F.struct("rank", "text")))
     return texts.groupBy("query_id").agg(
         F.array_join(F.transform(ranked, lambda r: r["text"]), SEPARATOR).alias("context")

@@ -13,7 +13,7 @@ from stallbook.sinks.tables import chat_log_rows
 
 
 def scheme_texts(schemes: DataFrame, list_style: str = "joined") -> DataFrame:
-    return ck.with_chunk_id(ck.scheme_chunks(schemes, list_style), "scheme_id", "chunk_type")
+    return ck.with_chunk_id(ck.scheme_chunks(schemes, list_style), "scheme_id", "chunk_type", "text")
 
 
 def guide_texts(guide: DataFrame) -> DataFrame:

@@ -258,6 +258,15 @@ def test_recommendations(spark, guide):
     assert rows[3].answer.startswith("Based on available guidance")  # "organic" is in every chunk label
 
 
+def test_equal_chunks_are_found_once(spark, guide):
+    requests = spark.createDataFrame(
+        [(1, "Rice", "Tillering", "", False)],
+        "query_id int, crop string, growth_stage string, problem string, prefer_organic boolean",
+    )
+    once = advice.recommend(requests, guide).first().answer
+    assert advice.recommend(requests, guide.union(guide).union(guide)).first().answer == once
+
+
 def test_routing(spark, schemes, guide):
     questions = spark.createDataFrame(
         [(1, "subsidy scheme income"), (2, "urea dose for rice"), (3, "mandi rate of onion"), (4, "hi")],
