@@ -610,10 +610,19 @@ def stream_gold(spark, folder):
 # ---- price model --------------------------------------------------------------
 
 
+_stored_predictions: dict[tuple[str, str], DataFrame] = {}
+
+
 def _predictions(spark: SparkSession, folder: str) -> DataFrame:
-    rows = price_plan.enriched(price_observations(spark, folder))
-    train, test = model.split(settle(model.training_rows(rows), "training"))
-    return model.fit(train).transform(test)
+    """Test predictions of the price model, fitted and stored once per application."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _stored_predictions:
+        rows = price_plan.enriched(price_observations(spark, folder))
+        train, test = model.split(settle(model.training_rows(rows), "training"))
+        predicted = model.fit(train).transform(test)
+        columns = ["commodity", "market", "arrival_date", model.LABEL, "prediction"]
+        _stored_predictions[key] = settle(predicted.select(columns), "predictions")
+    return _stored_predictions[key]
 
 
 @_query
