@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from stallbook.llm import packing, tokens
+from stallbook.llm import language, mixing, packing, quality, sharding, tokens
 
 QUERIES = {
     "op1_vector_packing": packing.op1_vector_packing,
+    "op2_boosted_quality": quality.op2_boosted_quality,
+    "op3_sampled_splitters": sharding.op3_sampled_splitters,
+    "op4_source_mixing": mixing.op4_source_mixing,
+    "op9_language_id": language.op9_language_id,
     "op10_token_counts": tokens.op10_token_counts,
 }
 
