@@ -2,15 +2,28 @@
 
 from __future__ import annotations
 
-from stallbook.llm import language, mixing, packing, quality, sharding, tokens
+from stallbook.llm import (
+    cover_tree,
+    html_text,
+    language,
+    mixing,
+    near_duplicates,
+    packing,
+    quality,
+    sharding,
+    tokens,
+)
 
 QUERIES = {
     "op1_vector_packing": packing.op1_vector_packing,
     "op2_boosted_quality": quality.op2_boosted_quality,
     "op3_sampled_splitters": sharding.op3_sampled_splitters,
     "op4_source_mixing": mixing.op4_source_mixing,
+    "op6_cover_tree_topk": cover_tree.op6_cover_tree_topk,
+    "op7_partenum_join": near_duplicates.op7_partenum_join,
+    "op8_html_main_text": html_text.op8_html_main_text,
     "op9_language_id": language.op9_language_id,
     "op10_token_counts": tokens.op10_token_counts,
 }
 
-SQL: dict[str, str] = {}
+SQL = {"op6_cover_tree_topk": cover_tree.SQL}
