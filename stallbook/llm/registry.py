@@ -9,6 +9,7 @@ from stallbook.llm import (
     mixing,
     near_duplicates,
     packing,
+    pseudo_likelihood,
     quality,
     sharding,
     tokens,
@@ -19,6 +20,7 @@ QUERIES = {
     "op2_boosted_quality": quality.op2_boosted_quality,
     "op3_sampled_splitters": sharding.op3_sampled_splitters,
     "op4_source_mixing": mixing.op4_source_mixing,
+    "op5_pseudo_likelihood": pseudo_likelihood.op5_pseudo_likelihood,
     "op6_cover_tree_topk": cover_tree.op6_cover_tree_topk,
     "op7_partenum_join": near_duplicates.op7_partenum_join,
     "op8_html_main_text": html_text.op8_html_main_text,
