@@ -1,8 +1,8 @@
 """Exact money arithmetic.
 
-Prices are doubles with two decimals.  Sums run over whole hundredths (BIGINT),
-so a mean does not depend on the order in which partitions are merged, and the
-hash aggregate keeps fixed-width buffers inside generated code.
+Prices are doubles.  Sums run over decimals with ``PRICE`` digits, so a mean does
+not depend on the order in which partitions are merged, and no price is rounded
+before its mean or change is.  Infinite prices and NaN are none.
 """
 
 from __future__ import annotations
@@ -10,43 +10,47 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Up to a million millions, six decimals.
+PRICE = "decimal(18,6)"
+
 
 def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def hundredths(price: str | Column) -> Column:
-    """Price as a whole number of hundredths."""
-    return F.floor(_col(price) * 100 + 0.5)
-
-
-# how far below a tie a double may lie and still count as the tie (1.005 -> 1.01)
-TIE_SLACK = 1e-6
+def exact(price: str | Column) -> Column:
+    """The price as a decimal; null if it is not a number of that size."""
+    return _col(price).try_cast(PRICE)
 
 
 def half_up(value: str | Column, digits: int = 2) -> Column:
     """Round half away from zero with plain double arithmetic."""
     value, scale = _col(value), 10.0**digits
-    return F.signum(value) * F.floor(F.abs(value) * scale + (0.5 + TIE_SLACK)) / scale
+    return F.signum(value) * F.floor(F.abs(value) * scale + 0.5) / scale
+
+
+def money(price: str | Column) -> Column:
+    """A price rounded half up to two decimals, exact on ties."""
+    return F.round(exact(price), 2).cast("double")
 
 
 def mean_price(total: Column, count: Column) -> Column:
-    """Unrounded mean price from a sum of hundredths and a row count."""
-    return total / count / 100
+    """Unrounded mean price from a sum of exact prices and their number."""
+    return F.try_divide(total.cast("double"), count)
 
 
 def rounded_mean(total: Column, count: Column) -> Column:
-    """Mean price rounded to two decimals, exact on ties."""
-    return F.floor(total / count + 0.5) / 100
+    """Mean price rounded half up to two decimals, exact on ties."""
+    return F.round(F.try_divide(total, count), 2).cast("double")
 
 
 def avg_price(price: str | Column) -> Column:
     """Aggregate: rounded mean of a price column."""
-    return rounded_mean(F.sum(hundredths(price)), F.count(_col(price)))
+    return rounded_mean(F.sum(exact(price)), F.count(exact(price)))
 
 
 def change_pct(now: Column, before: Column) -> Column:
     """Change of ``now`` against ``before`` in percent, two decimals; null if
-    the price before was below half a hundredth."""
-    now, before = hundredths(now), hundredths(before)
-    return half_up(F.try_divide((now - before) * 10000, before), 0) / 100
+    the price before was zero."""
+    now, before = exact(now), exact(before)
+    return F.round(F.try_divide((now - before) * 100, before), 2).cast("double")

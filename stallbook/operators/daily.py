@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stallbook.functions.numeric import half_up, hundredths, mean_price
+from stallbook.functions.numeric import exact
 
 KEYS = ("commodity", "state", "market")
 
@@ -27,10 +27,13 @@ def choose(df: DataFrame, **wanted: str | Sequence[str] | None) -> DataFrame:
 
 
 def daily_prices(prices: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Mean modal, min and max price and the number of rows per key and day."""
+    """Mean modal, min and max price and the number of rows per key and day.
+
+    Means are decimals with ten digits, so that means of them stay exact.
+    """
 
     def mean(column: str):
-        return mean_price(F.sum(hundredths(column)), F.count(column))
+        return F.round(F.try_divide(F.sum(exact(column)), F.count(exact(column))), 10).cast("decimal(24,10)")
 
     return prices.groupBy(*keys, "arrival_date").agg(
         mean("modal_price").alias("avg_price"),
@@ -66,14 +69,18 @@ def price_trend(
     if days:
         series = last_days(series, keys, days)
     by_day = Window.partitionBy(*keys).orderBy("arrival_date")
+
+    def mean_over(rows):
+        return F.try_divide(F.sum("avg_price").over(rows), F.count("avg_price").over(rows))
+
     return series.withColumns(
         {
-            "ma_7d": F.avg("avg_price").over(by_day.rowsBetween(-6, 0)),
-            "ma_30d": F.avg("avg_price").over(by_day.rowsBetween(-29, 0)),
+            "ma_7d": mean_over(by_day.rowsBetween(-6, 0)),
+            "ma_30d": mean_over(by_day.rowsBetween(-29, 0)),
         }
     ).withColumns(
         {
-            c: half_up(c, 4)
+            c: F.round(c, 4).cast("double")
             for c in ("avg_price", "min_price", "max_price", "ma_7d", "ma_30d")
         }
     )

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stallbook.functions.numeric import half_up, hundredths, mean_price
+from stallbook.functions.numeric import exact, half_up, mean_price
 from stallbook.operators.daily import KEYS
 
 ALPHA = 0.3  # smoothing weight of the newest point
@@ -24,7 +24,7 @@ SWING_PCT = 3  # change that counts as rising or falling
 def series_state(prices: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Per key: rows, points, last day and price, trend in percent, level."""
     daily = prices.groupBy(*keys, "arrival_date").agg(
-        mean_price(F.sum(hundredths("modal_price")), F.count("modal_price")).alias("price"),
+        mean_price(F.sum(exact("modal_price")), F.count(exact("modal_price"))).alias("price"),
         F.count(F.lit(1)).alias("rows"),
     )
     newest = Window.partitionBy(*keys).orderBy(F.desc("arrival_date"))
@@ -99,7 +99,8 @@ def price_outlook(prices: DataFrame, keys: Sequence[str] = KEYS, days: int = 7)
     """One row per key: last price, mean forecast, shift and trend, or the
     reason why there is no forecast."""
     enough = F.col("records") >= MIN_ROWS
-    horizon = F.transform(F.sequence(F.lit(1), F.lit(days)), lambda d: hundredths(_price_on(d)))
+    horizon = F.transform(F.sequence(F.lit(1), F.lit(days)), lambda d: F.floor(_price_on(d) * 100 + 0.5))
+    # the days are forecast to the hundredth, so the mean is over hundredths
     total = F.aggregate(horizon, F.lit(0).cast("bigint"), lambda a, b: a + b)
     return series_state(prices, keys).select(
         *keys,

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stallbook.functions.numeric import avg_price, half_up, hundredths, mean_price
+from stallbook.functions.numeric import avg_price, exact, mean_price, money
 from stallbook.session import settle
 
 
@@ -76,7 +76,7 @@ def latest_prices(
 
 def _mean(price: str) -> Column:
     """Unrounded mean to rank by: two groups may differ by less than a hundredth."""
-    return mean_price(F.sum(hundredths(price)), F.count(price))
+    return mean_price(F.sum(exact(price)), F.count(exact(price)))
 
 
 def best_markets(prices: DataFrame, per_key: int = 10, days: int = 30) -> DataFrame:
@@ -88,7 +88,7 @@ def best_markets(prices: DataFrame, per_key: int = 10, days: int = 30) -> DataFr
         .agg(
             _mean("modal_price").alias("_mean"),
             avg_price("modal_price").alias("avg_price"),
-            half_up(F.max("max_price")).alias("max_price"),
+            money(F.max("max_price")).alias("max_price"),
             F.count("modal_price").alias("data_points"),
         )
     )

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stallbook.functions.numeric import avg_price, half_up, hundredths, rounded_mean
+from stallbook.functions.numeric import avg_price, exact, half_up, money, rounded_mean
 
 MONTH_KEYS = ("commodity", "market", "state", "year", "month")
 
@@ -28,8 +28,8 @@ def monthly_analytics(prices: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total_records"),
         F.coalesce(F.bit_count(F.bit_or(day_bit)), F.lit(0)).cast("bigint").alias("trading_days"),
         avg_price("modal_price").alias("avg_modal_price"),
-        half_up(F.min("modal_price")).alias("min_modal_price"),
-        half_up(F.max("modal_price")).alias("max_modal_price"),
+        money(F.min("modal_price")).alias("min_modal_price"),
+        money(F.max("modal_price")).alias("max_modal_price"),
         half_up(F.stddev("modal_price")).alias("price_stddev"),
         avg_price("min_price").alias("avg_min_price"),
         avg_price("max_price").alias("avg_max_price"),
@@ -43,8 +43,8 @@ def commodity_summary(prices: DataFrame, top: int = 20) -> DataFrame:
         .agg(
             F.count(F.lit(1)).alias("records"),
             avg_price("modal_price").alias("avg_price"),
-            half_up(F.min("modal_price")).alias("min_price"),
-            half_up(F.max("modal_price")).alias("max_price"),
+            money(F.min("modal_price")).alias("min_price"),
+            money(F.max("modal_price")).alias("max_price"),
             F.min("arrival_date").alias("earliest"),
             F.max("arrival_date").alias("latest"),
         )
@@ -61,11 +61,11 @@ def commodity_analytics(prices: DataFrame, more_than: int = 100, top: int = 10)
     the distinct counts to a small table.  The spread is put together from the
     spread within and between the groups.
     """
-    cents = hundredths("modal_price")
+    price = exact("modal_price")
     groups = prices.groupBy("commodity", "state", "market").agg(
         F.count(F.lit(1)).alias("rows"),
-        F.count("modal_price").alias("n"),
-        F.sum(cents).alias("cents"),
+        F.count(price).alias("n"),
+        F.sum(price).alias("sum"),
         F.avg("modal_price").alias("mean"),
         F.var_pop("modal_price").alias("within"),
         F.max("modal_price").alias("highest"),
@@ -81,8 +81,8 @@ def commodity_analytics(prices: DataFrame, more_than: int = 100, top: int = 10)
             F.sum("rows").alias("total_records"),
             F.countDistinct("market").alias("num_markets"),
             F.countDistinct("state").alias("num_states"),
-            rounded_mean(F.sum("cents"), total).alias("avg_price"),
-            half_up(F.max("highest")).alias("max_price"),
+            rounded_mean(F.sum("sum"), total).alias("avg_price"),
+            money(F.max("highest")).alias("max_price"),
             half_up(F.sqrt(variance)).alias("price_stddev"),
             F.min("first").alias("data_from"),
             F.max("last").alias("data_until"),

@@ -18,7 +18,9 @@ def _money(value: Column) -> Column:
     return F.floor(value * 100 + 0.5) / 100
 
 
-def from_lines(lines: DataFrame, part: DataFrame, supplier: DataFrame, nation: DataFrame) -> DataFrame:
+def from_lines(
+    lines: DataFrame, part: DataFrame, supplier: DataFrame, nation: DataFrame, *also: str
+) -> DataFrame:
     """Join and rename.  No join is hinted: Spark broadcasts a dimension only
     while its size is under ``spark.sql.autoBroadcastJoinThreshold``."""
     day = F.to_date("l_shipdate")
@@ -46,10 +48,27 @@ def from_lines(lines: DataFrame, part: DataFrame, supplier: DataFrame, nation: D
             _money(F.col("l_extendedprice") - F.col("l_quantity")).alias("min_price"),
             _money(F.col("l_extendedprice") + F.col("l_quantity")).alias("max_price"),
             _money(F.col("l_extendedprice")).alias("modal_price"),
+            *also,
         )
     )
 
 
+def per_unit(observations: DataFrame, quantity: str = "l_quantity") -> DataFrame:
+    """The same rows with prices of one unit, in four decimals."""
+
+    def price(column: str) -> Column:
+        hundredths = F.floor(F.col(column) * 100 + 0.5).cast("bigint")
+        return F.floor(hundredths * 100 / F.col(quantity).cast("bigint")) / 10000
+
+    prices = {c: price(c) for c in ("min_price", "max_price", "modal_price")}
+    return observations.withColumns(prices).drop(quantity)
+
+
+def unit_prices(spark: SparkSession, folder: str) -> DataFrame:
+    names = ("lineitem", "part", "supplier", "nation")
+    return per_unit(from_lines(*[table(spark, folder, n) for n in names], "l_quantity"))
+
+
 def price_observations(spark: SparkSession, folder: str) -> DataFrame:
     names = ("lineitem", "part", "supplier", "nation")
     return from_lines(*[table(spark, folder, n) for n in names])

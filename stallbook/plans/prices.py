@@ -30,19 +30,11 @@ def enriched(
 ) -> DataFrame:
     """Valid, deduplicated prices with change, moving averages and volatility.
 
-    Without a long series, the rows are brought together by series once: the
-    deduplication then finds its groups inside the same partitions and in the
-    same order as the indicators, which makes one exchange and one sort for
-    both.  Otherwise copies are dropped before the shuffle, the result is
-    written, since the window step reads it more than once, and long series are
-    cut.  A pipeline that keeps a silver table calls ``windows.with_indicators``
-    on that table instead.
+    Copies are dropped before the shuffle, one row per key and task at most.  The
+    result is written, since the window step looks for long series in it and
+    then reads it again; long series are cut.  A pipeline that keeps a silver
+    table calls ``windows.with_indicators`` on that table instead.
     """
-    valid = quality.valid_prices(raw)
     identity = [*keys, *[c for c in quality.PRICE_IDENTITY if c not in keys]]
-    nested = set(keys) <= set(quality.PRICE_IDENTITY)
-    if nested and windows.long_series(valid, keys, rows_per_piece) is None:
-        clean = quality.dedupe(valid.repartition(*keys), identity)
-        return windows.with_indicators(with_calendar(clean), keys, rows_per_piece=None)
-    clean = settle(with_calendar(quality.dedupe(valid, identity)), "silver")
+    clean = settle(with_calendar(quality.dedupe(quality.valid_prices(raw), identity)), "silver")
     return windows.with_indicators(clean, keys, rows_per_piece=rows_per_piece)

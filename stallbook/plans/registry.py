@@ -27,7 +27,7 @@ from stallbook.operators import vectors as vectors_op
 from stallbook.operators.text_vectors import fit_text_vectors, with_text_vectors
 from stallbook.plans import advice, model
 from stallbook.plans import prices as price_plan
-from stallbook.plans.observations import from_lines, price_observations, table
+from stallbook.plans.observations import from_lines, price_observations, table, unit_prices
 from stallbook.session import scratch_path, settle
 from stallbook.sinks import tables as sinks
 from stallbook.sources import files, tables
@@ -156,6 +156,39 @@ def rule_counts(spark, folder):
     return quality.rule_counts(price_observations(spark, folder), quality.price_rules())
 
 
+# the same operators on prices with four decimals
+
+
+@_query
+def unit_price_analytics(spark, folder):
+    return summaries.monthly_analytics(price_plan.silver(unit_prices(spark, folder)))
+
+
+@_query
+def unit_price_enriched(spark, folder):
+    return price_plan.enriched(unit_prices(spark, folder))
+
+
+@_query
+def unit_price_summary(spark, folder):
+    return summaries.commodity_analytics(unit_prices(spark, folder))
+
+
+@_query
+def unit_price_markets(spark, folder):
+    return recency.best_markets(unit_prices(spark, folder))
+
+
+@_query
+def unit_price_trend(spark, folder):
+    return daily.price_trend(unit_prices(spark, folder), ("commodity", "state"), days=90)
+
+
+@_query
+def unit_price_forecast(spark, folder):
+    return forecast.price_forecast(unit_prices(spark, folder), ("commodity", "state"))
+
+
 # ---- price files --------------------------------------------------------------
 
 

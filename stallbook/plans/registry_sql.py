@@ -29,25 +29,34 @@ dedup AS (
 """
 
 
+def micros(price: str) -> str:
+    """The price as a whole number of millionths, for exact sums."""
+    return f"CAST(CAST({price} AS DECIMAL(18, 6)) * 1000000 AS BIGINT)"
+
+
 def mean(price: str, over: str = "") -> str:
-    """Mean of a two-decimal price, rounded half up on exact hundredths."""
-    cents = f"CAST(floor({price} * 100 + 0.5) AS BIGINT)"
-    return f"floor(CAST(sum({cents}) {over} AS DOUBLE) / count({price}) {over} + 0.5) / 100"
+    """Exact mean of a price, rounded half up to hundredths in whole numbers."""
+    total, n = f"CAST(sum({micros(price)}) {over} AS HUGEINT)", f"count({price}) {over}"
+    return f"CAST((2 * {total} + {n} * 10000) // (2 * {n} * 10000) AS DOUBLE) / 100"
+
+
+def money(x: str) -> str:
+    return f"CAST(round(CAST({x} AS DECIMAL(18, 6)), 2) AS DOUBLE)"
 
 
 def half_up(x: str, digits: int = 2) -> str:
-    return f"(sign({x}) * floor(abs({x}) * 1e{digits} + 0.500001) / 1e{digits})"
+    return f"(sign({x}) * floor(abs({x}) * 1e{digits} + 0.5) / 1e{digits})"
 
 
 ENRICHED = f"""
 before AS (
-  SELECT *, lag(CAST(floor(modal_price * 100 + 0.5) AS BIGINT)) OVER s AS was,
-         CAST(floor(modal_price * 100 + 0.5) AS BIGINT) AS now
+  SELECT *, lag({micros("modal_price")}) OVER s AS was, {micros("modal_price")} AS now
   FROM dedup WINDOW s AS (PARTITION BY commodity, market ORDER BY arrival_date, variety, price_id)),
 enriched AS (
   SELECT * EXCLUDE (was, now),
          CASE WHEN was IS NULL THEN 0.0
-              ELSE {half_up("(CAST((now - was) * 10000 AS DOUBLE) / was)", 0)} / 100 END AS price_change_pct,
+              ELSE sign(now - was) * CAST((2 * CAST(abs(now - was) AS HUGEINT) * 10000 + was) // (2 * was) AS DOUBLE) / 100
+         END AS price_change_pct,
          {mean("modal_price", "OVER w7")} AS moving_avg_7d,
          {mean("modal_price", "OVER w30")} AS moving_avg_30d,
          {half_up("(stddev_samp(modal_price) OVER w7)")} AS volatility_7d
@@ -65,7 +74,7 @@ WITH {PRICE_OBS}
 SELECT commodity, market, state, CAST(year(arrival_date) AS INT) AS year, CAST(month(arrival_date) AS INT) AS month,
        count(*) AS total_records, count(DISTINCT arrival_date) AS trading_days,
        {mean("modal_price")} AS avg_modal_price,
-       {half_up("min(modal_price)")} AS min_modal_price, {half_up("max(modal_price)")} AS max_modal_price,
+       {money("min(modal_price)")} AS min_modal_price, {money("max(modal_price)")} AS max_modal_price,
        {half_up("stddev_samp(modal_price)")} AS price_stddev,
        {mean("min_price")} AS avg_min_price, {mean("max_price")} AS avg_max_price
 FROM obs
@@ -81,7 +90,7 @@ SQL["price_enriched"] = f"WITH {PRICE_OBS}, {DEDUPED}, {ENRICHED} SELECT * FROM
 SQL["commodity_summary"] = f"""
 WITH {PRICE_OBS}
 SELECT commodity, count(*) AS records, {mean("modal_price")} AS avg_price,
-       {half_up("min(modal_price)")} AS min_price, {half_up("max(modal_price)")} AS max_price,
+       {money("min(modal_price)")} AS min_price, {money("max(modal_price)")} AS max_price,
        min(arrival_date) AS earliest, max(arrival_date) AS latest
 FROM obs GROUP BY commodity ORDER BY records DESC, commodity LIMIT 20
 """
@@ -90,7 +99,7 @@ SQL["commodity_analytics"] = f"""
 WITH {PRICE_OBS}
 SELECT commodity, count(*) AS total_records, count(DISTINCT market) AS num_markets,
        count(DISTINCT state) AS num_states, {mean("modal_price")} AS avg_price,
-       {half_up("max(modal_price)")} AS max_price, {half_up("stddev_samp(modal_price)")} AS price_stddev,
+       {money("max(modal_price)")} AS max_price, {half_up("stddev_samp(modal_price)")} AS price_stddev,
        min(arrival_date) AS data_from, max(arrival_date) AS data_until
 FROM obs GROUP BY commodity HAVING count(*) > 100 ORDER BY avg_price DESC, commodity LIMIT 10
 """
@@ -124,25 +133,36 @@ FROM trend GROUP BY commodity
 
 
 def raw_mean(price: str) -> str:
-    return f"CAST(sum(CAST(floor({price} * 100 + 0.5) AS BIGINT)) AS DOUBLE) / count({price}) / 100"
+    return f"CAST(sum({micros(price)}) AS DOUBLE) / 1000000 / count({price})"
+
+
+def tenths(price: str) -> str:
+    """Mean price as a whole number of units of 1e-10."""
+    return f"(2 * CAST(sum({micros(price)}) AS HUGEINT) * 10000 + count({price})) // (2 * count({price}))"
 
 
 def series(keys: str) -> str:
     return f"""
 daily AS (
-  SELECT {keys}, arrival_date, {raw_mean("modal_price")} AS avg_price, {raw_mean("min_price")} AS min_price,
-         {raw_mean("max_price")} AS max_price, count(modal_price) AS volume
+  SELECT {keys}, arrival_date, {tenths("modal_price")} AS avg_price, {tenths("min_price")} AS min_price,
+         {tenths("max_price")} AS max_price, count(modal_price) AS volume
   FROM obs GROUP BY {keys}, arrival_date)
 """
 
 
 def rolled(keys: str, source: str) -> str:
     window = f"PARTITION BY {keys} ORDER BY arrival_date ROWS BETWEEN"
+
+    def over(rows: str) -> str:
+        total, n = (f"{f}(avg_price) OVER ({window} {rows} PRECEDING AND CURRENT ROW)" for f in ("sum", "count"))
+        return f"CAST((2 * CAST({total} AS HUGEINT) + {n} * 1000000) // (2 * {n} * 1000000) AS DOUBLE) / 10000"
+
+    def one(price: str) -> str:
+        return f"CAST((2 * {price} + 1000000) // 2000000 AS DOUBLE) / 10000"
+
     return f"""
-SELECT {keys}, arrival_date, volume, {half_up("avg_price", 4)} AS avg_price,
-       {half_up("min_price", 4)} AS min_price, {half_up("max_price", 4)} AS max_price,
-       {half_up(f"(avg(avg_price) OVER ({window} 6 PRECEDING AND CURRENT ROW))", 4)} AS ma_7d,
-       {half_up(f"(avg(avg_price) OVER ({window} 29 PRECEDING AND CURRENT ROW))", 4)} AS ma_30d
+SELECT {keys}, arrival_date, volume, {one("avg_price")} AS avg_price, {one("min_price")} AS min_price,
+       {one("max_price")} AS max_price, {over("6")} AS ma_7d, {over("29")} AS ma_30d
 FROM {source}
 """
 
@@ -173,7 +193,7 @@ SQL["best_markets"] = f"""
 WITH {PRICE_OBS}, {recent("commodity, state")},
 means AS (
   SELECT commodity, state, market, {raw_mean("modal_price")} AS m, {mean("modal_price")} AS avg_price,
-         {half_up("max(max_price)")} AS max_price, count(modal_price) AS data_points
+         {money("max(max_price)")} AS max_price, count(modal_price) AS data_points
   FROM recent GROUP BY commodity, state, market)
 SELECT * EXCLUDE (m), CAST(row_number() OVER (PARTITION BY commodity, state ORDER BY m DESC, market) AS INT) AS rank
 FROM means QUALIFY rank <= 10
@@ -662,3 +682,21 @@ SELECT commodity, market, arrival_date, modal_price, moving_avg_7d AS prediction
        {half_up("(e / modal_price * 100)")} AS error_pct
 FROM errors
 """
+
+
+def unit_price(value: str) -> str:
+    return f"(CAST(floor({value} * 100 + 0.5) AS BIGINT) * 100 // CAST(l_quantity AS BIGINT)) / 10000"
+
+
+UNIT_OBS = PRICE_OBS
+for _value in ("(l_extendedprice - l_quantity)", "(l_extendedprice + l_quantity)", "l_extendedprice"):
+    UNIT_OBS = UNIT_OBS.replace(f"floor({_value} * 100 + 0.5) / 100", unit_price(f"(floor({_value} * 100 + 0.5) / 100)"))
+for _unit, _whole in {
+    "unit_price_analytics": "gold_price_analytics",
+    "unit_price_enriched": "price_enriched",
+    "unit_price_summary": "commodity_analytics",
+    "unit_price_markets": "best_markets",
+    "unit_price_trend": "trend_last_n_days",
+    "unit_price_forecast": "price_forecast",
+}.items():
+    SQL[_unit] = SQL[_whole].replace(PRICE_OBS, UNIT_OBS)

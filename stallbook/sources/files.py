@@ -113,6 +113,12 @@ def _found(df: DataFrame, headers: tuple[str, ...]) -> Column:
     return F.coalesce(*[F.col(f"`{n}`").cast("string") for n in names])
 
 
+def finite(column: str) -> Column:
+    """The text as a double; null if it is none, or not finite."""
+    value = F.col(column).try_cast("double")
+    return F.when(F.abs(value) < float("inf"), value)
+
+
 def price_key() -> Column:
     """Repeatable key: the same row gets the same id on every read and retry."""
     parts = [
@@ -134,11 +140,8 @@ def price_rows(raw: DataFrame) -> DataFrame:
     typed = named.withColumns(
         {
             "arrival_date": parse_date("arrival_date"),
-            # the text "NaN" is a double for Spark, but not a price
-            **{
-                c: F.nullif(F.col(c).try_cast("double"), F.lit(float("nan")))
-                for c in ("min_price", "max_price", "modal_price")
-            },
+            # "NaN" and "Infinity" are doubles for Spark, but not prices
+            **{c: finite(c) for c in ("min_price", "max_price", "modal_price")},
         }
     )
     return typed.select(price_key().alias("price_id"), *typed.columns)

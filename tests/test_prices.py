@@ -38,7 +38,17 @@ def test_missing_and_tiny_prices_do_not_fail(price_frame):
     assert month.avg_min_price is None and month.total_records == 2
     assert daily.price_trend(rows, ("commodity",)).first().min_price is None
     changes = [r.price_change_pct for r in windows.with_indicators(rows).orderBy("arrival_date").collect()]
-    assert changes == [0.0, None]
+    assert changes == [0.0, 124900.0]
+
+
+def test_prices_are_not_rounded_before_means_and_changes(price_frame):
+    rows = price_frame([{"price": 10.004}, {"price": 10.005}, {"price": 1.234}, {"price": 1.236}, {"price": 0.0}, {"price": 3.0}])
+    assert summaries.top_commodities(rows.filter("modal_price > 10")).first().avg_price == 10.0
+    changes = [r.price_change_pct for r in windows.with_indicators(rows).orderBy("arrival_date").collect()]
+    assert changes[3] == 0.16 and changes[5] is None
+    odd = rows.withColumn("modal_price", F.expr("if(modal_price < 1, double('Infinity'), modal_price)"))
+    assert summaries.commodity_counts(odd).first()["count"] == 6
+    assert summaries.top_commodities(odd).first().avg_price == 5.1
 
 
 def test_commodity_spread_is_put_together_from_groups(price_frame):
