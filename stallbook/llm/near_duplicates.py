@@ -11,9 +11,10 @@ single parts, which for these sizes is the form with the fewest signatures.
 As more than ``k + 1`` parts are cut, linked sets share several signatures.  So a set
 that shares fewer with anybody has no link and drops out, one sum per set, before
 any pair is formed; passages that many documents share end here.  Of each remaining
-signature all sets are compared with one of them.  Only where a signature's sets
-then lie in different components are the other pairs across them formed, counted
-and compared.  Comparisons are exact, on the sets themselves.
+signature all sets are compared with one of them, which joins large groups of
+copies.  Where a signature's sets then lie in different components, pairs across
+them are formed that may still link, as their rarest features tell, and compared.
+Comparisons are exact, on the sets themselves.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ SEND = 1 << 21
 HOT = 256
 #: Bits of the filter that finds the sets to compare again; larger data share bits.
 FILTER_BITS = 1 << 27
+#: Slots in which features are counted to tell rare ones; they only set an order.
+RARITY_SLOTS = 1 << 20
 
 _MIX = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
@@ -321,11 +324,18 @@ def set_components(documents: DataFrame, named: DataFrame, size: int = WORDS, pe
         .agg(F.count("*").alias("times"))
         .join(needs, ["name", "parity"])
         .where("times >= need")
-        .select("name", "parity", "need")
+        .select("name", "parity")
+    )
+    shared = settle(shared.distinct().join(enough, ["name", "parity"]).select("name", "sign"), "shared")
+    # compared first: with the one of each signature that shares most with others
+    sharers = shared.groupBy("sign").agg(F.count("*").alias("members")).where("members > 1")
+    shared = settle(shared.join(sharers, "sign"), "met")
+    weight = shared.groupBy("name").agg(F.sum("members").alias("weight"))
+    first = F.max(F.struct("weight", "name")).getField("name")
+    hubs = shared.join(weight, "name").groupBy("sign").agg(first.alias("hub"))
+    stars = shared.join(hubs, "sign").where("name <> hub").select(
+        F.least("hub", "name").alias("a"), F.greatest("hub", "name").alias("b")
     )
-    shared = settle(shared.distinct().join(enough, ["name", "parity"]), "shared")
-    hubs = shared.groupBy("sign").agg(F.min("name").alias("hub"), F.count("*").alias("members")).where("members > 1")
-    stars = shared.join(hubs, "sign").where("name <> hub").select(F.col("hub").alias("a"), F.col("name").alias("b"))
     stars = settle(stars.distinct(), "stars")
     # whoever shares a signature is in a star, so these are all sets to compare
     names = settle(stars.select(F.explode(F.array("a", "b")).alias("name")).distinct(), "names")
@@ -333,27 +343,86 @@ def set_components(documents: DataFrame, named: DataFrame, size: int = WORDS, pe
     links = settle(linked(stars, sets, percent), "links")
     roots = components(links)
     placed = shared.join(roots, shared["name"] == roots["node"], "left").select(
-        "sign", "name", "need", F.coalesce("root", "name").alias("root")
+        "sign", "name", F.coalesce("root", "name").alias("root")
     )
-    mixed_signs = placed.groupBy("sign").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    open_ = settle(placed.join(mixed_signs.select("sign"), "sign"), "open")
-    if open_.limit(1).count():
-        # a pair that links shares as many signatures as either of its sets needs
-        a = open_.select("sign", F.col("name").alias("a"), F.col("root").alias("ra"), F.col("need").alias("na"))
-        b = open_.select("sign", F.col("name").alias("b"), F.col("root").alias("rb"), F.col("need").alias("nb"))
-        across = (
-            a.join(b, "sign")
-            .where("a < b and ra <> rb")
-            .groupBy("a", "b")
-            .agg(F.count("*").alias("times"), F.max(F.greatest("na", "nb")).alias("need"))
-            .where("times >= need")
-            .select("a", "b")
-            .join(stars, ["a", "b"], "left_anti")
+    apart = placed.groupBy("sign").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    open_ = settle(placed.join(apart.select("sign"), "sign").select("name", "root").distinct(), "open")
+    more = settle(linked(pairs_across(open_, sets, percent).join(stars, ["a", "b"], "left_anti"), sets, percent), "more")
+    return components(links.union(more)) if more.limit(1).count() else roots
+
+
+def rarity(sets: DataFrame) -> np.ndarray:
+    """How many features of the sets fall into each of ``RARITY_SLOTS`` slots."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(RARITY_SLOTS, dtype=np.int64)
+        for batch in batches:
+            features = batch.column("features").flatten().to_numpy()
+            held += np.bincount(features & (RARITY_SLOTS - 1), minlength=RARITY_SLOTS)
+        slot = np.flatnonzero(held)
+        for a in range(0, len(slot), 1 << 15):
+            own = slot[a : a + (1 << 15)]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(held[own])], names=["slot", "n"])
+
+    rows = sets.select("features").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(RARITY_SLOTS, dtype=np.int64)
+    counts[rows["slot"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+    return counts
+
+
+def pairs_across(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (``a``, ``b``) of the sets in ``open_`` (``name``, ``root``) with different roots
+    that may reach the threshold: their rarest features decide.
+
+    In an order of all features, rare ones first, sets that link have a first common
+    feature so early that the features from there on suffice for the overlap they
+    need.  So only the first features of each set are joined, each with its place,
+    and only if one of the two sets isn't in the root that holds most sets with
+    that feature: a large class is never paired with itself.
+    """
+    ours = sets.join(open_, "name").select("name", "root", "features")
+    shared = sets.sparkSession.sparkContext.broadcast(rarity(ours))
+
+    def first_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rare = shared.value
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                columns: list[list] = [[], [], [], [], []]
+                for name, root, features in zip(*part.columns):
+                    held = features.values.to_numpy()
+                    n = len(held)
+                    order = np.lexsort((held, rare[held & (RARITY_SLOTS - 1)]))[: n - -(-percent * n // 100) + 1]
+                    for column, value in zip(columns, (np.full(len(order), name.as_py()), np.full(len(order), root.as_py()),
+                                                       np.full(len(order), n), np.arange(len(order)), held[order])):
+                        column.append(value)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(c), pa.int64()) for c in columns], names=["name", "root", "n", "at", "feature"]
+                )
+
+    rows = settle(ours.mapInArrow(first_features, "name long, root long, n long, at long, feature long"), "first_features")
+    top = rows.groupBy("feature", "root").agg(F.count("*").alias("m")).groupBy("feature").agg(
+        F.max(F.struct("m", "root")).getField("root").alias("top"), F.min("root").alias("low"), F.max("root").alias("high")
+    )
+    rows = settle(rows.join(top.where("low <> high").select("feature", "top"), "feature"), "ranked_features")
+    # of a pair the smaller set needs its first features to a ninth (at 80 percent) only
+    smaller = rows.where(F.col("at") <= F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent)))
+
+    def side(df: DataFrame, mark: str) -> DataFrame:
+        return df.select("feature", *[F.col(c).alias(mark + c) for c in ("name", "root", "n", "at")])
+
+    def meet(left: DataFrame, right: DataFrame) -> DataFrame:
+        needed = F.ceil(percent * (F.col("a_n") + F.col("b_n")) / (100 + percent))
+        return side(left, "a_").join(side(right, "b_"), "feature").where(
+            (F.col("a_root") != F.col("b_root"))
+            & (F.struct("a_n", "a_name") < F.struct("b_n", "b_name"))
+            & (100 * F.col("a_n") >= percent * F.col("b_n"))
+            & (F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")) >= needed)
         )
-        more = settle(linked(across, sets, percent), "more")
-        if more.limit(1).count():
-            roots = components(links.union(more))
-    return roots
+
+    minor, major = "root <> top", "root = top"
+    found = meet(smaller.where(minor), rows).union(meet(smaller.where(major), rows.where(minor)))
+    return found.select(F.least("a_name", "b_name").alias("a"), F.greatest("a_name", "b_name").alias("b")).distinct()
 
 
 def near_duplicates(documents: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
