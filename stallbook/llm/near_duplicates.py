@@ -43,7 +43,7 @@ HOT = 256
 #: Bits of the filter that finds the sets to compare again; larger data share bits.
 FILTER_BITS = 1 << 27
 #: Slots in which features are counted to tell rare ones; they only set an order.
-RARITY_SLOTS = 1 << 20
+RARITY_SLOTS = 1 << 18
 
 _MIX = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
@@ -255,10 +255,10 @@ def filter_of(names: DataFrame, column: str) -> tuple[np.ndarray, int]:
         names.select(F.floor(slot / 63).cast("long").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(pmod({column}, {bits}), 63) as int))").alias("v"))
         .groupBy("w")
         .agg(F.bit_or("v").alias("v"))
-        .toPandas()
+        .toArrow()
     )
     held = np.zeros(bits // 63 + 1, dtype=np.int64)
-    held[words["w"].to_numpy(np.int64)] = words["v"].to_numpy(np.int64)
+    held[words["w"].to_numpy()] = words["v"].to_numpy()
     return held, bits
 
 
@@ -364,9 +364,9 @@ def rarity(sets: DataFrame) -> np.ndarray:
             own = slot[a : a + (1 << 15)]
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(held[own])], names=["slot", "n"])
 
-    rows = sets.select("features").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    rows = sets.select("features").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(RARITY_SLOTS, dtype=np.int64)
-    counts[rows["slot"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+    counts[rows["slot"].to_numpy()] = rows["n"].to_numpy()
     return counts
 
 

@@ -70,9 +70,9 @@ def word_counts(documents: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(held[own])], names=["slot", "n"])
 
     found = texts_of(documents).select("text").mapInArrow(count, "slot int, n long")
-    rows = found.groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    rows = found.groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(SLOTS, dtype=np.int64)
-    counts[rows["slot"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+    counts[rows["slot"].to_numpy()] = rows["n"].to_numpy()
     return counts
 
 
@@ -235,10 +235,10 @@ def train_round(encoded: DataFrame, start: Network, turn: int) -> Network:
                 )
 
     rows = encoded.select("ids").mapInArrow(train, "at int, v long, n long")
-    sums = rows.groupBy("at").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).toPandas().sort_values("at")
+    sums = rows.groupBy("at").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).toArrow().sort_by("at")
     if not len(sums):
         return start
-    return Network(sums["v"].to_numpy(float) / _FIXED / sums["n"].to_numpy(float))
+    return Network(sums["v"].to_numpy() / _FIXED / sums["n"].to_numpy())
 
 
 def encode(documents: DataFrame, vocabulary: Vocabulary) -> DataFrame:

@@ -226,7 +226,7 @@ def learn(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS,
 
     schema = "doc_id long, quality int, " + ", ".join(f"{f} double" for f in FEATURES)
     # the size of the drawn labels is bounded above, so they are broadcast
-    found = texts.join(F.broadcast(drawn), "doc_id").select("doc_id", "quality", "text").mapInArrow(measure, schema).toPandas()
+    found = texts.join(F.broadcast(drawn), "doc_id").select("doc_id", "quality", "text").mapInArrow(measure, schema).toArrow().to_pandas()
     found = found.sort_values(["doc_id", "quality", *FEATURES], kind="stable")
     return grow(found[list(FEATURES)].to_numpy(float), found["quality"].to_numpy(float))
 
