@@ -14,6 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -153,12 +154,12 @@ def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS, seed: int = 5) -> Mod
         .mapInArrow(count, "lang string, bucket int, n long")
         .groupBy("lang", "bucket")
         .agg(F.sum("n").alias("n"))
-        .collect()
+        .toArrow()
     )
     matrix = np.full((BUCKETS, len(languages)), SMOOTHING)
-    column = {name: i for i, name in enumerate(languages)}
-    for name, bucket, n in counted:
-        matrix[bucket, column[name]] += n
+    if len(counted):
+        column = pc.index_in(counted["lang"], pa.array(languages)).to_numpy()
+        matrix[counted["bucket"].to_numpy(), column] += counted["n"].to_numpy()
     matrix = np.log(matrix / matrix[1:].sum(axis=0)).astype(np.float32)
     matrix[0] = 0
     prior = np.log(np.array([rows[name] for name in languages]) / sum(rows.values()))
