@@ -24,9 +24,8 @@ def exact(price: str | Column) -> Column:
 
 
 def half_up(value: str | Column, digits: int = 2) -> Column:
-    """Round half away from zero with plain double arithmetic."""
-    value, scale = _col(value), 10.0**digits
-    return F.signum(value) * F.floor(F.abs(value) * scale + 0.5) / scale
+    """Round the number as it is written in decimals, half away from zero."""
+    return F.round(_col(value), digits)
 
 
 def money(price: str | Column) -> Column:

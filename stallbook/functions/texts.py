@@ -30,6 +30,13 @@ def text_or_empty(value: str | Column) -> Column:
     return F.coalesce(_col(value).cast("string"), F.lit(""))
 
 
+def unambiguous(*parts: Column) -> Column:
+    """The texts in a row, each after its length, so that no two rows of parts
+    give the same text; null counts as an empty text."""
+    texts = [F.coalesce(p, F.lit("")) for p in parts]
+    return F.concat(*[x for t in texts for x in (F.char_length(t).cast("string"), F.lit(":"), t)])
+
+
 def labelled(lines: Mapping[str, str | Column]) -> Column:
     """``Label: value`` lines; a null value leaves the label with an empty text."""
     return F.concat_ws(

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stallbook.operators.keys import match_keys
 from stallbook.session import settle
 
 
@@ -28,28 +29,40 @@ def snapshot_diff(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFr
     """Inserted, updated and deleted rows between two versions.
 
     Updates and inserts carry the new values, deletes the old ones; ``copies``
-    says how often the row was added or removed.  Equal rows of both versions
-    cancel out in one aggregate over whole rows, so nothing is paired up: copies
-    are combined on the map side and a repeated or null key cannot multiply.
-    Only the changed rows are looked at by key.
+    says how often the row was added or removed.  A column that only one version
+    has is null in the other, so a row that had a value there has changed.
+
+    What is shuffled of unchanged rows is their key and a hash of 128 bits.  Equal
+    rows cancel out in aggregates, so nothing is paired up and a repeated or null
+    key cannot multiply.  Only rows whose hash is left over are read whole, compared
+    whole and looked at by key.
     """
-    columns = new.columns
+    columns = [*new.columns, *[c for c in old.columns if c not in new.columns]]
+    absent = {c: (new if c in new.columns else old).schema[c].dataType for c in columns}
 
     def side(df: DataFrame, sign: int) -> DataFrame:
-        return df.select(*columns).withColumn("_sign", F.lit(sign))
+        whole = df.select(*[F.col(c) if c in df.columns else F.lit(None).cast(absent[c]).alias(c) for c in columns])
+        values = [x for c in columns for x in (F.col(c), F.col(c).isNull())]
+        marks = {f"_hash_{i}": F.xxhash64(F.lit(i), *values) for i in range(2)}
+        return whole.withColumns(marks).withColumn("_sign", F.lit(sign))
 
-    balance = side(new, 1).union(side(old, -1)).groupBy(*columns).agg(F.sum("_sign").alias("_n"))
-    changed = settle(balance.filter(F.col("_n") != 0), "changed_rows")
+    hashes = ["_hash_0", "_hash_1"]
+    both = side(new, 1).union(side(old, -1))
+    left_over = (
+        both.select(*keys, *hashes, "_sign").groupBy(*keys, *hashes).agg(F.sum("_sign").alias("_n")).filter("_n <> 0")
+    )
+    left_over = settle(left_over.select(*hashes).distinct(), "changed_hashes")
+    whole = both.join(left_over, hashes, "left_semi").groupBy(*columns).agg(F.sum("_sign").alias("_n"))
+    changed = settle(whole.filter(F.col("_n") != 0), "changed_rows")
     on_both = (
         changed.groupBy(*keys)
         .agg(F.bool_or(F.col("_n") > 0).alias("added"), F.bool_or(F.col("_n") < 0).alias("removed"))
         .filter("added AND removed")
-        .select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.lit(True).alias("_both"))
+        .select(*keys, F.lit(True).alias("_both"))
     )
-    same_key = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
     updated = F.coalesce("_both", F.lit(False))
     return (
-        changed.join(on_both, same_key, "left")
+        match_keys(changed, on_both, keys, "left")
         .filter(~updated | (F.col("_n") > 0))
         .withColumn(
             "change",

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stallbook.functions.texts import labelled, preview, text_or_empty
+from stallbook.functions.texts import labelled, preview, text_or_empty, unambiguous
 
 
 # The line labels of each kind of chunk and the columns behind them.
@@ -86,7 +86,7 @@ def guide_chunks(guide: DataFrame) -> DataFrame:
 def with_chunk_id(chunks: DataFrame, *parts: str) -> DataFrame:
     """A repeatable chunk id from the columns that make up a chunk.  Equal chunks
     share an id and are kept once, combined on the map side."""
-    key = F.concat_ws("|", *[text_or_empty(p) for p in parts])
+    key = unambiguous(*[F.col(p) for p in parts])
     return chunks.withColumn("chunk_id", F.sha2(key, 256)).dropDuplicates(["chunk_id"])
 
 

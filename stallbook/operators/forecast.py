@@ -7,6 +7,7 @@ one aggregate and a forecast one expression per day; nothing loops.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -67,6 +68,29 @@ def _price_on(day: Column) -> Column:
     return F.when(factor < 1, falling).otherwise(rising)
 
 
+def gaussian(seed: int, *values: Column) -> Column:
+    """A normal number that only the seed and the values decide (Box-Muller)."""
+
+    def uniform(which: int) -> Column:
+        bits = F.xxhash64(F.lit(seed), F.lit(which), *values).bitwiseAND(F.lit((1 << 52) - 1))
+        return (bits + 1) / float((1 << 52) + 1)
+
+    return F.sqrt(-2 * F.log(uniform(0))) * F.cos(2 * math.pi * uniform(1))
+
+
+def _noisy_path(keys: Sequence[str], days: int, seed: int) -> Column:
+    """Prices of the days ahead, each from the one before it."""
+    factor = 1 + F.col("shift_pct") / 100 / 30
+    last = F.col("last_price")
+
+    def next_day(path: Column, day: Column) -> Column:
+        before = F.coalesce(F.get(path, F.size(path) - 1), F.col("level"))
+        noise = gaussian(seed, *[F.col(k) for k in keys], day) * last * 0.01
+        return F.concat(path, F.array(F.greatest(before * factor + noise, last * FLOOR)))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(days)), F.array().cast("array<double>"), next_day)
+
+
 def price_forecast(
     prices: DataFrame,
     keys: Sequence[str] = KEYS,
@@ -75,21 +99,23 @@ def price_forecast(
 ) -> DataFrame:
     """One row per key and future day; series that are too short have none.
 
-    ``noise_seed`` adds independent 1 % noise to each day.
+    ``noise_seed`` adds noise of 1 % of the last price to each day, and the next day
+    goes on from there.  Seed, key and day decide it, so it repeats.
     """
-    price = _price_on(F.col("day"))
-    if noise_seed is not None:
-        noise = F.randn(noise_seed) * F.col("last_price") * 0.01
-        price = F.greatest(price + noise, F.col("last_price") * FLOOR)
+    if noise_seed is None:
+        path = F.transform(F.sequence(F.lit(1), F.lit(days)), _price_on)
+    else:
+        path = _noisy_path(keys, days, noise_seed)
     return (
         series_state(prices, keys)
         .filter(F.col("records") >= MIN_ROWS)
-        .withColumn("day", F.explode(F.sequence(F.lit(1), F.lit(days))))
+        .select("*", F.posexplode(path).alias("_before", "_price"))
+        .withColumn("day", F.col("_before") + 1)
         .select(
             *keys,
             "day",
             F.date_add("last_day", F.col("day")).alias("date"),
-            half_up(price).alias("predicted_price"),
+            half_up("_price").alias("predicted_price"),
             "trend",
         )
     )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stallbook.functions.numeric import avg_price, exact, mean_price, money
+from stallbook.operators.keys import match_keys
 from stallbook.session import settle
 
 
@@ -24,7 +25,7 @@ def recent_days(
     """
     last = settle(df.groupBy(*keys).agg(F.max(date).alias("_last")), "last_days")
     return (
-        df.join(last, list(keys))
+        match_keys(df, last, keys)
         .filter(F.col(date) >= F.date_sub("_last", days))
         .drop("_last")
     )
@@ -35,22 +36,22 @@ def newest_rows(
 ) -> DataFrame:
     """All rows of the newest days that together hold at least ``per_key`` rows.
 
-    Counting by day is a hash aggregate over two or three columns and leaves
-    few rows to sort, where ranking the whole table would sort all of it.
+    Rows without a date count as the oldest.  Counting by day is a hash aggregate
+    over two or three columns and leaves few rows to sort, where ranking the whole
+    table would sort all of it.
     """
     by_day = df.groupBy(*keys, date).agg(F.count(F.lit(1)).alias("n"))
-    newest = Window.partitionBy(*keys).orderBy(F.desc(date))
+    newest = Window.partitionBy(*keys).orderBy(F.desc_nulls_last(date))
     since = (
-        by_day.filter(F.col(date).isNotNull())
-        .withColumn("later", F.sum("n").over(newest) - F.col("n"))
+        by_day.withColumn("later", F.sum("n").over(newest) - F.col("n"))
         .filter(F.col("later") < per_key)
         .groupBy(*keys)
-        .agg(F.min(date).alias("_since"))
+        .agg(F.min(date).alias("_since"), F.bool_or(F.col(date).isNull()).alias("_undated"))
     )
     return (
-        df.join(settle(since, "newest_days"), list(keys))
-        .filter(F.col(date) >= F.col("_since"))
-        .drop("_since")
+        match_keys(df, settle(since, "newest_days"), keys)
+        .filter((F.col(date) >= F.col("_since")) | (F.col(date).isNull() & F.col("_undated")))
+        .drop("_since", "_undated")
     )
 
 
@@ -62,7 +63,7 @@ def latest_prices(
 ) -> DataFrame:
     """The newest rows of each key.  The rank filter is planned as a group limit
     before the shuffle: every task sends at most ``per_key`` rows per key."""
-    newest = Window.partitionBy(*keys).orderBy(F.desc("arrival_date"), *tie)
+    newest = Window.partitionBy(*keys).orderBy(F.desc_nulls_last("arrival_date"), *tie)
     return (
         newest_rows(prices, keys, per_key)
         .withColumn("rank", F.row_number().over(newest))

@@ -18,10 +18,12 @@ DEFAULT_TEXTS = {
 
 
 def last_entries(knowledge: DataFrame, position: str | None) -> DataFrame:
-    """One entry per label; the one at the highest position wins."""
+    """One entry per label; the one at the highest position wins, without a
+    position column the last one read."""
     rows = knowledge.filter(F.length("disease_class") > 0)
     if position is None:
-        return rows
+        position = "_read"
+        rows = rows.withColumn(position, F.monotonically_increasing_id())
     last = Window.partitionBy("disease_class").orderBy(F.desc(position))
     return rows.withColumn("_nth", F.row_number().over(last)).filter("_nth = 1").drop("_nth", position)
 

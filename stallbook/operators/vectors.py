@@ -1,10 +1,9 @@
 """Exact cosine top-k of query vectors over a table of vectors.
 
-The queries are the small side.  While they fit a fixed bound they travel with
-the tasks: each task multiplies its Arrow batches with the query matrix and
-keeps k candidates per query, so the vectors are scanned once and never
-shuffled.  Beyond the bound both sides meet in bounded groups (vector slice x
-query block) by a shuffle.
+Queries come in blocks of bounded size that travel with the tasks, one block after
+the other: each task multiplies its Arrow batches with the block and keeps k
+candidates per query.  The vectors are scanned once for each block and never
+shuffled; only candidates are.
 """
 
 from __future__ import annotations
@@ -12,23 +11,29 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stallbook.session import settle
+from stallbook.session import settle, ship_package
 
-MAX_LOCAL_QUERY_BYTES = 16 << 20
-BLOCK_ROWS = 2_048  # queries per block of the shuffled form
-SLICE_ROWS = 50_000  # vectors per slice of the shuffled form
+BLOCK_BYTES = 16 << 20  # queries that travel together
 STEP_ROWS = 256  # queries scored at a time: bounds the score matrix of a batch
-DIGITS = 6  # scores are compared after rounding, so equal vectors tie
+#: Matrix products may differ in the last digits with the size of the batch.  What
+#: lies this close to the k-th score is scored again, one by one.
+DOUBT = 1e-9
+DIGITS = 6  # of the scores that are returned; ranks come from unrounded ones
+
+
+def _unit(rows: np.ndarray) -> np.ndarray:
+    """Rows scaled to length one; zero stays zero."""
+    norms = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+    return np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
 
 
 def _matrix(vectors: pa.Array) -> np.ndarray:
-    """Rows of a list array as float64, scaled to length one (zero stays zero)."""
+    """Rows of a list array as float64, scaled to length one."""
     if not len(vectors):
         return np.zeros((0, 0))
     lengths = np.diff(vectors.offsets.to_numpy())
@@ -38,108 +43,60 @@ def _matrix(vectors: pa.Array) -> np.ndarray:
     return _unit(rows.reshape(len(vectors), -1))
 
 
-def _unit(rows: np.ndarray) -> np.ndarray:
-    norms = np.linalg.norm(rows, axis=1, keepdims=True)
-    return np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
-
-
-def _best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k highest scores, ties by id."""
-    if len(scores) > k:
-        least = np.partition(scores, len(scores) - k)[len(scores) - k]
-        keep = scores >= least
-        scores, ids = scores[keep], ids[keep]
-    order = np.lexsort((ids, -scores))[:k]
-    return scores[order], ids[order]
+class _Best:
+    """The k best (score, id) of every query, ties by id."""
 
+    def __init__(self, queries: np.ndarray, k: int):
+        self.queries, self.k = queries, k
+        self.scores: list = [np.empty(0)] * len(queries)
+        self.ids: list = [None] * len(queries)
 
-def _top_rows(query_ids, queries: np.ndarray, batches, k: int) -> pd.DataFrame:
-    """Candidates of one task: k per query over all its batches."""
-    best = [(np.empty(0), np.empty(0, dtype=object))] * len(query_ids)
-    for ids, rows in batches:
+    def take(self, ids: np.ndarray, rows: np.ndarray) -> None:
         if not len(ids):
-            continue
-        if rows.shape[1] != queries.shape[1]:
+            return
+        if rows.shape[1] != self.queries.shape[1]:
             raise ValueError("queries and vectors differ in length")
-        for start in range(0, len(query_ids), STEP_ROWS):
-            scores = np.round(queries[start : start + STEP_ROWS] @ rows.T, DIGITS)
-            for i, row in enumerate(scores, start):
-                mine, theirs = _best_of(row, ids, k)
-                seen, seen_ids = best[i]
-                best[i] = _best_of(
-                    np.concatenate([seen, mine]), np.concatenate([seen_ids.astype(ids.dtype), theirs]), k
-                )
-    sizes = [len(s) for s, _ in best]
-    return pd.DataFrame(
-        {
-            "query_id": np.repeat(np.asarray(query_ids), sizes),
-            "vector_id": np.concatenate([i for _, i in best]) if best else [],
-            "score": np.concatenate([s for s, _ in best]) if best else [],
-        }
-    )
-
-
-def _pairs_schema(queries: DataFrame, vectors: DataFrame) -> T.StructType:
-    return T.StructType(
-        [
-            T.StructField("query_id", queries.schema["query_id"].dataType),
-            T.StructField("vector_id", vectors.schema["vector_id"].dataType),
-            T.StructField("score", T.DoubleType()),
-        ]
-    )
+        for start in range(0, len(self.queries), STEP_ROWS):
+            about = self.queries[start : start + STEP_ROWS] @ rows.T
+            for i, row in enumerate(about, start):
+                least = np.partition(row, -self.k)[-self.k] if len(row) > self.k else -np.inf
+                if len(self.scores[i]) == self.k:
+                    least = max(least, self.scores[i][-1])
+                near = np.flatnonzero(row >= least - DOUBT)
+                score = (rows[near] * self.queries[i]).sum(axis=1)
+                found = ids[near] if self.ids[i] is None else np.concatenate([self.ids[i], ids[near]])
+                score = np.concatenate([self.scores[i], score])
+                order = np.lexsort((found, -score))[: self.k]
+                self.scores[i], self.ids[i] = score[order], found[order]
 
 
 def _scan(queries: pa.Table, vectors: DataFrame, k: int, schema: T.StructType) -> DataFrame:
-    """Map-only candidates with the query matrix in the task closure."""
-    ids = queries.column("query_id").to_pylist()
+    """Map-only candidates for one block of queries."""
+    block = vectors.sparkSession.sparkContext.broadcast(
+        (queries.column("query_id").to_pylist(), _matrix(queries.column("embedding").combine_chunks()))
+    )
     id_type = queries.schema.field("query_id").type
-    matrix = _matrix(queries.column("embedding").combine_chunks())
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = {"query_id": id_type, "score": pa.float64()}
-
-        def rows():
-            for batch in batches:
-                types["vector_id"] = batch.schema.field("vector_id").type
-                found = batch.column("vector_id").to_numpy(zero_copy_only=False)
-                yield found, _matrix(batch.column("embedding"))
-
-        top = _top_rows(ids, matrix, rows(), k)
-        if len(top):
-            names = ("query_id", "vector_id", "score")
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(top[n], type=types[n], from_pandas=True) for n in names], list(names)
-            )
+        names, matrix = block.value
+        best, vector_type = _Best(matrix, k), None
+        for batch in batches:
+            vector_type = batch.schema.field("vector_id").type
+            best.take(batch.column("vector_id").to_numpy(zero_copy_only=False), _matrix(batch.column("embedding")))
+        for name, ids, scores in zip(names, best.ids, best.scores):
+            if len(scores):
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([name] * len(scores), type=id_type),
+                        pa.array(ids, type=vector_type, from_pandas=True),
+                        pa.array(scores, type=pa.float64()),
+                    ],
+                    ["query_id", "vector_id", "score"],
+                )
 
     return vectors.mapInArrow(candidates, schema)
 
 
-def _meet(queries: DataFrame, vectors: DataFrame, k: int, schema: T.StructType, slices: int) -> DataFrame:
-    """Candidates by a shuffle: every group joins one slice of the vectors with
-    one block of the queries, so no group grows with the table when ``slices``
-    does."""
-    blocks = max(1, -(-queries.count() // BLOCK_ROWS))
-    left = queries.withColumn(
-        "block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
-    ).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    right = vectors.withColumn(
-        "slice", F.pmod(F.xxhash64("vector_id"), F.lit(slices)).cast("int")
-    ).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def candidates(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(v):
-            return pd.DataFrame({"query_id": [], "vector_id": [], "score": []})
-        rows = _unit(np.stack(v["embedding"]).astype(np.float64))
-        matrix = _unit(np.stack(q["embedding"]).astype(np.float64))
-        return _top_rows(q["query_id"].tolist(), matrix, [(v["vector_id"].to_numpy(), rows)], k)
-
-    return (
-        left.groupBy("block", "slice")
-        .cogroup(right.groupBy("block", "slice"))
-        .applyInPandas(candidates, schema)
-    )
-
-
 def cosine_top_k(
     queries: DataFrame,
     vectors: DataFrame,
@@ -147,39 +104,41 @@ def cosine_top_k(
     query_id: str = "query_id",
     vector_id: str = "vector_id",
     embedding: str = "embedding",
-    max_query_bytes: int = MAX_LOCAL_QUERY_BYTES,
-    slices: int | None = None,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """(query_id, rank, vector_id, score): exact cosine, ties by vector id.
-
-    ``slices`` sets the number of vector groups of the shuffled form; by default
-    it follows from the number of vectors, so that a slice fits a task.
-    """
+    """(query_id, rank, vector_id, score): exact cosine, ranked unrounded, ties by
+    vector id.  A vector that is null or has a null or NaN in it takes no part; a zero
+    vector scores 0."""
+    ship_package(vectors.sparkSession)
 
     def two_columns(df: DataFrame, key: str, name: str) -> DataFrame:
         value = F.col(embedding).cast("array<float>" if name == "vector_id" else "array<double>")
+        whole = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x))
         return df.select(F.col(key).alias(name), value.alias("embedding")).filter(
-            F.col("embedding").isNotNull()
+            F.col("embedding").isNotNull() & whole
         )
 
     asked = settle(two_columns(queries, query_id, "query_id"), "query_vectors")
     stored = two_columns(vectors, vector_id, "vector_id")
-    schema = _pairs_schema(asked, stored)
-    size = asked.agg(
-        F.count(F.lit(1)).alias("rows"), F.sum(F.size("embedding") * 8).alias("bytes")
-    ).first()
-    if size["rows"] == 0:
-        pairs = queries.sparkSession.createDataFrame([], schema)
-    elif size["bytes"] <= max_query_bytes:
-        pairs = _scan(asked.toArrow(), stored, k, schema)
-    else:
-        slices = slices or max(1, -(-stored.count() // SLICE_ROWS))
-        pairs = _meet(asked, stored, k, schema, slices)
+    schema = T.StructType(
+        [
+            T.StructField("query_id", asked.schema["query_id"].dataType),
+            T.StructField("vector_id", stored.schema["vector_id"].dataType),
+            T.StructField("score", T.DoubleType()),
+        ]
+    )
+    size = asked.agg(F.sum(F.size("embedding") * 8).alias("bytes")).first()["bytes"] or 0
+    blocks = max(1, -(-size // block_bytes))
+    pairs = vectors.sparkSession.createDataFrame([], schema)
+    for number in range(blocks):
+        block = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number).toArrow()
+        if len(block):
+            pairs = pairs.union(_scan(block, stored, k, schema))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vector_id")
     return (
         pairs.withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= k)
-        .select("query_id", "rank", "vector_id", "score")
+        .select("query_id", "rank", "vector_id", F.round("score", DIGITS).alias("score"))
     )
 
 

@@ -25,7 +25,7 @@ from stallbook.operators import (
 )
 from stallbook.operators import vectors as vectors_op
 from stallbook.operators.text_vectors import fit_text_vectors, with_text_vectors
-from stallbook.plans import advice, model
+from stallbook.plans import advice, model, report
 from stallbook.plans import prices as price_plan
 from stallbook.plans.observations import from_lines, price_observations, table, unit_prices
 from stallbook.session import scratch_path, settle
@@ -221,6 +221,84 @@ def price_files_json(spark, folder):
     return files.load_prices(spark, path, multi_line=False).select(FILE_COLUMNS)
 
 
+@_query
+def price_files_lineage(spark, folder):
+    """Rows by the folder that their file lies in."""
+    path = scratch_path(spark, "json")
+    rows = _raw_price_rows(spark, folder)
+    for grade in ("F", "O"):
+        rows.filter(F.col("Grade") == grade).write.json(f"{path}/grade_{grade}")
+    raw = files.read_json(spark, f"{path}/*", files.FILE_SCHEMAS["prices"], multi_line=False)
+    place = F.regexp_extract("source_file", "/(grade_.)/[^/]*$", 1).alias("place")
+    return files.price_rows(raw).groupBy(place, "grade").agg(F.count("*").alias("rows"))
+
+
+@_query
+def price_files_remembered(spark, folder):
+    """Files read with the schema that was inferred from earlier ones."""
+    first, later, memory = (scratch_path(spark, x) for x in ("json", "json", "schema"))
+    rows = _raw_price_rows(spark, folder)
+    rows.filter("Grade = 'F'").drop("Variety").write.json(first)
+    rows.write.json(later)
+    files.remembered_schema(spark, first, memory, multi_line=False)
+    schema = files.remembered_schema(spark, later, memory, multi_line=False)
+    raw = files.read_json(spark, later, schema, multi_line=False)
+    return files.price_rows(raw).select(FILE_COLUMNS)
+
+
+def _named_files(spark: SparkSession, path: str, prefix: str) -> None:
+    """Put a prefix before the names of the files of a folder."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path)
+    system = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in system.listStatus(root):
+        name = status.getPath().getName()
+        if name.startswith("part-"):
+            system.rename(status.getPath(), hadoop.Path(root, prefix + name))
+
+
+@_query
+def stream_ingest_by_name(spark, folder):
+    """Of a folder with files of two sources the price files are taken, by name."""
+    inbox, out = scratch_path(spark, "inbox"), scratch_path(spark, "raw")
+    _raw_price_rows(spark, folder).write.json(inbox)
+    _named_files(spark, inbox, "market_prices_")
+    _documents_as_schemes(spark, folder).write.mode("append").json(inbox)
+    _named_files(spark, inbox, "schemes_")
+    rows = ingest.source_stream(spark, "prices", inbox, multi_line=False)
+    ingest.drain(rows, scratch_path(spark, "offsets"), path=out)
+    return spark.read.schema(rows.schema).parquet(out).select(FILE_COLUMNS)
+
+
+@_query
+def scheme_files(spark, folder):
+    path = scratch_path(spark, "schemes")
+    _documents_as_schemes(spark, folder).write.json(path)
+    raw = files.read_json(spark, path, files.FILE_SCHEMAS["schemes"], multi_line=False)
+    return chunks.scheme_chunks(files.scheme_rows(raw))
+
+
+@_query
+def knowledge_files(spark, folder):
+    path = scratch_path(spark, "knowledge")
+    _awkward_labels(spark, folder).select(
+        F.col("label").alias("disease_class"),
+        F.col("doc_id").cast("string").alias("treatment"),
+        F.lit("p").alias("prevention"),
+        F.lit("o").alias("organic"),
+    ).write.json(path)
+    raw = files.read_json(spark, path, files.FILE_SCHEMAS["knowledge"], multi_line=False)
+    return files.knowledge_rows(raw).drop("source_file")
+
+
+@_query
+def guide_files(spark, folder):
+    path = scratch_path(spark, "guide")
+    _parts_as_guide(spark, folder).write.json(path)
+    raw = files.read_json(spark, path, files.FILE_SCHEMAS["guide"], multi_line=False)
+    return chunks.guide_chunks(files.guide_rows(raw))
+
+
 @_query
 def price_files_csv(spark, folder):
     path = scratch_path(spark, "csv")
@@ -246,6 +324,20 @@ def price_log(spark, folder):
     return sinks.price_log_rows(days).drop("prediction_id", "timestamp")
 
 
+@_query
+def price_log_table(spark, folder):
+    """The log tables are created empty and typed, then appended to."""
+    path = scratch_path(spark, "logs")
+    database = "logs_" + path[-12:]
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{path}'")
+    sinks.create_log_tables(spark, database)
+    days = forecast.price_forecast(price_observations(spark, folder), ("commodity", "state"))
+    sinks.append_log(sinks.price_log_rows(days), f"{database}.price_predictions_log")
+    rows = settle(tables.read_table(spark, f"{database}.price_predictions_log"), "log")
+    spark.sql(f"DROP DATABASE {database} CASCADE")
+    return rows.drop("prediction_id", "timestamp")
+
+
 @_query
 def chat_log(spark, folder):
     routed = intents.with_feature(intents.classify(_turns(spark, folder), lexicon=TONGUES))
@@ -288,6 +380,17 @@ def context_assembly(spark, folder):
     )
 
 
+@_query
+def search_auto(spark, folder):
+    """Without vectors on both sides the search goes by words."""
+    return retrieval.search(_questions(spark, folder), _texts(spark, folder), k=5)
+
+
+@_query
+def doc_detail(spark, folder):
+    return chunks.scheme_detail(_documents_as_schemes(spark, folder), "7")
+
+
 @_query
 def vector_topk(spark, folder):
     vectors = table(spark, folder, "embeddings")
@@ -295,6 +398,13 @@ def vector_topk(spark, folder):
     return vectors_op.cosine_top_k(centres, vectors, k=5, query_id="label", vector_id="vec_id")
 
 
+@_query
+def vector_neighbours(spark, folder):
+    """Every stored vector as a query."""
+    vectors = table(spark, folder, "embeddings")
+    return vectors_op.cosine_top_k(vectors, vectors, k=5, query_id="vec_id", vector_id="vec_id")
+
+
 @_query
 def text_vectors(spark, folder):
     documents = _texts(spark, folder)
@@ -472,6 +582,43 @@ def label_lookup(spark, folder):
     return treatments.with_treatments(_document_labels(spark, folder), knowledge, position="doc_id")
 
 
+# class labels with commas, brackets, blanks and underscores, and none at all
+AWKWARD_LABELS = (
+    "Pepper,_bell___Bacterial_spot",
+    "Corn_(maize)___Common_rust_",
+    "Corn_(maize)___Cercospora_leaf_spot Gray_leaf_spot",
+    "Tomato___Spider_mites Two-spotted_spider_mite",
+    "Grape___healthy",
+    "no separator",
+    "",
+)
+
+
+def _awkward_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with one of the labels, or null."""
+    labels = F.array(*[F.lit(x) for x in AWKWARD_LABELS])
+    place = (F.col("doc_id") % (len(AWKWARD_LABELS) + 1)).cast("int")
+    return table(spark, folder, "documents").select("doc_id", F.get(labels, place).alias("label"))
+
+
+@_query
+def awkward_labels(spark, folder):
+    return treatments.parse_labels(_awkward_labels(spark, folder))
+
+
+@_query
+def repeated_labels(spark, folder):
+    """Every label has many entries; the last one counts."""
+    known = _awkward_labels(spark, folder).select(
+        F.col("label").alias("disease_class"),
+        F.col("doc_id").cast("string").alias("treatment"),
+        F.lit("p").alias("prevention"),
+        F.lit(None).cast("string").alias("organic"),
+        "doc_id",
+    )
+    return treatments.with_treatments(_awkward_labels(spark, folder), known, position="doc_id")
+
+
 @_query
 def ingest_labels(spark, folder):
     return _document_labels(spark, folder).select(
@@ -515,7 +662,26 @@ def table_merge(spark, folder):
     name = "orders_" + path[-12:]
     sinks.write_table(old, name, partition_by=["o_orderstatus"], location=path)
     sinks.write_table(new, name, "merge", partition_by=["o_orderstatus"], keys=["o_orderkey"])
-    return tables.read_table(spark, name)
+    return _read_and_forget(spark, name)
+
+
+@_query
+def table_merge_nulls(spark, folder):
+    """Some orders lie in the partition of null; the merge finds the partitioning itself."""
+    old, new = _order_versions(spark, folder)
+    status = F.nullif("o_orderstatus", F.lit("O"))
+    path = scratch_path(spark, "orders")
+    name = "orders_" + path[-12:]
+    sinks.write_table(old.withColumn("o_orderstatus", status), name, partition_by=["o_orderstatus"], location=path)
+    sinks.write_table(new.withColumn("o_orderstatus", status), name, "merge", keys=["o_orderkey"])
+    return _read_and_forget(spark, name)
+
+
+def _read_and_forget(spark: SparkSession, name: str) -> DataFrame:
+    """The rows of a table, whose catalog entry is dropped."""
+    rows = settle(tables.read_table(spark, name), "read")
+    spark.sql(f"DROP TABLE {name}")
+    return rows
 
 
 @_query
@@ -527,7 +693,7 @@ def table_append(spark, folder):
     suppliers = table(spark, folder, "supplier").select(F.col("s_name").alias("name"), "s_acctbal")
     sinks.write_table(customers, name, location=path)
     sinks.write_table(suppliers, name, "append")
-    return tables.read_table(spark, name)
+    return _read_and_forget(spark, name)
 
 
 @_query
@@ -537,6 +703,15 @@ def snapshot_diff(spark, folder):
     return changes.snapshot_diff(old, after, ["o_orderkey"])
 
 
+@_query
+def snapshot_diff_columns(spark, folder):
+    """One column has gone and another has come between the versions."""
+    old, new = _order_versions(spark, folder)
+    before = old.drop("o_orderpriority")
+    after = changes.upsert(old, new, ["o_orderkey"]).drop("o_totalprice")
+    return changes.snapshot_diff(before, after, ["o_orderkey"])
+
+
 @_query
 def append_evolving(spark, folder):
     customers = table(spark, folder, "customer").select(F.col("c_name").alias("name"), "c_mktsegment")
@@ -586,6 +761,27 @@ def table_counts(spark, folder):
     return tables.table_counts({n: table(spark, folder, n) for n in names})
 
 
+@_query
+def bounded_read(spark, folder):
+    """A table read with a limit of rows has so many."""
+    path = scratch_path(spark, "orders")
+    name = "orders_" + path[-12:]
+    sinks.write_table(table(spark, folder, "orders"), name, location=path)
+    rows = settle(tables.read_table(spark, name, {"o_orderstatus": "F"}, limit=100), "read")
+    spark.sql(f"DROP TABLE {name}")
+    return rows.groupBy("o_orderstatus").agg(F.count("*").alias("rows"))
+
+
+@_query
+def free_sql(spark, folder):
+    view = "orders_" + scratch_path(spark, "view")[-12:]
+    table(spark, folder, "orders").createOrReplaceTempView(view)
+    query = f"SELECT o_custkey, sum(o_totalprice) > :least AS large, count(*) AS orders FROM {view} GROUP BY o_custkey"
+    rows = tables.run_sql(spark, query, {"least": 1_000_000})
+    spark.catalog.dropTempView(view)
+    return rows
+
+
 @_query
 def filtered_read(spark, folder):
     orders = table(spark, folder, "orders")
@@ -640,22 +836,90 @@ def stream_gold(spark, folder):
     return spark.read.parquet(gold_path)
 
 
-# ---- price model --------------------------------------------------------------
+def _dropping_box(spark: SparkSession, rows: DataFrame) -> str:
+    """Rows dealt over six files, as a stream finds them one after the other."""
+    inbox = scratch_path(spark, "inbox")
+    rows.repartition(6).write.parquet(inbox)
+    return inbox
+
+
+def _with_null_varieties(spark: SparkSession, folder: str) -> DataFrame:
+    return price_observations(spark, folder).withColumn("variety", F.nullif("variety", F.lit("A")))
+
+
+@_query
+def stream_unique_batches(spark, folder):
+    """Several batches, a third of the rows twice, some keys with a null."""
+    rows = price_plan.silver(_with_null_varieties(spark, folder), deduplicate=True)
+    inbox = _dropping_box(spark, rows.union(rows.filter("grade = 'F'")))
+    arriving = ingest.file_stream(spark, inbox, rows.schema, file_format="parquet", max_files=2)
+    out = scratch_path(spark, "unique")
+    drain_unique(arriving, out, scratch_path(spark, "offsets"))
+    return spark.read.schema(rows.schema).parquet(out).select(*rows.columns)
 
 
-_stored_predictions: dict[tuple[str, str], DataFrame] = {}
+@_query
+def stream_gold_batches(spark, folder):
+    """Silver and gold tables that each grow over several batches."""
+    rows = price_plan.silver(price_observations(spark, folder))
+    inbox = _dropping_box(spark, rows)
+    silver_path, gold_path = scratch_path(spark, "silver"), scratch_path(spark, "gold")
+    arriving = ingest.file_stream(spark, inbox, rows.schema, file_format="parquet", max_files=2)
+    ingest.drain(arriving, scratch_path(spark, "offsets"), path=silver_path, partition_by=gold.MONTH)
+    follow = ingest.file_stream(spark, silver_path, rows.schema, file_format="parquet", max_files=40)
+    gold.drain_gold(spark, follow, silver_path, gold_path, scratch_path(spark, "offsets"))
+    return spark.read.parquet(gold_path)
+
+
+@_query
+def stream_dedupe_events(spark, folder):
+    """Events that come twice, in other files, within the delay."""
+    events = table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    inbox = _dropping_box(spark, events.union(events.filter("event_type = 'click'")))
+    arriving = ingest.file_stream(spark, inbox, events.schema, file_format="parquet", max_files=2)
+    rows = dedupe_stream(arriving, ["event_id"], day="ts", delay="60 days")
+    out = scratch_path(spark, "events")
+    ingest.drain(rows, scratch_path(spark, "offsets"), path=out)
+    return spark.read.schema(rows.schema).parquet(out).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+# ---- a report for one selection --------------------------------------------------
+
+
+def _report(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return report.price_report(price_observations(spark, folder), commodity="Brand#13")[name]
+
+
+@_query
+def report_trend(spark, folder):
+    return _report(spark, folder, "trend")
+
+
+@_query
+def report_forecast(spark, folder):
+    return _report(spark, folder, "forecast")
+
+
+@_query
+def report_outlook(spark, folder):
+    return _report(spark, folder, "outlook")
+
+
+@_query
+def report_current_prices(spark, folder):
+    return _report(spark, folder, "current_prices")
+
+
+# ---- price model --------------------------------------------------------------
 
 
 def _predictions(spark: SparkSession, folder: str) -> DataFrame:
-    """Test predictions of the price model, fitted and stored once per application."""
-    key = (spark.sparkContext.applicationId, folder)
-    if key not in _stored_predictions:
-        rows = price_plan.enriched(price_observations(spark, folder))
-        train, test = model.split(settle(model.training_rows(rows), "training"))
-        predicted = model.fit(train).transform(test)
-        columns = ["commodity", "market", "arrival_date", model.LABEL, "prediction"]
-        _stored_predictions[key] = settle(predicted.select(columns), "predictions")
-    return _stored_predictions[key]
+    """Test predictions of the price model."""
+    rows = model.training_rows(price_plan.enriched(price_observations(spark, folder)))
+    narrow = rows.select("price_id", "arrival_date", *model.CATEGORIES, *model.AVERAGES, *model.CALENDAR, model.LABEL)
+    train, test = model.split(settle(narrow, "training"))
+    predicted = model.fit(train).transform(test)
+    return predicted.select("commodity", "market", "arrival_date", model.LABEL, "prediction")
 
 
 @_query

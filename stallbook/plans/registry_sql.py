@@ -45,7 +45,7 @@ def money(x: str) -> str:
 
 
 def half_up(x: str, digits: int = 2) -> str:
-    return f"(sign({x}) * floor(abs({x}) * 1e{digits} + 0.5) / 1e{digits})"
+    return f"CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38, 18)), {digits}) AS DOUBLE)"
 
 
 ENRICHED = f"""
@@ -352,11 +352,19 @@ means AS (SELECT label, pos, avg(CAST(value AS DOUBLE)) AS value FROM parts GROU
 centres AS (SELECT label, list(value ORDER BY pos) AS centre FROM means GROUP BY label),
 scores AS (
   SELECT c.label AS query_id, v.vec_id AS vector_id,
-         round(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), c.centre), 6) AS score
+         list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), c.centre) AS score
   FROM centres c, embeddings v)
-SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vector_id) AS INT) AS rank,
-       vector_id, score
-FROM scores QUALIFY rank <= 5
+SELECT query_id, CAST(rank AS INT) AS rank, vector_id, round(score, 6) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vector_id) AS rank FROM scores) WHERE rank <= 5
+"""
+
+SQL["vector_neighbours"] = """
+WITH scores AS (
+  SELECT q.vec_id AS query_id, v.vec_id AS vector_id,
+         list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS score
+  FROM embeddings q, embeddings v)
+SELECT query_id, CAST(rank AS INT) AS rank, vector_id, round(score, 6) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vector_id) AS rank FROM scores) WHERE rank <= 5
 """
 
 SCHEMES = """
@@ -427,7 +435,8 @@ requests AS (
 qw AS (
   SELECT query_id, word, count(*) AS times
   FROM (SELECT query_id, unnest(string_split(lower(text), ' ')) AS word FROM requests) GROUP BY ALL),
-texts AS (SELECT sha256(concat_ws('|', crop, growth_stage, category, text)) AS chunk_id, text FROM guide),
+texts AS (SELECT sha256(concat(length(crop), ':', crop, length(growth_stage), ':', growth_stage, length(category), ':', category,
+                                 length(text), ':', text)) AS chunk_id, text FROM guide),
 scores AS (
   SELECT query_id, chunk_id, text, sum(times) AS score
   FROM qw JOIN texts ON contains(lower(text), word) GROUP BY ALL),
@@ -700,3 +709,100 @@ for _unit, _whole in {
     "unit_price_forecast": "price_forecast",
 }.items():
     SQL[_unit] = SQL[_whole].replace(PRICE_OBS, UNIT_OBS)
+
+SQL["table_merge_nulls"] = f"""
+WITH {VERSIONS} SELECT * REPLACE (nullif(o_orderstatus, 'O') AS o_orderstatus) FROM merged
+"""
+
+SQL["snapshot_diff_columns"] = f"""
+WITH {VERSIONS},
+before AS (SELECT * EXCLUDE (o_orderpriority), CAST(NULL AS VARCHAR) AS o_orderpriority FROM orders),
+later AS (SELECT * EXCLUDE (o_totalprice), CAST(NULL AS DOUBLE) AS o_totalprice FROM merged)
+SELECT l.*, CASE WHEN b.o_orderkey IS NULL THEN 'insert' ELSE 'update' END AS change, CAST(1 AS BIGINT) AS copies
+FROM later l LEFT JOIN before b USING (o_orderkey)
+"""
+
+FILE_ROWS = f"""
+SELECT * REPLACE (CASE WHEN grade = 'F' THEN modal_price END AS modal_price) FROM (SELECT {FILE_COLUMNS} FROM obs)
+"""
+SQL["price_files_lineage"] = f"""
+WITH {PRICE_OBS} SELECT 'grade_' || grade AS place, grade, count(*) AS rows FROM obs GROUP BY grade
+"""
+SQL["price_files_remembered"] = f"""
+WITH {PRICE_OBS} SELECT * REPLACE (CAST(NULL AS VARCHAR) AS variety) FROM ({FILE_ROWS})
+"""
+SQL["stream_ingest_by_name"] = f"WITH {PRICE_OBS} {FILE_ROWS}"
+SQL["scheme_files"] = SQL["doc_chunks"]
+SQL["guide_files"] = SQL["guide_chunks"]
+SQL["price_log_table"] = SQL["price_log"]
+SQL["search_auto"] = SQL["keyword_topk"]
+
+SQL["doc_detail"] = """
+SELECT CAST(doc_id AS VARCHAR) AS scheme_id, 'Document ' || doc_id AS name,
+       CASE WHEN lang <> 'fr' THEN lang || ' text' END AS name_en, lang AS category, text AS description,
+       [lang, source] AS eligibility, text AS benefits, CAST(NULL AS VARCHAR) AS how_to_apply,
+       [source, CAST(n_chars AS VARCHAR)] AS documents_required, 'https://example.com/' || source AS official_url,
+       'none' AS helpline, source AS coverage
+FROM documents WHERE doc_id = 7
+"""
+
+AWKWARD = """
+awkward AS (
+  SELECT doc_id, list_extract(['Pepper,_bell___Bacterial_spot', 'Corn_(maize)___Common_rust_',
+           'Corn_(maize)___Cercospora_leaf_spot Gray_leaf_spot', 'Tomato___Spider_mites Two-spotted_spider_mite',
+           'Grape___healthy', 'no separator', ''], CAST(doc_id % 8 + 1 AS INT)) AS label
+  FROM documents),
+parsed AS (
+  SELECT doc_id, label, replace(split_part(label, '___', 1), '_', ' ') AS crop,
+         CASE WHEN contains(label, '___') THEN replace(split_part(label, '___', 2), '_', ' ') ELSE 'Unknown' END AS disease
+  FROM awkward),
+judged AS (
+  SELECT *, contains(lower(disease), 'healthy') AS is_healthy,
+         CASE WHEN contains(lower(disease), 'healthy') THEN 'Healthy' ELSE 'Disease Detected' END AS status
+  FROM parsed)
+"""
+SQL["awkward_labels"] = f"WITH {AWKWARD} SELECT * FROM judged"
+SQL["repeated_labels"] = f"""
+WITH {AWKWARD},
+known AS (SELECT label, max(doc_id) AS last FROM awkward WHERE label <> '' GROUP BY label)
+SELECT j.*, coalesce(CAST(last AS VARCHAR), 'Consult a local agriculture expert.') AS treatment,
+       CASE WHEN last IS NULL THEN 'Practice good farm hygiene.' ELSE 'p' END AS prevention,
+       'Use neem-based sprays.' AS organic
+FROM judged j LEFT JOIN known USING (label)
+"""
+SQL["knowledge_files"] = f"""
+WITH {AWKWARD}
+SELECT label AS disease_class, regexp_extract(label, '^([^_]+)', 1) AS crop,
+       replace(regexp_extract(label, '___(.+)$', 1), '_', ' ') AS disease_name, CAST(doc_id AS VARCHAR) AS treatment,
+       'p' AS prevention, 'o' AS organic
+FROM awkward
+"""
+
+SQL["bounded_read"] = """
+SELECT o_orderstatus, least(count(*), 100) AS rows FROM orders WHERE o_orderstatus = 'F' GROUP BY o_orderstatus
+"""
+SQL["free_sql"] = """
+SELECT o_custkey, sum(o_totalprice) > 1000000 AS large, count(*) AS orders FROM orders GROUP BY o_custkey
+"""
+
+SQL["stream_unique_batches"] = SQL["silver_prices"].replace(
+    PRICE_OBS, PRICE_OBS.replace("l_returnflag AS variety", "nullif(l_returnflag, 'A') AS variety")
+)
+SQL["stream_gold_batches"] = SQL["gold_price_analytics"]
+SQL["stream_dedupe_events"] = "SELECT * FROM events"
+
+CHOSEN_OBS = PRICE_OBS.replace("s_nationkey = n_nationkey)", "s_nationkey = n_nationkey WHERE p_brand = 'Brand#13')")
+SQL["report_trend"] = f"""
+WITH {CHOSEN_OBS}, {series("commodity")},
+sized AS (SELECT *, count(*) OVER (PARTITION BY commodity) AS points, max(arrival_date) OVER (PARTITION BY commodity) AS newest
+          FROM daily),
+cut AS (SELECT * FROM sized WHERE points <= 90 OR arrival_date >= newest - 90)
+{rolled("commodity", "cut")}
+"""
+SQL["report_forecast"] = f"""
+WITH RECURSIVE {CHOSEN_OBS}, {outlook("commodity")}
+SELECT commodity, day, last_day + day AS date, {half_up("price")} AS predicted_price, {label("pct")} AS trend
+FROM steps WHERE records >= 10
+"""
+SQL["report_outlook"] = SQL["commodity_outlook"].replace(PRICE_OBS, CHOSEN_OBS)
+SQL["report_current_prices"] = SQL["latest_prices"].replace(PRICE_OBS, CHOSEN_OBS)

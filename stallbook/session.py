@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +23,7 @@ SETTINGS = {
 }
 
 _local_folders: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def local_session(
@@ -67,6 +70,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package where it is neither installed nor on
+    their path: Spark hands them a zip of it, once per application."""
+    context = spark.sparkContext
+    package = Path(__file__).resolve().parent
+    on_path = str(package.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    installed = package.parent.name in ("site-packages", "dist-packages")
+    if on_path or installed or context.applicationId in _shipped:
+        return
+    name = os.path.join(tempfile.mkdtemp(prefix="package-"), package.name)
+    context.addPyFile(shutil.make_archive(name, "zip", package.parent, package.name))
+    _shipped.add(context.applicationId)
+
+
 def clear_scratch(spark: SparkSession) -> bool:
     """Delete what this application wrote to the shared folder, once no frame
     that reads it is needed any more."""

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 from contextlib import contextmanager
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,9 +13,11 @@ from pyspark.sql import types as T
 
 from stallbook import schemas
 from stallbook.operators.changes import append_evolving, upsert
+from stallbook.operators.keys import match_keys
 from stallbook.session import settle
 
 RESPONSE_LENGTH = 500  # characters of an answer kept in the chat log
+DROP_AT_ONCE = 200  # partitions dropped by one statement
 
 
 def write_table(
@@ -66,17 +70,18 @@ def add_columns(spark: SparkSession, name: str, schema: T.StructType) -> None:
 
 
 def comment_table(spark: SparkSession, name: str, text: str) -> None:
-    escaped = text.replace("\\", "\\\\").replace("'", "\\'")
-    spark.sql(f"COMMENT ON TABLE {name} IS '{escaped}'")
+    spark.sql(f"COMMENT ON TABLE {name} IS '{_escaped(text)}'")
 
 
 def merge_table(
     new: DataFrame, name: str, keys: Sequence[str], partition_by: Sequence[str] = ()
 ) -> None:
-    """Upsert into a stored table.
+    """Upsert into a stored table, which keeps its location, format and partitioning.
 
-    A partitioned table is rewritten only where it changes: in the partitions
-    of the new rows and of the old rows they replace.
+    A partitioned table is rewritten only where it changes: in the partitions of the
+    new rows and of the old rows they replace, the one of null included.  For a
+    new table ``partition_by`` says how to partition it; for a stored one it may be
+    left out, and must not contradict the table.
     """
     if not keys:
         raise ValueError("merge needs key columns")
@@ -84,20 +89,31 @@ def merge_table(
     if not spark.catalog.tableExists(name):
         write_table(new, name, "overwrite", partition_by)
         return
-    old, parts = spark.table(name), list(partition_by)
-    if not parts or set(new.columns) - set(old.columns):
-        _save(settle(upsert(old, new, keys), "merged"), name, "overwrite", partition_by)
+    parts = partition_columns(spark, name)
+    if partition_by and list(partition_by) != parts:
+        raise ValueError(f"{name} is partitioned by {parts}, not by {list(partition_by)}")
+    add_columns(spark, name, new.schema)
+    old = spark.table(name)
+    if not parts:
+        settle(upsert(old, new, keys), "merged").select(*old.columns).write.insertInto(name, overwrite=True)
         return
     replaced = old.join(new.select(*keys), list(keys), "left_semi").select(*parts)
     touched = settle(new.select(*parts).union(replaced).distinct(), "touched")
-    merged = settle(upsert(old.join(touched, parts, "left_semi"), new, keys), "merged")
+    merged = settle(upsert(match_keys(old, touched, parts, "left_semi"), new, keys), "merged")
     with _dynamic_overwrite(spark):
         merged.select(*old.columns).hint("rebalance", *parts).write.insertInto(name, overwrite=True)
     # a partition all of whose rows moved elsewhere is not overwritten, so drop it;
-    # the list is as long as the number of touched partitions
-    for gone in touched.join(merged, parts, "left_anti").collect():
-        spec = ", ".join(f"{p} = {_literal(gone[p])}" for p in parts)
-        spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION ({spec})")
+    # the catalog takes many partitions in one statement
+    gone = match_keys(touched, merged.select(*parts).distinct(), parts, "left_anti").toLocalIterator()
+    for some in iter(lambda: list(islice(gone, DROP_AT_ONCE)), []):
+        specs = ", ".join(f"PARTITION ({', '.join(f'`{p}` = {_literal(row[p])}' for p in parts)})" for row in some)
+        spark.sql(f"ALTER TABLE {name} DROP IF EXISTS {specs}")
+
+
+def partition_columns(spark: SparkSession, name: str) -> list[str]:
+    """The columns a stored table is partitioned by, in order."""
+    parts = [c.name for c in spark.catalog.listColumns(name) if c.isPartition]
+    return [c for c in spark.table(name).columns if c in parts]
 
 
 @contextmanager
@@ -114,7 +130,21 @@ def _dynamic_overwrite(spark: SparkSession):
 
 
 def _literal(value) -> str:
-    return str(value) if isinstance(value, (int, float)) else "'" + str(value).replace("'", "\\'") + "'"
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool):
+        return str(value).lower()
+    if isinstance(value, (int, float)):
+        return str(value)
+    if isinstance(value, dt.datetime):
+        return f"TIMESTAMP '{value}'"
+    if isinstance(value, dt.date):
+        return f"DATE '{value}'"
+    return "'" + _escaped(str(value)) + "'"
+
+
+def _escaped(text: str) -> str:
+    return text.replace("\\", "\\\\").replace("'", "\\'")
 
 
 def create_log_tables(spark: SparkSession, database: str = "default") -> None:

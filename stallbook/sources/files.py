@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from stallbook import schemas
 from stallbook.functions.dates import parse_date
-from stallbook.functions.texts import ingest_crop, ingest_disease
+from stallbook.functions.texts import ingest_crop, ingest_disease, unambiguous
 
 # The headers found in price files and the columns they stand for.
 PRICE_HEADERS: dict[str, tuple[str, ...]] = {
@@ -122,13 +122,13 @@ def finite(column: str) -> Column:
 def price_key() -> Column:
     """Repeatable key: the same row gets the same id on every read and retry."""
     parts = [
-        F.coalesce(F.col(c).cast("string"), F.lit(""))
+        F.col(c).cast("string")
         for c in (
             "state", "district", "market", "commodity", "variety", "grade", "arrival_date",
             "min_price", "max_price", "modal_price",
         )
     ]
-    return F.sha2(F.concat_ws("|", *parts), 256)
+    return F.sha2(unambiguous(*parts), 256)
 
 
 def price_rows(raw: DataFrame) -> DataFrame:

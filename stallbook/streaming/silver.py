@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from stallbook.operators.keys import match_keys
 from stallbook.operators.quality import PRICE_IDENTITY, dedupe
 from stallbook.plans.prices import silver
 
@@ -66,7 +67,7 @@ def drain_unique(
                 *[F.struct(F.lit(m["year"]), F.lit(m["month"])) for m in months]
             )
             stored = spark.read.schema(schema).parquet(path).filter((F.col("batch") < number) & inside)
-            fresh = fresh.join(stored.select(*keys), list(keys), "left_anti")
+            fresh = match_keys(fresh, stored.select(*keys), keys, "left_anti")
         (
             fresh.withColumn("batch", F.lit(number).cast("bigint"))
             .hint("rebalance", "year", "month")

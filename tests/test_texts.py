@@ -175,21 +175,32 @@ def brute_vectors(queries, stored, k):
         n = np.linalg.norm(m, axis=1, keepdims=True)
         return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
-    scores = np.round(unit(queries) @ unit(stored).T, 6)
+    scores = [(unit(stored) * q).sum(axis=1) for q in unit(queries)]
     return [[int(i) for i in np.lexsort((np.arange(len(stored)), -row))[:k]] for row in scores]
 
 
-@pytest.mark.parametrize("bound,rows", [(1 << 20, 50_000), (0, 50_000), (0, 37)])
-def test_vector_search_equals_brute_force(spark, monkeypatch, bound, rows):
-    monkeypatch.setattr(vectors, "SLICE_ROWS", rows)
-    monkeypatch.setattr(vectors, "BLOCK_ROWS", 3)
+def test_nearer_vectors_come_first_however_close(spark):
+    stored = frame(spark, "vector_id", np.array([[1, 0.0010], [1, 0.0009]]), ids=[1, 2])
+    top = vectors.cosine_top_k(frame(spark, "query_id", np.array([[1.0, 0.0]])), stored, 1).first()
+    assert (top.vector_id, top.score) == (2, 1.0)
+
+
+def test_broken_vectors_take_no_part(spark):
+    rows = [(1, [1.0, None]), (2, None), (3, [float("nan"), 1.0]), (4, [0.0, 1.0])]
+    stored = spark.createDataFrame(rows, "vector_id int, embedding array<float>")
+    got = vectors.cosine_top_k(frame(spark, "query_id", np.eye(2)[:1]), stored, 4).collect()
+    assert [(r.vector_id, r.score) for r in got] == [(4, 0.0)]
+
+
+@pytest.mark.parametrize("bound", [1 << 20, 200, 1])
+def test_vector_search_equals_brute_force(spark, bound):
     rng = np.random.default_rng(7)
     stored = rng.normal(size=(300, 8))
     stored[10:40] = stored[9]  # copies tie
     stored[50] = 0
     asked = np.vstack([rng.normal(size=(5, 8)), stored[9], np.zeros(8)])
     got = vectors.cosine_top_k(
-        frame(spark, "query_id", asked), frame(spark, "vector_id", stored).repartition(5), 4, max_query_bytes=bound
+        frame(spark, "query_id", asked), frame(spark, "vector_id", stored).repartition(5), 4, block_bytes=bound
     )
     rows = {}
     for r in got.orderBy("query_id", "rank").collect():
