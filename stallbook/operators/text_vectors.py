@@ -8,6 +8,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stallbook.session import settle
+
 DIMENSIONS = 384
 
 
@@ -28,3 +30,31 @@ def with_text_vectors(df: DataFrame, model: PipelineModel, text: str = "text") -
     return vectors.withColumn("embedding", vector_to_array("_vector", "float32")).drop(
         "_terms", "_counts", "_weights", "_vector"
     )
+
+
+def term_weights(
+    texts: DataFrame, key: str = "chunk_id", text: str = "text", dimensions: int = DIMENSIONS
+) -> DataFrame:
+    """(key, place, weight): the vectors' non-zero places, scaled to length one.
+
+    Terms are runs of letters and digits in lower case.  The first eight digits of a
+    term's MD5 give its place, which any engine can follow; a place weighs its count
+    times ln((texts + 1) / (texts with the place + 1)).
+    """
+    known = texts.filter(F.col(text).isNotNull())
+    terms = F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    digits = F.substring(F.md5(F.col("term")), 1, 8)
+    place = (F.conv(digits, 16, 10).cast("bigint") % dimensions).cast("int")
+    counts = (
+        known.select(key, F.explode(terms).alias("term"))
+        .groupBy(key, place.alias("place"))
+        .agg(F.count(F.lit(1)).alias("times"))
+    )
+    counts = settle(counts, "term_counts")
+    total = known.count()
+    rarity = counts.groupBy("place").agg(F.log((total + 1) / (F.count(F.lit(1)) + 1)).alias("rarity"))
+    weighed = counts.join(settle(rarity, "rarity"), "place").select(
+        key, "place", (F.col("times") * F.col("rarity")).alias("weight")
+    )
+    length = weighed.groupBy(key).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("length"))
+    return weighed.join(length, key).filter("weight <> 0").select(key, "place", (F.col("weight") / F.col("length")).alias("weight"))

@@ -24,7 +24,7 @@ from stallbook.operators import (
     windows,
 )
 from stallbook.operators import vectors as vectors_op
-from stallbook.operators.text_vectors import fit_text_vectors, with_text_vectors
+from stallbook.operators.text_vectors import fit_text_vectors, term_weights, with_text_vectors
 from stallbook.plans import advice, model, report
 from stallbook.plans import prices as price_plan
 from stallbook.plans.observations import from_lines, price_observations, table, unit_prices
@@ -966,3 +966,25 @@ def lagged_features(spark, folder):
     return windows.with_lagged_averages(settle(clean, "silver")).select(
         "price_id", "lagged_avg_7d", "lagged_avg_30d"
     )
+
+
+@_query
+def model_features(spark, folder):
+    rows = model.training_rows(price_plan.enriched(price_observations(spark, folder)))
+    found = model.features(settle(rows, "training"))
+    indexes = [f"{c}_idx" for c in model.CATEGORIES]
+    names = [c for c in found.columns if c.endswith("_std")]
+    return found.select("price_id", *indexes, *[F.round(c, 4).alias(c) for c in names])
+
+
+@_query
+def model_split(spark, folder):
+    rows = price_observations(spark, folder)
+    train, test = model.split(rows)
+    return train.select("price_id", F.lit("train").alias("part")).union(test.select("price_id", F.lit("test").alias("part")))
+
+
+@_query
+def text_weights(spark, folder):
+    """The non-zero places of the hashed text vectors."""
+    return term_weights(_texts(spark, folder)).select("chunk_id", "place", F.round("weight", 5).alias("weight"))

@@ -806,3 +806,42 @@ FROM steps WHERE records >= 10
 """
 SQL["report_outlook"] = SQL["commodity_outlook"].replace(PRICE_OBS, CHOSEN_OBS)
 SQL["report_current_prices"] = SQL["latest_prices"].replace(PRICE_OBS, CHOSEN_OBS)
+
+_INDEXES = ", ".join(
+    f"(SELECT {c}, CAST(row_number() OVER (ORDER BY count(*) DESC, {c}) - 1 AS DOUBLE) AS {c}_idx FROM kept GROUP BY {c}) AS i_{c}"
+    for c in ("commodity", "market", "state")
+)
+_NAMES = (
+    "year", "month", "day_of_week", "commodity_idx", "market_idx", "state_idx", "moving_avg_7d", "moving_avg_30d",
+)
+SQL["model_features"] = f"""
+WITH {PRICE_OBS}, {DEDUPED}, {ENRICHED},
+kept AS (SELECT * FROM enriched WHERE modal_price > 0 AND moving_avg_7d IS NOT NULL AND moving_avg_30d IS NOT NULL),
+rows AS (
+  SELECT k.*, commodity_idx, market_idx, state_idx FROM kept k, {_INDEXES}
+  WHERE k.commodity = i_commodity.commodity AND k.market = i_market.market AND k.state = i_state.state)
+SELECT price_id, commodity_idx, market_idx, state_idx,
+       {", ".join(f"round((CAST({n} AS DOUBLE) - avg({n}) OVER ()) / stddev_samp({n}) OVER (), 4) AS {n}_std" for n in _NAMES)}
+FROM rows
+"""
+
+SQL["model_split"] = f"""
+WITH {PRICE_OBS}
+SELECT price_id, CASE WHEN CAST('0x' || substring(md5('42-' || price_id), 1, 8) AS BIGINT) / 4294967296.0 < 0.8
+                      THEN 'train' ELSE 'test' END AS part
+FROM obs
+"""
+
+SQL["text_weights"] = """
+WITH terms AS (
+  SELECT doc_id, unnest(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+')) AS term FROM documents),
+counts AS (
+  SELECT doc_id AS chunk_id, CAST(CAST('0x' || substring(md5(term), 1, 8) AS BIGINT) % 384 AS INT) AS place, count(*) AS times
+  FROM terms WHERE term <> '' GROUP BY ALL),
+rarity AS (
+  SELECT place, ln(((SELECT count(*) FROM documents WHERE text IS NOT NULL) + 1) / CAST(count(*) + 1 AS DOUBLE)) AS rarity
+  FROM counts GROUP BY place),
+weighed AS (SELECT chunk_id, place, times * rarity AS weight FROM counts JOIN rarity USING (place)),
+lengths AS (SELECT chunk_id, sqrt(sum(weight * weight)) AS length FROM weighed GROUP BY chunk_id)
+SELECT chunk_id, place, round(weight / length, 5) AS weight FROM weighed JOIN lengths USING (chunk_id) WHERE weight <> 0
+"""
