@@ -1,26 +1,31 @@
 """Keyword retrieval: the k chunks that contain most words of a query.
 
-A query word counts when it is a *substring* of the lower-cased chunk, so a
-plain token join would miss hits, and scoring every query against every chunk
-does not scale.  Two exact shortcuts replace it:
-
-* A word has no white space, so any occurrence lies inside one token of the
-  chunk.  Words are matched against the distinct tokens of the corpus, joined on
-  a three-letter gram of the word and then checked with ``contains``.
-* A chunk that misses the rare words of a query can score at most what its
-  common words add up to.  Once k chunks are known to score more than that, only
-  chunks with at least one of the rare words need to be scored.
+A query word counts when it is a *substring* of the lower-cased chunk.  A word has
+no white space, so any occurrence lies inside one token of the chunk, and each
+task looks a token's words up once, however often the token comes.
+
+Queries come in blocks of bounded size that travel with the tasks, one block
+after the other.  A task reads its chunks once for each block, adds up the words
+each chunk has, and keeps k candidates per query: no postings are written, the
+texts are never shuffled, and only candidates are.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stallbook.functions.texts import words
-from stallbook.session import settle
+from stallbook.session import settle, ship_package
 
-GRAM = 3
+BLOCK_WORDS = 200_000  # query words that travel together, on average
+STEP_ROWS = 256  # chunks scored at a time: bounds the score matrix of a task
+KNOWN_TOKENS = 500_000  # tokens whose words a task remembers
 
 
 def query_words(queries: DataFrame, query_id: str = "query_id", text: str = "text") -> DataFrame:
@@ -32,125 +37,93 @@ def query_words(queries: DataFrame, query_id: str = "query_id", text: str = "tex
     )
 
 
-def chunk_tokens(chunks: DataFrame, chunk_id: str = "chunk_id", text: str = "text") -> DataFrame:
-    """(chunk_id, token) for the distinct blank-separated tokens of every chunk."""
-    return chunks.select(
-        F.col(chunk_id).alias("chunk_id"), F.explode(F.array_distinct(words(text))).alias("token")
-    )
-
-
-def words_in_tokens(tokens: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(token, words) for every distinct token that contains wanted words."""
-    probes = wanted.select("word", F.substring("word", 1, GRAM).alias("gram"))
-    # overlapping grams through a look-ahead: one pass over the token
-    grams = [
-        F.regexp_extract_all("token", F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
-        for size in range(1, GRAM + 1)
-    ]
-    pieces = tokens.select("token").distinct().select(
-        "token", F.explode(F.array_distinct(F.concat(*grams))).alias("gram")
-    )
-    return (
-        pieces.join(probes, "gram")
-        .filter(F.contains("token", F.col("word")))
-        .groupBy("token")
-        .agg(F.collect_list("word").alias("words"))
-    )
-
-
-def postings(tokens: DataFrame, wanted: DataFrame, whole_word: bool = False) -> DataFrame:
-    """(chunk_id, word, breadth): the wanted words of each chunk, with the number
-    of wanted words in the chunk."""
-    if whole_word:
-        known = wanted.select(F.col("word").alias("token"), F.array("word").alias("words"))
-    else:
-        known = words_in_tokens(tokens, wanted)
-    # stored, so that Spark can see whether the vocabulary is small enough to
-    # broadcast; otherwise both sides are shuffled by token
-    known = settle(known, "known_tokens")
-    # a chunk collects no more tokens than its own text has
-    return (
-        tokens.join(known, "token")
-        .groupBy("chunk_id")
-        .agg(F.array_distinct(F.flatten(F.collect_list("words"))).alias("words"))
-        .select("chunk_id", F.explode("words").alias("word"), F.size("words").alias("breadth"))
-    )
-
-
-def _best(scored: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-
-
-def _scores(pairs: DataFrame, asked: DataFrame, found: DataFrame) -> DataFrame:
-    """Score of given (query_id, chunk_id) pairs over the words in ``asked``."""
-    return (
-        pairs.join(asked, "query_id")
-        .join(found.select("chunk_id", "word"), ["chunk_id", "word"])
-        .groupBy("query_id", "chunk_id")
-        .agg(F.sum("times").alias("score"))
-    )
-
-
-def _seeds(found: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """Exact scores of a few promising chunks per query: for each of its words
-    the k chunks that match most words altogether.  A query with fewer than k
-    seeds has no other matching chunks."""
-    richest = Window.partitionBy("word").orderBy(F.desc("breadth"), "chunk_id")
-    rich = found.withColumn("nth", F.row_number().over(richest)).filter(F.col("nth") <= k)
-    pairs = rich.join(asked, "word").select("query_id", "chunk_id").distinct()
-    return _best(_scores(pairs, asked, found), k)
-
-
-def _divided(asked: DataFrame, found: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
-    """The words of each query with ``essential`` and ``floor``.
-
-    ``floor`` is the k-th best seed score.  Essential are the rarest words, as
-    many as it takes for the others to add up to less than the floor; ``spare``
-    is what the others add up to.
-    """
-    floor = (
-        seeds.groupBy("query_id")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("floor"))
-        .filter(F.col("n") >= k)
-        .select("query_id", "floor")
-    )
-    chunks = found.groupBy("word").agg(F.count(F.lit(1)).alias("chunks"))
-    query = Window.partitionBy("query_id")
-    onwards = query.orderBy("chunks", "word").rowsBetween(
-        Window.currentRow, Window.unboundedFollowing
-    )
-    return (
-        asked.join(chunks, "word")
-        .join(floor, "query_id", "left")
-        .fillna(0, ["floor"])
-        .withColumn("essential", F.sum("times").over(onwards) >= F.col("floor"))
-        .withColumn("spare", F.sum(F.when(F.col("essential"), 0).otherwise(F.col("times"))).over(query))
-        .select("query_id", "word", "times", "essential", "floor", "spare")
-    )
-
-
-def _finalists(found: DataFrame, divided: DataFrame) -> DataFrame:
-    """Exact scores of all chunks that can still reach the floor: first over the
-    essential words, then the remaining words for those within reach."""
-    first = (
-        found.select("chunk_id", "word")
-        .join(divided.filter("essential"), "word")
-        .groupBy("query_id", "chunk_id", "floor", "spare")
-        .agg(F.sum("times").alias("part"))
-        .filter(F.col("part") + F.col("spare") >= F.col("floor"))
-        .select("query_id", "chunk_id", "part")
-    )
-    first = settle(first, "within_reach")
-    rest = _scores(
-        first.select("query_id", "chunk_id"),
-        divided.filter("NOT essential").select("query_id", "word", "times"),
-        found,
-    )
-    return (
-        first.join(rest, ["query_id", "chunk_id"], "left")
-        .select("query_id", "chunk_id", (F.col("part") + F.coalesce("score", F.lit(0))).alias("score"))
-    )
+class WordHits:
+    """Which of a block's words each token holds, and which queries ask for them."""
+
+    def __init__(self, asked: list[tuple], whole_word: bool):
+        self.query_ids = sorted({q for q, _, _ in asked})
+        place = {q: i for i, q in enumerate(self.query_ids)}
+        lists: dict[str, list] = {}
+        for query, word, times in asked:
+            lists.setdefault(word, []).append((place[query], times))
+        self.number = {word: i for i, word in enumerate(lists)}
+        self.queries = [np.array([q for q, _ in own]) for own in lists.values()]
+        self.times = [np.array([t for _, t in own], dtype=np.float64) for own in lists.values()]
+        self.sizes = sorted({len(w) for w in lists})
+        self.whole_word = whole_word
+        self.known: dict[str, frozenset[int]] = {}
+
+    def of(self, token: str) -> frozenset[int]:
+        found = self.known.get(token)
+        if found is None:
+            if self.whole_word:
+                parts = {token}
+            else:
+                parts = {token[i : i + n] for n in self.sizes if n <= len(token) for i in range(len(token) - n + 1)}
+            found = frozenset(self.number[p] for p in parts if p in self.number)
+            if len(self.known) >= KNOWN_TOKENS:
+                self.known.clear()
+            self.known[token] = found
+        return found
+
+    def scores(self, text: str) -> np.ndarray:
+        """Of one chunk, for every query."""
+        held = frozenset().union(*map(self.of, set(text.split())))
+        if not held:
+            return np.zeros(len(self.query_ids))
+        queries = np.concatenate([self.queries[w] for w in held])
+        times = np.concatenate([self.times[w] for w in held])
+        return np.bincount(queries, times, len(self.query_ids))
+
+
+class _Best:
+    """The k best (score, id) above zero of every query, ties by id."""
+
+    def __init__(self, queries: int, k: int):
+        self.k = k
+        self.scores: list[np.ndarray] = [np.empty(0)] * queries
+        self.ids: list = [None] * queries
+        self.least = np.zeros(queries)
+
+    def take(self, ids: np.ndarray, scores: np.ndarray) -> None:
+        """``scores`` has a line for each id and a column for each query."""
+        able = (scores >= np.maximum(self.least, 1)[None, :]).any(axis=0)
+        for i in np.flatnonzero(able):
+            mine = scores[:, i]
+            near = np.flatnonzero(mine >= max(self.least[i], 1))
+            found = ids[near] if self.ids[i] is None else np.concatenate([self.ids[i], ids[near]])
+            score = np.concatenate([self.scores[i], mine[near]])
+            order = np.lexsort((found, -score))[: self.k]
+            self.scores[i], self.ids[i] = score[order], found[order]
+            if len(order) == self.k:
+                self.least[i] = score[order[-1]]
+
+
+def _scan(asked: list[tuple], texts: DataFrame, k: int, whole_word: bool, schema: T.StructType, id_type) -> DataFrame:
+    """Candidates (query_id, chunk_id, score) for one block of query words."""
+    block = texts.sparkSession.sparkContext.broadcast(asked)
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hits = WordHits(block.value, whole_word)
+        best, chunk_type = _Best(len(hits.query_ids), k), None
+        for batch in batches:
+            chunk_type = batch.schema.field("chunk_id").type
+            ids = batch.column("chunk_id").to_numpy(zero_copy_only=False)
+            for start in range(0, batch.num_rows, STEP_ROWS):
+                part = batch.column("text").slice(start, STEP_ROWS)
+                best.take(ids[start : start + STEP_ROWS], np.stack([hits.scores(t.as_py()) for t in part]))
+        for query, found, scores in zip(hits.query_ids, best.ids, best.scores):
+            if len(scores):
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([query] * len(scores), type=id_type),
+                        pa.array(found, type=chunk_type, from_pandas=True),
+                        pa.array(scores.astype(np.int64)),
+                    ],
+                    ["query_id", "chunk_id", "score"],
+                )
+
+    return texts.mapInArrow(candidates, schema)
 
 
 def keyword_top_k(
@@ -165,6 +138,8 @@ def keyword_top_k(
 ) -> DataFrame:
     """(query_id, rank, chunk_id, score) of the k best chunks with a score above
     zero; ties go to the lower chunk id.  Chunk ids are unique."""
+    spark = chunks.sparkSession
+    ship_package(spark)
     # equal texts are answered once, under the lowest id among them
     named = queries.select(F.col(query_id).alias("query_id"), F.lower(query_text).alias("text"))
     texts = settle(
@@ -172,12 +147,24 @@ def keyword_top_k(
         "query_texts",
     )
     asked = settle(query_words(texts, "first_id"), "query_words")
-    tokens = chunk_tokens(chunks, chunk_id, chunk_text)
-    found = settle(postings(tokens, asked.select("word").distinct(), whole_word), "postings")
-    seeds = _seeds(found, asked, k)
-    divided = settle(_divided(asked, found, seeds, k), "query_words_divided")
-    best = _best(_finalists(found, divided), k)
-
+    stored = chunks.select(F.col(chunk_id).alias("chunk_id"), F.lower(chunk_text).alias("text"))
+    stored = stored.filter(F.col("chunk_id").isNotNull() & F.col("text").isNotNull())
+    schema = T.StructType(
+        [
+            T.StructField("query_id", asked.schema["query_id"].dataType),
+            T.StructField("chunk_id", stored.schema["chunk_id"].dataType),
+            T.StructField("score", T.LongType()),
+        ]
+    )
+    blocks = max(1, -(-asked.count() // BLOCK_WORDS))
+    pairs = spark.createDataFrame([], schema)
+    for number in range(blocks):
+        block = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number).toArrow()
+        rows = list(zip(*[c.to_pylist() for c in block.select(["query_id", "word", "times"]).columns]))
+        if rows:
+            pairs = pairs.union(_scan(rows, stored, k, whole_word, schema, block.schema.field("query_id").type))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+    best = pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return (
         named.join(texts, "text")
         .select("query_id", "first_id")
