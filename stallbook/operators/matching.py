@@ -25,6 +25,7 @@ from stallbook.session import settle, ship_package
 
 BLOCK_WORDS = 200_000  # query words that travel together, on average
 STEP_ROWS = 256  # chunks scored at a time: bounds the score matrix of a task
+GRAM = 3  # letters by which words are looked up in a token
 KNOWN_TOKENS = 500_000  # tokens whose words a task remembers
 
 
@@ -49,7 +50,10 @@ class WordHits:
         self.number = {word: i for i, word in enumerate(lists)}
         self.queries = [np.array([q for q, _ in own]) for own in lists.values()]
         self.times = [np.array([t for _, t in own], dtype=np.float64) for own in lists.values()]
-        self.sizes = sorted({len(w) for w in lists})
+        # words by their first letters, GRAM at most
+        self.starts: dict[str, list[tuple[str, int]]] = {}
+        for word, i in self.number.items():
+            self.starts.setdefault(word[:GRAM], []).append((word, i))
         self.whole_word = whole_word
         self.known: dict[str, frozenset[int]] = {}
 
@@ -57,10 +61,10 @@ class WordHits:
         found = self.known.get(token)
         if found is None:
             if self.whole_word:
-                parts = {token}
+                found = frozenset([self.number[token]] if token in self.number else [])
             else:
-                parts = {token[i : i + n] for n in self.sizes if n <= len(token) for i in range(len(token) - n + 1)}
-            found = frozenset(self.number[p] for p in parts if p in self.number)
+                grams = {token[i : i + n] for n in range(1, GRAM + 1) for i in range(len(token) - n + 1)}
+                found = frozenset(i for g in grams if g in self.starts for word, i in self.starts[g] if word in token)
             if len(self.known) >= KNOWN_TOKENS:
                 self.known.clear()
             self.known[token] = found
