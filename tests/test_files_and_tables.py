@@ -5,7 +5,7 @@ import uuid
 import pytest
 
 from stallbook import schemas
-from stallbook.operators import quality
+from stallbook.operators import changes, chunks, quality, recency, treatments
 from stallbook.plans.prices import silver
 from stallbook.session import clear_scratch, scratch_path, settle, shared_folder
 from stallbook.sinks import tables as sinks
@@ -257,3 +257,59 @@ def test_cluster_without_a_shared_folder_is_refused(monkeypatch, spark):
     monkeypatch.setattr(type(spark.sparkContext), "master", property(lambda _: "spark://host:7077"))
     with pytest.raises(RuntimeError):
         scratch_path(spark, "x")
+
+
+def test_merge_keeps_null_partitions_place_and_partitioning(spark, tmp_path):
+    place = str(tmp_path / "kept")
+    old = spark.createDataFrame([(1, "a", None), (2, "b", None), (3, "c", "x"), (4, "d", "it's\\")], "id int, v string, p string")
+    sinks.write_table(old, "kept", partition_by=["p"], location=place)
+    new = spark.createDataFrame([(2, "B", None), (3, "C", "y"), (4, "D", "y"), (5, "E", None)], "id int, v string, p string")
+    sinks.write_table(new, "kept", "merge", keys=["id"])
+    assert sorted((r.id, r.v, r.p) for r in spark.table("kept").collect()) == [
+        (1, "a", None), (2, "B", None), (3, "C", "y"), (4, "D", "y"), (5, "E", None)]
+    assert sinks.partition_columns(spark, "kept") == ["p"]
+    assert {r[0] for r in spark.sql("SHOW PARTITIONS kept").collect()} == {"p=__HIVE_DEFAULT_PARTITION__", "p=y"}
+    moved = spark.createDataFrame([(1, "a", "y"), (2, "B", "y"), (5, "E", "y")], "id int, v string, p string")
+    sinks.write_table(moved, "kept", "merge", keys=["id"])
+    assert {r[0] for r in spark.sql("SHOW PARTITIONS kept").collect()} == {"p=y"}
+    with pytest.raises(ValueError):
+        sinks.write_table(moved, "kept", "merge", partition_by=["v"], keys=["id"])
+    location = spark.sql("DESCRIBE EXTENDED kept").where("col_name = 'Location'").first().data_type
+    assert location.endswith("/kept") and str(tmp_path) in location
+    spark.sql("DROP TABLE kept")
+
+
+def test_literals_of_partitions():
+    import datetime as dt
+
+    got = [sinks._literal(x) for x in (None, True, 3, dt.date(2024, 1, 2), "a'b\\c")]
+    assert got == ["NULL", "true", "3", "DATE '2024-01-02'", "'a\\'b\\\\c'"]
+
+
+def test_a_dropped_or_added_column_is_a_change(spark):
+    old = spark.createDataFrame([(1, "a", "x"), (2, "b", None)], "id int, v string, w string")
+    gone = changes.snapshot_diff(old, old.drop("w"), ["id"]).collect()
+    assert [(r.id, r.change, r.w) for r in gone] == [(1, "update", None)]
+    come = changes.snapshot_diff(old.drop("w"), old, ["id"]).collect()
+    assert [(r.id, r.change, r.w) for r in come] == [(1, "update", "x")]
+    swapped = spark.createDataFrame([(1, None, "a")], "id int, v string, w string")
+    before = spark.createDataFrame([(1, "a", None)], "id int, v string, w string")
+    assert changes.snapshot_diff(before, swapped, ["id"]).count() == 1
+
+
+def test_ids_tell_parts_apart(spark):
+    rows = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), ("a", "b|c")], "x string, y string")
+    assert chunks.with_chunk_id(rows, "x", "y").count() == 2
+
+
+def test_rows_without_a_date_are_the_oldest(price_frame):
+    rows = price_frame([{"day": 1}, {"day": None}, {"commodity": "undated", "day": None}, {"commodity": None, "day": 3}])
+    got = [(r.commodity, r.arrival_date is None, r["rank"]) for r in recency.latest_prices(rows, 5).collect()]
+    assert sorted(got, key=str) == sorted([("Rice", False, 1), ("Rice", True, 2), ("undated", True, 1), (None, False, 1)], key=str)
+    assert [r.arrival_date for r in recency.latest_prices(rows.filter("commodity = 'Rice'"), 1).collect()] == [rows.first().arrival_date]
+
+
+def test_repeated_labels_take_the_last_entry(spark):
+    known = spark.createDataFrame([("L", "one", "p", "o"), ("L", "two", "p", "o")], "disease_class string, treatment string, prevention string, organic string").coalesce(1)
+    got = treatments.with_treatments(spark.createDataFrame([("L",)], "label string"), known).collect()
+    assert [r.treatment for r in got] == ["two"]

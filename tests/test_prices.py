@@ -179,6 +179,24 @@ def test_noise_is_optional_and_seeded(many_series):
         return sorted((r.commodity, r.day, r.predicted_price) for r in df.collect())
 
     assert run(None) != run(1)
+    assert run(1) != run(2)
+    whole = forecast.price_forecast(many_series, ("commodity",), noise_seed=1)
+    dealt = forecast.price_forecast(many_series.repartition(7), ("commodity",), noise_seed=1)
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, dealt.collect()))
+
+
+def test_noise_feeds_the_next_day(spark, many_series):
+    state = {r.commodity: r for r in forecast.series_state(many_series, ("commodity",)).collect()}
+    days = spark.range(1, 8).select(F.col("id").cast("int").alias("day"))
+    names = spark.createDataFrame([(c,) for c in state], "commodity string")
+    draws = {(r.commodity, r.day): r.z for r in names.crossJoin(days).select("commodity", "day", forecast.gaussian(5, F.col("commodity"), F.col("day")).alias("z")).collect()}
+    got = {(r.commodity, r.day): r.predicted_price for r in forecast.price_forecast(many_series, ("commodity",), noise_seed=5).collect()}
+    for name in {c for c, _ in got}:
+        s = state[name]
+        price = s.level
+        for day in range(1, 8):
+            price = max(price * (1 + s.shift_pct / 3000) + draws[name, day] * s.last_price * 0.01, s.last_price * 0.7)
+            assert got[name, day] == pytest.approx(price, abs=0.0051)
 
 
 @settings(max_examples=200, deadline=None)
