@@ -24,7 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stallbook.llm.common import ship_package, table, text_or_empty
@@ -449,11 +449,11 @@ def classes(documents: DataFrame, named: DataFrame, size: int, percent: int) ->
         .drop("node", "root"),
         "rooted",
     )
-    least = rooted.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
-    empty: Column = F.col("class").isNull()
-    return rooted.join(least, "class", "left").withColumn(
-        "component_id", F.when(empty, F.col("doc_id")).otherwise(F.col("least"))
-    ).drop("least")
+    # a class of one row needs no look-up; the others are stored, so that the join
+    # knows their size and a large class can be split
+    least = rooted.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
+    least = settle(least.where("rows > 1").drop("rows"), "least")
+    return rooted.join(least, "class", "left").withColumn("component_id", F.coalesce("least", "doc_id")).drop("least")
 
 
 def one_of_each(documents: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -464,6 +464,7 @@ def one_of_each(documents: DataFrame, size: int = WORDS, percent: int = PERCENT)
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
     ours = placed.where("class is not null").withColumn("rank", rank)
     best = ours.groupBy("class").agg(F.min("rank").alias("best"), F.count("*").alias("rows")).where("rows > 1")
+    best = settle(best, "best")
     grouped = ours.join(best, "class").select(
         F.col("doc_id").alias("_nd_doc"), F.col("text_hash").alias("_nd_hash"), (F.col("rank") == F.col("best")).alias("_nd_stays")
     )
