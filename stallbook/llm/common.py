@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import os
-import sys
 from collections.abc import Sequence
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stallbook.session import ship_package
+
+__all__ = ["WORD", "pick", "ship_package", "table", "text_or_empty", "uniform"]
+
 #: A word, as every operator here reads it: no ASCII white space inside.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -18,19 +19,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Let Python workers import this package, also where it isn't installed."""
-    root = str(Path(__file__).resolve().parents[2])
-    context = spark.sparkContext
-    if context.master.startswith("local["):
-        if root not in sys.path:
-            sys.path.insert(0, root)
-        path = os.environ.get("PYTHONPATH", "")
-        if root not in path.split(os.pathsep):
-            os.environ["PYTHONPATH"] = os.pathsep.join(x for x in (root, path) if x)
-            context.environment["PYTHONPATH"] = os.environ["PYTHONPATH"]
-
-
 def pick(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Only these columns, so that further ones of any name do no harm."""
     return df.select(*[F.col(f"`{c}`") for c in columns])

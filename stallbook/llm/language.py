@@ -222,4 +222,4 @@ def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """The language of all documents, learned from those that aren't held out."""
     documents = table(spark, folder, "documents").select("doc_id", "text", "lang")
     found = identify(documents, fit(labelled_rows(documents)))
-    return found.withColumn("held_out", held_out()).select("doc_id", "held_out", "lang_pred", "score")
+    return found.withColumn("held_out", F.coalesce(held_out(), F.lit(False))).select("doc_id", "held_out", "lang_pred", "score")
