@@ -37,7 +37,7 @@ PERCENT = 80
 TASK_SIGNATURES = 1 << 22
 LEAST_BUCKETS = 1024
 #: Signatures that a task signs before it sends them on.
-SEND = 1 << 21
+SEND = 1 << 20
 #: Sets of a task's sending with the same signature beyond which only one goes on.
 HOT = 256
 #: Bits of the filter that finds the sets to compare again; larger data share bits.
