@@ -134,10 +134,11 @@ def commodity_outlook(spark, folder):
 
 @_query
 def dimension_lists(spark, folder):
-    obs = price_observations(spark, folder)
+    places = price_observations(spark, folder).select("commodity", "state", "market").distinct()
+    places = settle(places, "places")
     return (
-        summaries.value_lists(obs, ["commodity"], "state")
-        .join(summaries.value_lists(obs, ["commodity"], "market"), "commodity")
+        summaries.value_lists(places, ["commodity"], "state")
+        .join(summaries.value_lists(places, ["commodity"], "market"), "commodity")
     )
 
 
