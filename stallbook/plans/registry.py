@@ -445,6 +445,30 @@ def doc_chunks_bracketed(spark, folder):
     return chunks.scheme_chunks(_documents_as_schemes(spark, folder), list_style="bracketed")
 
 
+@_query
+def ask_schemes(spark, folder):
+    """Questions answered from the two texts of every scheme."""
+    answered = advice.ask_schemes(_questions(spark, folder), _documents_as_schemes(spark, folder))
+    return answered.select("query_id", "answer")
+
+
+@_query
+def table_comments(spark, folder):
+    """A stored table with comments, as the catalog tells them."""
+    path = scratch_path(spark, "orders")
+    name = "orders_" + path[-12:]
+    orders = table(spark, folder, "orders")
+    marked = orders.select(*[F.col(c).alias(c, metadata={"comment": f"{c} of an order, it's"}) for c in orders.columns])
+    sinks.write_table(marked, name, location=path)
+    sinks.comment_table(spark, name, "Orders: what's new")
+    rows = [(c.name, c.description) for c in spark.catalog.listColumns(name)]
+    about = spark.catalog.getTable(name).description
+    counted = settle(tables.read_table(spark, name).agg(F.count("*").alias("rows")), "rows")
+    spark.sql(f"DROP TABLE {name}")
+    columns = spark.createDataFrame([(n, d, about) for n, d in rows], "name string, comment string, about string")
+    return columns.join(counted.withColumn("about", F.lit(about)), "about")
+
+
 @_query
 def chunk_files(spark, folder):
     path = scratch_path(spark, "chunks")

@@ -845,3 +845,31 @@ weighed AS (SELECT chunk_id, place, times * rarity AS weight FROM counts JOIN ra
 lengths AS (SELECT chunk_id, sqrt(sum(weight * weight)) AS length FROM weighed GROUP BY chunk_id)
 SELECT chunk_id, place, round(weight / length, 5) AS weight FROM weighed JOIN lengths USING (chunk_id) WHERE weight <> 0
 """
+
+SQL["ask_schemes"] = f"""
+WITH chunked AS ({SQL["doc_chunks"]}),
+texts AS (
+  SELECT DISTINCT sha256(concat(length(scheme_id), ':', scheme_id, length(chunk_type), ':', chunk_type, length(text), ':',
+                                text)) AS chunk_id, text
+  FROM chunked),
+qw AS (
+  SELECT item_id AS query_id, word, count(*) AS times
+  FROM (SELECT item_id, unnest(string_split_regex(lower(text), {SPACE})) AS word FROM benchmark)
+  WHERE word <> '' GROUP BY ALL),
+hits AS (
+  SELECT chunk_id, word FROM texts, (SELECT DISTINCT word FROM qw) w WHERE contains(lower(texts.text), w.word)),
+scores AS (SELECT query_id, chunk_id, sum(times) AS score FROM qw JOIN hits USING (word) GROUP BY ALL),
+best AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scores QUALIFY rank <= 5),
+joined AS (
+  SELECT query_id, string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context
+  FROM best JOIN texts USING (chunk_id) GROUP BY query_id)
+SELECT item_id AS query_id, 'Based on available information:' || chr(10) || chr(10) || context AS answer
+FROM benchmark JOIN joined ON query_id = item_id
+"""
+
+SQL["table_comments"] = """
+SELECT column_name AS name, column_name || ' of an order, it''s' AS comment, 'Orders: what''s new' AS about,
+       (SELECT count(*) FROM orders) AS rows
+FROM (DESCRIBE orders)
+"""
