@@ -34,10 +34,10 @@ from stallbook.session import settle
 WORDS = 5
 PERCENT = 80
 #: Signatures (12 bytes each) that one task meets, on average.
-TASK_SIGNATURES = 1 << 22
+TASK_SIGNATURES = 1 << 20
 LEAST_BUCKETS = 1024
 #: Signatures that a task signs before it sends them on.
-SEND = 1 << 20
+SEND = 1 << 19
 #: Sets of a task's sending with the same signature beyond which only one goes on.
 HOT = 256
 #: Bits of the filter that finds the sets to compare again; larger data share bits.
