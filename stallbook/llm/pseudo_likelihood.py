@@ -2,14 +2,15 @@
 
 Every word is predicted from the words on both sides of it; a document's score is
 the sum of these conditional log-probabilities.  The vocabulary comes from counts
-over the whole corpus, and so does the network: each task trains a copy on masked
-words of all documents it reads, and the copies' weighted mean starts the next
-round.  Words that are too rare for an id of their own share one, and are told apart
-by their share of its count.
-
-Ids stand in frequency order and form ``CLUSTERS`` of equal size; the network predicts
-the cluster first, then the word in it, so a prediction costs the square root of
-the vocabulary.
+over the whole corpus, and so does the network: tasks train copies on the round's
+words of all documents they read, and the copies' weighted mean starts the next
+round.  Every word of the corpus is predicted in one of the rounds.  The vocabulary
+grows with the words that are seen often enough; those too rare for an id of their
+own share one, and are told apart by their share of its count.
+
+Ids stand in frequency order and form clusters of equal size, as many as a cluster has
+ids; the network predicts the cluster first, then the word in it, so a prediction costs
+the square root of the vocabulary.
 """
 
 from __future__ import annotations
@@ -25,18 +26,27 @@ from stallbook.llm.common import ship_package, table, text_or_empty
 from stallbook.session import settle
 
 #: Words are hashed into so many slots before they are counted.
-SLOTS = 1 << 18
+SLOTS = 1 << 20
+#: The least network's; a larger corpus has more, see ``clusters_for``.
 CLUSTERS, CLUSTER = 32, 32
 IDS = CLUSTERS * CLUSTER
 #: The last ids are shared by all words that aren't among the most frequent.
 SHARED_IDS = 32
+#: A word seen so many times gets an id of its own, as long as ids have 16 bits.
+ENOUGH = 1000
+MOST_CLUSTERS = 256
+#: Of a vocabulary above the least, the part of ids that are shared.
+SHARED_PART = 5
 #: Words on either side.
 REACH = 2
 OFFSETS = (*range(-REACH, 0), *range(1, REACH + 1))
 WIDTH = 24
-ROUNDS = 2
-#: One word in so many is masked in each round.
-MASK_ONE_IN = 12
+#: The least and the most rounds; each predicts an equal part of all words.
+ROUNDS, MOST_ROUNDS = 2, 12
+#: A copy is trained on so many words for each of its weights, and there are more
+#: rounds if one had more copies than this.
+WORDS_PER_WEIGHT = 4
+COPIES = 64
 BATCH = 2048
 STEP = 0.15
 #: Words that are scored at once.
@@ -76,16 +86,24 @@ def word_counts(documents: DataFrame) -> np.ndarray:
     return counts
 
 
+def clusters_for(counts: np.ndarray) -> int:
+    """How many clusters hold the words seen ``ENOUGH`` times, and the shared ids."""
+    ids = int((counts >= ENOUGH).sum()) * SHARED_PART / (SHARED_PART - 1) + 1
+    return int(min(MOST_CLUSTERS, max(CLUSTERS, 8 * np.ceil(np.sqrt(ids) / 8))))
+
+
 class Vocabulary:
     """The id of every slot (0 is beyond a text's ends), and the log of its share of the id."""
 
-    def __init__(self, counts: np.ndarray):
-        self.ids = (IDS - SHARED_IDS + np.arange(SLOTS) % SHARED_IDS).astype(np.uint16)
-        top = np.lexsort((np.arange(SLOTS), -counts))[: IDS - SHARED_IDS - 1]
+    def __init__(self, counts: np.ndarray, clusters: int = CLUSTERS):
+        size = clusters * clusters
+        common = SHARED_IDS if clusters == CLUSTERS else size // SHARED_PART
+        self.ids = (size - common + np.arange(SLOTS) % common).astype(np.uint16)
+        top = np.lexsort((np.arange(SLOTS), -counts))[: size - common - 1]
         self.ids[top] = np.arange(1, len(top) + 1)
         # one more of each, so that words of other texts have a share too
         seen = counts + 1.0
-        total = np.bincount(self.ids, seen, IDS)
+        total = np.bincount(self.ids, seen, size)
         self.share = np.log(seen / total[self.ids]).astype(np.float32)
 
     def of(self, text: str) -> tuple[np.ndarray, float]:
@@ -96,27 +114,32 @@ class Vocabulary:
 class Network:
     """Weights in one flat array, with a view of each part."""
 
-    SHAPES = {
-        "inputs": (len(OFFSETS), IDS, WIDTH),
-        "hidden": (WIDTH,),
-        "clusters": (CLUSTERS, WIDTH),
-        "cluster_bias": (CLUSTERS,),
-        "words": (CLUSTERS, CLUSTER, WIDTH),
-        "word_bias": (CLUSTERS, CLUSTER),
-    }
-    SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
-
-    def __init__(self, flat: np.ndarray | None = None, seed: int = 17):
+    def __init__(self, flat: np.ndarray | None = None, seed: int = 17, clusters: int = CLUSTERS):
+        ids = clusters * clusters
+        shapes = {
+            "inputs": (len(OFFSETS), ids, WIDTH),
+            "hidden": (WIDTH,),
+            "clusters": (clusters, WIDTH),
+            "cluster_bias": (clusters,),
+            "words": (clusters, clusters, WIDTH),
+            "word_bias": (clusters, clusters),
+        }
+        self.size = self.size_of(clusters)
+        self.n_clusters = clusters
         if flat is None:
-            flat = np.random.default_rng(seed).normal(0, 0.1, self.SIZE)
-            flat[: len(OFFSETS) * IDS * WIDTH] *= 0.5
+            flat = np.random.default_rng(seed).normal(0, 0.1, self.size)
+            flat[: len(OFFSETS) * ids * WIDTH] *= 0.5
         self.flat = flat.astype(np.float32)
         at = 0
-        for name, shape in self.SHAPES.items():
+        for name, shape in shapes.items():
             size = int(np.prod(shape))
             setattr(self, name, self.flat[at : at + size].reshape(shape))
             at += size
 
+    @staticmethod
+    def size_of(clusters: int) -> int:
+        return clusters * clusters * (len(OFFSETS) * WIDTH + WIDTH + 1) + clusters * (WIDTH + 1) + WIDTH
+
     def state(self, context: np.ndarray) -> np.ndarray:
         """The hidden layer for lines of neighbours, one column for each offset."""
         total = self.inputs[0][context[:, 0]]
@@ -127,11 +150,11 @@ class Network:
 
     def log_probabilities(self, context: np.ndarray, words: np.ndarray) -> np.ndarray:
         state = self.state(context)
-        cluster, inner = words // CLUSTER, words % CLUSTER
+        cluster, inner = words // self.n_clusters, words % self.n_clusters
         out = _log_softmax(state @ self.clusters.T + self.cluster_bias)[np.arange(len(words)), cluster]
         order = np.argsort(cluster.astype(np.uint8), kind="stable")
-        edges = np.searchsorted(cluster[order], np.arange(CLUSTERS + 1))
-        for c in range(CLUSTERS):
+        edges = np.searchsorted(cluster[order], np.arange(self.n_clusters + 1))
+        for c in range(self.n_clusters):
             rows = order[edges[c] : edges[c + 1]]
             if len(rows):
                 logits = _log_softmax(state[rows] @ self.words[c].T + self.word_bias[c])
@@ -140,9 +163,9 @@ class Network:
 
     def gradient(self, context: np.ndarray, words: np.ndarray) -> Network:
         """Of the mean log-probability."""
-        out = Network(np.zeros(self.SIZE))
+        out = Network(np.zeros(self.size, dtype=np.float32), clusters=self.n_clusters)
         state = self.state(context)
-        cluster, inner = words // CLUSTER, words % CLUSTER
+        cluster, inner = words // self.n_clusters, words % self.n_clusters
         n = len(words)
         miss = -np.exp(_log_softmax(state @ self.clusters.T + self.cluster_bias))
         miss[np.arange(n), cluster] += 1
@@ -150,8 +173,8 @@ class Network:
         out.cluster_bias[:] = miss.sum(axis=0) / n
         back = miss @ self.clusters
         order = np.argsort(cluster.astype(np.uint8), kind="stable")
-        edges = np.searchsorted(cluster[order], np.arange(CLUSTERS + 1))
-        for c in range(CLUSTERS):
+        edges = np.searchsorted(cluster[order], np.arange(self.n_clusters + 1))
+        for c in range(self.n_clusters):
             rows = order[edges[c] : edges[c + 1]]
             if len(rows):
                 miss = -np.exp(_log_softmax(state[rows] @ self.words[c].T + self.word_bias[c]))
@@ -183,38 +206,61 @@ def neighbours(ids: np.ndarray, first: int, last: int) -> np.ndarray:
     return np.stack([padded[REACH + o : REACH + o + last - first] for o in OFFSETS], axis=1)
 
 
-def masked(ids: np.ndarray, turn: int) -> np.ndarray:
-    """Places of the words that are predicted in this round."""
-    place = np.arange(len(ids), dtype=np.uint64)
+def masked(ids: np.ndarray, turn: int, rounds: int = ROUNDS, doc_id: int | None = None, first: int = 0) -> np.ndarray:
+    """Places of the words that are predicted in this round; ``ids`` are those of a
+    document from its place ``first``.  Every place is in one of ``rounds`` turns, and
+    the document's id has a part in which."""
+    place = np.arange(first, first + len(ids), dtype=np.uint64)
     mix = (place * np.uint64(0x9E3779B97F4A7C15)) ^ (ids.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9))
+    mix ^= np.uint64((doc_id or 0) * 0xD6E8FEB86659FD93 % (1 << 64))
     mix = (mix ^ (mix >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-    return np.flatnonzero((mix >> np.uint64(33)) % np.uint64(MASK_ONE_IN) == turn % MASK_ONE_IN)
+    return np.flatnonzero((mix >> np.uint64(33)) % np.uint64(rounds) == turn % rounds)
+
+
+def words_per_copy(clusters: int) -> int:
+    return WORDS_PER_WEIGHT * Network.size_of(clusters)
+
+
+def rounds_for(words: int, clusters: int) -> int:
+    return int(min(MOST_ROUNDS, max(ROUNDS, -(-words // (COPIES * words_per_copy(clusters))))))
 
 
-def train_round(encoded: DataFrame, start: Network, turn: int) -> Network:
+def train_round(encoded: DataFrame, start: Network, turn: int, rounds: int = ROUNDS) -> Network:
     """The mean of the copies that all tasks train, weighted by their words."""
     shared = encoded.sparkSession.sparkContext.broadcast(start.flat)
+    clusters, size = start.n_clusters, start.size
+    enough = words_per_copy(clusters)
+    # an update touches all weights, so more words go into one where there are more
+    at_once = BATCH * max(1, clusters // CLUSTERS)
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, n = Network(shared.value), 0
-        squares = np.full(Network.SIZE, 1e-6, dtype=np.float32)
+        net, n = Network(shared.value, clusters=clusters), 0
+        squares = np.full(size, 1e-6, dtype=np.float32)
         lines, words = [], []
 
         def learn() -> int:
             line, word = np.concatenate(lines), np.concatenate(words)
-            for a in range(0, len(word), BATCH):
-                slope = net.gradient(line[a : a + BATCH], word[a : a + BATCH]).flat
+            for a in range(0, len(word), at_once):
+                slope = net.gradient(line[a : a + at_once], word[a : a + at_once]).flat
                 squares[:] += slope * slope
                 net.flat += STEP * slope / np.sqrt(squares)
             return len(word)
 
+        def copy() -> Iterator[pa.RecordBatch]:
+            # whole numbers, so that the sum doesn't depend on the order of tasks
+            value = np.rint(net.flat.astype(np.float64) * _FIXED).astype(np.int64) * n
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([n], pa.int64())], names=["at", "v"])
+            for a in range(0, size, 1 << 15):
+                at = np.arange(a, min(size, a + (1 << 15)), dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(value[at])], names=["at", "v"])
+
         held = 0
         for batch in batches:
-            for row in batch.column("ids"):
+            for doc_id, row in zip(batch.column("doc_id"), batch.column("ids")):
                 ids = np.frombuffer(row.as_py(), dtype=np.uint16)
                 for first in range(0, len(ids), CHUNK):
                     part = neighbours(ids, first, min(first + CHUNK, len(ids)))
-                    at = masked(ids[first : first + CHUNK], turn)
+                    at = masked(ids[first : first + CHUNK], turn, rounds, doc_id.as_py(), first)
                     lines.append(part[at])
                     words.append(ids[first : first + CHUNK][at].astype(np.int64))
                     held += len(at)
@@ -223,22 +269,21 @@ def train_round(encoded: DataFrame, start: Network, turn: int) -> Network:
                         lines.clear()
                         words.clear()
                         held = 0
+                    if n >= enough:
+                        yield from copy()
+                        net, n = Network(shared.value, clusters=clusters), 0
+                        squares[:] = 1e-6
         if held:
             n += learn()
         if n:
-            # whole numbers, so that the sum doesn't depend on the order of tasks
-            value = np.rint(net.flat.astype(np.float64) * _FIXED).astype(np.int64) * n
-            for a in range(0, Network.SIZE, 1 << 15):
-                at = np.arange(a, min(Network.SIZE, a + (1 << 15)), dtype=np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(at), pa.array(value[at]), pa.array(np.full(len(at), n, dtype=np.int64))], names=["at", "v", "n"]
-                )
-
-    rows = encoded.select("ids").mapInArrow(train, "at int, v long, n long")
-    sums = rows.groupBy("at").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).toArrow().sort_by("at")
+            yield from copy()
+
+    rows = encoded.select("doc_id", "ids").mapInArrow(train, "at int, v long")
+    sums = rows.groupBy("at").agg(F.sum("v").alias("v")).toArrow().sort_by("at")
     if not len(sums):
         return start
-    return Network(sums["v"].to_numpy() / _FIXED / sums["n"].to_numpy())
+    values = sums["v"].to_numpy()
+    return Network(values[1:] / _FIXED / values[0], clusters=clusters)
 
 
 def encode(documents: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -260,9 +305,10 @@ def encode(documents: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
 def score_encoded(encoded: DataFrame, network: Network) -> DataFrame:
     shared = encoded.sparkSession.sparkContext.broadcast(network.flat)
+    clusters = network.n_clusters
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = Network(shared.value)
+        net = Network(shared.value, clusters=clusters)
         for batch in batches:
             rows = [np.frombuffer(r.as_py(), dtype=np.uint16) for r in batch.column("ids")]
             total = np.zeros(len(rows))
@@ -293,20 +339,25 @@ def chunks(rows: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.
         yield np.concatenate(where), np.concatenate(lines), np.concatenate(words)
 
 
-def score(documents: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def score(documents: DataFrame, rounds: int | None = None) -> DataFrame:
     """Trains on all rows of ``documents`` (``doc_id``, ``text``) and scores each: ``doc_id``,
     ``n_words``, ``log_prob``, the sum over its words, and ``mean_log_prob``.
 
     A null, empty or blank text has no words, the sum 0.0 and a null mean.  Repeated
     rows are learned and scored each, a null ``doc_id`` stays, further columns are
     ignored, an empty table gives an empty table.  Rows and layout of the input decide
-    the result, not the order in which tasks end.
+    the result, not the order in which tasks end.  Without ``rounds`` their number
+    follows the words of the corpus.
     """
     ship_package(documents.sparkSession)
-    encoded = settle(encode(documents, Vocabulary(word_counts(documents))), "encoded")
-    network = Network()
+    counts = word_counts(documents)
+    clusters, words = clusters_for(counts), int(counts.sum())
+    rounds = rounds or rounds_for(words, clusters)
+    encoded = settle(encode(documents, Vocabulary(counts, clusters)), "encoded")
+    copies = max(1, words // rounds // words_per_copy(clusters))
+    network = Network(clusters=clusters)
     for turn in range(rounds):
-        network = train_round(encoded, network, turn)
+        network = train_round(encoded.coalesce(copies), network, turn, rounds)
     return score_encoded(encoded, network)
 
 

@@ -122,6 +122,40 @@ def test_training_prefers_natural_order(spark, data):
     assert np.array_equal(net.flat, again.flat)
 
 
+def test_every_word_is_predicted_in_some_round():
+    ids = np.random.default_rng(2).integers(1, 1000, 5000).astype(np.uint16)
+    for rounds in (1, 2, 7, pseudo_likelihood.MOST_ROUNDS):
+        turns = [pseudo_likelihood.masked(ids, turn, rounds, 5) for turn in range(rounds)]
+        assert np.array_equal(np.sort(np.concatenate(turns)), np.arange(5000))
+        assert max(map(len, turns)) < 1.2 * 5000 / rounds
+    halves = [pseudo_likelihood.masked(ids, 0, 2, doc_id) for doc_id in (5, 6, -7, None)]
+    assert len({tuple(h) for h in halves}) == 4
+    # a document in pieces is one document
+    pieces = [pseudo_likelihood.masked(ids[a : a + 700], 0, 2, 5, a) + a for a in range(0, 5000, 700)]
+    assert np.array_equal(np.concatenate(pieces), halves[0])
+
+
+def test_vocabulary_and_rounds_follow_the_corpus(spark):
+    counts = np.zeros(pseudo_likelihood.SLOTS, dtype=np.int64)
+    counts[:9000] = np.arange(9000, 0, -1) + pseudo_likelihood.ENOUGH
+    counts[9000:50_000] = 3
+    clusters = pseudo_likelihood.clusters_for(counts)
+    vocabulary = pseudo_likelihood.Vocabulary(counts, clusters)
+    assert len(np.unique(vocabulary.ids[:9000])) == 9000
+    assert not np.isin(vocabulary.ids[:9000], vocabulary.ids[50_000:]).any() and vocabulary.ids.max() < clusters**2
+    assert pseudo_likelihood.clusters_for(counts // 100) == pseudo_likelihood.CLUSTERS
+    words = pseudo_likelihood.COPIES * pseudo_likelihood.words_per_copy(clusters)
+    assert pseudo_likelihood.rounds_for(words, clusters) == 2 and pseudo_likelihood.rounds_for(5 * words, clusters) == 5
+    # a wider network learns and scores as the least does
+    text = " ".join(f"w{i % 50}" for i in range(2000))
+    frame = spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")
+    encoded = pseudo_likelihood.encode(frame, pseudo_likelihood.Vocabulary(pseudo_likelihood.word_counts(frame), 40))
+    start = pseudo_likelihood.Network(clusters=40)
+    net = pseudo_likelihood.train_round(encoded, start, 0)
+    before, after = (pseudo_likelihood.score_encoded(encoded, n).agg({"log_prob": "sum"}).first()[0] for n in (start, net))
+    assert net.n_clusters == 40 and after > before
+
+
 def test_neighbours_across_chunks():
     ids = np.arange(1, 30).astype(np.uint16)
     whole = pseudo_likelihood.neighbours(ids, 0, 29)
