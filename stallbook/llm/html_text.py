@@ -3,9 +3,10 @@
 The standard library's streaming parser turns a page into lines, one for each block
 of text, with the characters and tags it has and the elements around it.  Text per
 tag, smoothed by a Gaussian over neighbouring lines, is split by a threshold into
-content and the rest; the elements that hold the content lines are the page's
-content regions.  The text is every line of these regions but boilerplate, which
-elements, roles, class names and runs of bare links tell.
+content and the rest.  The content region are all ``article`` or ``main`` elements or,
+without any, the smallest box around all content lines.  The text is every line of the
+region but boilerplate, which elements, roles, class names and, for boxes with nothing
+else in them, runs of bare links tell.
 """
 
 from __future__ import annotations
@@ -23,8 +24,6 @@ from stallbook.llm.common import ship_package, table
 
 #: Lines that the Gaussian looks to either side, and its width.
 RADIUS, SIGMA = 3, 1.5
-#: A region counts if it holds this part of the largest region's content.
-LEAST_OF_LARGEST = 0.25
 #: So many lines of nothing but links, one after the other, are a menu.
 MENU_LINES = 3
 
@@ -59,11 +58,11 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Element:
-    __slots__ = ("tag", "dropped", "suspect", "holds_main", "parent", "region")
+    __slots__ = ("tag", "dropped", "suspect", "holds_main", "parent", "region", "link")
 
     def __init__(self, tag: str, parent: Element | None, dropped: bool, suspect: bool):
         self.tag, self.parent, self.dropped, self.suspect = tag, parent, dropped, suspect
-        self.holds_main = False
+        self.holds_main = self.link = False
         self.region: str | None = None
 
     def ancestors(self) -> Iterator[Element]:
@@ -95,7 +94,8 @@ class Lines(HTMLParser):
     def end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append(Line(text, self.tags, self.linked, self.at))
+            # a link that is still open may be none that ends
+            self.lines.append(Line(text, self.tags, 0 if self.links else self.linked, self.at))
             self.tags = 0
         self.parts = []
         self.linked = 0
@@ -103,14 +103,13 @@ class Lines(HTMLParser):
     def push(self, tag: str, dropped: bool, suspect: bool) -> None:
         self.at = Element(tag, self.at, dropped, suspect)
         self.depth_dropped += dropped
-        self.links += tag == "a"
 
     def pop_to(self, element: Element) -> None:
         """Closes ``element`` and what is open inside it."""
         while True:
             top, self.at = self.at, self.at.parent
             self.depth_dropped -= top.dropped
-            self.links -= top.tag == "a"
+            self.links -= top.link
             if top is element:
                 return
 
@@ -151,6 +150,10 @@ class Lines(HTMLParser):
             elif name == "style" and value and "display:none" in value.replace(" ", "").lower():
                 dropped = True
         self.push(tag, dropped or comments, suspect and not comments)
+        # with neither target nor name it stands in a link's place
+        if tag == "a" and ("href" in (names := {name for name, _ in attrs}) or names.isdisjoint(("id", "name"))):
+            self.at.link = True
+            self.links += 1
         if main and not (suspect or dropped):
             self.at.region = tag if tag in ("main", "article") else "main"
             for e in self.at.ancestors():
@@ -193,24 +196,48 @@ def content_lines(lines: list[Line]) -> np.ndarray:
     return ratios >= min(ratios.std(), ratios.mean() / 2)
 
 
-def not_menus(lines: list[Line]) -> list[Line]:
+def in_menus(lines: list[Line]) -> list[bool]:
+    """Which lines are in runs of nothing but links."""
     bare = [x.linked >= len(x.text) - x.text.count(" ") for x in lines]
-    out, i = [], 0
+    out, i = [False] * len(lines), 0
     while i < len(lines):
         j = i
         while j < len(lines) and bare[j]:
             j += 1
-        if j - i < MENU_LINES:
-            out += lines[i : max(j, i + 1)]
+        if j - i >= MENU_LINES:
+            out[i:j] = [True] * (j - i)
         i = max(j, i + 1)
     return out
 
 
-def region_of(line: Line, kind: str | None) -> Element | None:
-    """The outermost element of the kind around the line; of any kind, the nearest box."""
-    if kind:
-        return next((e for e in reversed(list(line.element.ancestors())) if e.region == kind), None)
-    return next((e for e in line.element.ancestors() if e.tag in BOXES or not e.parent))
+def boxes_around(line: Line) -> list[Element]:
+    """From the page to the nearest box."""
+    return [e for e in line.element.ancestors() if e.tag in BOXES or not e.parent][::-1]
+
+
+def in_common_box(lines: list[Line]) -> list[Line]:
+    """The lines of the smallest box around all content lines, without the boxes
+    directly in it that hold nothing but menus."""
+    menu = in_menus(lines)
+    others = [x for x, m in zip(lines, menu) if not m]
+    if not others:
+        return []
+    content = [x for x, good in zip(others, content_lines(others)) if good]
+    common = boxes_around((content or others)[0])
+    for x in content or others:
+        around = boxes_around(x)
+        same = 0
+        while same < min(len(common), len(around)) and common[same] is around[same]:
+            same += 1
+        common = common[:same]
+    depth = len(common)
+    held = []
+    for x, m in zip(lines, menu):
+        around = boxes_around(x)
+        if around[depth - 1 : depth] == common[-1:]:
+            held.append((x, m, around[depth] if len(around) > depth else common[-1]))
+    more = {id(branch) for _, m, branch in held if not m}
+    return [x for x, _, branch in held if branch is common[-1] or id(branch) in more]
 
 
 def main_text(html: str) -> str:
@@ -219,26 +246,13 @@ def main_text(html: str) -> str:
     parser.close()
     parser.end_line()
     lines = [x for x in parser.lines if not any(e.suspect and not e.holds_main for e in x.element.ancestors())]
-    lines = not_menus(lines)
-    if not lines:
-        return ""
-    content = content_lines(lines)
     kinds = {e.region for x in lines for e in x.element.ancestors()} - {None}
     kind = next((k for k in ("article", "main") if k in kinds), None)
-    regions = [region_of(x, kind) for x in lines]
-    mass: dict[int, int] = {}
-    for x, region, good in zip(lines, regions, content):
-        if good and region is not None:
-            mass[id(region)] = mass.get(id(region), 0) + len(x.text)
-    if not mass:
-        return "\n\n".join(x.text for x, region in zip(lines, regions) if region is not None)
-    least = LEAST_OF_LARGEST * max(mass.values())
-    chosen = {key for key, m in mass.items() if m >= least}
     if kind:
-        return "\n\n".join(x.text for x, region in zip(lines, regions) if id(region) in chosen)
-    # boxes inside a chosen one belong to it, such as quotes and table cells
-    held = lambda x: any(id(e) in chosen for e in x.element.ancestors())
-    return "\n\n".join(x.text for x in lines if held(x))
+        lines = [x for x in lines if any(e.region == kind for e in x.element.ancestors())]
+    else:
+        lines = in_common_box(lines)
+    return "\n\n".join(x.text for x in lines)
 
 
 def extract(pages: DataFrame) -> DataFrame:

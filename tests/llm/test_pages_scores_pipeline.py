@@ -30,6 +30,26 @@ def test_pages_without_article_elements():
     assert main_text(page) == "A long paragraph of text that goes on for some time.\n\nAnother.\n\nNo"
 
 
+LONG = "A long paragraph of text that goes on for some time. " * 20
+
+
+def test_short_parts_beside_a_long_one_stay():
+    parts = [LONG.strip(), "A short part.", "Another short one.", "The end of it."]
+    for around in ("<section><p>{}</p></section>", "<div>{}</div>", "<article><p>{}</p></article>"):
+        page = '<div><ul><li><a href="/">x</a><li><a href="/y">y</a><li><a href="/z">z</a></ul></div><div>%s</div>'
+        assert main_text(page % "".join(around.format(x) for x in parts)).split("\n\n") == parts, around
+
+
+def test_lists_of_links_in_the_text_stay():
+    links = "".join(f'<li><a href="/{i}">Source {i}</a></li>' for i in range(4))
+    names = [f"Source {i}" for i in range(4)]
+    assert main_text(f"<article><p>{LONG}</p><ul>{links}</ul></article>").split("\n\n")[1:] == names
+    page = f"<div><ul>{links}</ul></div><div><p>{LONG}</p><section><h2>Sources</h2><ul>{links}</ul></section><p>{LONG}</p></div>"
+    assert main_text(page).split("\n\n") == [LONG.strip(), "Sources", *names, LONG.strip()]
+    # a name that is never closed is no link
+    assert main_text('<div><a id="top"><p>One line.</p><p>Two lines.</p><p>Three lines.</p></div>') == "One line.\n\nTwo lines.\n\nThree lines."
+
+
 @pytest.mark.parametrize(
     "html, text", [("", ""), ("just text", "just text"), ("<p>", ""), ("a &lt; b", "a < b"), ("<p>x<script>if(a<b){'</p>'}", "x"),
                    ("<article><p>cut off <b>he", "cut off he"), ("</div></p><p>y</b>", "y"), ("<!-- <p>no</p> --><p>yes", "yes")]
