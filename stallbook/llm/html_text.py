@@ -36,11 +36,11 @@ BLOCKS = frozenset(
 #: Elements that end tags of others don't reach through, and that regions are made of.
 BOXES = frozenset("article aside body blockquote div fieldset footer form header html main nav section table td th".split())
 DROPPED = frozenset(
-    "aside button canvas datalist dialog footer form head header iframe menu nav noscript object script select "
+    "aside button canvas datalist dialog footer head header iframe menu nav noscript object script select "
     "style svg template textarea title".split()
 )
 DROPPED_ROLES = frozenset(
-    "alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split()
+    "alert alertdialog banner complementary contentinfo dialog menu menubar navigation search toolbar".split()
 )
 #: Words of class names and ids that mark boilerplate.
 SUSPECT = frozenset(
@@ -50,6 +50,13 @@ SUSPECT = frozenset(
     "recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored "
     "subscribe subscription teaser toolbar topbar widget widgets".split()
 )
+#: Last words of names that say nothing about what an element holds.
+PLAIN_ENDS = frozenset("area bar block box button buttons container inner left link links list right section wrap wrapper".split())
+#: First words of names that tell what a page has or lacks around it.
+ABOUT_OTHERS = frozenset("has hide is no not show with without".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: An element with this part of the page's text is no boilerplate, whatever its name.
+MOST = 2 / 3
 READER_COMMENTS = frozenset("comment comments disqus replies reply respond".split())
 _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 _LISTS = frozenset("ul ol dl table menu".split())
@@ -57,12 +64,25 @@ _NAME_WORDS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
+def names_of(value: str) -> set[str]:
+    """The last telling word of each name in a class or id."""
+    out = set()
+    for name in value.split():
+        words = _NAME_WORDS.findall(_CAMEL.sub(" ", name).lower())
+        if not words or words[0] in ABOUT_OTHERS:
+            continue
+        while len(words) > 1 and words[-1] in PLAIN_ENDS:
+            words.pop()
+        out.add(words[-1])
+    return out
+
+
 class Element:
-    __slots__ = ("tag", "dropped", "suspect", "holds_main", "parent", "region", "link")
+    __slots__ = ("tag", "dropped", "suspect", "comments", "holds_main", "parent", "region", "link")
 
     def __init__(self, tag: str, parent: Element | None, dropped: bool, suspect: bool):
         self.tag, self.parent, self.dropped, self.suspect = tag, parent, dropped, suspect
-        self.holds_main = self.link = False
+        self.holds_main = self.link = self.comments = False
         self.region: str | None = None
 
     def ancestors(self) -> Iterator[Element]:
@@ -136,20 +156,23 @@ class Lines(HTMLParser):
                 self.pop_to(old)
         if tag in VOID or tag in ("html", "body"):
             return
-        dropped, suspect, comments, main = tag in DROPPED, False, False, tag in ("main", "article")
+        dropped, suspect, comments, main = tag in DROPPED, tag == "form", False, tag in ("main", "article")
         for name, value in attrs:
-            if name in ("class", "id") and value:
-                words = _NAME_WORDS.findall(_CAMEL.sub(" ", value).lower())
+            # a heading's id is made of its text
+            if (name == "class" or name == "id" and tag not in HEADINGS) and value:
+                words = names_of(value)
                 suspect = suspect or not SUSPECT.isdisjoint(words)
                 comments = comments or not READER_COMMENTS.isdisjoint(words)
             elif name == "role" and value:
                 dropped = dropped or value.lower() in DROPPED_ROLES
+                suspect = suspect or value.lower() == "form"
                 main = main or value.lower() in ("main", "article")
             elif name == "hidden" or name == "aria-hidden" and value == "true":
                 dropped = True
             elif name == "style" and value and "display:none" in value.replace(" ", "").lower():
                 dropped = True
-        self.push(tag, dropped or comments, suspect and not comments)
+        self.push(tag, dropped, suspect)
+        self.at.comments = comments
         # with neither target nor name it stands in a link's place
         if tag == "a" and ("href" in (names := {name for name, _ in attrs}) or names.isdisjoint(("id", "name"))):
             self.at.link = True
@@ -240,12 +263,40 @@ def in_common_box(lines: list[Line]) -> list[Line]:
     return [x for x, _, branch in held if branch is common[-1] or id(branch) in more]
 
 
+def without_suspects(lines: list[Line]) -> list[Line]:
+    """The lines outside suspect elements.  Known only now, an element is none if it holds
+    an ``article`` or ``main``, for readers' comments all of the page, or, on pages
+    without these, most of the text."""
+    mass: dict[int, int] = {}
+    suspects: dict[int, Element] = {}
+    regions: dict[int, Element] = {}
+    for x in lines:
+        for e in x.element.ancestors():
+            if e.suspect:
+                suspects[id(e)] = e
+                mass[id(e)] = mass.get(id(e), 0) + len(x.text)
+            if e.region:
+                regions[id(e)] = e
+    if not suspects:
+        return lines
+    around = [{id(e) for e in r.ancestors()} for r in regions.values()]
+    most = MOST * sum(len(x.text) for x in lines)
+
+    def stays(key: int, e: Element) -> bool:
+        if not regions:
+            return mass[key] >= most
+        return e.holds_main and (not e.comments or all(key in ids for ids in around))
+
+    out = {key for key, e in suspects.items() if not stays(key, e)}
+    return [x for x in lines if not any(id(e) in out for e in x.element.ancestors())]
+
+
 def main_text(html: str) -> str:
     parser = Lines()
     parser.feed(html)
     parser.close()
     parser.end_line()
-    lines = [x for x in parser.lines if not any(e.suspect and not e.holds_main for e in x.element.ancestors())]
+    lines = without_suspects(parser.lines)
     kinds = {e.region for x in lines for e in x.element.ancestors()} - {None}
     kind = next((k for k in ("article", "main") if k in kinds), None)
     if kind:

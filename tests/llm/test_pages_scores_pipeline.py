@@ -50,6 +50,24 @@ def test_lists_of_links_in_the_text_stay():
     assert main_text('<div><a id="top"><p>One line.</p><p>Two lines.</p><p>Three lines.</p></div>') == "One line.\n\nTwo lines.\n\nThree lines."
 
 
+@pytest.mark.parametrize(
+    "html", [
+        '<div class="post has-comments"><article><p>{}</p></article></div>', '<article class="comments-open"><p>{}</p></article>',
+        "<form action=x><div><article><p>{}</p></article></div></form>", "<form action=x><div><p>{}</p></div></form><div>Mail</div>",
+        '<div class="comments"><article><p>{}</p></article></div>', '<div class="no-sidebar"><p>{}</p></div>',
+        '<article><section id="related-work"><p>{}</p></section></article>', '<article><h2 id="search">{}</h2></article>']
+)
+def test_names_and_forms_do_not_hide_the_text(html):
+    assert main_text(html.format("The text of the page, which is of some length.")).startswith("The text of the page, which is of some length.")
+
+
+def test_forms_and_named_parts_beside_the_text_go():
+    parts = '<form><label>Mail</label></form><div class="comments-area"><article class="comment">No.</article></div><div id="related-links">Else</div>'
+    assert main_text(f"<article><p>Text.</p>{parts}</article>") == "Text."
+    assert main_text(f"<div><p>{LONG}</p>{parts}</div>") == LONG.strip()
+    assert main_text('<article>Text.</article><div id="comments"><article>A plain element with a comment.</article></div>') == "Text."
+
+
 @pytest.mark.parametrize(
     "html, text", [("", ""), ("just text", "just text"), ("<p>", ""), ("a &lt; b", "a < b"), ("<p>x<script>if(a<b){'</p>'}", "x"),
                    ("<article><p>cut off <b>he", "cut off he"), ("</div></p><p>y</b>", "y"), ("<!-- <p>no</p> --><p>yes", "yes")]
