@@ -46,7 +46,10 @@ class CoverTree:
 
         def add(c: int, rows: np.ndarray, away: np.ndarray) -> int:
             centre.append(c)
-            radius.append(float(away.max()) * (1 + 1e-9) + 1e-6 if len(rows) > 1 else 0.0)
+            # squares beyond the whole numbers that doubles hold are rounded
+            most = float(self.squares[rows].max())
+            far = np.sqrt(float(away.max()) ** 2 + (1e-11 * most if most >= 2.0**50 else 0.0))
+            radius.append(far * (1 + 1e-9) + 1e-6 if len(rows) > 1 else 0.0)
             first.append(0)
             last.append(0)
             children.append(None)
@@ -90,12 +93,21 @@ class CoverTree:
         return self.order[self.first[node] : self.last[node]]
 
 
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The inner products of whole numbers in doubles, a line for each of ``a``: by
+    doubles if they hold every sum, else by 64-bit integers."""
+    longest = np.sqrt(np.einsum("ij,ij->i", a, a).max(initial=0.0)) * np.sqrt(np.einsum("ij,ij->i", b, b).max(initial=0.0))
+    if longest < 2.0**52:
+        return (a @ b.T).astype(np.int64)
+    return a.astype(np.int64) @ b.astype(np.int64).T
+
+
 class Best:
     """The k best (score, id) of every query so far; ties go to the smaller id."""
 
     def __init__(self, queries: np.ndarray, k: int, least: np.ndarray):
         self.queries, self.k, self.least = queries, k, least.copy()
-        self.score = [np.zeros(0)] * len(queries)
+        self.score = [np.zeros(0, dtype=np.int64)] * len(queries)
         self.id = [np.zeros(0, dtype=np.int64)] * len(queries)
 
     def take(self, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
@@ -128,7 +140,8 @@ def search(queries: CoverTree, data: CoverTree, ids: np.ndarray, best: Best) ->
         """Data nodes that may still matter to a query node, the most promising first."""
         inner = data.x[data.centre[others]] @ queries.x[queries.centre[node]]
         reach = queries.norm[node] * data.radius[others] + queries.radius[node] * (data.norm[others] + data.radius[others])
-        bound = inner + reach + 1e-9 * (np.abs(inner) + reach) + 1e-6
+        rounding = np.abs(inner) + reach + queries.norm[node] * data.norm[others]
+        bound = inner + reach + 1e-9 * rounding + 1e-6
         keep = bound >= best.least[below(node)].min()
         return others[keep][np.argsort(-bound[keep], kind="stable")]
 
@@ -158,16 +171,16 @@ def search(queries: CoverTree, data: CoverTree, ids: np.ndarray, best: Best) ->
                 size += data.last[others[taken]] - data.first[others[taken]]
                 taken += 1
             points = np.concatenate([data.points(o) for o in others[:taken]])
-            best.take(rows, ids[points], queries.x[rows] @ data.x[points].T)
+            best.take(rows, ids[points], products(queries.x[rows], data.x[points]))
             others = able(node, others[taken:])
 
 
 def whole_numbers(column: str, scale: int = SCALE) -> Column:
     """Each component times ``scale``, rounded down; null if any is null or not finite,
-    if there is none, or if the sum of products could leave the whole numbers that
-    doubles hold (components of 2 ** 53 / dimensions and their squares)."""
+    if there is none, or if a score could leave the 64 bits it has (components whose
+    squares reach 2 ** 63 / dimensions)."""
     scaled = F.transform(F.col(column), lambda x: F.floor(x.cast("double") * F.lit(float(scale))).cast("double"))
-    limit = F.sqrt(F.lit(float(2**53)) / F.size(column))
+    limit = F.sqrt(F.lit(float(2**63)) / F.size(column)) - 1
     fine = F.forall(F.col(column), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double") * F.lit(float(scale))) < limit))
     return F.when((F.size(column) > 0) & F.coalesce(fine, F.lit(False)), scaled)
 
@@ -218,9 +231,9 @@ def _one_block(vectors: DataFrame, rows: list, seeds: list, k: int) -> DataFrame
     known = by_dimension(seeds)
     index = {}
     for d, (ids, x) in by_dimension(rows).items():
-        best = Best(ids, k, np.full(len(ids), -np.inf))
+        best = Best(ids, k, np.full(len(ids), -_LONG, dtype=np.int64))
         if d in known:
-            best.take(np.arange(len(ids)), known[d][0], x @ known[d][1].T)
+            best.take(np.arange(len(ids)), known[d][0], products(x, known[d][1]))
         index[d] = (ids, CoverTree(x), best.least)
     shared = context.broadcast(index)
 
@@ -247,7 +260,7 @@ def _one_block(vectors: DataFrame, rows: list, seeds: list, k: int) -> DataFrame
                     [
                         pa.array(np.repeat(index[d][0], times)),
                         pa.array(np.concatenate(held.id)),
-                        pa.array(np.concatenate(held.score).astype(np.int64)),
+                        pa.array(np.concatenate(held.score)),
                     ],
                     names=["query_id", "vec_id", "score"],
                 )

@@ -41,6 +41,18 @@ def test_odd_vectors_take_no_part(spark):
     assert cover_tree.top_inner_products(frame.where("id < 0"), frame).count() == 0
 
 
+def test_large_vectors_are_scored_exactly(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, (rng.normal(size=64) * 10.0 ** rng.integers(-1, 5)).tolist()) for i in range(300)]
+    # scores that doubles don't tell apart
+    big = (rng.normal(size=64) * 60_000).tolist()
+    rows += [(300 + i, [*big[:-1], 20_000 + i / 1024]) for i in range(40)] + [(400, [360_000.0] * 64), (401, [-360_000.0] * 64)]
+    numbers = [(i, whole(v)) for i, v in rows]
+    frame = spark.createDataFrame(rows, "id long, e array<double>").repartition(3).select("id", cover_tree.whole_numbers("e").alias("vector"))
+    got = cover_tree.top_inner_products(frame.where("id % 20 = 0"), frame, 7).collect()
+    assert sorted(map(tuple, got)) == sorted(plain_top(numbers, [x for x in numbers if x[0] % 20 == 0], 7))
+
+
 def test_covering_radii_hold():
     x = np.random.default_rng(1).normal(size=(500, 4))
     tree = cover_tree.CoverTree(x, leaf=4)
