@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from stallbook.llm import (
     cover_tree,
+    divergence,
     html_text,
     language,
     mixing,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_html_main_text": html_text.op8_html_main_text,
     "op9_language_id": language.op9_language_id,
     "op10_token_counts": tokens.op10_token_counts,
+    "op12_segment_divergence": divergence.op12_segment_divergence,
 }
 
-SQL = {"op6_cover_tree_topk": cover_tree.SQL}
+SQL = {"op6_cover_tree_topk": cover_tree.SQL, "op12_segment_divergence": divergence.SQL}
