@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from stallbook.llm import (
+    chat,
     cover_tree,
     divergence,
+    hard_negatives,
     html_text,
     language,
     mixing,
@@ -27,7 +29,14 @@ QUERIES = {
     "op8_html_main_text": html_text.op8_html_main_text,
     "op9_language_id": language.op9_language_id,
     "op10_token_counts": tokens.op10_token_counts,
+    "op11_segment_negatives": hard_negatives.op11_segment_negatives,
     "op12_segment_divergence": divergence.op12_segment_divergence,
+    "op13_prefix_chat": chat.op13_prefix_chat,
 }
 
-SQL = {"op6_cover_tree_topk": cover_tree.SQL, "op12_segment_divergence": divergence.SQL}
+SQL = {
+    "op6_cover_tree_topk": cover_tree.SQL,
+    "op11_segment_negatives": hard_negatives.SQL,
+    "op12_segment_divergence": divergence.SQL,
+    "op13_prefix_chat": chat.SQL,
+}
