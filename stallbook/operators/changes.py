@@ -3,19 +3,44 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stallbook.operators.keys import match_keys
+from stallbook.operators.quality import dedupe, repeated_keys
 from stallbook.session import settle
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
+def one_of_each(new: DataFrame, keys: Sequence[str], order: Sequence[str | Column] = ()) -> DataFrame:
+    """The rows of a batch with one row per key: the last by ``order``; without an order a
+    repeated key is refused with an error.  A key with a null matches nothing, so it may repeat.
+    """
+    if order:
+        last = [(F.col(c) if isinstance(c, str) else c).desc_nulls_last() for c in order]
+        whole = reduce(and_, [F.col(k).isNotNull() for k in keys])
+        return dedupe(new.filter(whole), keys, last).union(new.filter(~whole))
+    found = repeated_keys(new, keys).select(*keys).first()
+    if found:
+        raise ValueError(f"the key {found.asDict()} comes more than once; an order says which row counts")
+    return new
+
+
+def upsert(
+    old: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[str | Column] = ()
+) -> DataFrame:
     """New rows plus the old rows whose key is not among them.
 
-    Columns only one side has are kept, null on the other side.
+    Columns only one side has are kept, null on the other side.  Of repeated keys among the
+    new rows the last by ``order`` counts (:func:`one_of_each`).
     """
+    return replace_rows(old, one_of_each(new, keys, order), keys)
+
+
+def replace_rows(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The same for rows whose keys are known not to repeat."""
     kept = old.join(new.select(*keys), list(keys), "left_anti")
     return kept.unionByName(new, allowMissingColumns=True)
 

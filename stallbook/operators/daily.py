@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stallbook.functions.numeric import exact
+from stallbook.functions.numeric import price_count, price_total
 
 KEYS = ("commodity", "state", "market")
 
@@ -33,7 +33,7 @@ def daily_prices(prices: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """
 
     def mean(column: str):
-        return F.round(F.try_divide(F.sum(exact(column)), F.count(exact(column))), 10).cast("decimal(24,10)")
+        return F.round(F.try_divide(price_total(column), price_count(column)), 10).cast("decimal(32,10)")
 
     return prices.groupBy(*keys, "arrival_date").agg(
         mean("modal_price").alias("avg_price"),

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stallbook.functions.numeric import exact, half_up, mean_price
+from stallbook.functions.numeric import half_up, mean_price
 from stallbook.operators.daily import KEYS
 
 ALPHA = 0.3  # smoothing weight of the newest point
@@ -25,7 +25,7 @@ SWING_PCT = 3  # change that counts as rising or falling
 def series_state(prices: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Per key: rows, points, last day and price, trend in percent, level."""
     daily = prices.groupBy(*keys, "arrival_date").agg(
-        mean_price(F.sum(exact("modal_price")), F.count(exact("modal_price"))).alias("price"),
+        mean_price("modal_price").alias("price"),
         F.count(F.lit(1)).alias("rows"),
     )
     newest = Window.partitionBy(*keys).orderBy(F.desc("arrival_date"))

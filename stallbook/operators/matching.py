@@ -1,13 +1,12 @@
 """Keyword retrieval: the k chunks that contain most words of a query.
 
-A query word counts when it is a *substring* of the lower-cased chunk.  A word has
-no white space, so any occurrence lies inside one token of the chunk, and each
-task looks a token's words up once, however often the token comes.
-
-Queries come in blocks of bounded size that travel with the tasks, one block
-after the other.  A task reads its chunks once for each block, adds up the words
-each chunk has, and keeps k candidates per query: no postings are written, the
-texts are never shuffled, and only candidates are.
+A query word counts when it is a *substring* of the lower-cased chunk.  The words of
+a block of queries make one automaton, and a chunk's words are found in one pass over
+its distinct tokens (a word has no white space, so any occurrence lies inside one).
+
+Blocks of queries meet strips of chunks in cells (``operators/blocks.py``): a task
+builds the automaton of its block once, adds up the words each chunk has, and keeps k
+candidates per query.  No postings are written, and nothing passes through the driver.
 """
 
 from __future__ import annotations
@@ -19,14 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from stallbook.functions.texts import words
+from stallbook.operators.blocks import cells, in_cells, strips_for
 from stallbook.session import settle, ship_package
 
 BLOCK_WORDS = 200_000  # query words that travel together, on average
-STEP_ROWS = 256  # chunks scored at a time: bounds the score matrix of a task
-GRAM = 3  # letters by which words are looked up in a token
-KNOWN_TOKENS = 500_000  # tokens whose words a task remembers
+STRIP_ROWS, LEAST_ROWS = 200_000, 64  # chunks of a strip
+STEP_SCORES = 1 << 17  # scores of chunks times queries at a time: bounds the score matrix of a task
 
 
 def query_words(queries: DataFrame, query_id: str = "query_id", text: str = "text") -> DataFrame:
@@ -39,45 +39,42 @@ def query_words(queries: DataFrame, query_id: str = "query_id", text: str = "tex
 
 
 class WordHits:
-    """Which of a block's words each token holds, and which queries ask for them."""
+    """Which of a block's words a text holds, and which queries ask for them."""
 
     def __init__(self, asked: list[tuple], whole_word: bool):
         self.query_ids = sorted({q for q, _, _ in asked})
         place = {q: i for i, q in enumerate(self.query_ids)}
-        lists: dict[str, list] = {}
-        for query, word, times in asked:
-            lists.setdefault(word, []).append((place[query], times))
-        self.number = {word: i for i, word in enumerate(lists)}
-        self.queries = [np.array([q for q, _ in own]) for own in lists.values()]
-        self.times = [np.array([t for _, t in own], dtype=np.float64) for own in lists.values()]
-        # words by their first letters, GRAM at most
-        self.starts: dict[str, list[tuple[str, int]]] = {}
-        for word, i in self.number.items():
-            self.starts.setdefault(word[:GRAM], []).append((word, i))
+        number = {word: i for i, word in enumerate(dict.fromkeys(w for _, w, _ in asked))}
+        rows = sorted((number[word], place[query], times) for query, word, times in asked)
+        of_word, self.queries, times = (np.array(c, dtype=np.int64) for c in zip(*rows))
+        self.times = times.astype(np.float64)
+        self.first = np.searchsorted(of_word, np.arange(len(number) + 1))
         self.whole_word = whole_word
-        self.known: dict[str, frozenset[int]] = {}
-
-    def of(self, token: str) -> frozenset[int]:
-        found = self.known.get(token)
-        if found is None:
-            if self.whole_word:
-                found = frozenset([self.number[token]] if token in self.number else [])
-            else:
-                grams = {token[i : i + n] for n in range(1, GRAM + 1) for i in range(len(token) - n + 1)}
-                found = frozenset(i for g in grams if g in self.starts for word, i in self.starts[g] if word in token)
-            if len(self.known) >= KNOWN_TOKENS:
-                self.known.clear()
-            self.known[token] = found
-        return found
+        if whole_word:
+            self.number = number
+        else:
+            import ahocorasick
+
+            self.automaton = ahocorasick.Automaton()
+            for word, i in number.items():
+                self.automaton.add_word(word, i)
+            self.automaton.make_automaton()
+
+    def held(self, text: str) -> set[int]:
+        """The numbers of the words in a text."""
+        tokens = set(text.split())
+        if self.whole_word:
+            return {self.number[t] for t in tokens & self.number.keys()}
+        return {i for _, i in self.automaton.iter(" ".join(tokens))}
 
     def scores(self, text: str) -> np.ndarray:
         """Of one chunk, for every query."""
-        held = frozenset().union(*map(self.of, set(text.split())))
-        if not held:
-            return np.zeros(len(self.query_ids))
-        queries = np.concatenate([self.queries[w] for w in held])
-        times = np.concatenate([self.times[w] for w in held])
-        return np.bincount(queries, times, len(self.query_ids))
+        own = np.fromiter(self.held(text), dtype=np.int64)
+        sizes = self.first[own + 1] - self.first[own]
+        ends = np.cumsum(sizes)
+        # the places of all words' queries, one word after the other
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[own] - ends + sizes, sizes)
+        return np.bincount(self.queries[at], self.times[at], len(self.query_ids))
 
 
 class _Best:
@@ -103,31 +100,41 @@ class _Best:
                 self.least[i] = score[order[-1]]
 
 
-def _scan(asked: list[tuple], texts: DataFrame, k: int, whole_word: bool, schema: T.StructType, id_type) -> DataFrame:
-    """Candidates (query_id, chunk_id, score) for one block of query words."""
-    block = texts.sparkSession.sparkContext.broadcast(asked)
-
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hits = WordHits(block.value, whole_word)
-        best, chunk_type = _Best(len(hits.query_ids), k), None
-        for batch in batches:
-            chunk_type = batch.schema.field("chunk_id").type
-            ids = batch.column("chunk_id").to_numpy(zero_copy_only=False)
-            for start in range(0, batch.num_rows, STEP_ROWS):
-                part = batch.column("text").slice(start, STEP_ROWS)
-                best.take(ids[start : start + STEP_ROWS], np.stack([hits.scores(t.as_py()) for t in part]))
-        for query, found, scores in zip(hits.query_ids, best.ids, best.scores):
+def _searcher(k: int, whole_word: bool, query_type: pa.DataType, chunk_type: pa.DataType):
+    """Reads cells, words of queries before chunks, and gives each cell's best."""
+
+    def found(hits: WordHits, best: _Best) -> Iterator[pa.RecordBatch]:
+        for query, ids, scores in zip(hits.query_ids, best.ids, best.scores):
             if len(scores):
+                columns = [pa.array([query] * len(scores), query_type), pa.array(ids, chunk_type, from_pandas=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([query] * len(scores), type=id_type),
-                        pa.array(found, type=chunk_type, from_pandas=True),
-                        pa.array(scores.astype(np.int64)),
-                    ],
-                    ["query_id", "chunk_id", "score"],
+                    [*columns, pa.array(scores.astype(np.int64))], ["query_id", "chunk_id", "score"]
                 )
 
-    return texts.mapInArrow(candidates, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        present, asked, hits, best = None, [], None, None
+        for cell, is_row, part in cells(batches):
+            if cell != present:
+                if hits:
+                    yield from found(hits, best)
+                present, asked, hits, best = cell, [], None, None
+            if not is_row:
+                asked += zip(*[part.column(c).to_pylist() for c in ("query_id", "word", "times")])
+                continue
+            if hits is None and asked:
+                hits = WordHits(asked, whole_word)
+                best, asked = _Best(len(hits.query_ids), k), []
+            if hits is None:
+                continue
+            ids = part.column("chunk_id").to_numpy(zero_copy_only=False)
+            step = max(1, STEP_SCORES // len(hits.query_ids))
+            for start in range(0, part.num_rows, step):
+                texts = part.column("text").slice(start, step)
+                best.take(ids[start : start + step], np.stack([hits.scores(t.as_py()) for t in texts]))
+        if hits:
+            yield from found(hits, best)
+
+    return run
 
 
 def keyword_top_k(
@@ -161,12 +168,12 @@ def keyword_top_k(
         ]
     )
     blocks = max(1, -(-asked.count() // BLOCK_WORDS))
-    pairs = spark.createDataFrame([], schema)
-    for number in range(blocks):
-        block = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number).toArrow()
-        rows = list(zip(*[c.to_pylist() for c in block.select(["query_id", "word", "times"]).columns]))
-        if rows:
-            pairs = pairs.union(_scan(rows, stored, k, whole_word, schema, block.schema.field("query_id").type))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
+    dealt = in_cells(
+        asked.withColumn("block", block), stored, blocks, strips_for(stored, chunks.count(), STRIP_ROWS, LEAST_ROWS)
+    )
+    types = [to_arrow_type(schema[c].dataType) for c in ("query_id", "chunk_id")]
+    pairs = dealt.mapInArrow(_searcher(k, whole_word, *types), schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     best = pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return (

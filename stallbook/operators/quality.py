@@ -45,10 +45,14 @@ def quarantine(df: DataFrame, rules: Rules) -> DataFrame:
     return df.withColumn("failed_rules", _failed(rules)).filter(F.size("failed_rules") > 0)
 
 
+def violations(rules: Rules) -> list[Column]:
+    """Aggregates: how many rows break each rule."""
+    return [F.count_if(~_holds(rule)).alias(name) for name, rule in rules.items()]
+
+
 def rule_counts(df: DataFrame, rules: Rules) -> DataFrame:
     """One row per rule: rows seen, rows that hold, rows that fail.  One pass."""
-    sums = [F.count_if(~_holds(rule)).alias(name) for name, rule in rules.items()]
-    total = df.agg(F.count(F.lit(1)).alias("rows"), *sums)
+    total = df.agg(F.count(F.lit(1)).alias("rows"), *violations(rules))
     per_rule = F.array(
         *[F.struct(F.lit(name).alias("rule"), F.col(name).alias("failed")) for name in rules]
     )
@@ -61,11 +65,7 @@ def rule_counts(df: DataFrame, rules: Rules) -> DataFrame:
 def keep_valid_observed(df: DataFrame, rules: Rules) -> tuple[DataFrame, Observation]:
     """Like :func:`keep_valid`, counting failures per rule in the same job."""
     seen = Observation("row_rules")
-    watched = df.observe(
-        seen,
-        F.count(F.lit(1)).alias("rows"),
-        *[F.count_if(~_holds(rule)).alias(name) for name, rule in rules.items()],
-    )
+    watched = df.observe(seen, F.count(F.lit(1)).alias("rows"), *violations(rules))
     return keep_valid(watched, rules), seen
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stallbook.functions.numeric import avg_price, exact, mean_price, money
+from stallbook.functions.numeric import avg_price, mean_price, money
 from stallbook.operators.keys import match_keys
 from stallbook.session import settle
 
@@ -77,7 +77,7 @@ def latest_prices(
 
 def _mean(price: str) -> Column:
     """Unrounded mean to rank by: two groups may differ by less than a hundredth."""
-    return mean_price(F.sum(exact(price)), F.count(exact(price)))
+    return mean_price(price)
 
 
 def best_markets(prices: DataFrame, per_key: int = 10, days: int = 30) -> DataFrame:

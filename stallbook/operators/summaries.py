@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stallbook.functions.numeric import avg_price, exact, half_up, money, rounded_mean
+from stallbook.functions.numeric import avg_price, half_up, money, price_count, price_total, rounded_mean
 
 MONTH_KEYS = ("commodity", "market", "state", "year", "month")
 
@@ -61,11 +61,10 @@ def commodity_analytics(prices: DataFrame, more_than: int = 100, top: int = 10)
     the distinct counts to a small table.  The spread is put together from the
     spread within and between the groups.
     """
-    price = exact("modal_price")
     groups = prices.groupBy("commodity", "state", "market").agg(
         F.count(F.lit(1)).alias("rows"),
-        F.count(price).alias("n"),
-        F.sum(price).alias("sum"),
+        price_count("modal_price").alias("n"),
+        price_total("modal_price").alias("sum"),
         F.avg("modal_price").alias("mean"),
         F.var_pop("modal_price").alias("within"),
         F.max("modal_price").alias("highest"),

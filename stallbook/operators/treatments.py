@@ -18,14 +18,23 @@ DEFAULT_TEXTS = {
 
 
 def last_entries(knowledge: DataFrame, position: str | None) -> DataFrame:
-    """One entry per label; the one at the highest position wins, without a
-    position column the last one read."""
+    """One entry per label; the one at the highest position wins.
+
+    Without a position column that is the last one of the last file by name
+    (``source_file``), however files are packed into tasks.  Rows in an array are in its
+    order; files of JSON lines that are read in several splits need a position.  A frame
+    without ``source_file`` counts in the order of its partitions.
+    """
     rows = knowledge.filter(F.length("disease_class") > 0)
     if position is None:
-        position = "_read"
-        rows = rows.withColumn(position, F.monotonically_increasing_id())
-    last = Window.partitionBy("disease_class").orderBy(F.desc(position))
-    return rows.withColumn("_nth", F.row_number().over(last)).filter("_nth = 1").drop("_nth", position)
+        # stored with the entries' numbers, which the plan of a later step could change
+        rows = settle(rows.withColumn("_read", F.monotonically_increasing_id()), "entries")
+        order = [F.desc(c) for c in ("source_file", "_read") if c in rows.columns]
+    else:
+        order = [F.desc(position)]
+    last = Window.partitionBy("disease_class").orderBy(*order)
+    kept = rows.withColumn("_nth", F.row_number().over(last)).filter("_nth = 1")
+    return kept.drop("_nth", "_read", *([position] if position else []))
 
 
 def parse_labels(predictions: DataFrame, label: str = "label") -> DataFrame:

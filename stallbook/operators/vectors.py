@@ -1,9 +1,9 @@
 """Exact cosine top-k of query vectors over a table of vectors.
 
-Queries come in blocks of bounded size that travel with the tasks, one block after
-the other: each task multiplies its Arrow batches with the block and keeps k
-candidates per query.  The vectors are scanned once for each block and never
-shuffled; only candidates are.
+Blocks of queries meet strips of vectors in cells (``operators/blocks.py``): a task
+multiplies the Arrow batches of its strip with its block and keeps k candidates per
+query.  Nothing but counts passes through the driver.  ``operators/vector_index.py``
+has the form that reads a stored index.
 """
 
 from __future__ import annotations
@@ -15,10 +15,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
+from stallbook.operators.blocks import cells, in_cells, strips_for
 from stallbook.session import settle, ship_package
 
 BLOCK_BYTES = 16 << 20  # queries that travel together
+STRIP_ROWS, LEAST_ROWS = 1 << 20, 256  # vectors of a strip
 STEP_ROWS = 256  # queries scored at a time: bounds the score matrix of a batch
 #: Matrix products may differ in the last digits with the size of the batch.  What
 #: lies this close to the k-th score is scored again, one by one.
@@ -70,31 +73,53 @@ class _Best:
                 self.scores[i], self.ids[i] = score[order], found[order]
 
 
-def _scan(queries: pa.Table, vectors: DataFrame, k: int, schema: T.StructType) -> DataFrame:
-    """Map-only candidates for one block of queries."""
-    block = vectors.sparkSession.sparkContext.broadcast(
-        (queries.column("query_id").to_pylist(), _matrix(queries.column("embedding").combine_chunks()))
+def found_rows(names: list, best: _Best, types: tuple[pa.DataType, pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """The candidates (query_id, vector_id, score) that a task keeps."""
+    for name, ids, scores in zip(names, best.ids, best.scores):
+        if len(scores):
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([name] * len(scores), type=types[0]),
+                    pa.array(ids, type=types[1], from_pandas=True),
+                    pa.array(scores, type=pa.float64()),
+                ],
+                ["query_id", "vector_id", "score"],
+            )
+
+
+def _searcher(k: int, types: tuple[pa.DataType, pa.DataType]):
+    """Reads cells, queries before vectors, and gives each cell's best."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        present, names, parts, best = None, [], [], None
+        for cell, is_row, part in cells(batches):
+            if cell != present:
+                if best:
+                    yield from found_rows(names, best, types)
+                present, names, parts, best = cell, [], [], None
+            if not is_row:
+                names += part.column("query_id").to_pylist()
+                parts.append(_matrix(part.column("query")))
+                continue
+            if parts:
+                widths = {p.shape[1] for p in parts}
+                if len(widths) > 1:
+                    raise ValueError("queries differ in length")
+                best, parts = _Best(np.concatenate(parts), k), []
+            if best:
+                best.take(part.column("vector_id").to_numpy(zero_copy_only=False), _matrix(part.column("embedding")))
+        if best:
+            yield from found_rows(names, best, types)
+
+    return run
+
+
+def whole_vectors(df: DataFrame, key: str, name: str, embedding: str, kind: str) -> DataFrame:
+    """Key and vector; a vector that is null or has a null or NaN in it is left out."""
+    whole = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x))
+    return df.select(F.col(key).alias(name), F.col(embedding).cast(kind).alias("embedding")).filter(
+        F.col("embedding").isNotNull() & whole
     )
-    id_type = queries.schema.field("query_id").type
-
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, matrix = block.value
-        best, vector_type = _Best(matrix, k), None
-        for batch in batches:
-            vector_type = batch.schema.field("vector_id").type
-            best.take(batch.column("vector_id").to_numpy(zero_copy_only=False), _matrix(batch.column("embedding")))
-        for name, ids, scores in zip(names, best.ids, best.scores):
-            if len(scores):
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([name] * len(scores), type=id_type),
-                        pa.array(ids, type=vector_type, from_pandas=True),
-                        pa.array(scores, type=pa.float64()),
-                    ],
-                    ["query_id", "vector_id", "score"],
-                )
-
-    return vectors.mapInArrow(candidates, schema)
 
 
 def cosine_top_k(
@@ -111,15 +136,8 @@ def cosine_top_k(
     vector scores 0."""
     ship_package(vectors.sparkSession)
 
-    def two_columns(df: DataFrame, key: str, name: str) -> DataFrame:
-        value = F.col(embedding).cast("array<float>" if name == "vector_id" else "array<double>")
-        whole = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x))
-        return df.select(F.col(key).alias(name), value.alias("embedding")).filter(
-            F.col("embedding").isNotNull() & whole
-        )
-
-    asked = settle(two_columns(queries, query_id, "query_id"), "query_vectors")
-    stored = two_columns(vectors, vector_id, "vector_id")
+    asked = settle(whole_vectors(queries, query_id, "query_id", embedding, "array<double>"), "query_vectors")
+    stored = whole_vectors(vectors, vector_id, "vector_id", embedding, "array<float>")
     schema = T.StructType(
         [
             T.StructField("query_id", asked.schema["query_id"].dataType),
@@ -129,11 +147,11 @@ def cosine_top_k(
     )
     size = asked.agg(F.sum(F.size("embedding") * 8).alias("bytes")).first()["bytes"] or 0
     blocks = max(1, -(-size // block_bytes))
-    pairs = vectors.sparkSession.createDataFrame([], schema)
-    for number in range(blocks):
-        block = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number).toArrow()
-        if len(block):
-            pairs = pairs.union(_scan(block, stored, k, schema))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
+    asked = asked.select("query_id", F.col("embedding").alias("query"), block.alias("block"))
+    dealt = in_cells(asked, stored, blocks, strips_for(stored, vectors.count(), STRIP_ROWS, LEAST_ROWS))
+    types = tuple(to_arrow_type(schema[c].dataType) for c in ("query_id", "vector_id"))
+    pairs = dealt.mapInArrow(_searcher(k, types), schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vector_id")
     return (
         pairs.withColumn("rank", F.row_number().over(order))

@@ -10,17 +10,20 @@ from pyspark.sql import functions as F
 from stallbook.functions import texts
 from stallbook.functions.numeric import half_up
 from stallbook.operators import (
+    change_feed,
     changes,
     chunks,
     daily,
     forecast,
     intents,
     matching,
+    pages,
     quality,
     recency,
     retrieval,
     summaries,
     treatments,
+    vector_index,
     windows,
 )
 from stallbook.operators import vectors as vectors_op
@@ -29,10 +32,12 @@ from stallbook.plans import advice, model, report
 from stallbook.plans import prices as price_plan
 from stallbook.plans.observations import from_lines, price_observations, table, unit_prices
 from stallbook.session import scratch_path, settle
+from stallbook.sinks import layout
 from stallbook.sinks import tables as sinks
-from stallbook.sources import files, tables
-from stallbook.streaming import gold, ingest
+from stallbook.sources import files, rescue, tables
+from stallbook.streaming import gold, gold_states, ingest, metrics
 from stallbook.streaming.silver import dedupe_stream, drain_unique, silver_stream
+from stallbook.streaming.survivors import drain_survivors, read_survivors
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -142,6 +147,12 @@ def dimension_lists(spark, folder):
     )
 
 
+@_query
+def dimension_pages(spark, folder):
+    """Lists of markets per commodity, in pages of seven."""
+    return pages.value_pages(price_observations(spark, folder), ["commodity"], "market", 7)
+
+
 @_query
 def market_choices(spark, folder):
     return summaries.distinct_values(price_observations(spark, folder), "commodity", "state", "market")
@@ -190,6 +201,31 @@ def unit_price_forecast(spark, folder):
     return forecast.price_forecast(unit_prices(spark, folder), ("commodity", "state"))
 
 
+def _wide_prices(spark: SparkSession, folder: str) -> DataFrame:
+    """Prices beyond a million millions, and with nine decimals, among plain ones."""
+
+    def price(column: str):
+        value = F.col(column)
+        units, hundredths = F.floor(value).cast("bigint"), F.floor(value * 100 + 0.5).cast("bigint")
+        fine = (units % 1000 * 1_000_000_000 + hundredths % 997) / 1_000_000_000
+        large = (units * 1_000_000_000_000).cast("double")
+        return F.when(F.col("variety") == "R", large).when(F.col("variety") == "A", fine).otherwise(value)
+
+    prices = {c: price(c) for c in ("min_price", "max_price", "modal_price")}
+    return price_observations(spark, folder).withColumns(prices)
+
+
+@_query
+def wide_price_analytics(spark, folder):
+    return summaries.monthly_analytics(price_plan.silver(_wide_prices(spark, folder))).drop("price_stddev")
+
+
+@_query
+def wide_price_enriched(spark, folder):
+    enriched = price_plan.enriched(_wide_prices(spark, folder))
+    return enriched.select("price_id", "modal_price", "moving_avg_7d", "moving_avg_30d")
+
+
 # ---- price files --------------------------------------------------------------
 
 
@@ -222,6 +258,37 @@ def price_files_json(spark, folder):
     return files.load_prices(spark, path, multi_line=False).select(FILE_COLUMNS)
 
 
+def _price_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Price rows as lines of JSON: a third cut off, some with a column nobody expects."""
+    rows = _raw_price_rows(spark, folder)
+    columns = [F.col(f"`{c}`") for c in rows.columns]
+    line = F.when(F.col("Variety") == "R", F.to_json(F.struct(*columns, F.lit("7 %").alias("Moisture")))).otherwise(F.to_json(F.struct(*columns)))
+    cut = F.when(F.col("Variety") == "A", F.substring(line, 1, 60)).otherwise(line)
+    return rows.select("Variety", cut.alias("value"))
+
+
+@_query
+def price_files_rescued(spark, folder):
+    """Every line of a price file is either loaded or rescued."""
+    path = scratch_path(spark, "lines")
+    _price_lines(spark, folder).select("value").write.text(path)
+    lines = rescue.read_lines(spark, path, files.PRICE_FILE)
+    # the lines that are loaded pass through the usual projection
+    good = files.price_columns(rescue.loaded(lines)).groupBy("variety").agg(F.count("*").alias("rows"), F.count("modal_price").alias("prices"))
+    good = good.select(F.lit("loaded").alias("rule"), "variety", "rows", "prices")
+    bad = rescue.rescued(lines).groupBy("rule", "column").agg(F.count("*").alias("rows"))
+    return good.union(bad.select("rule", "column", "rows", F.lit(0).cast("bigint")))
+
+
+@_query
+def rescued_lines(spark, folder):
+    """The broken lines themselves, whole."""
+    path = scratch_path(spark, "lines")
+    _price_lines(spark, folder).select("value").write.text(path)
+    lines = rescue.read_lines(spark, path, files.PRICE_FILE)
+    return rescue.rescued(lines).filter(F.col("rule") == rescue.BROKEN).groupBy("content").agg(F.count("*").alias("rows"))
+
+
 @_query
 def price_files_lineage(spark, folder):
     """Rows by the folder that their file lies in."""
@@ -406,6 +473,33 @@ def vector_neighbours(spark, folder):
     return vectors_op.cosine_top_k(vectors, vectors, k=5, query_id="vec_id", vector_id="vec_id")
 
 
+def _vector_index(spark: SparkSession, folder: str) -> str:
+    path = scratch_path(spark, "index")
+    vector_index.build_index(table(spark, folder, "embeddings"), path, "vec_id")
+    return path
+
+
+@_query
+def vector_index_topk(spark, folder):
+    """The search of ``vector_topk`` through a stored index."""
+    centres = vectors_op.centroids(table(spark, folder, "embeddings"), "label")
+    return vector_index.search_index(spark, _vector_index(spark, folder), centres, 5, "label")[0]
+
+
+@_query
+def vector_index_neighbours(spark, folder):
+    vectors = table(spark, folder, "embeddings")
+    return vector_index.search_index(spark, _vector_index(spark, folder), vectors, 5, "vec_id")[0]
+
+
+@_query
+def vector_index_cells(spark, folder):
+    """Every vector lies in one cell, within the cell's widest angle."""
+    path = _vector_index(spark, folder)
+    held = spark.read.parquet(f"{path}/vectors").join(spark.read.parquet(f"{path}/cells").withColumnRenamed("angle", "widest"), "cell")
+    return held.select(F.col("vector_id").alias("vec_id"), (F.col("angle") <= F.col("widest")).alias("inside"))
+
+
 @_query
 def text_vectors(spark, folder):
     documents = _texts(spark, folder)
@@ -463,10 +557,10 @@ def table_comments(spark, folder):
     sinks.comment_table(spark, name, "Orders: what's new")
     rows = [(c.name, c.description) for c in spark.catalog.listColumns(name)]
     about = spark.catalog.getTable(name).description
-    counted = settle(tables.read_table(spark, name).agg(F.count("*").alias("rows")), "rows")
+    counted = tables.read_table(spark, name).count()
     spark.sql(f"DROP TABLE {name}")
     columns = spark.createDataFrame([(n, d, about) for n, d in rows], "name string, comment string, about string")
-    return columns.join(counted.withColumn("about", F.lit(about)), "about")
+    return columns.withColumn("rows", F.lit(counted).cast("bigint"))
 
 
 @_query
@@ -678,6 +772,95 @@ def upsert(spark, folder):
     return changes.upsert(old, new, ["o_orderkey"])
 
 
+@_query
+def upsert_repeated_keys(spark, folder):
+    """A batch that has keys several times: the row of the latest status counts."""
+    old, new = _order_versions(spark, folder)
+    twice = new.unionByName(new.filter("o_orderkey % 3 = 0").withColumn("o_orderstatus", F.lit("Z")))
+    return changes.upsert(old, twice, ["o_orderkey"], order=["o_orderstatus"])
+
+
+@_query
+def apply_changes(spark, folder):
+    """The differences of three versions, applied newest first: the last version comes out."""
+    versions = _order_history(spark, folder)
+    key = ["o_orderkey"]
+    history = change_feed.new_history(versions[0], key, 0)
+    for number in (3, 1, 2):
+        history = settle(change_feed.apply_changes(history, _numbered_changes(versions, number), key, "sequence"), "history")
+    return change_feed.version(history)
+
+
+@_query
+def change_intervals(spark, folder):
+    """How long every state of an order was valid."""
+    versions = _order_history(spark, folder)
+    key = ["o_orderkey"]
+    history = change_feed.new_history(versions[0], key, 0)
+    steps = _numbered_changes(versions, 1).unionByName(_numbered_changes(versions, 2)).unionByName(_numbered_changes(versions, 3))
+    history = change_feed.apply_changes(history, steps, key, "sequence")
+    return history.select("o_orderkey", "o_orderstatus", "valid_from", "valid_to", "deleted")
+
+
+def _order_history(spark: SparkSession, folder: str) -> list[DataFrame]:
+    """Four versions of orders: changed, thinned out, and partly back."""
+    old, new = _order_versions(spark, folder)
+    second = changes.replace_rows(old, new, ["o_orderkey"])
+    third = second.filter("o_orderkey % 5 <> 0")
+    back = old.filter("o_orderkey % 10 = 0").withColumn("o_orderstatus", F.lit("B"))
+    return [old, second, third, third.unionByName(back)]
+
+
+def _numbered_changes(versions: list[DataFrame], number: int) -> DataFrame:
+    found = changes.snapshot_diff(versions[number - 1], versions[number], ["o_orderkey"]).drop("copies")
+    return found.withColumn("sequence", F.lit(number))
+
+
+@_query
+def bucketed_enriched(spark, folder):
+    """Indicators over a silver table in buckets of its series: no exchange below the windows."""
+    path = scratch_path(spark, "silver")
+    name = "silver_" + path[-12:]
+    rows = price_plan.silver(price_observations(spark, folder))
+    layout.write_bucketed(rows, name, windows.SERIES, windows.ORDER, 8, path)
+    clean = quality.dedupe(spark.table(name), [*windows.SERIES, "arrival_date", "variety"])
+    enriched = windows.with_indicators(clean)
+    if layout.exchanges(enriched):
+        raise RuntimeError("the stored layout is not used")
+    kept = settle(enriched, "enriched")
+    spark.sql(f"DROP TABLE {name}")
+    return kept
+
+
+@_query
+def bucketed_merge(spark, folder):
+    """Orders in buckets of their key; only the batch is shuffled when it is merged."""
+    old, new = _order_versions(spark, folder)
+    paths = [scratch_path(spark, "orders") for _ in range(2)]
+    names = ["orders_" + p[-12:] for p in paths]
+    layout.write_bucketed(old, names[0], ["o_orderkey"], (), 8, paths[0])
+    layout.merge_bucketed(new, names[0], ["o_orderkey"], (), names[1], paths[1])
+    spark.sql(f"DROP TABLE {names[0]}")
+    return _read_and_forget(spark, names[1])
+
+
+@_query
+def table_inventory(spark, folder):
+    """Tables of a database by name, with their sizes; one that is asked for is missing."""
+    path = scratch_path(spark, "inventory")
+    database = "inventory_" + path[-12:]
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{path}'")
+    for name in ("nation", "orders", "documents"):
+        sinks.write_table(table(spark, folder, name), f"{database}.{name}")
+    names = sorted(tables.list_tables(spark, database))
+    found = settle(tables.table_stats(spark, [f"{database}.{n}" for n in (*names, "absent")]), "stats")
+    there = {n: tables.table_exists(spark, f"{database}.{n}") for n in (*names, "absent")}
+    spark.sql(f"DROP DATABASE {database} CASCADE")
+    exists = F.create_map(*[F.lit(x) for pair in there.items() for x in pair])
+    short = F.element_at(F.split("table_name", "[.]"), 2)
+    return found.select(short.alias("name"), "row_count", F.col("column_count").cast("int").alias("column_count"), exists[short].alias("found"))
+
+
 @_query
 def table_merge(spark, folder):
     """Orders stored by status, then changed in place: only touched partitions
@@ -896,6 +1079,80 @@ def stream_gold_batches(spark, folder):
     return spark.read.parquet(gold_path)
 
 
+@_query
+def stream_unique_empty_first(spark, folder):
+    """The first file has no valid row."""
+    rows = price_plan.silver(price_observations(spark, folder), deduplicate=True)
+    inbox = scratch_path(spark, "inbox")
+    rows.limit(1).withColumn("modal_price", F.lit(0.0)).coalesce(1).write.parquet(inbox)
+    rows.repartition(3).write.mode("append").parquet(inbox)
+    arriving = ingest.file_stream(spark, inbox, rows.schema, file_format="parquet", max_files=1)
+    out = scratch_path(spark, "unique")
+    drain_unique(quality.valid_prices(arriving), out, scratch_path(spark, "offsets"))
+    return spark.read.schema(rows.schema).parquet(out).select(*rows.columns)
+
+
+@_query
+def stream_gold_states(spark, folder):
+    """Gold kept as states: every batch adds its own, and every third merges them."""
+    rows = price_plan.silver(price_observations(spark, folder))
+    inbox = _dropping_box(spark, rows)
+    arriving = ingest.file_stream(spark, inbox, rows.schema, file_format="parquet", max_files=1)
+    path = scratch_path(spark, "states")
+    gold_states.drain_states(arriving, path, scratch_path(spark, "offsets"), compact_every=3)
+    return gold_states.read_gold(spark, path)
+
+
+@_query
+def stream_survivors(spark, folder):
+    """Of every identity the row of the smallest id, in whatever batch it comes."""
+    rows = price_plan.silver(_with_null_varieties(spark, folder))
+    inbox = _dropping_box(spark, rows.union(rows.filter("grade = 'F'")))
+    arriving = ingest.file_stream(spark, inbox, rows.schema, file_format="parquet", max_files=2)
+    out = scratch_path(spark, "survivors")
+    drain_survivors(arriving, out, scratch_path(spark, "offsets"))
+    return read_survivors(spark, out, rows.schema)
+
+
+@_query
+def stream_rule_counts(spark, folder):
+    """The rules' counts as a stream's batches gave them, added up."""
+    rows = _odd_prices(spark, folder)
+    inbox = _dropping_box(spark, rows)
+    arriving = ingest.file_stream(spark, inbox, rows.schema, file_format="parquet", max_files=2)
+    path, out = scratch_path(spark, "metrics"), scratch_path(spark, "valid")
+    listener = metrics.RuleMetrics(spark, path)
+    spark.streams.addListener(listener)
+    try:
+        ingest.drain(metrics.watch_rules(arriving, quality.price_rules()), scratch_path(spark, "offsets"), path=out)
+        listener.wait()
+    finally:
+        spark.streams.removeListener(listener)
+    return metrics.metrics_by_rule(metrics.stored_metrics(spark, path))
+
+
+def _odd_prices(spark: SparkSession, folder: str) -> DataFrame:
+    """Observations of which some have no price, no date or no commodity."""
+    rows = price_observations(spark, folder)
+    return rows.withColumns(
+        {
+            "modal_price": F.when(F.col("variety") != "R", F.col("modal_price")),
+            "arrival_date": F.when(F.col("grade") != "O", F.col("arrival_date")),
+            "commodity": F.when(F.col("commodity") == "Brand#13", F.lit(" ")).otherwise(F.col("commodity")),
+        }
+    )
+
+
+@_query
+def valid_rows_observed(spark, folder):
+    """What is kept and what the rules saw, from the same job."""
+    kept, seen = quality.keep_valid_observed(_odd_prices(spark, folder), quality.price_rules())
+    rows = settle(kept, "valid").count()
+    counts = seen.get
+    found = [(name, counts["rows"], counts[name], rows) for name in quality.price_rules()]
+    return spark.createDataFrame(found, "rule string, rows long, failed long, kept long")
+
+
 @_query
 def stream_dedupe_events(spark, folder):
     """Events that come twice, in other files, within the delay."""
@@ -1009,6 +1266,18 @@ def model_split(spark, folder):
     return train.select("price_id", F.lit("train").alias("part")).union(test.select("price_id", F.lit("test").alias("part")))
 
 
+@_query
+def tree_stump(spark, folder):
+    """One tree of one split, on columns of few values: what SQL can follow."""
+    rows = price_observations(spark, folder).select(
+        F.dayofweek("arrival_date").cast("double").alias("weekday"),
+        F.month("arrival_date").cast("double").alias("month"),
+        F.least(F.floor(F.col("min_price") / 20000), F.lit(4)).cast("double").alias("level"),
+        F.col("modal_price"),
+    )
+    return model.stump(settle(rows, "binned"), ("weekday", "month", "level"))
+
+
 @_query
 def text_weights(spark, folder):
     """The non-zero places of the hashed text vectors."""

@@ -873,3 +873,144 @@ SELECT column_name AS name, column_name || ' of an order, it''s' AS comment, 'Or
        (SELECT count(*) FROM orders) AS rows
 FROM (DESCRIBE orders)
 """
+
+SQL["dimension_pages"] = f"""
+WITH {PRICE_OBS}, places AS (SELECT DISTINCT commodity, market FROM obs WHERE market <> ''),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY commodity ORDER BY market) AS rank FROM places)
+SELECT commodity, (rank - 1) // 7 + 1 AS page, list(market ORDER BY market) AS market_page FROM ranked GROUP BY ALL
+"""
+
+
+def nanos(column: str) -> str:
+    """A wide price as a whole number of thousand-millionths, from its definition."""
+    units, hundredths = f"CAST(floor({column}) AS HUGEINT)", f"CAST(floor({column} * 100 + 0.5) AS HUGEINT)"
+    return f"""CASE variety WHEN 'R' THEN {units} * CAST(1000000000000 AS HUGEINT) * 1000000000
+               WHEN 'A' THEN {units} % 1000 * 1000000000 + {hundredths} % 997 ELSE {hundredths} * 10000000 END"""
+
+
+def from_nanos(total: str, n: str = "1") -> str:
+    """Total by number, rounded half up to hundredths, as the nearest double."""
+    whole = f"((2 * {total} + {n} * CAST(10000000 AS HUGEINT)) // ({n} * CAST(20000000 AS HUGEINT)))"
+    return f"CAST(CAST({whole} // 100 AS VARCHAR) || '.' || lpad(CAST({whole} % 100 AS VARCHAR), 2, '0') AS DOUBLE)"
+
+
+WIDE_OBS = f"""
+{PRICE_OBS}, wide AS (
+  SELECT * EXCLUDE (modal_price, min_price, max_price), {nanos("modal_price")} AS modal, {nanos("min_price")} AS low,
+         {nanos("max_price")} AS high FROM obs)
+"""
+
+
+def wide_mean(column: str, over: str = "") -> str:
+    return from_nanos(f"CAST(sum({column}) {over} AS HUGEINT)", f"count(*) {over}")
+
+
+SQL["wide_price_analytics"] = f"""
+WITH {WIDE_OBS}
+SELECT commodity, market, state, CAST(year(arrival_date) AS INT) AS year, CAST(month(arrival_date) AS INT) AS month,
+       count(*) AS total_records, count(DISTINCT arrival_date) AS trading_days,
+       {wide_mean("modal")} AS avg_modal_price,
+       {from_nanos("min(modal)")} AS min_modal_price, {from_nanos("max(modal)")} AS max_modal_price,
+       {wide_mean("low")} AS avg_min_price, {wide_mean("high")} AS avg_max_price
+FROM wide WHERE modal > 0 GROUP BY ALL
+"""
+
+SQL["wide_price_enriched"] = f"""
+WITH {WIDE_OBS}, kept AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY arrival_date, market, commodity, variety ORDER BY price_id) AS nth
+                 FROM wide WHERE modal > 0) WHERE nth = 1)
+SELECT price_id, CASE WHEN variety = 'A' THEN CAST(modal AS DOUBLE) / 1000000000
+                      WHEN variety = 'R' THEN CAST(modal // 1000000000 AS DOUBLE)
+                      ELSE CAST(modal // 10000000 AS DOUBLE) / 100 END AS modal_price,
+       {wide_mean("modal", "OVER w7")} AS moving_avg_7d, {wide_mean("modal", "OVER w30")} AS moving_avg_30d
+FROM kept
+WINDOW w7 AS (PARTITION BY commodity, market ORDER BY arrival_date, variety, price_id ROWS BETWEEN 6 PRECEDING AND CURRENT ROW),
+       w30 AS (PARTITION BY commodity, market ORDER BY arrival_date, variety, price_id ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)
+"""
+
+SQL["price_files_rescued"] = f"""
+WITH {PRICE_OBS}
+SELECT 'loaded' AS rule, variety, count(*) AS rows, count_if(grade = 'F') AS prices FROM obs WHERE variety <> 'A' GROUP BY ALL
+UNION ALL SELECT 'broken_line', NULL, count(*), 0 FROM obs WHERE variety = 'A' HAVING count(*) > 0
+UNION ALL SELECT 'unexpected_column', 'Moisture', count(*), 0 FROM obs WHERE variety = 'R' HAVING count(*) > 0
+"""
+
+SQL["rescued_lines"] = f"""
+WITH {PRICE_OBS}
+SELECT substring('{{"State":"' || state || '","District Name":"' || district || '","Market Name":"' || market ||
+                 '","Commodity":"' || commodity, 1, 60) AS content, count(*) AS rows
+FROM obs WHERE variety = 'A' GROUP BY ALL
+"""
+
+SQL["vector_index_topk"] = SQL["vector_topk"]
+SQL["vector_index_neighbours"] = SQL["vector_neighbours"]
+SQL["vector_index_cells"] = "SELECT vec_id, true AS inside FROM embeddings WHERE embedding IS NOT NULL"
+
+SQL["upsert_repeated_keys"] = f"""
+WITH {VERSIONS}, latest AS (
+  SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN 'Z' ELSE o_orderstatus END AS o_orderstatus,
+         * EXCLUDE (o_orderkey, o_custkey, o_orderstatus) FROM changed)
+SELECT * FROM latest UNION ALL SELECT * FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM changed)
+"""
+
+BACK = """
+thinned AS (SELECT * FROM merged WHERE o_orderkey % 5 <> 0),
+back AS (SELECT * REPLACE ('B' AS o_orderstatus) FROM orders WHERE o_orderkey % 10 = 0)
+"""
+SQL["apply_changes"] = f"WITH {VERSIONS}, {BACK} SELECT * FROM thinned UNION ALL SELECT * FROM back"
+SQL["change_intervals"] = f"""
+WITH {VERSIONS}, {BACK}, events AS (
+  SELECT o_orderkey, o_orderstatus, 0 AS valid_from, false AS deleted FROM orders
+  UNION ALL SELECT o_orderkey, o_orderstatus, 1, false FROM changed
+  UNION ALL SELECT o_orderkey, NULL, 2, true FROM merged WHERE o_orderkey % 5 = 0
+  UNION ALL SELECT o_orderkey, o_orderstatus, 3, false FROM back)
+SELECT o_orderkey, o_orderstatus, valid_from, lead(valid_from) OVER (PARTITION BY o_orderkey ORDER BY valid_from) AS valid_to, deleted
+FROM events
+"""
+
+SQL["bucketed_enriched"] = SQL["price_enriched"]
+SQL["bucketed_merge"] = SQL["upsert"]
+SQL["table_inventory"] = "\nUNION ALL ".join(
+    [
+        f"SELECT '{t}' AS name, (SELECT count(*) FROM {t}) AS row_count, CAST((SELECT count(*) FROM (DESCRIBE {t})) AS INT) AS column_count, true AS found"
+        for t in ("nation", "orders", "documents")
+    ]
+    + ["SELECT 'absent', NULL, NULL, false"]
+)
+
+SQL["stream_unique_empty_first"] = SQL["silver_prices"]
+SQL["stream_gold_states"] = SQL["gold_price_analytics"]
+SQL["stream_survivors"] = SQL["stream_unique_batches"]
+
+ODD_FLAGS = f"""
+{PRICE_OBS}, flags AS (
+  SELECT variety <> 'R' AS a, grade <> 'O' AS b, commodity <> 'Brand#13' AS c FROM obs)
+"""
+SQL["stream_rule_counts"] = f"""
+WITH {ODD_FLAGS}
+SELECT 'valid_price' AS rule, count(*) AS rows, count_if(a) AS passed, count_if(NOT a) AS failed FROM flags
+UNION ALL SELECT 'valid_date', count(*), count_if(b), count_if(NOT b) FROM flags
+UNION ALL SELECT 'valid_commodity', count(*), count_if(c), count_if(NOT c) FROM flags
+"""
+SQL["valid_rows_observed"] = f"""
+WITH {ODD_FLAGS}
+SELECT 'valid_price' AS rule, count(*) AS rows, count_if(NOT a) AS failed, count_if(a AND b AND c) AS kept FROM flags
+UNION ALL SELECT 'valid_date', count(*), count_if(NOT b), count_if(a AND b AND c) FROM flags
+UNION ALL SELECT 'valid_commodity', count(*), count_if(NOT c), count_if(a AND b AND c) FROM flags
+"""
+
+SQL["tree_stump"] = f"""
+WITH {PRICE_OBS}, binned AS (
+  SELECT modal_price AS y, CAST(dayofweek(arrival_date) + 1 AS DOUBLE) AS weekday, CAST(month(arrival_date) AS DOUBLE) AS month,
+         CAST(least(floor(min_price / 20000), 4) AS DOUBLE) AS level FROM obs),
+long AS (UNPIVOT binned ON weekday, month, level INTO NAME feature VALUE x),
+by_value AS (SELECT feature, x, count(*) AS n, sum(y) AS s FROM long GROUP BY ALL),
+sides AS (
+  SELECT feature, (x + lead(x) OVER v) / 2 AS threshold, sum(n) OVER v AS n1, sum(s) OVER v AS s1,
+         sum(n) OVER (PARTITION BY feature) AS n, sum(s) OVER (PARTITION BY feature) AS s
+  FROM by_value WINDOW v AS (PARTITION BY feature ORDER BY x)),
+best AS (
+  SELECT * FROM sides WHERE threshold IS NOT NULL ORDER BY s1 * s1 / n1 + (s - s1) * (s - s1) / (n - n1) DESC LIMIT 1)
+SELECT feature, threshold, true AS below, {half_up("s1 / n1", 4)} AS prediction, CAST(n1 AS BIGINT) AS rows FROM best
+UNION ALL SELECT feature, threshold, false, {half_up("(s - s1) / (n - n1)", 4)}, CAST(n - n1 AS BIGINT) FROM best
+"""

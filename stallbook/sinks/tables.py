@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stallbook import schemas
-from stallbook.operators.changes import append_evolving, upsert
+from stallbook.operators.changes import append_evolving, one_of_each, replace_rows
 from stallbook.operators.keys import match_keys
 from stallbook.session import settle
 
@@ -27,8 +27,10 @@ def write_table(
     partition_by: Sequence[str] = (),
     keys: Sequence[str] = (),
     location: str | None = None,
+    order: Sequence[str] = (),
 ) -> None:
-    """Overwrite or append to a table, or ``merge`` rows into it by ``keys``.
+    """Overwrite or append to a table, or ``merge`` rows into it by ``keys``; of rows with the
+    same key the last by ``order`` is merged, without one they are refused.
 
     ``location`` places the files of a new table outside the warehouse.
 
@@ -37,7 +39,7 @@ def write_table(
     """
     spark = df.sparkSession
     if mode == "merge":
-        merge_table(df, name, keys, partition_by)
+        merge_table(df, name, keys, partition_by, order)
         return
     if mode == "append" and spark.catalog.tableExists(name):
         add_columns(spark, name, df.schema)
@@ -74,7 +76,11 @@ def comment_table(spark: SparkSession, name: str, text: str) -> None:
 
 
 def merge_table(
-    new: DataFrame, name: str, keys: Sequence[str], partition_by: Sequence[str] = ()
+    new: DataFrame,
+    name: str,
+    keys: Sequence[str],
+    partition_by: Sequence[str] = (),
+    order: Sequence[str] = (),
 ) -> None:
     """Upsert into a stored table, which keeps its location, format and partitioning.
 
@@ -86,6 +92,7 @@ def merge_table(
     if not keys:
         raise ValueError("merge needs key columns")
     spark = new.sparkSession
+    new = one_of_each(new, keys, order)
     if not spark.catalog.tableExists(name):
         write_table(new, name, "overwrite", partition_by)
         return
@@ -95,11 +102,11 @@ def merge_table(
     add_columns(spark, name, new.schema)
     old = spark.table(name)
     if not parts:
-        settle(upsert(old, new, keys), "merged").select(*old.columns).write.insertInto(name, overwrite=True)
+        settle(replace_rows(old, new, keys), "merged").select(*old.columns).write.insertInto(name, overwrite=True)
         return
     replaced = old.join(new.select(*keys), list(keys), "left_semi").select(*parts)
     touched = settle(new.select(*parts).union(replaced).distinct(), "touched")
-    merged = settle(upsert(match_keys(old, touched, parts, "left_semi"), new, keys), "merged")
+    merged = settle(replace_rows(match_keys(old, touched, parts, "left_semi"), new, keys), "merged")
     with _dynamic_overwrite(spark):
         merged.select(*old.columns).hint("rebalance", *parts).write.insertInto(name, overwrite=True)
     # a partition all of whose rows moved elsewhere is not overwritten, so drop it;

@@ -133,10 +133,12 @@ def price_key() -> Column:
 
 def price_rows(raw: DataFrame) -> DataFrame:
     """Raw headers to the price schema; unusable numbers and dates become null."""
-    named = raw.select(
-        *[_found(raw, headers).alias(c) for c, headers in PRICE_HEADERS.items()],
-        F.col("_metadata.file_path").alias("source_file"),
-    )
+    return price_columns(raw.withColumn("source_file", F.col("_metadata.file_path")))
+
+
+def price_columns(raw: DataFrame) -> DataFrame:
+    """The same for rows that bring their ``source_file``."""
+    named = raw.select(*[_found(raw, headers).alias(c) for c, headers in PRICE_HEADERS.items()], "source_file")
     typed = named.withColumns(
         {
             "arrival_date": parse_date("arrival_date"),

@@ -30,7 +30,7 @@ def read_table(
 ) -> DataFrame:
     """A table with optional filters (pushed to the scan) and row limit."""
     df = matching(spark.table(name), filters)
-    return df.limit(limit) if limit else df
+    return df if limit is None else df.limit(limit)
 
 
 def run_sql(spark: SparkSession, query: str, args: Mapping[str, Any] | None = None) -> DataFrame:

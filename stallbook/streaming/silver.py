@@ -58,8 +58,9 @@ def drain_unique(
     def append(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         months = batch.select("year", "month").distinct().collect()  # bounded by the calendar
-        if not months:
+        if not months and number > 0:
             return
+        # a first batch without a row still makes the target
         fresh = dedupe(batch, keys, order)
         schema = batch.select(*keys, "year", "month").schema.add("batch", T.LongType())
         if number > 0:
