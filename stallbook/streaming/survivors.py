@@ -9,6 +9,8 @@ late by any time are neither lost nor doubled.
 
 Copies of a key meet in two steps: a task first keeps the smallest of each Arrow batch, so a
 key that holds most rows sends a few from each task to its state.
+
+Time is that of arrival, so no row is late, and a stream that has read what there is ends.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -24,13 +27,14 @@ from stallbook.operators.quality import PRICE_IDENTITY, dedupe
 from stallbook.session import ship_package
 
 KEEP_MS = 30 * 24 * 3600 * 1000
+SEEN = "_seen"
 
 
 class Smallest(StatefulProcessor):
     """Passes a row on if its id is smaller than any before under its key."""
 
-    def __init__(self, order: str, keep_ms: int):
-        self.order, self.keep_ms = order, keep_ms
+    def __init__(self, order: str, columns: Sequence[str], keep_ms: int):
+        self.order, self.columns, self.keep_ms = order, list(columns), keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -40,15 +44,14 @@ class Smallest(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         best = min(rows, key=lambda r: r[self.order])
         held = self.least.get() if self.least.exists() else None
-        now = timerValues.getCurrentProcessingTimeInMs()
+        until = int(best[SEEN].timestamp() * 1000) + self.keep_ms
         if held is not None:
             self.handle.deleteTimer(held[1])
-        until = now + self.keep_ms
         self.handle.registerTimer(until)
         smaller = held is None or best[self.order] < held[0]
         self.least.update((best[self.order] if smaller else held[0], until))
         if smaller:
-            yield best
+            yield Row(**{c: best[c] for c in self.columns})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.least.clear()
@@ -77,8 +80,12 @@ def survivors(stream: DataFrame, keys: Sequence[str] = PRICE_IDENTITY, order: st
     """Rows that were the smallest of their key when they came.  ``order`` is a text that no row lacks."""
     ship_package(stream.sparkSession)
     few = smallest_of_batches(stream.filter(f"`{order}` IS NOT NULL"), keys, order)
-    return few.groupBy(*keys).transformWithState(
-        statefulProcessor=Smallest(order, keep_ms), outputStructType=stream.schema, outputMode="append", timeMode="ProcessingTime"
+    timed = few.withColumn(SEEN, F.current_timestamp()).withWatermark(SEEN, "0 seconds")
+    return timed.groupBy(*keys).transformWithState(
+        statefulProcessor=Smallest(order, stream.columns, keep_ms),
+        outputStructType=stream.schema,
+        outputMode="append",
+        timeMode="EventTime",
     )
 
 
