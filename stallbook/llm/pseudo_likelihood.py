@@ -1,16 +1,19 @@
 """Documents scored by a bidirectional window network's masked pseudo-likelihood.
 
 Every word is predicted from the words on both sides of it; a document's score is
-the sum of these conditional log-probabilities.  The vocabulary comes from counts
-over the whole corpus, and so does the network: tasks train copies on the round's
-words of all documents they read, and the copies' weighted mean starts the next
-round.  Every word of the corpus is predicted in one of the rounds.  The vocabulary
-grows with the words that are seen often enough; those too rare for an id of their
-own share one, and are told apart by their share of its count.
-
-Ids stand in frequency order and form clusters of equal size, as many as a cluster has
-ids; the network predicts the cluster first, then the word in it, so a prediction costs
-the square root of the vocabulary.
+the sum of these conditional log-probabilities.
+
+Words are leaves of a tree: each node parts its words, in the order of their counts, into
+up to ``BRANCHES`` ranges of near-equal count.  The network predicts a word's way down, branch
+by branch, starting at each node from the shares that the corpus counts give its branches.
+Every counted word has a leaf of its own, frequent ones near the root, so a prediction takes
+few branches; weights belong to the upper nodes and to classes of the others, so their
+number does not follow the vocabulary.
+
+The corpus gives the counts, and it trains the network: texts that are equal are encoded
+rows of one key, which count as often as they come but are read once.  Tasks train copies
+on bounded numbers of words, and the copies' weighted mean starts the next round; the
+rounds together predict every word once.
 """
 
 from __future__ import annotations
@@ -23,20 +26,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stallbook.llm.common import ship_package, table, text_or_empty
-from stallbook.session import settle
-
-#: Words are hashed into so many slots before they are counted.
-SLOTS = 1 << 20
-#: The least network's; a larger corpus has more, see ``clusters_for``.
-CLUSTERS, CLUSTER = 32, 32
-IDS = CLUSTERS * CLUSTER
-#: The last ids are shared by all words that aren't among the most frequent.
-SHARED_IDS = 32
-#: A word seen so many times gets an id of its own, as long as ids have 16 bits.
-ENOUGH = 1000
-MOST_CLUSTERS = 256
-#: Of a vocabulary above the least, the part of ids that are shared.
-SHARED_PART = 5
+from stallbook.session import scratch_path
+
+#: Words are hashed into so many slots; words that meet in one share a leaf.
+SLOTS = 1 << 22
+BRANCHES = 16
+#: Weights of branches: the first nodes have their own, the others share the rest.
+CLASSES, OWN_CLASSES = 64, 1 + BRANCHES
+#: Rows of the inputs: the most frequent words have their own, the others share the rest; 0 is beyond a text's ends.
+INPUT_ROWS, OWN_ROWS = 2048, 1536
 #: Words on either side.
 REACH = 2
 OFFSETS = (*range(-REACH, 0), *range(1, REACH + 1))
@@ -47,11 +45,14 @@ ROUNDS, MOST_ROUNDS = 2, 12
 #: rounds if one had more copies than this.
 WORDS_PER_WEIGHT = 4
 COPIES = 64
-BATCH = 2048
+BATCH = 8192
 STEP = 0.15
 #: Words that are scored at once.
 CHUNK = 1 << 15
+#: Words of a stored part, which one task trains on; there are no more parts than this.
+PART_WORDS, MOST_PARTS = 4_000_000, 100_000
 _FIXED = float(1 << 16)
+_NEVER = np.float32(-1e9)
 
 
 def slots_of(text: str) -> np.ndarray:
@@ -63,7 +64,10 @@ def slots_of(text: str) -> np.ndarray:
 
 
 def texts_of(documents: DataFrame) -> DataFrame:
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    """``doc_id``, ``text`` and its key of 128 bits (``k0``, ``k1``)."""
+    text = text_or_empty()
+    keys = [F.xxhash64(F.lit(i), text).alias(f"k{i}") for i in (0, 1)]
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), *keys, text.alias("text"))
 
 
 def word_counts(documents: DataFrame) -> np.ndarray:
@@ -73,7 +77,8 @@ def word_counts(documents: DataFrame) -> np.ndarray:
         held = np.zeros(SLOTS, dtype=np.int64)
         for batch in batches:
             for text in batch.column("text"):
-                np.add.at(held, slots_of(text.as_py()), 1)
+                slots, n = np.unique(slots_of(text.as_py()), return_counts=True)
+                held[slots] += n
         slot = np.flatnonzero(held)
         for a in range(0, len(slot), 1 << 15):
             own = slot[a : a + (1 << 15)]
@@ -86,49 +91,88 @@ def word_counts(documents: DataFrame) -> np.ndarray:
     return counts
 
 
-def clusters_for(counts: np.ndarray) -> int:
-    """How many clusters hold the words seen ``ENOUGH`` times, and the shared ids."""
-    ids = int((counts >= ENOUGH).sum()) * SHARED_PART / (SHARED_PART - 1) + 1
-    return int(min(MOST_CLUSTERS, max(CLUSTERS, 8 * np.ceil(np.sqrt(ids) / 8))))
+class Tree:
+    """Every counted slot's way from the root, by its rank in the order of counts.
 
+    A leaf has its parent and its branch there, and so has a node; ``shares`` are the
+    logs of each node's branches' parts of its count.
+    """
 
-class Vocabulary:
-    """The id of every slot (0 is beyond a text's ends), and the log of its share of the id."""
+    def __init__(self, counts: np.ndarray):
+        seen = np.flatnonzero(counts)
+        order = seen[np.lexsort((seen, -counts[seen]))]
+        self.words = len(order)
+        # a word that was not counted is taken for the rarest one
+        self.rank = np.full(len(counts), max(0, self.words - 1), dtype=np.int32)
+        self.rank[order] = np.arange(self.words)
+        below = np.concatenate([[0.0], np.cumsum(counts[order], dtype=np.float64)])
+        self.parent = np.zeros(max(1, self.words), dtype=np.int32)
+        self.branch = np.zeros(max(1, self.words), dtype=np.uint8)
+        parents, branches, shares = [np.zeros(1, np.int32)], [np.zeros(1, np.uint8)], []
+        first, last, nodes = np.zeros(1, np.int64), np.full(1, self.words), 1
+        while len(first) and self.words:
+            own = nodes - len(first) + np.arange(len(first))
+            mass = below[last] - below[first]
+            edges = np.empty((len(first), BRANCHES + 1), dtype=np.int64)
+            edges[:, 0], edges[:, -1] = first, last
+            few = last - first <= BRANCHES
+            for k in range(1, BRANCHES):
+                even = np.searchsorted(below, below[first] + mass * (k / BRANCHES))
+                # the first branch holds a word, and the others do if there are more
+                even = np.clip(even, first + 1, np.maximum(first + 1, last - 1))
+                edges[:, k] = np.minimum(np.where(few, first + k, even), last)
+            edges = np.maximum.accumulate(edges, axis=1)
+            sizes = np.diff(edges, axis=1)
+            with np.errstate(divide="ignore"):
+                share = np.log(np.diff(below[edges], axis=1) / mass[:, None])
+            shares.append(np.where(sizes > 0, share, _NEVER).astype(np.float32))
+            row, k = np.nonzero(sizes == 1)
+            self.parent[edges[row, k]], self.branch[edges[row, k]] = own[row], k
+            row, k = np.nonzero(sizes > 1)
+            parents.append(own[row].astype(np.int32))
+            branches.append(k.astype(np.uint8))
+            first, last = edges[row, k], edges[row, k + 1]
+            nodes += len(first)
+        self.node_parent, self.node_branch = np.concatenate(parents), np.concatenate(branches)
+        self.shares = np.concatenate(shares) if shares else np.full((1, BRANCHES), _NEVER)
+
+    def classes(self, nodes: np.ndarray) -> np.ndarray:
+        shared = OWN_CLASSES + nodes % (CLASSES - OWN_CLASSES)
+        return np.where(nodes < OWN_CLASSES, nodes, shared).astype(np.uint8)
+
+    def steps(self, words: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """All steps on the ways to these words, from the leaves up: places in ``words``,
+        nodes and branches taken there.  Each list has a place once."""
+        out = []
+        place, node, branch = np.arange(len(words)), self.parent[words], self.branch[words]
+        while len(place):
+            out.append((place, node, branch))
+            up = node > 0
+            place, node = place[up], node[up]
+            branch, node = self.node_branch[node], self.node_parent[node]
+        return out
 
-    def __init__(self, counts: np.ndarray, clusters: int = CLUSTERS):
-        size = clusters * clusters
-        common = SHARED_IDS if clusters == CLUSTERS else size // SHARED_PART
-        self.ids = (size - common + np.arange(SLOTS) % common).astype(np.uint16)
-        top = np.lexsort((np.arange(SLOTS), -counts))[: size - common - 1]
-        self.ids[top] = np.arange(1, len(top) + 1)
-        # one more of each, so that words of other texts have a share too
-        seen = counts + 1.0
-        total = np.bincount(self.ids, seen, size)
-        self.share = np.log(seen / total[self.ids]).astype(np.float32)
 
-    def of(self, text: str) -> tuple[np.ndarray, float]:
-        slots = slots_of(text)
-        return self.ids[slots], float(self.share[slots].sum(dtype=np.float64))
+def input_rows(words: np.ndarray) -> np.ndarray:
+    """The row of the inputs that a word has as a neighbour."""
+    shared = OWN_ROWS + words % (INPUT_ROWS - OWN_ROWS)
+    return np.where(words < OWN_ROWS - 1, words + 1, shared).astype(np.int32)
 
 
 class Network:
     """Weights in one flat array, with a view of each part."""
 
-    def __init__(self, flat: np.ndarray | None = None, seed: int = 17, clusters: int = CLUSTERS):
-        ids = clusters * clusters
+    def __init__(self, tree: Tree, flat: np.ndarray | None = None, seed: int = 17):
         shapes = {
-            "inputs": (len(OFFSETS), ids, WIDTH),
+            "inputs": (len(OFFSETS), INPUT_ROWS, WIDTH),
             "hidden": (WIDTH,),
-            "clusters": (clusters, WIDTH),
-            "cluster_bias": (clusters,),
-            "words": (clusters, clusters, WIDTH),
-            "word_bias": (clusters, clusters),
+            "branches": (CLASSES, BRANCHES, WIDTH),
+            "bias": (CLASSES, BRANCHES),
         }
-        self.size = self.size_of(clusters)
-        self.n_clusters = clusters
+        self.tree, self.size = tree, SIZE
         if flat is None:
-            flat = np.random.default_rng(seed).normal(0, 0.1, self.size)
-            flat[: len(OFFSETS) * ids * WIDTH] *= 0.5
+            flat = np.random.default_rng(seed).normal(0, 0.05, self.size)
+            flat[self.size - CLASSES * BRANCHES :] = 0
         self.flat = flat.astype(np.float32)
         at = 0
         for name, shape in shapes.items():
@@ -136,10 +180,6 @@ class Network:
             setattr(self, name, self.flat[at : at + size].reshape(shape))
             at += size
 
-    @staticmethod
-    def size_of(clusters: int) -> int:
-        return clusters * clusters * (len(OFFSETS) * WIDTH + WIDTH + 1) + clusters * (WIDTH + 1) + WIDTH
-
     def state(self, context: np.ndarray) -> np.ndarray:
         """The hidden layer for lines of neighbours, one column for each offset."""
         total = self.inputs[0][context[:, 0]]
@@ -148,177 +188,218 @@ class Network:
         total += self.hidden
         return np.tanh(total, out=total)
 
-    def log_probabilities(self, context: np.ndarray, words: np.ndarray) -> np.ndarray:
-        state = self.state(context)
-        cluster, inner = words // self.n_clusters, words % self.n_clusters
-        out = _log_softmax(state @ self.clusters.T + self.cluster_bias)[np.arange(len(words)), cluster]
-        order = np.argsort(cluster.astype(np.uint8), kind="stable")
-        edges = np.searchsorted(cluster[order], np.arange(self.n_clusters + 1))
-        for c in range(self.n_clusters):
-            rows = order[edges[c] : edges[c + 1]]
-            if len(rows):
-                logits = _log_softmax(state[rows] @ self.words[c].T + self.word_bias[c])
-                out[rows] += logits[np.arange(len(rows)), inner[rows]]
-        return out
+    def _branches(self, state: np.ndarray, place: np.ndarray, node: np.ndarray):
+        """The steps sorted by class: their order, each class's edges, states, and the
+        probabilities of all branches with the logs of their sums."""
+        kind = self.tree.classes(node)
+        order = np.argsort(kind, kind="stable")
+        edges = np.searchsorted(kind[order], np.arange(CLASSES + 1))
+        own = state[place[order]]
+        logits = self.tree.shares[node[order]]
+        for c in np.flatnonzero(np.diff(edges)):
+            part = slice(edges[c], edges[c + 1])
+            logits[part] += own[part] @ self.branches[c].T
+            logits[part] += self.bias[c]
+        logits -= logits.max(axis=1, keepdims=True)
+        return order, edges, own, logits
 
-    def gradient(self, context: np.ndarray, words: np.ndarray) -> Network:
-        """Of the mean log-probability."""
-        out = Network(np.zeros(self.size, dtype=np.float32), clusters=self.n_clusters)
+    def log_probabilities(self, context: np.ndarray, words: np.ndarray) -> np.ndarray:
+        steps = self.tree.steps(words)
+        if not steps:
+            return np.zeros(0, dtype=np.float64)
+        place, node, branch = (np.concatenate(c) for c in zip(*steps))
+        order, _, _, logits = self._branches(self.state(context), place, node)
+        found = logits[np.arange(len(order)), branch[order]]
+        found -= np.log(np.exp(logits, out=logits).sum(axis=1))
+        return np.bincount(place[order], found.astype(np.float64), len(words))
+
+    def gradient(self, context: np.ndarray, words: np.ndarray, times: np.ndarray | None = None) -> Network:
+        """Of the mean log-probability, in which a word counts ``times``."""
+        out = Network(self.tree, np.zeros(self.size, dtype=np.float32))
+        steps = self.tree.steps(words)
+        place, node, branch = (np.concatenate(c) for c in zip(*steps))
         state = self.state(context)
-        cluster, inner = words // self.n_clusters, words % self.n_clusters
-        n = len(words)
-        miss = -np.exp(_log_softmax(state @ self.clusters.T + self.cluster_bias))
-        miss[np.arange(n), cluster] += 1
-        out.clusters[:] = miss.T @ state / n
-        out.cluster_bias[:] = miss.sum(axis=0) / n
-        back = miss @ self.clusters
-        order = np.argsort(cluster.astype(np.uint8), kind="stable")
-        edges = np.searchsorted(cluster[order], np.arange(self.n_clusters + 1))
-        for c in range(self.n_clusters):
-            rows = order[edges[c] : edges[c + 1]]
-            if len(rows):
-                miss = -np.exp(_log_softmax(state[rows] @ self.words[c].T + self.word_bias[c]))
-                miss[np.arange(len(rows)), inner[rows]] += 1
-                out.words[c] = miss.T @ state[rows] / n
-                out.word_bias[c] = miss.sum(axis=0) / n
-                back[rows] += miss @ self.words[c]
+        order, edges, own, miss = self._branches(state, place, node)
+        np.exp(miss, out=miss)
+        weight = np.full(len(words), 1 / len(words)) if times is None else times / times.sum()
+        weight = weight.astype(np.float32)[place[order]]
+        miss *= (-weight / miss.sum(axis=1))[:, None]
+        miss[np.arange(len(order)), branch[order]] += weight
+        back_of_steps = np.empty_like(own)
+        for c in np.flatnonzero(np.diff(edges)):
+            part = slice(edges[c], edges[c + 1])
+            out.branches[c] = miss[part].T @ own[part]
+            out.bias[c] = miss[part].sum(axis=0)
+            back_of_steps[order[part]] = miss[part] @ self.branches[c]
+        back, at = np.zeros_like(state), 0
+        for places, _, _ in steps:
+            back[places] += back_of_steps[at : at + len(places)]
+            at += len(places)
         back *= 1 - state * state
-        out.hidden[:] = back.sum(axis=0) / n
+        out.hidden[:] = back.sum(axis=0)
         for o in range(len(OFFSETS)):
-            order = np.argsort(context[:, o].astype(np.uint16), kind="stable")
-            own = context[order, o]
-            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-            out.inputs[o][own[first]] = np.add.reduceat(back[order], first, axis=0) / n
+            by_row = np.argsort(context[:, o].astype(np.uint16), kind="stable")
+            rows = context[by_row, o]
+            first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+            out.inputs[o][rows[first]] = np.add.reduceat(back[by_row], first, axis=0)
         return out
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+#: Weights of a network.
+SIZE = len(OFFSETS) * INPUT_ROWS * WIDTH + WIDTH + CLASSES * BRANCHES * (WIDTH + 1)
 
 
 def neighbours(ids: np.ndarray, first: int, last: int) -> np.ndarray:
-    """For the words from ``first`` to ``last``: the ids at the offsets, 0 beyond the ends."""
-    own = ids[max(0, first - REACH) : last + REACH].astype(np.int64)
-    padded = np.zeros(last - first + 2 * REACH, dtype=np.int64)
+    """For the words from ``first`` to ``last``: what ``ids`` has at the offsets, 0 beyond the ends."""
+    own = ids[max(0, first - REACH) : last + REACH]
+    padded = np.zeros(last - first + 2 * REACH, dtype=np.int32)
     at = max(0, REACH - first)
     padded[at : at + len(own)] = own
     return np.stack([padded[REACH + o : REACH + o + last - first] for o in OFFSETS], axis=1)
 
 
-def masked(ids: np.ndarray, turn: int, rounds: int = ROUNDS, doc_id: int | None = None, first: int = 0) -> np.ndarray:
+def masked(ids: np.ndarray, turn: int, rounds: int = ROUNDS, key: int | None = None, first: int = 0) -> np.ndarray:
     """Places of the words that are predicted in this round; ``ids`` are those of a
-    document from its place ``first``.  Every place is in one of ``rounds`` turns, and
-    the document's id has a part in which."""
+    text from its place ``first``.  Every place is in one of ``rounds`` turns, and
+    the text's key has a part in which."""
     place = np.arange(first, first + len(ids), dtype=np.uint64)
     mix = (place * np.uint64(0x9E3779B97F4A7C15)) ^ (ids.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9))
-    mix ^= np.uint64((doc_id or 0) * 0xD6E8FEB86659FD93 % (1 << 64))
+    mix ^= np.uint64((key or 0) * 0xD6E8FEB86659FD93 % (1 << 64))
     mix = (mix ^ (mix >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
     return np.flatnonzero((mix >> np.uint64(33)) % np.uint64(rounds) == turn % rounds)
 
 
-def words_per_copy(clusters: int) -> int:
-    return WORDS_PER_WEIGHT * Network.size_of(clusters)
+#: Trained words of a copy.
+COPY_WORDS = WORDS_PER_WEIGHT * SIZE
+
+
+def rounds_for(words: int) -> int:
+    return int(min(MOST_ROUNDS, max(ROUNDS, -(-words // (COPIES * COPY_WORDS)))))
+
+
+def encode(documents: DataFrame, tree: Tree) -> DataFrame:
+    """``doc_id``, the text's key, and its words' ranks (32 bits each)."""
+    shared = documents.sparkSession.sparkContext.broadcast(tree.rank)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank = shared.value
+        for batch in batches:
+            ids = [rank[slots_of(t.as_py())].tobytes() for t in batch.column("text")]
+            columns = [batch.column(c) for c in ("doc_id", "k0", "k1")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.binary())], names=["doc_id", "k0", "k1", "ids"])
+
+    return texts_of(documents).mapInArrow(run, "doc_id long, k0 long, k1 long, ids binary")
 
-def rounds_for(words: int, clusters: int) -> int:
-    return int(min(MOST_ROUNDS, max(ROUNDS, -(-words // (COPIES * words_per_copy(clusters))))))
+
+def stored_texts(encoded: DataFrame, words: int) -> DataFrame:
+    """Each distinct text once with the ``times`` it comes, stored in parts by key.
+
+    A part's rows are in the order of their keys in one file, so what a copy is trained on
+    doesn't depend on how the input was laid out.  Copies of a text meet one from each task.
+    """
+    spark = encoded.sparkSession
+    parts = int(min(MOST_PARTS, max(1, -(-words // PART_WORDS))))
+    once = encoded.groupBy("k0", "k1").agg(F.first("ids").alias("ids"), F.count(F.lit(1)).alias("times"))
+    dealt = once.withColumn("part", F.pmod("k0", F.lit(parts)).cast("int")).repartition(parts, "part")
+    path = scratch_path(spark, "encoded")
+    dealt.sortWithinPartitions("part", "k0", "k1").write.partitionBy("part").parquet(path)
+    return spark.read.schema("k0 long, k1 long, ids binary, times long, part int").parquet(path)
 
 
-def train_round(encoded: DataFrame, start: Network, turn: int, rounds: int = ROUNDS) -> Network:
+def train_round(stored: DataFrame, start: Network, turn: int, rounds: int = ROUNDS) -> Network:
     """The mean of the copies that all tasks train, weighted by their words."""
-    shared = encoded.sparkSession.sparkContext.broadcast(start.flat)
-    clusters, size = start.n_clusters, start.size
-    enough = words_per_copy(clusters)
-    # an update touches all weights, so more words go into one where there are more
-    at_once = BATCH * max(1, clusters // CLUSTERS)
+    context = stored.sparkSession.sparkContext
+    shared, tree_of = context.broadcast(start.flat), _broadcast_tree(stored, start.tree)
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, n = Network(shared.value, clusters=clusters), 0
-        squares = np.full(size, 1e-6, dtype=np.float32)
-        lines, words = [], []
-
-        def learn() -> int:
-            line, word = np.concatenate(lines), np.concatenate(words)
-            for a in range(0, len(word), at_once):
-                slope = net.gradient(line[a : a + at_once], word[a : a + at_once]).flat
-                squares[:] += slope * slope
-                net.flat += STEP * slope / np.sqrt(squares)
-            return len(word)
-
-        def copy() -> Iterator[pa.RecordBatch]:
-            # whole numbers, so that the sum doesn't depend on the order of tasks
-            value = np.rint(net.flat.astype(np.float64) * _FIXED).astype(np.int64) * n
-            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([n], pa.int64())], names=["at", "v"])
-            for a in range(0, size, 1 << 15):
-                at = np.arange(a, min(size, a + (1 << 15)), dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(value[at])], names=["at", "v"])
-
-        held = 0
+        tree = tree_of.value
+        sums, total = np.zeros(SIZE, dtype=np.int64), 0
+        net, n, seen, part = Network(tree, shared.value), 0, 0, None
+        squares = np.full(SIZE, 1e-6, dtype=np.float32)
+        lines, words, times, held = [], [], [], 0
+
+        def learn() -> None:
+            nonlocal n, seen, held
+            if held:
+                line, word, often = (np.concatenate(c) for c in (lines, words, times))
+                for a in range(0, len(word), BATCH):
+                    own = slice(a, a + BATCH)
+                    slope = net.gradient(line[own], word[own], often[own]).flat
+                    squares[:] += slope * slope
+                    net.flat += STEP * slope / np.sqrt(squares)
+                n += int(often.sum())
+                seen += len(word)
+            for column in (lines, words, times):
+                column.clear()
+            held = 0
+
+        def close() -> None:
+            """Adds the copy to the sums and starts another."""
+            nonlocal net, n, seen, total
+            learn()
+            if n:
+                # whole numbers, so that the sum doesn't depend on the order of tasks
+                sums[:] += np.rint(net.flat.astype(np.float64) * _FIXED).astype(np.int64) * n
+                total += n
+            net, n, seen = Network(tree, shared.value), 0, 0
+            squares[:] = 1e-6
+
         for batch in batches:
-            for doc_id, row in zip(batch.column("doc_id"), batch.column("ids")):
-                ids = np.frombuffer(row.as_py(), dtype=np.uint16)
+            for own, key, row, often in zip(*[batch.column(c) for c in ("part", "k0", "ids", "times")]):
+                if own.as_py() != part or seen >= COPY_WORDS:
+                    close()
+                    part = own.as_py()
+                ids = np.frombuffer(row.as_py(), dtype=np.int32)
+                as_inputs = input_rows(ids)
                 for first in range(0, len(ids), CHUNK):
-                    part = neighbours(ids, first, min(first + CHUNK, len(ids)))
-                    at = masked(ids[first : first + CHUNK], turn, rounds, doc_id.as_py(), first)
-                    lines.append(part[at])
-                    words.append(ids[first : first + CHUNK][at].astype(np.int64))
+                    last = min(first + CHUNK, len(ids))
+                    at = masked(ids[first:last], turn, rounds, key.as_py(), first)
+                    lines.append(neighbours(as_inputs, first, last)[at])
+                    words.append(ids[first:last][at])
+                    times.append(np.full(len(at), often.as_py(), dtype=np.float64))
                     held += len(at)
-                    if held >= 16 * BATCH:
-                        n += learn()
-                        lines.clear()
-                        words.clear()
-                        held = 0
-                    if n >= enough:
-                        yield from copy()
-                        net, n = Network(shared.value, clusters=clusters), 0
-                        squares[:] = 1e-6
-        if held:
-            n += learn()
-        if n:
-            yield from copy()
-
-    rows = encoded.select("doc_id", "ids").mapInArrow(train, "at int, v long")
-    sums = rows.groupBy("at").agg(F.sum("v").alias("v")).toArrow().sort_by("at")
-    if not len(sums):
+                    if held >= 4 * BATCH:
+                        learn()
+        close()
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([total], pa.int64())], names=["at", "v"])
+            for a in range(0, SIZE, 1 << 15):
+                at = np.arange(a, min(SIZE, a + (1 << 15)), dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], names=["at", "v"])
+
+    rows = stored.select("part", "k0", "ids", "times").mapInArrow(train, "at int, v long")
+    found = rows.groupBy("at").agg(F.sum("v").alias("v")).toArrow().sort_by("at")
+    if not len(found):
         return start
-    values = sums["v"].to_numpy()
-    return Network(values[1:] / _FIXED / values[0], clusters=clusters)
-
-
-def encode(documents: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``doc_id``, the ids of the words (unsigned 16 bits each) and the sum of their shares."""
-    shared = documents.sparkSession.sparkContext.broadcast((vocabulary.ids, vocabulary.share))
+    values = found["v"].to_numpy()
+    return Network(start.tree, values[1:] / _FIXED / values[0])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, share = shared.value
-        for batch in batches:
-            own = [slots_of(t.as_py()) for t in batch.column("text")]
-            columns = [
-                pa.array([ids[s].tobytes() for s in own], pa.binary()),
-                pa.array([float(share[s].sum(dtype=np.float64)) for s in own], pa.float64()),
-            ]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "ids", "shares"])
 
-    return texts_of(documents).mapInArrow(run, "doc_id long, ids binary, shares double")
+def _broadcast_tree(df: DataFrame, tree: Tree):
+    """The tree without the slots' ranks, which only the encoding needs."""
+    light = object.__new__(Tree)
+    light.__dict__.update({k: v for k, v in tree.__dict__.items() if k != "rank"})
+    return df.sparkSession.sparkContext.broadcast(light)
 
 
-def score_encoded(encoded: DataFrame, network: Network) -> DataFrame:
-    shared = encoded.sparkSession.sparkContext.broadcast(network.flat)
-    clusters = network.n_clusters
+def score_encoded(encoded: DataFrame, network: Network, *columns: str) -> DataFrame:
+    """``columns`` with ``n_words``, ``log_prob`` and ``mean_log_prob`` of their ``ids``."""
+    shared, tree_of = encoded.sparkSession.sparkContext.broadcast(network.flat), _broadcast_tree(encoded, network.tree)
+    kinds = dict(encoded.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = Network(shared.value, clusters=clusters)
+        net = Network(tree_of.value, shared.value)
         for batch in batches:
-            rows = [np.frombuffer(r.as_py(), dtype=np.uint16) for r in batch.column("ids")]
+            rows = [np.frombuffer(r.as_py(), dtype=np.int32) for r in batch.column("ids")]
             total = np.zeros(len(rows))
             for where, lines, words in chunks(rows):
-                np.add.at(total, where, net.log_probabilities(lines, words).astype(np.float64))
-            total += batch.column("shares").to_numpy()
+                total += np.bincount(where, net.log_probabilities(lines, words), len(rows))
             n = pa.array([len(r) for r in rows], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n, pa.array(total)], names=["doc_id", "n_words", "log_prob"])
+            kept = [batch.column(c) for c in columns]
+            yield pa.RecordBatch.from_arrays([*kept, n, pa.array(total)], names=[*columns, "n_words", "log_prob"])
 
-    found = encoded.mapInArrow(run, "doc_id long, n_words long, log_prob double")
+    schema = ", ".join(f"{c} {kinds[c]}" for c in columns)
+    found = encoded.select(*columns, "ids").mapInArrow(run, f"{schema}, n_words long, log_prob double")
     return found.withColumn("mean_log_prob", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")))
 
 
@@ -326,11 +407,12 @@ def chunks(rows: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.
     """Rows' numbers, neighbours and words, about ``CHUNK`` words at a time."""
     where, lines, words, held = [], [], [], 0
     for i, ids in enumerate(rows):
+        as_inputs = input_rows(ids)
         for first in range(0, len(ids), CHUNK):
             last = min(first + CHUNK, len(ids))
             where.append(np.full(last - first, i))
-            lines.append(neighbours(ids, first, last))
-            words.append(ids[first:last].astype(np.int64))
+            lines.append(neighbours(as_inputs, first, last))
+            words.append(ids[first:last])
             held += last - first
             if held >= CHUNK:
                 yield np.concatenate(where), np.concatenate(lines), np.concatenate(words)
@@ -344,21 +426,21 @@ def score(documents: DataFrame, rounds: int | None = None) -> DataFrame:
     ``n_words``, ``log_prob``, the sum over its words, and ``mean_log_prob``.
 
     A null, empty or blank text has no words, the sum 0.0 and a null mean.  Repeated
-    rows are learned and scored each, a null ``doc_id`` stays, further columns are
-    ignored, an empty table gives an empty table.  Rows and layout of the input decide
-    the result, not the order in which tasks end.  Without ``rounds`` their number
-    follows the words of the corpus.
+    rows count as often as they come and are scored each, a null ``doc_id`` stays, further
+    columns are ignored, an empty table gives an empty table.  The rows of the input decide
+    the result, neither its layout nor the order in which tasks end.  Without ``rounds`` their
+    number follows the words of the corpus.
     """
     ship_package(documents.sparkSession)
     counts = word_counts(documents)
-    clusters, words = clusters_for(counts), int(counts.sum())
-    rounds = rounds or rounds_for(words, clusters)
-    encoded = settle(encode(documents, Vocabulary(counts, clusters)), "encoded")
-    copies = max(1, words // rounds // words_per_copy(clusters))
-    network = Network(clusters=clusters)
+    tree, words = Tree(counts), int(counts.sum())
+    rounds = rounds or rounds_for(words)
+    stored = stored_texts(encode(documents, tree), words)
+    network = Network(tree)
     for turn in range(rounds):
-        network = train_round(encoded.coalesce(copies), network, turn, rounds)
-    return score_encoded(encoded, network)
+        network = train_round(stored, network, turn, rounds)
+    found = score_encoded(stored, network, "k0", "k1")
+    return texts_of(documents).select("doc_id", "k0", "k1").join(found, ["k0", "k1"]).drop("k0", "k1")
 
 
 def op5_pseudo_likelihood(spark: SparkSession, folder: str) -> DataFrame:

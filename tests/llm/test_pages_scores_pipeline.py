@@ -107,25 +107,31 @@ def test_awkward_pages(spark):
     assert html_text.extract(frame.limit(0)).count() == 0
 
 
-def plain_score(text, vocabulary, net):
-    ids, shares = vocabulary.of(text)
-    total = shares
+def plain_score(text, tree, net):
+    ids = [int(i) for i in tree.rank[pseudo_likelihood.slots_of(text)]]
+    total = 0.0
     for i, word in enumerate(ids):
-        context = [int(ids[i + o]) if 0 <= i + o < len(ids) else 0 for o in pseudo_likelihood.OFFSETS]
-        state = np.tanh(sum(net.inputs[o][c].astype(float) for o, c in enumerate(context)) + net.hidden)
-        cluster, inner = divmod(int(word), pseudo_likelihood.CLUSTER)
-        a = net.clusters.astype(float) @ state + net.cluster_bias
-        b = net.words[cluster].astype(float) @ state + net.word_bias[cluster]
-        total += a[cluster] - np.log(np.exp(a).sum()) + b[inner] - np.log(np.exp(b).sum())
+        near = [ids[i + o] if 0 <= i + o < len(ids) else None for o in pseudo_likelihood.OFFSETS]
+        rows = [0 if n is None else int(pseudo_likelihood.input_rows(np.array([n]))[0]) for n in near]
+        state = np.tanh(sum(net.inputs[o][r].astype(float) for o, r in enumerate(rows)) + net.hidden)
+        node, branch = int(tree.parent[word]), int(tree.branch[word])
+        while True:
+            kind = int(tree.classes(np.array([node]))[0])
+            logits = net.branches[kind].astype(float) @ state + net.bias[kind] + tree.shares[node]
+            total += logits[branch] - np.log(np.exp(logits - logits.max()).sum()) - logits.max()
+            if not node:
+                break
+            node, branch = int(tree.node_parent[node]), int(tree.node_branch[node])
     return total
 
 
-def test_scores_match_plain_python(awkward, empty, monkeypatch):
+def test_scores_match_plain_python(awkward, empty):
     short = awkward.where("doc_id is null or doc_id not in (7, 8)")
-    vocabulary = pseudo_likelihood.Vocabulary(pseudo_likelihood.word_counts(short))
-    net = pseudo_likelihood.Network(seed=3)
-    rows = pseudo_likelihood.score_encoded(pseudo_likelihood.encode(short, vocabulary), net).collect()
-    expected = sorted(plain_score(r["text"] or "", vocabulary, net) for r in short.collect())
+    tree = pseudo_likelihood.Tree(pseudo_likelihood.word_counts(short))
+    net = pseudo_likelihood.Network(tree, seed=3)
+    net.bias[:] = np.random.default_rng(1).normal(0, 0.3, net.bias.shape)
+    rows = pseudo_likelihood.score_encoded(pseudo_likelihood.encode(short, tree), net, "doc_id").collect()
+    expected = sorted(plain_score(r["text"] or "", tree, net) for r in short.collect())
     assert np.allclose(sorted(r["log_prob"] for r in rows), expected, rtol=1e-4, atol=1e-3)
     assert all((r["mean_log_prob"] is None) == (r["n_words"] == 0) for r in rows)
     rows = pseudo_likelihood.score(awkward).collect()
@@ -133,31 +139,82 @@ def test_scores_match_plain_python(awkward, empty, monkeypatch):
     assert pseudo_likelihood.score(empty).count() == 0
 
 
+def random_tree(n, seed=4):
+    rng = np.random.default_rng(seed)
+    counts = np.zeros(n + 50, dtype=np.int64)
+    counts[rng.permutation(n + 50)[:n]] = np.maximum(1, 1_000_000 // np.arange(1, n + 1) ** 2)
+    return pseudo_likelihood.Tree(counts), counts
+
+
+@pytest.mark.parametrize("n", [1, 2, 16, 17, 18, 300, 5000])
+def test_every_counted_word_has_a_way_of_its_own(n):
+    tree, counts = random_tree(n)
+    words = tree.rank[counts > 0]
+    assert sorted(words) == list(range(n))
+    ways = {}
+    for place, node, branch in tree.steps(words):
+        for p, a, b in zip(place.tolist(), node.tolist(), branch.tolist()):
+            ways.setdefault(p, []).append((a, b))
+    assert len({tuple(w) for w in ways.values()}) == n and all(w[-1][0] == 0 for w in ways.values())
+    # branches' shares of the counts make up each word's share of all
+    total = [sum(float(tree.shares[a, b]) for a, b in ways[p]) for p in range(n)]
+    assert np.allclose(np.exp(total), counts[counts > 0] / counts.sum(), rtol=1e-4)
+    frequent = np.argmax(counts[counts > 0])
+    assert len(ways[int(frequent)]) == 1
+
+
+def test_probabilities_of_all_words_add_up():
+    tree, _ = random_tree(400)
+    net = pseudo_likelihood.Network(tree, np.random.default_rng(8).normal(0, 0.3, pseudo_likelihood.SIZE))
+    line = np.array([[5, 0, 1999, 7]])
+    found = net.log_probabilities(np.repeat(line, 400, axis=0), np.arange(400))
+    assert np.exp(found).sum() == pytest.approx(1, abs=1e-4)
+
+
 def test_gradient_by_differences():
     rng = np.random.default_rng(4)
-    lines, words = rng.integers(0, pseudo_likelihood.IDS, (40, 4)), rng.integers(0, pseudo_likelihood.IDS, 40)
-    net = pseudo_likelihood.Network(seed=5)
-    slope = net.gradient(lines, words).flat
+    tree, _ = random_tree(3000)
+    lines, words = rng.integers(0, pseudo_likelihood.INPUT_ROWS, (40, 4)), rng.integers(0, 3000, 40)
+    times = rng.integers(1, 5, 40)
+    net = pseudo_likelihood.Network(tree, seed=5)
+    slope = net.gradient(lines, words, times).flat
     for at in [*np.flatnonzero(slope)[:: max(1, np.count_nonzero(slope) // 25)]]:
         values = []
         for step in (0.01, -0.01):
             moved = net.flat.astype(np.float64).copy()
             moved[at] += step
-            values.append(pseudo_likelihood.Network(moved).log_probabilities(lines, words).astype(np.float64).mean())
+            values.append(np.average(pseudo_likelihood.Network(tree, moved).log_probabilities(lines, words), weights=times))
         assert slope[at] == pytest.approx((values[0] - values[1]) / 0.02, abs=3e-4)
 
 
-def test_training_prefers_natural_order(spark, data):
+def test_training_helps_and_repeats_under_another_layout(spark, data):
     documents = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
-    vocabulary = pseudo_likelihood.Vocabulary(pseudo_likelihood.word_counts(documents))
-    encoded = pseudo_likelihood.encode(documents, vocabulary)
-    net = pseudo_likelihood.train_round(encoded, pseudo_likelihood.Network(), 0)
+    counts = pseudo_likelihood.word_counts(documents)
+    tree, words = pseudo_likelihood.Tree(counts), int(counts.sum())
+    start = pseudo_likelihood.Network(tree)
+    nets, stored = [], None
+    for layout in (documents, documents.repartition(7).orderBy("text")):
+        stored = pseudo_likelihood.stored_texts(pseudo_likelihood.encode(layout, tree), words)
+        nets.append(pseudo_likelihood.train_round(stored, start, 0))
+    assert np.array_equal(nets[0].flat, nets[1].flat)
+    assert stored.agg({"times": "sum"}).first()[0] == documents.count() > stored.count()
     before, after = (
-        pseudo_likelihood.score_encoded(encoded, n).agg({"log_prob": "sum"}).first()[0] for n in (pseudo_likelihood.Network(), net)
+        pseudo_likelihood.score_encoded(stored, n, "k0").agg({"log_prob": "sum"}).first()[0] for n in (start, nets[0])
     )
     assert after > before
-    again = pseudo_likelihood.train_round(encoded, pseudo_likelihood.Network(), 0)
-    assert np.array_equal(net.flat, again.flat)
+
+
+def test_a_word_is_told_from_both_sides(spark):
+    rng = np.random.default_rng(6)
+    lines = []
+    for _ in range(1500):
+        a, b = rng.integers(0, 3, 2)
+        lines.append(f"left{a} middle{a}{b} right{b}")
+    frame = spark.createDataFrame([(i, " ".join(rng.permutation(lines))) for i in range(12)], "doc_id long, text string")
+    good, bad = "left1 middle12 right2 " * 40, "left1 middle20 right2 " * 40
+    asked = spark.createDataFrame([(100, good), (101, bad)], "doc_id long, text string")
+    found = {r["doc_id"]: r["mean_log_prob"] for r in pseudo_likelihood.score(frame.union(asked), rounds=2).collect()}
+    assert found[100] > found[101]
 
 
 def test_every_word_is_predicted_in_some_round():
@@ -166,32 +223,17 @@ def test_every_word_is_predicted_in_some_round():
         turns = [pseudo_likelihood.masked(ids, turn, rounds, 5) for turn in range(rounds)]
         assert np.array_equal(np.sort(np.concatenate(turns)), np.arange(5000))
         assert max(map(len, turns)) < 1.2 * 5000 / rounds
-    halves = [pseudo_likelihood.masked(ids, 0, 2, doc_id) for doc_id in (5, 6, -7, None)]
+    halves = [pseudo_likelihood.masked(ids, 0, 2, key) for key in (5, 6, -7, None)]
     assert len({tuple(h) for h in halves}) == 4
     # a document in pieces is one document
     pieces = [pseudo_likelihood.masked(ids[a : a + 700], 0, 2, 5, a) + a for a in range(0, 5000, 700)]
     assert np.array_equal(np.concatenate(pieces), halves[0])
 
 
-def test_vocabulary_and_rounds_follow_the_corpus(spark):
-    counts = np.zeros(pseudo_likelihood.SLOTS, dtype=np.int64)
-    counts[:9000] = np.arange(9000, 0, -1) + pseudo_likelihood.ENOUGH
-    counts[9000:50_000] = 3
-    clusters = pseudo_likelihood.clusters_for(counts)
-    vocabulary = pseudo_likelihood.Vocabulary(counts, clusters)
-    assert len(np.unique(vocabulary.ids[:9000])) == 9000
-    assert not np.isin(vocabulary.ids[:9000], vocabulary.ids[50_000:]).any() and vocabulary.ids.max() < clusters**2
-    assert pseudo_likelihood.clusters_for(counts // 100) == pseudo_likelihood.CLUSTERS
-    words = pseudo_likelihood.COPIES * pseudo_likelihood.words_per_copy(clusters)
-    assert pseudo_likelihood.rounds_for(words, clusters) == 2 and pseudo_likelihood.rounds_for(5 * words, clusters) == 5
-    # a wider network learns and scores as the least does
-    text = " ".join(f"w{i % 50}" for i in range(2000))
-    frame = spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")
-    encoded = pseudo_likelihood.encode(frame, pseudo_likelihood.Vocabulary(pseudo_likelihood.word_counts(frame), 40))
-    start = pseudo_likelihood.Network(clusters=40)
-    net = pseudo_likelihood.train_round(encoded, start, 0)
-    before, after = (pseudo_likelihood.score_encoded(encoded, n).agg({"log_prob": "sum"}).first()[0] for n in (start, net))
-    assert net.n_clusters == 40 and after > before
+def test_rounds_follow_the_corpus():
+    words = pseudo_likelihood.COPIES * pseudo_likelihood.COPY_WORDS
+    assert pseudo_likelihood.rounds_for(words) == 2 and pseudo_likelihood.rounds_for(5 * words) == 5
+    assert pseudo_likelihood.rounds_for(1000 * words) == pseudo_likelihood.MOST_ROUNDS
 
 
 def test_neighbours_across_chunks():
