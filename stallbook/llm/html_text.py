@@ -1,17 +1,24 @@
 """Main text of web pages.
 
 The standard library's streaming parser turns a page into lines, one for each block
-of text, with the characters and tags it has and the elements around it.  Text per
-tag, smoothed by a Gaussian over neighbouring lines, is split by a threshold into
-content and the rest.  The content region are all ``article`` or ``main`` elements or,
-without any, the smallest box around all content lines.  The text is every line of the
-region but boilerplate, which elements, roles, class names and, for boxes with nothing
-else in them, runs of bare links tell.
+of text, with the characters and tags it has and the element around it.  Lines of
+elements that are boilerplate by their kind, role or name go.  Text per tag, without the
+text of links and smoothed by a Gaussian over neighbouring lines, is split by a threshold
+into content and the rest.  The region is where the content lies: the ``article`` or
+``main`` elements if they hold most of it, else the smallest box around all of it.  Inside
+the region a stretch of links goes if smoothing leaves it below the threshold, and so does
+a box of nothing but links that reaches as far as the Gaussian; a link between paragraphs
+is lifted above by them.  Everything else of the region stays.
+
+Elements are numbered as they open, so sums over what they hold run from the last to the
+first and flags from the first to the last: a page takes time in proportion to its length,
+however deeply it is nested.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -24,8 +31,6 @@ from stallbook.llm.common import ship_package, table
 
 #: Lines that the Gaussian looks to either side, and its width.
 RADIUS, SIGMA = 3, 1.5
-#: So many lines of nothing but links, one after the other, are a menu.
-MENU_LINES = 3
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
@@ -36,7 +41,7 @@ BLOCKS = frozenset(
 #: Elements that end tags of others don't reach through, and that regions are made of.
 BOXES = frozenset("article aside body blockquote div fieldset footer form header html main nav section table td th".split())
 DROPPED = frozenset(
-    "aside button canvas datalist dialog footer head header iframe menu nav noscript object script select "
+    "aside button canvas datalist dialog footer head iframe menu nav noscript object script select "
     "style svg template textarea title".split()
 )
 DROPPED_ROLES = frozenset(
@@ -55,11 +60,15 @@ PLAIN_ENDS = frozenset("area bar block box button buttons container inner left l
 #: First words of names that tell what a page has or lacks around it.
 ABOUT_OTHERS = frozenset("has hide is no not show with without".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: An element with this part of the page's text is no boilerplate, whatever its name.
-MOST = 2 / 3
+#: An element with this part of the page's text is no boilerplate, whatever its name,
+#: and ``article`` or ``main`` elements are the region if they hold this part of the content.
+MOST, REGION_PART = 2 / 3, 1 / 2
+#: Blocks of running text: their names tell of what they say, not of what they are for.
+TEXT_BLOCKS = frozenset("p pre h1 h2 h3 h4 h5 h6 dd dt hgroup".split())
 READER_COMMENTS = frozenset("comment comments disqus replies reply respond".split())
 _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 _LISTS = frozenset("ul ol dl table menu".split())
+_PARAGRAPH, _PARAGRAPH_ENDS = frozenset(["p"]), BOXES | _LISTS
 _NAME_WORDS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -78,18 +87,14 @@ def names_of(value: str) -> set[str]:
 
 
 class Element:
-    __slots__ = ("tag", "dropped", "suspect", "comments", "holds_main", "parent", "region", "link")
+    """An open or closed element, its number and its parent's."""
 
-    def __init__(self, tag: str, parent: Element | None, dropped: bool, suspect: bool):
-        self.tag, self.parent, self.dropped, self.suspect = tag, parent, dropped, suspect
-        self.holds_main = self.link = self.comments = False
-        self.region: str | None = None
+    __slots__ = ("tag", "number", "parent", "dropped", "suspect", "comments", "holds_main", "region", "link", "heads")
 
-    def ancestors(self) -> Iterator[Element]:
-        at: Element | None = self
-        while at:
-            yield at
-            at = at.parent
+    def __init__(self, tag: str, number: int, parent: Element | None, dropped: bool = False, suspect: bool = False):
+        self.tag, self.number, self.parent, self.dropped, self.suspect = tag, number, parent, dropped, suspect
+        self.holds_main = self.link = self.comments = self.heads = False
+        self.region: str | None = None
 
 
 class Line:
@@ -105,7 +110,11 @@ class Lines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.root = self.at = Element("html", None, False, False)
+        self.at = Element("html", 0, None)
+        self.elements = [self.at]
+        #: Open elements by tag, since the nearest open box and in all.
+        self.inside: list[Counter] = [Counter()]
+        self.open: Counter = Counter()
         self.depth_dropped = 0
         self.links = 0
         self.parts: list[str] = []
@@ -121,8 +130,13 @@ class Lines(HTMLParser):
         self.linked = 0
 
     def push(self, tag: str, dropped: bool, suspect: bool) -> None:
-        self.at = Element(tag, self.at, dropped, suspect)
+        self.at = Element(tag, len(self.elements), self.at, dropped, suspect)
+        self.elements.append(self.at)
         self.depth_dropped += dropped
+        self.open[tag] += 1
+        self.inside[-1][tag] += 1
+        if tag in BOXES:
+            self.inside.append(Counter())
 
     def pop_to(self, element: Element) -> None:
         """Closes ``element`` and what is open inside it."""
@@ -130,17 +144,26 @@ class Lines(HTMLParser):
             top, self.at = self.at, self.at.parent
             self.depth_dropped -= top.dropped
             self.links -= top.link
+            self.open[top.tag] -= 1
+            if top.tag in BOXES:
+                self.inside.pop()
+            self.inside[-1][top.tag] -= 1
             if top is element:
                 return
 
     def open_within(self, tags: set[str] | frozenset[str], stops: frozenset[str]) -> Element | None:
         """The outermost open element with one of these tags inside the nearest stop."""
-        found = None
-        for e in self.at.ancestors():
-            if e.tag in tags and e.parent:
+        # cells of tables are boxes themselves, counted where they were opened
+        inside = self.inside[-1]
+        if not any(self.open[t] if t in BOXES else inside[t] for t in tags):
+            return None
+        found, e = None, self.at
+        while e.parent:
+            if e.tag in tags:
                 found = e
             elif e.tag in stops:
                 break
+            e = e.parent
         return found
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -152,14 +175,13 @@ class Lines(HTMLParser):
             self.end_line()
             if tag in _CLOSED_BY and (old := self.open_within(_CLOSED_BY[tag], _LISTS)):
                 self.pop_to(old)
-            elif (old := self.open_within({"p"}, BOXES | _LISTS)) is not None:
+            elif (old := self.open_within(_PARAGRAPH, _PARAGRAPH_ENDS)) is not None:
                 self.pop_to(old)
         if tag in VOID or tag in ("html", "body"):
             return
-        dropped, suspect, comments, main = tag in DROPPED, tag == "form", False, tag in ("main", "article")
+        dropped, suspect, comments, main = tag in DROPPED, tag in ("form", "header"), False, tag in ("main", "article")
         for name, value in attrs:
-            # a heading's id is made of its text
-            if (name == "class" or name == "id" and tag not in HEADINGS) and value:
+            if (name == "class" or name == "id") and value and tag not in TEXT_BLOCKS:
                 words = names_of(value)
                 suspect = suspect or not SUSPECT.isdisjoint(words)
                 comments = comments or not READER_COMMENTS.isdisjoint(words)
@@ -179,8 +201,16 @@ class Lines(HTMLParser):
             self.links += 1
         if main and not (suspect or dropped):
             self.at.region = tag if tag in ("main", "article") else "main"
-            for e in self.at.ancestors():
-                e.holds_main = e is not self.at or e.holds_main
+            e = self.at.parent
+            while e and not e.holds_main:
+                e.holds_main = True
+                e = e.parent
+        if tag in HEADINGS:
+            e = self.at.parent
+            while e and e.tag != "header" and e.tag not in BOXES:
+                e = e.parent
+            if e and e.tag == "header":
+                e.heads = True
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -190,12 +220,14 @@ class Lines(HTMLParser):
         if tag in BLOCKS:
             self.end_line()
         boxes = tag in BOXES or tag in _LISTS
-        for e in self.at.ancestors():
-            if not e.parent or (not boxes and e.tag in BOXES):
-                return
+        if not (self.open[tag] if boxes else self.inside[-1][tag]):
+            return
+        e = self.at
+        while e.parent and (boxes or e.tag not in BOXES):
             if e.tag == tag:
                 self.pop_to(e)
                 return
+            e = e.parent
 
     def handle_data(self, data: str) -> None:
         if not self.depth_dropped:
@@ -212,83 +244,108 @@ def smoothed(ratios: np.ndarray, radius: int = RADIUS, sigma: float = SIGMA) ->
     return np.convolve(ratios, kernel)[radius : radius + len(ratios)] / weight
 
 
-def content_lines(lines: list[Line]) -> np.ndarray:
-    """Which lines have more text per tag than the threshold, their standard
-    deviation or, if that is higher than it may be for any to pass, half the mean."""
-    ratios = smoothed(np.array([len(x.text) / max(1, x.tags) for x in lines]))
-    return ratios >= min(ratios.std(), ratios.mean() / 2)
+def densities(lines: list[Line]) -> np.ndarray:
+    """Smoothed text beside links per tag, less the threshold: the standard deviation or,
+    if that is higher than it may be for any line to pass, half the mean."""
+    plain = [len(x.text) - x.linked for x in lines]
+    ratios = smoothed(np.array([n / max(1, x.tags) for n, x in zip(plain, lines)], dtype=float))
+    return ratios - min(ratios.std(), ratios.mean() / 2)
 
 
-def in_menus(lines: list[Line]) -> list[bool]:
-    """Which lines are in runs of nothing but links."""
-    bare = [x.linked >= len(x.text) - x.text.count(" ") for x in lines]
-    out, i = [False] * len(lines), 0
-    while i < len(lines):
-        j = i
-        while j < len(lines) and bare[j]:
-            j += 1
-        if j - i >= MENU_LINES:
-            out[i:j] = [True] * (j - i)
-        i = max(j, i + 1)
-    return out
+def is_link(line: Line) -> bool:
+    return line.linked >= len(line.text) - line.text.count(" ")
+
+
+def held(elements: list[Element], amounts: np.ndarray) -> np.ndarray:
+    """Sums of the elements' own amounts over all they hold."""
+    out = amounts.astype(float).tolist()
+    for e in reversed(elements):
+        if e.parent:
+            out[e.parent.number] += out[e.number]
+    return np.array(out)
 
 
-def boxes_around(line: Line) -> list[Element]:
-    """From the page to the nearest box."""
-    return [e for e in line.element.ancestors() if e.tag in BOXES or not e.parent][::-1]
-
-
-def in_common_box(lines: list[Line]) -> list[Line]:
-    """The lines of the smallest box around all content lines, without the boxes
-    directly in it that hold nothing but menus."""
-    menu = in_menus(lines)
-    others = [x for x, m in zip(lines, menu) if not m]
-    if not others:
-        return []
-    content = [x for x, good in zip(others, content_lines(others)) if good]
-    common = boxes_around((content or others)[0])
-    for x in content or others:
-        around = boxes_around(x)
-        same = 0
-        while same < min(len(common), len(around)) and common[same] is around[same]:
-            same += 1
-        common = common[:same]
-    depth = len(common)
-    held = []
-    for x, m in zip(lines, menu):
-        around = boxes_around(x)
-        if around[depth - 1 : depth] == common[-1:]:
-            held.append((x, m, around[depth] if len(around) > depth else common[-1]))
-    more = {id(branch) for _, m, branch in held if not m}
-    return [x for x, _, branch in held if branch is common[-1] or id(branch) in more]
-
-
-def without_suspects(lines: list[Line]) -> list[Line]:
+def own_amounts(elements: list[Element], lines: list[Line], amounts: np.ndarray) -> np.ndarray:
+    return np.bincount([x.element.number for x in lines], amounts, len(elements))
+
+
+def below(elements: list[Element], marked: np.ndarray) -> np.ndarray:
+    """Which elements are marked or lie in one that is."""
+    out = marked.tolist()
+    for e in elements:
+        if e.parent and out[e.parent.number]:
+            out[e.number] = True
+    return np.array(out, dtype=bool)
+
+
+def without_suspects(elements: list[Element], lines: list[Line]) -> list[Line]:
     """The lines outside suspect elements.  Known only now, an element is none if it holds
     an ``article`` or ``main``, for readers' comments all of the page, or, on pages
-    without these, most of the text."""
-    mass: dict[int, int] = {}
-    suspects: dict[int, Element] = {}
-    regions: dict[int, Element] = {}
-    for x in lines:
-        for e in x.element.ancestors():
-            if e.suspect:
-                suspects[id(e)] = e
-                mass[id(e)] = mass.get(id(e), 0) + len(x.text)
-            if e.region:
-                regions[id(e)] = e
-    if not suspects:
-        return lines
-    around = [{id(e) for e in r.ancestors()} for r in regions.values()]
-    most = MOST * sum(len(x.text) for x in lines)
-
-    def stays(key: int, e: Element) -> bool:
+    without these, most of the text; nor is the header of an article that has its heading."""
+    texts = np.array([len(x.text) for x in lines], dtype=float)
+    mass = held(elements, own_amounts(elements, lines, texts))
+    main = np.array([e.region is not None and mass[e.number] > 0 for e in elements])
+    in_main, mains = below(elements, main), held(elements, main)
+    regions, most = main.sum(), MOST * texts.sum()
+
+    def goes(e: Element) -> bool:
+        if not e.suspect or not mass[e.number]:
+            return False
+        if e.tag == "header" and e.heads and in_main[e.number]:
+            return False
         if not regions:
-            return mass[key] >= most
-        return e.holds_main and (not e.comments or all(key in ids for ids in around))
-
-    out = {key for key, e in suspects.items() if not stays(key, e)}
-    return [x for x in lines if not any(id(e) in out for e in x.element.ancestors())]
+            return e.tag == "header" or mass[e.number] < most
+        return not (e.holds_main and (not e.comments or mains[e.number] == regions))
+
+    out = below(elements, np.array([goes(e) for e in elements], dtype=bool))
+    return [x for x in lines if not out[x.element.number]]
+
+
+def in_region(elements: list[Element], lines: list[Line]) -> list[Line]:
+    """The lines of the region that holds the content, without stretches of links."""
+    density = densities(lines)
+    good = density > 0
+    if not good.any():
+        good = np.ones(len(lines), dtype=bool)
+    weight = np.where(good, [len(x.text) - x.linked for x in lines], 0)
+    for kind in ("article", "main"):
+        inside = below(elements, np.array([e.region == kind for e in elements], dtype=bool))
+        mine = np.array([inside[x.element.number] for x in lines], dtype=bool)
+        if mine.any() and weight[mine].sum() >= REGION_PART * weight.sum():
+            return [x for x, own in zip(lines, mine) if own]
+    count, total = held(elements, own_amounts(elements, lines, good)), good.sum()
+    # of the boxes around all content lines, which lie one in the other, the last to open
+    box = max((e for e in elements if (e.tag in BOXES or not e.parent) and count[e.number] == total), key=lambda e: e.number)
+    inside = below(elements, np.arange(len(elements)) == box.number)
+    # the outermost box inside the region that a line lies in
+    branch = np.arange(len(elements))
+    for e in elements:
+        if e.parent and e.number != box.number and inside[e.number]:
+            above = branch[e.parent.number]
+            branch[e.number] = above if e.parent.number != box.number and above != box.number else e.number if e.tag in BOXES else box.number
+    marked = [(x, d, branch[x.element.number]) for x, d in zip(lines, density) if inside[x.element.number]]
+    sizes = Counter(b for _, _, b in marked)
+    others = {b for x, _, b in marked if not is_link(x)} | {box.number}
+    return without_menus([(x, d) for x, d, b in marked if b in others or sizes[b] < RADIUS])
+
+
+def without_menus(marked: list[tuple[Line, float]]) -> list[Line]:
+    """The lines but stretches of links that smoothing, on the whole, has not lifted to the content."""
+    out, i = [], 0
+    while i < len(marked):
+        j = i
+        while j < len(marked) and is_link(marked[j][0]):
+            j += 1
+        if sum(d for _, d in marked[i:j]) <= 0:
+            i = j
+        if i == j:
+            if j < len(marked):
+                out.append(marked[j][0])
+            i = j + 1
+        else:
+            out += [x for x, _ in marked[i:j]]
+            i = j
+    return out
 
 
 def main_text(html: str) -> str:
@@ -296,14 +353,8 @@ def main_text(html: str) -> str:
     parser.feed(html)
     parser.close()
     parser.end_line()
-    lines = without_suspects(parser.lines)
-    kinds = {e.region for x in lines for e in x.element.ancestors()} - {None}
-    kind = next((k for k in ("article", "main") if k in kinds), None)
-    if kind:
-        lines = [x for x in lines if any(e.region == kind for e in x.element.ancestors())]
-    else:
-        lines = in_common_box(lines)
-    return "\n\n".join(x.text for x in lines)
+    lines = without_suspects(parser.elements, parser.lines) if parser.lines else []
+    return "\n\n".join(x.text for x in in_region(parser.elements, lines)) if lines else ""
 
 
 def extract(pages: DataFrame) -> DataFrame:

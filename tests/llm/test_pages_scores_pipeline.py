@@ -107,6 +107,53 @@ def test_awkward_pages(spark):
     assert html_text.extract(frame.limit(0)).count() == 0
 
 
+PARAGRAPH = "A sentence of some length that runs on for a while, as sentences of an article do, word after word. "
+
+
+def page_of(*parts):
+    return "<html><body><div>" + "".join(parts) + "</div></body></html>"
+
+
+def test_smoothing_decides_about_links_in_the_same_box(monkeypatch):
+    text, link, menu = f"<p>{PARAGRAPH * 3}</p>", "<p><a href=x>One single source</a></p>", [f"<p><a href=m{i}>Entry {i}</a></p>" for i in range(14)]
+    page = page_of(text, text, link, text, text, "".join(menu), text)
+    plain = [PARAGRAPH.strip() + " " + (PARAGRAPH * 2).strip()] * 2
+    expected = "\n\n".join([*plain, "One single source", *plain, plain[0]])
+    got = html_text.main_text(page)
+    assert got == expected
+    monkeypatch.setattr(html_text, "smoothed", lambda ratios, *more: ratios)
+    assert "One single source" not in html_text.main_text(page)
+
+
+def test_the_region_follows_the_content_not_the_name():
+    content = f"<p>{PARAGRAPH * 4}</p>" * 4
+    teaser = "<article><p>Read on</p></article>"
+    got = html_text.main_text(f"<body><div id=page>{teaser}<div>{content}</div></div></body>")
+    assert got.count("A sentence") == 16
+    got = html_text.main_text(f"<body><div>{'<p>Short.</p>' * 3}</div><article>{content}<p>Yes.</p></article></body>")
+    assert got.count("A sentence") == 16 and got.endswith("Yes.") and "Short" not in got
+
+
+def test_headings_and_names_inside_an_article():
+    body = f"<p>{PARAGRAPH * 3}</p>" * 3
+    page = f'<header><h1>Site</h1></header><article><header><h1>Headline</h1></header>{body}<p class="share">Share price rose.</p></article>'
+    got = html_text.main_text(page)
+    assert got.startswith("Headline\n\n") and got.endswith("Share price rose.") and "Site" not in got
+
+
+@pytest.mark.parametrize("part", ["<div>", "<div><p>x ", "<b>", "<ul><li>z", "<table><tr><td>y", "</i><b>"])
+def test_time_follows_the_length_of_deep_pages(part):
+    import time
+
+    def seconds(n):
+        started = time.process_time()
+        html_text.main_text(part * n + "text" + "</i>" * n)
+        return time.process_time() - started
+
+    small = min(seconds(4000) for _ in range(2))
+    assert seconds(32_000) < 8 * 3 * small + 0.2
+
+
 def plain_score(text, tree, net):
     ids = [int(i) for i in tree.rank[pseudo_likelihood.slots_of(text)]]
     total = 0.0
