@@ -38,21 +38,22 @@ INPUT_ROWS, OWN_ROWS = 2048, 1536
 #: Words on either side.
 REACH = 2
 OFFSETS = (*range(-REACH, 0), *range(1, REACH + 1))
-WIDTH = 24
+WIDTH = 16
 #: The least and the most rounds; each predicts an equal part of all words.
 ROUNDS, MOST_ROUNDS = 2, 12
 #: A copy is trained on so many words for each of its weights, and there are more
 #: rounds if one had more copies than this.
-WORDS_PER_WEIGHT = 4
+WORDS_PER_WEIGHT = 8
 COPIES = 64
 BATCH = 8192
-STEP = 0.15
+STEP = 0.1
 #: Words that are scored at once.
 CHUNK = 1 << 15
 #: Words of a stored part, which one task trains on; there are no more parts than this.
 PART_WORDS, MOST_PARTS = 4_000_000, 100_000
 _FIXED = float(1 << 16)
-_NEVER = np.float32(-1e9)
+_NEVER, _MOST = np.float32(-1e9), np.float32(60)
+_ONES = np.ones(BRANCHES, dtype=np.float32)
 
 
 def slots_of(text: str) -> np.ndarray:
@@ -77,8 +78,7 @@ def word_counts(documents: DataFrame) -> np.ndarray:
         held = np.zeros(SLOTS, dtype=np.int64)
         for batch in batches:
             for text in batch.column("text"):
-                slots, n = np.unique(slots_of(text.as_py()), return_counts=True)
-                held[slots] += n
+                np.add.at(held, slots_of(text.as_py()), 1)
         slot = np.flatnonzero(held)
         for a in range(0, len(slot), 1 << 15):
             own = slot[a : a + (1 << 15)]
@@ -108,7 +108,7 @@ class Tree:
         below = np.concatenate([[0.0], np.cumsum(counts[order], dtype=np.float64)])
         self.parent = np.zeros(max(1, self.words), dtype=np.int32)
         self.branch = np.zeros(max(1, self.words), dtype=np.uint8)
-        parents, branches, shares = [np.zeros(1, np.int32)], [np.zeros(1, np.uint8)], []
+        parents, branches, shares, self.levels = [np.zeros(1, np.int32)], [np.zeros(1, np.uint8)], [], [0]
         first, last, nodes = np.zeros(1, np.int64), np.full(1, self.words), 1
         while len(first) and self.words:
             own = nodes - len(first) + np.arange(len(first))
@@ -132,25 +132,30 @@ class Tree:
             parents.append(own[row].astype(np.int32))
             branches.append(k.astype(np.uint8))
             first, last = edges[row, k], edges[row, k + 1]
+            self.levels.append(nodes)
             nodes += len(first)
         self.node_parent, self.node_branch = np.concatenate(parents), np.concatenate(branches)
         self.shares = np.concatenate(shares) if shares else np.full((1, BRANCHES), _NEVER)
 
-    def classes(self, nodes: np.ndarray) -> np.ndarray:
-        shared = OWN_CLASSES + nodes % (CLASSES - OWN_CLASSES)
-        return np.where(nodes < OWN_CLASSES, nodes, shared).astype(np.uint8)
-
-    def steps(self, words: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """All steps on the ways to these words, from the leaves up: places in ``words``,
-        nodes and branches taken there.  Each list has a place once."""
-        out = []
-        place, node, branch = np.arange(len(words)), self.parent[words], self.branch[words]
-        while len(place):
-            out.append((place, node, branch))
-            up = node > 0
-            place, node = place[up], node[up]
-            branch, node = self.node_branch[node], self.node_parent[node]
-        return out
+    def class_edges(self, nodes: np.ndarray) -> list[tuple[int, int, int]]:
+        """Class, first and last place of each stretch of ascending nodes that share weights:
+        one of the first nodes, or a range of the others."""
+        others = max(1, len(self.shares) - OWN_CLASSES)
+        ends = OWN_CLASSES + -(-others * np.arange(CLASSES - OWN_CLASSES + 1) // (CLASSES - OWN_CLASSES))
+        at = np.searchsorted(nodes, np.concatenate([np.arange(OWN_CLASSES), ends]))
+        return [(c, int(at[c]), int(at[c + 1])) for c in np.flatnonzero(at[1:] > at[:-1])]
+
+    def steps(self, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """All steps on the ways to these words, level by level from below: places in ``words``,
+        nodes and branches taken there.  Ascending words give ascending nodes."""
+        node, branch = self.parent[words], self.branch[words]
+        for first in reversed(self.levels):
+            place = np.flatnonzero(node >= first) if first else np.arange(len(words))
+            if len(place):
+                here = node[place]
+                yield place, here, branch[place]
+                if first:
+                    branch[place], node[place] = self.node_branch[here], self.node_parent[here]
 
 
 def input_rows(words: np.ndarray) -> np.ndarray:
@@ -188,60 +193,59 @@ class Network:
         total += self.hidden
         return np.tanh(total, out=total)
 
-    def _branches(self, state: np.ndarray, place: np.ndarray, node: np.ndarray):
-        """The steps sorted by class: their order, each class's edges, states, and the
-        probabilities of all branches with the logs of their sums."""
-        kind = self.tree.classes(node)
-        order = np.argsort(kind, kind="stable")
-        edges = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-        own = state[place[order]]
-        logits = self.tree.shares[node[order]]
-        for c in np.flatnonzero(np.diff(edges)):
-            part = slice(edges[c], edges[c + 1])
-            logits[part] += own[part] @ self.branches[c].T
-            logits[part] += self.bias[c]
-        logits -= logits.max(axis=1, keepdims=True)
-        return order, edges, own, logits
+    def _logits(self, own: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """Of all branches of a step each, none so large that its exponential isn't finite; and
+        the classes of the steps."""
+        classes, logits = self.tree.class_edges(node), self.tree.shares[node]
+        for c, a, b in classes:
+            logits[a:b] += own[a:b] @ self.branches[c].T
+            logits[a:b] += self.bias[c]
+        return np.minimum(logits, _MOST, out=logits), classes
 
     def log_probabilities(self, context: np.ndarray, words: np.ndarray) -> np.ndarray:
-        steps = self.tree.steps(words)
-        if not steps:
-            return np.zeros(0, dtype=np.float64)
-        place, node, branch = (np.concatenate(c) for c in zip(*steps))
-        order, _, _, logits = self._branches(self.state(context), place, node)
-        found = logits[np.arange(len(order)), branch[order]]
-        found -= np.log(np.exp(logits, out=logits).sum(axis=1))
-        return np.bincount(place[order], found.astype(np.float64), len(words))
+        order = np.argsort(words, kind="stable")
+        state, found = self.state(context[order]), np.zeros(len(words))
+        for place, node, branch in self.tree.steps(words[order]):
+            logits, _ = self._logits(state if len(place) == len(words) else state[place], node)
+            taken = logits[np.arange(len(place)), branch]
+            # sums as products: numpy adds up short rows slowly
+            taken -= np.log(np.exp(logits, out=logits) @ _ONES)
+            found[place] += taken
+        out = np.empty(len(words))
+        out[order] = found
+        return out
 
     def gradient(self, context: np.ndarray, words: np.ndarray, times: np.ndarray | None = None) -> Network:
         """Of the mean log-probability, in which a word counts ``times``."""
         out = Network(self.tree, np.zeros(self.size, dtype=np.float32))
-        steps = self.tree.steps(words)
-        place, node, branch = (np.concatenate(c) for c in zip(*steps))
-        state = self.state(context)
-        order, edges, own, miss = self._branches(state, place, node)
-        np.exp(miss, out=miss)
-        weight = np.full(len(words), 1 / len(words)) if times is None else times / times.sum()
-        weight = weight.astype(np.float32)[place[order]]
-        miss *= (-weight / miss.sum(axis=1))[:, None]
-        miss[np.arange(len(order)), branch[order]] += weight
-        back_of_steps = np.empty_like(own)
-        for c in np.flatnonzero(np.diff(edges)):
-            part = slice(edges[c], edges[c + 1])
-            out.branches[c] = miss[part].T @ own[part]
-            out.bias[c] = miss[part].sum(axis=0)
-            back_of_steps[order[part]] = miss[part] @ self.branches[c]
-        back, at = np.zeros_like(state), 0
-        for places, _, _ in steps:
-            back[places] += back_of_steps[at : at + len(places)]
-            at += len(places)
+        order = np.argsort(words, kind="stable")
+        context, words = context[order], words[order]
+        weight = np.full(len(words), 1 / len(words)) if times is None else times[order] / times.sum()
+        weight, state = weight.astype(np.float32), self.state(context)
+        back, every_one = np.zeros_like(state), np.ones(len(words), dtype=np.float32)
+        for place, node, branch in self.tree.steps(words):
+            every = len(place) == len(words)
+            own, part = (state, weight) if every else (state[place], weight[place])
+            miss, classes = self._logits(own, node)
+            np.exp(miss, out=miss)
+            miss *= (-part / (miss @ _ONES))[:, None]
+            miss[np.arange(len(place)), branch] += part
+            slope = np.empty_like(own)
+            for c, a, b in classes:
+                out.branches[c] += miss[a:b].T @ own[a:b]
+                out.bias[c] += every_one[a:b] @ miss[a:b]
+                np.matmul(miss[a:b], self.branches[c], out=slope[a:b])
+            if every:
+                back += slope
+            else:
+                back[place] += slope
         back *= 1 - state * state
-        out.hidden[:] = back.sum(axis=0)
+        out.hidden[:] = every_one @ back
+        columns = back.T.astype(np.float64)
         for o in range(len(OFFSETS)):
-            by_row = np.argsort(context[:, o].astype(np.uint16), kind="stable")
-            rows = context[by_row, o]
-            first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-            out.inputs[o][rows[first]] = np.add.reduceat(back[by_row], first, axis=0)
+            rows = np.ascontiguousarray(context[:, o])
+            for w in range(WIDTH):
+                out.inputs[o, :, w] = np.bincount(rows, columns[w], INPUT_ROWS)
         return out
 
 

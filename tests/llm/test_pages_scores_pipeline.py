@@ -163,7 +163,7 @@ def plain_score(text, tree, net):
         state = np.tanh(sum(net.inputs[o][r].astype(float) for o, r in enumerate(rows)) + net.hidden)
         node, branch = int(tree.parent[word]), int(tree.branch[word])
         while True:
-            kind = int(tree.classes(np.array([node]))[0])
+            kind = tree.class_edges(np.array([node]))[0][0]
             logits = net.branches[kind].astype(float) @ state + net.bias[kind] + tree.shares[node]
             total += logits[branch] - np.log(np.exp(logits - logits.max()).sum()) - logits.max()
             if not node:
