@@ -1,10 +1,11 @@
 """Exact largest inner products by a dual-tree search over cover trees.
 
-Queries are indexed in blocks of at most about ``QUERY_BLOCK``; a block and its tree
-are broadcast.  Every task indexes the vectors it reads in trees of at most
-``TREE_ROWS`` and walks both trees together: a pair of nodes is left out if no
-inner product inside their covering radii can reach the worst k-th score of the
-query node's group.  Vectors are never shuffled, only each task's best are.
+Queries come in blocks of about ``QUERY_BLOCK`` and vectors in strips, and each pair of
+both is one task's cell (``operators/blocks.py``): nothing but counts passes through the
+driver.  A task indexes its block in one tree, the vectors of its strip in trees of at most
+``TREE_ROWS``, and walks both trees together: a pair of nodes is left out if no inner
+product inside their covering radii, or inside their angles, can reach the worst k-th score
+of the query node's group.
 """
 
 from __future__ import annotations
@@ -16,14 +17,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stallbook.llm.common import ship_package, table, uniform
+from stallbook.llm.common import ship_package, table
+from stallbook.operators.blocks import cells, in_cells, strips_for
 
 QUERY_BLOCK = 8192
 TREE_ROWS = 8192
 LEAF = 32
-#: Vectors of the hash-drawn sample whose scores give the first k-th scores, which
-#: are lower bounds of the true ones.
-SEED_ROWS = 2048
+#: After so many children a node is looked at: if they hold fewer than two points each,
+#: its points lie too far apart to be told by halved radii, and it is a leaf.
+TRIED = 32
+#: Vectors of a strip at most, and at least where there are few.
+STRIP_ROWS, LEAST_ROWS = 1 << 20, 256
+#: Vectors that a block is scored against before trees are walked; they set the first k-th scores.
+FIRST_ROWS = 128
 SCALE = 1024
 #: Points that are scored at once against a group of queries.
 BATCH = 512
@@ -35,7 +41,8 @@ class CoverTree:
 
     A node's children are centred on points of it that lie more than half its radius
     apart, and each holds points within that half; the first has the node's own centre.
-    A node of few or equal points is a leaf.
+    A node of few or equal points is a leaf, and one whose children would be single points.
+    ``angle`` is the widest between a node's centre and its points, ``longest`` their length.
     """
 
     def __init__(self, x: np.ndarray, leaf: int = LEAF):
@@ -59,7 +66,6 @@ class CoverTree:
         if len(x):
             rows = np.arange(len(x))
             add(0, rows, self._away(0, rows))
-        done: list[int] = []
         while stack:
             node, rows, away = stack.pop()
             reach = away.max() / 2
@@ -68,20 +74,48 @@ class CoverTree:
                 order.extend(rows.tolist())
                 last[node] = len(order)
                 continue
-            done.append(node)
-            own, at = [], centre[node]
-            while len(rows):
+            own, at, left = [], centre[node], rows
+            while len(left):
                 near = away <= reach
-                own.append(add(at, rows[near], away[near]))
-                rows = rows[~near]
-                if len(rows):
-                    at = int(rows[0])
-                    away = self._away(at, rows)
-            children[node] = np.array(own)
+                own.append((at, left[near], away[near]))
+                left = left[~near]
+                if len(left):
+                    if len(own) % TRIED == 0 and len(rows) - len(left) < 2 * len(own):
+                        break
+                    at = int(left[0])
+                    away = self._away(at, left)
+            if len(left):
+                first[node] = len(order)
+                order.extend(rows.tolist())
+                last[node] = len(order)
+            else:
+                children[node] = np.array([add(*child) for child in own])
         self.order = np.array(order, dtype=np.int64)
         self.centre, self.radius = np.array(centre, dtype=np.int64), np.array(radius)
         self.first, self.last, self.children = np.array(first), np.array(last), children
         self.norm = np.sqrt(self.squares[self.centre]) if len(x) else np.zeros(0)
+        self.angle, self.longest = np.zeros(len(centre)), np.zeros(len(centre))
+        for node in range(len(centre) - 1, -1, -1):
+            rows = self.points(node) if children[node] is None else None
+            if rows is not None:
+                lengths = np.sqrt(self.squares[rows])
+                self.longest[node] = lengths.max()
+                self.angle[node] = self._angles(centre[node], rows, lengths).max() if len(rows) > 1 else 0.0
+            else:
+                below = children[node]
+                self.longest[node] = self.longest[below].max()
+                # the first child has the same centre; others' angles are added to the way there
+                middles = self.centre[below]
+                way = self._angles(centre[node], middles, np.sqrt(self.squares[middles]))
+                self.angle[node] = (way + self.angle[below]).max()
+
+    def _angles(self, at: int, rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Angles at zero, a bit too wide rather than too narrow; a right one and more for the zero vector."""
+        length = np.sqrt(self.squares[at])
+        if not length:
+            return np.full(len(rows), np.pi)
+        cosine = (self.x[rows] @ self.x[at]) / (np.where(lengths > 0, lengths, 1) * length)
+        return np.where(lengths > 0, np.arccos(np.clip(cosine - 1e-9, -1, 1)) * (rows != at), np.pi)
 
     def _away(self, at: int, rows: np.ndarray) -> np.ndarray:
         away = np.sqrt(np.maximum(self.squares[rows] + self.squares[at] - 2 * (self.x[rows] @ self.x[at]), 0))
@@ -123,10 +157,11 @@ class Best:
                 self.least[row] = max(self.least[row], score[order[-1]])
 
 
-def search(queries: CoverTree, data: CoverTree, ids: np.ndarray, best: Best) -> None:
-    """Walks both trees together and leaves in ``best`` what they hold."""
+def search(queries: CoverTree, data: CoverTree, ids: np.ndarray, best: Best) -> int:
+    """Walks both trees together, leaves in ``best`` what they hold, and tells how many pairs were scored."""
     if not len(queries.centre) or not len(data.centre):
-        return
+        return 0
+    scored = 0
     stack = [(0, np.zeros(1, dtype=np.int64))]
     rows_below: dict[int, np.ndarray] = {}
 
@@ -142,6 +177,12 @@ def search(queries: CoverTree, data: CoverTree, ids: np.ndarray, best: Best) ->
         reach = queries.norm[node] * data.radius[others] + queries.radius[node] * (data.norm[others] + data.radius[others])
         rounding = np.abs(inner) + reach + queries.norm[node] * data.norm[others]
         bound = inner + reach + 1e-9 * rounding + 1e-6
+        lengths = queries.norm[node] * data.norm[others]
+        between = np.arccos(np.clip(inner / np.where(lengths > 0, lengths, 1), -1, 1))
+        least = np.where(lengths > 0, between - queries.angle[node] - data.angle[others] - 1e-7, 0)
+        longest = queries.longest[node] * data.longest[others]
+        by_angle = longest * np.cos(np.clip(least, 0, np.pi / 2)) + 1e-9 * longest + 1e-6
+        bound = np.minimum(bound, by_angle)
         keep = bound >= best.least[below(node)].min()
         return others[keep][np.argsort(-bound[keep], kind="stable")]
 
@@ -171,8 +212,11 @@ def search(queries: CoverTree, data: CoverTree, ids: np.ndarray, best: Best) ->
                 size += data.last[others[taken]] - data.first[others[taken]]
                 taken += 1
             points = np.concatenate([data.points(o) for o in others[:taken]])
-            best.take(rows, ids[points], products(queries.x[rows], data.x[points]))
+            for some in (points[a : a + BATCH] for a in range(0, len(points), BATCH)):
+                best.take(rows, ids[some], products(queries.x[rows], data.x[some]))
+            scored += len(rows) * len(points)
             others = able(node, others[taken:])
+    return scored
 
 
 def whole_numbers(column: str, scale: int = SCALE) -> Column:
@@ -198,18 +242,13 @@ def top_inner_products(queries: DataFrame, vectors: DataFrame, k: int = 10, seed
     ship_package(spark)
     vectors = vectors.select("id", "vector").where("id is not null and vector is not null")
     queries = queries.where("id is not null and vector is not null").groupBy("id").agg(F.min("vector").alias("vector"))
-    n_queries, n_vectors = queries.count(), vectors.count()
-    blocks = -(-n_queries // QUERY_BLOCK)
-    seeds = vectors.where(uniform(F.col("id"), seed=seed) < F.lit(min(1.0, SEED_ROWS / max(1, n_vectors)))).collect()
-    parts = []
-    for block in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).orderBy("id").collect()
-        parts.append(_one_block(vectors, rows, seeds, k))
-    if not parts:
+    blocks = -(-queries.count() // QUERY_BLOCK)
+    if not blocks:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.union(part)
+    block = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(blocks)).cast("int")
+    strips = strips_for(vectors, vectors.count(), STRIP_ROWS, LEAST_ROWS)
+    dealt = in_cells(queries.withColumn("block", block), vectors, blocks, strips)
+    found = dealt.mapInArrow(_searcher(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
         found.withColumn("rank", F.row_number().over(order))
@@ -218,54 +257,54 @@ def top_inner_products(queries: DataFrame, vectors: DataFrame, k: int = 10, seed
     )
 
 
-def by_dimension(rows: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Ids and vectors of rows (id, vector), apart for each dimension."""
-    groups: dict[int, list] = {}
-    for row in rows:
-        groups.setdefault(len(row[1]), []).append(row)
-    return {d: (np.array([r[0] for r in g], dtype=np.int64), np.array([r[1] for r in g])) for d, g in groups.items()}
+def by_dimension(batch: pa.RecordBatch) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors of a batch, apart for each dimension."""
+    ids, lists = batch.column("id").to_numpy(), batch.column("vector")
+    offsets, flat = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
+    sizes = np.diff(offsets)
+    groups = ((int(d), np.flatnonzero(sizes == d)) for d in np.unique(sizes))
+    return {d: (ids[own], flat[offsets[own][:, None] + np.arange(d)]) for d, own in groups}
 
 
-def _one_block(vectors: DataFrame, rows: list, seeds: list, k: int) -> DataFrame:
-    context = vectors.sparkSession.sparkContext
-    known = by_dimension(seeds)
-    index = {}
-    for d, (ids, x) in by_dimension(rows).items():
-        best = Best(ids, k, np.full(len(ids), -_LONG, dtype=np.int64))
-        if d in known:
-            best.take(np.arange(len(ids)), known[d][0], products(x, known[d][1]))
-        index[d] = (ids, CoverTree(x), best.least)
-    shared = context.broadcast(index)
+def _searcher(k: int):
+    """Reads cells, queries before vectors, and gives each cell's best."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
-        best = {d: Best(ids, k, least) for d, (ids, _, least) in index.items()}
-        for batch in batches:
-            for first in range(0, batch.num_rows, TREE_ROWS):
-                part = batch.slice(first, TREE_ROWS)
-                ids = part.column("id").to_numpy()
-                lists = part.column("vector")
-                sizes = np.diff(lists.offsets.to_numpy())
-                flat = lists.flatten().to_numpy()
-                starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-                for d in np.unique(sizes):
-                    if int(d) in index:
-                        own = np.flatnonzero(sizes == d)
-                        x = flat[starts[own][:, None] + np.arange(d)]
-                        search(index[int(d)][1], CoverTree(x), ids[own], best[int(d)])
-        for d, held in best.items():
-            times = [len(i) for i in held.id]
+    def found(index: dict[int, tuple[CoverTree, Best]]) -> Iterator[pa.RecordBatch]:
+        for _, best in index.values():
+            times = [len(i) for i in best.id]
             if sum(times):
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.repeat(index[d][0], times)),
-                        pa.array(np.concatenate(held.id)),
-                        pa.array(np.concatenate(held.score)),
-                    ],
-                    names=["query_id", "vec_id", "score"],
-                )
-
-    return vectors.mapInArrow(run, "query_id long, vec_id long, score long")
+                columns = [np.repeat(best.queries, times), np.concatenate(best.id), np.concatenate(best.score)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "vec_id", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        present, asked, index = None, [], {}
+        for cell, is_row, part in cells(batches):
+            if cell != present:
+                yield from found(index)
+                present, asked, index = cell, [], {}
+            if not is_row:
+                asked.append(part)
+                continue
+            if asked:
+                whole = pa.Table.from_batches(asked).combine_chunks().to_batches()[0]
+                index = {
+                    d: (CoverTree(x), Best(ids, k, np.full(len(ids), -_LONG, dtype=np.int64)))
+                    for d, (ids, x) in by_dimension(whole).items()
+                }
+                asked = []
+            for d, (ids, x) in by_dimension(part).items():
+                if d not in index:
+                    continue
+                queries, best = index[d]
+                at = 0
+                if not any(len(s) for s in best.score):
+                    at = FIRST_ROWS
+                    best.take(np.arange(len(queries.x)), ids[:at], products(queries.x, x[:at]))
+                for first in range(at, len(ids), TREE_ROWS):
+                    search(queries, CoverTree(x[first : first + TREE_ROWS]), ids[first : first + TREE_ROWS], best)
+        yield from found(index)
+
+    return run
 
 
 def op6_cover_tree_topk(spark: SparkSession, folder: str) -> DataFrame:

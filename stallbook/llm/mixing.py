@@ -23,6 +23,8 @@ MAX_REPEATS = 3
 SEED = 11
 #: Equal parts of the draws' range in which a source's words are counted.
 BINS = 1024
+#: Parts in which rows of equal id and text are numbered.
+SALTS = 64
 
 
 def word_count(text: Column) -> Column:
@@ -90,7 +92,32 @@ def thresholds(sized: DataFrame, targets: DataFrame, seed: int = SEED) -> DataFr
 
 
 def draw_bin(seed: int) -> Column:
-    return F.floor(uniform(F.col("doc_id").cast("long"), seed=seed) * BINS)
+    return F.floor(uniform(F.col("doc_id").cast("long"), F.col("_text"), F.col("_place"), seed=seed) * BINS)
+
+
+def with_places(documents: DataFrame) -> DataFrame:
+    """Adds ``_text``, a hash of the text, and ``_place``: from 0 among rows of equal id and text.
+
+    Rows that come once, nearly all, stay where they are.  The others are numbered in two
+    steps, in salted parts and then part by part, so very many equal rows don't meet in one
+    task; which of them has which number makes no difference.
+    """
+    keyed = documents.withColumn("_text", F.xxhash64("text"))
+    keyed = keyed.withColumn("_equal", F.xxhash64(F.col("doc_id").cast("long"), F.col("_text")))
+    counts = keyed.groupBy("_equal").agg(F.count(F.lit(1)).alias("_n"))
+    several = settle(counts.where(F.col("_n") > 1).select("_equal"), "repeated")
+    if several.isEmpty():
+        return keyed.withColumn("_place", F.lit(0).cast("long")).drop("_equal")
+    once = keyed.join(several, "_equal", "left_anti").withColumn("_place", F.lit(0).cast("long"))
+    salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS))
+    salted = settle(keyed.join(several, "_equal", "left_semi").withColumn("_salt", salt), "repeated")
+    earlier = Window.partitionBy("_equal").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
+    starts = salted.groupBy("_equal", "_salt").agg(F.count(F.lit(1)).alias("_n"))
+    starts = starts.select("_equal", "_salt", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_equal", "_salt").orderBy("doc_id"))
+    numbered = salted.withColumn("_in", inside).join(starts, ["_equal", "_salt"])
+    placed = numbered.withColumn("_place", F.col("_before") + F.col("_in") - 1)
+    return once.unionByName(placed.select(*once.columns)).drop("_equal")
 
 
 def copies(
@@ -110,7 +137,8 @@ def copies(
 
 def sizes(documents: DataFrame) -> DataFrame:
     words = word_count(F.col("text")).alias("size")
-    return settle(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "source", words), "sized")
+    placed = with_places(documents.select("doc_id", "text", "source"))
+    return settle(placed.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "_text", "_place", words), "sized")
 
 
 def source_sizes(sized: DataFrame) -> DataFrame:
@@ -122,8 +150,9 @@ def mixture(documents: DataFrame, weights: Sequence[float] = WEIGHTS, seed: int
 
     ``taken`` is the document's words times its copies: 0 to 3 of them, as the rate
     is at most 3.  A null or empty text has size 0 and takes nothing; a source
-    without words has the target 0; null is a source of its own.  Rows with the same
-    ``doc_id`` are drawn alike, so reruns agree in any order and layout.  Further
+    without words has the target 0; null is a source of its own.  The id, the text and, among
+    rows that agree in both, a number decide the draw, so reruns agree in any order and
+    layout and rows without an id are drawn apart.  Further
     columns are ignored; an empty table gives an empty table.
     """
     sized = sizes(documents)
@@ -138,9 +167,11 @@ def mixture(documents: DataFrame, weights: Sequence[float] = WEIGHTS, seed: int
 
 def mixed_documents(documents: DataFrame, weights: Sequence[float] = WEIGHTS, seed: int = SEED) -> DataFrame:
     """The documents themselves, each as often as the mix takes it, all columns kept."""
-    drawn = copies(documents, sizes(documents), weights, seed)
+    # the row travels whole, so that no column of it can clash with those added here
+    whole = documents.select("doc_id", "text", "source", F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_row"))
+    drawn = copies(with_places(whole), sizes(documents), weights, seed)
     repeated = drawn.withColumn("_copy", F.explode(F.expr("array_repeat(0, cast(_copies as int))")))
-    return repeated.select(*[F.col(f"`{c}`") for c in documents.columns])
+    return repeated.select("_row.*")
 
 
 def op4_source_mixing(spark: SparkSession, folder: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stallbook.llm.common import pick, ship_package, table, text_or_empty
-from stallbook.llm.tokens import tokenizer_path, words_of
+from stallbook.llm.tokens import BATCH_BYTES, WordIds, tokenizer_path, words_of
 
 MAX_TOKENS = 2048
 MAX_SEGMENTS = 256
@@ -167,8 +167,8 @@ def pack(
         size = 0
         for batch in batches:
             docs, texts, tails = (batch.column(c) for c in range(3))
-            for doc, text, tail in zip(docs, texts, tails):
-                ids = np.append(words.ids(text.as_py()), np.uint32(END_ID))
+            for doc, found, tail in zip(docs, _ids(words, texts), tails):
+                ids = np.append(found, np.uint32(END_ID))
                 held.append((doc.as_py(), ids, tail.as_py()))
                 size += len(ids)
                 if len(held) >= WINDOW or size >= WINDOW * max_tokens:
@@ -185,6 +185,19 @@ def pack(
     return source.mapInArrow(run, PIECES)
 
 
+def _ids(words: WordIds, texts: pa.StringArray) -> Iterator[np.ndarray]:
+    """The ids of every text, encoded about a megabyte at a time."""
+    some, size = [], 0
+    for text in texts:
+        some.append(text.as_py())
+        size += len(some[-1])
+        if size >= BATCH_BYTES:
+            yield from words.ids_of(some)
+            some, size = [], 0
+    if some:
+        yield from words.ids_of(some)
+
+
 def op1_vector_packing(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in sequences of at most 2048 tokens, with the CRC of each
     piece's ids."""

@@ -74,11 +74,11 @@ def range_shards(
     sample_rows: int = SAMPLE_ROWS,
     range_bytes: int = RANGE_BYTES,
 ) -> DataFrame:
-    """Adds ``shard`` and ``slot`` to rows (``doc_id``, ``size``, ``key`` and others).
+    """Adds ``shard`` and ``slot`` to rows (``doc_id``, ``size``, ``key``, ``spread`` and others).
 
     Rows are ordered by ``key``; the shards are runs of that order, and their sums of
     ``size`` differ by less than two rows' sizes.  Within a hot key the order goes
-    by the hash of ``doc_id`` first.  ``slot`` counts the rows of a shard from 0.
+    by the hash of ``spread`` first.  ``slot`` counts the rows of a shard from 0.
     ``sized`` is read several times, so it should be a stored table.
     """
     if shards < 1:
@@ -92,7 +92,7 @@ def range_shards(
     due = max(1, min(range_bytes, 2 * total // ranges))
     parts = [max(1, -(-x // due)) if x > 2 * due else 1 for x in b]
     placed = ranged.withColumn(
-        "_part", F.pmod(F.xxhash64(F.col("doc_id")), at_index(parts, F.col("_range"))).cast("long")
+        "_part", F.pmod(F.xxhash64(F.col("spread")), at_index(parts, F.col("_range"))).cast("long")
     )
     earlier = Window.partitionBy("_range").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     before = (
@@ -119,7 +119,7 @@ def range_shards(
     placed = settle(placed, "placed")
     counts = {r["shard"]: r["count"] for r in placed.groupBy("shard").count().collect()}
     first = [0, *accumulate(counts.get(s, 0) for s in range(shards))]
-    return placed.withColumn("slot", F.col("_row") - at_index(first, F.col("shard"))).drop("_row", "key")
+    return placed.withColumn("slot", F.col("_row") - at_index(first, F.col("shard"))).drop("_row", "key", "spread")
 
 
 def shard_documents(documents: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -137,6 +137,9 @@ def shard_documents(documents: DataFrame, shards: int = SHARDS) -> DataFrame:
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(text).bitwiseAND(F.lit((1 << 52) - 1)).alias("key"),
+        # rows without an id are told apart by a number that is stored with them, so that
+        # very many copies of one text are spread as others are
+        F.coalesce(F.col("doc_id").cast("long"), F.monotonically_increasing_id()).alias("spread"),
     )
     placed = range_shards(settle(sized, "sized"), shards)
     return placed.select(

@@ -1,15 +1,14 @@
 """Token counts and token ids of whole texts by a tokenizer file.
 
-A text is cut only where the tokenizer itself always cuts: at ASCII white
-space, which its pre-tokenizer drops, so the ids of a text are the ids of its
-words in a row.  Each worker keeps the ids of words it has met, up to
-``CACHE_WORDS`` of them, and asks the library for new ones only.  Words of plain
-Latin letters go to the library's merge model directly, everything else
-through its whole encoding, special strings included.
+Texts go to the library's batch encoding in batches of about ``BATCH_BYTES``.  Where the
+file says that its pre-tokenizer drops ASCII white space, a text's ids are those of its
+words in a row: long texts are cut there, and a worker keeps the ids of words it has met
+and encodes a batch's new words only.  Texts of other files are encoded whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -21,14 +20,13 @@ from pyspark.sql import functions as F
 
 from stallbook.llm.common import pick, ship_package, table, text_or_empty
 
-#: Words that one worker remembers before it starts anew.
-CACHE_WORDS = 700_000
+#: Bytes of words, with what a dictionary needs for each, that one worker remembers before it starts anew.
+CACHE_BYTES, ENTRY_BYTES = 96 << 20, 120
 #: Bytes of text that are encoded together, and after which a long text is split.
 BATCH_BYTES = 1 << 20
 SEQUENCE_LIMIT = 2048
 
-_SPACE = re.compile(rb"[\x20\x09-\x0d]")
-_LETTERS = re.compile(rb"[a-z\xdf-\xf6\xf8-\xff]+")
+_SPACES = " \t\n\x0b\x0c\r"
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -37,89 +35,89 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def byte_letters() -> dict[int, str]:
-    """Latin-1 code points as the byte-level alphabet writes their UTF-8 bytes.
+def _parts(node: dict | None, inner: str) -> list[dict]:
+    if not node:
+        return []
+    return node[inner] if node["type"] == "Sequence" else [node]
 
-    The alphabet keeps printable Latin-1 bytes and numbers the others from 256.
+
+def cuts_at_spaces(file: dict) -> bool:
+    """Does this tokenizer file drop ASCII white space, and work on each side of it apart?
+
+    Its normalisers must not look across white space, and its first pre-tokenizer must keep
+    only what a pattern matches that matches no white space.
     """
-    keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    other = [b for b in range(256) if b not in set(keep)]
-    sign = {b: chr(b) for b in keep} | {b: chr(256 + i) for i, b in enumerate(other)}
-    return {c: "".join(sign[b] for b in chr(c).encode()) for c in range(256)}
+    import regex
+
+    def local(step: dict) -> bool:
+        whole = step["type"] in ("NFC", "NFD", "NFKC", "NFKD", "Lowercase", "StripAccents")
+        return whole or step["type"] == "Replace" and step["pattern"] == {"Regex": "\\s+"} and step["content"] == " "
+
+    first = next(iter(_parts(file["pre_tokenizer"], "pretokenizers")), None)
+    if not all(map(local, _parts(file["normalizer"], "normalizers"))) or not first or first["type"] != "Split":
+        return False
+    if first["behavior"] != "Removed" or not first["invert"] or "Regex" not in first["pattern"]:
+        return False
+    pattern = regex.compile(first["pattern"]["Regex"])
+    inside = any(set(m.group()) & set(_SPACES) for c in _SPACES for around in "a1!é" for m in pattern.finditer(f"{around}{c}{c}{around}'s{c}"))
+    special = any(c.isspace() for token in file["added_tokens"] for c in token["content"])
+    return not inside and not special and not any(t["lstrip"] or t["rstrip"] for t in file["added_tokens"])
 
 
-class WordIds(dict):
-    """Lower-cased Latin-1 words to their ids (little-endian unsigned 32 bits),
-    or to the number of ids."""
+class WordIds:
+    """Ids (little-endian unsigned 32 bits) or numbers of ids of texts and their words."""
 
     def __init__(self, path: str, lengths: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__()
+        with open(path, encoding="utf-8") as source:
+            file = json.load(source)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.model = self.tokenizer.model
         self.lengths = lengths
-        self.letters = byte_letters()
-        self.rare: dict[bytes, bytes | int] = {}
-        self.plain = self._word_level()
-
-    def _word_level(self) -> bool:
-        """Does this file lower-case, drop white space and merge byte letters
-        within runs of letters?  Only then words may be looked up one by one."""
-        sample = "Ab, CD ef\nÉtag über. X"
-        split = [i for w in re.split(r"\s+", sample) for i in self.whole(w)]
-        merged = [t.id for t in self.model.tokenize("über".translate(self.letters))]
-        return self.whole(sample) == split and self.whole("ÜBER") == merged
-
-    def whole(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def value(self, ids: list[int]):
-        return len(ids) if self.lengths else np.array(ids, dtype="<u4").tobytes()
-
-    def __missing__(self, word: bytes):
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        if len(word) > 1 and word[-1] in b".," and _LETTERS.fullmatch(word, len(word) - 2, len(word) - 1):
-            found = self[word[:-1]] + self[word[-1:]]
-        elif _LETTERS.fullmatch(word):
-            letters = word.decode("latin-1").translate(self.letters)
-            found = self.value([t.id for t in self.model.tokenize(letters)])
-        else:
-            found = self.value(self.whole(word.decode("latin-1")))
-        self[word] = found
-        return found
-
-    def other(self, word: bytes):
-        """A UTF-8 word that may hold any characters."""
-        if word.isascii() and b"<|" not in word:
-            return self[word.lower()]
-        found = self.rare.get(word)
-        if found is None:
-            if len(self.rare) >= CACHE_WORDS // 4:
-                self.rare.clear()
-            found = self.rare[word] = self.value(self.whole(word.decode()))
-        return found
-
-    def each(self, text: str):
-        """The values of a text's words in order."""
+        self.plain = cuts_at_spaces(file)
+        #: ASCII capitals may be lowered first, if no special string can begin in the text.
+        self.lowers = self.plain and any(n["type"] == "Lowercase" for n in _parts(file["normalizer"], "normalizers"))
+        self.special = {token["content"][:2].encode() for token in file["added_tokens"]}
+        self.known: dict[bytes, bytes | int] = {}
+        self.held = 0
+
+    def encoded(self, texts: list[str]) -> list:
+        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
+        return [len(e.ids) if self.lengths else np.array(e.ids, dtype="<u4").tobytes() for e in found]
+
+    def words(self, text: str) -> list[bytes]:
+        raw = text.encode("utf-8", "replace")
+        if self.lowers and not any(s in raw for s in self.special):
+            raw = raw.lower()
+        return raw.split()
+
+    def of(self, texts: list[str]) -> list[list]:
+        """The values of each text's words, or of the text itself where it must not be cut."""
         if not self.plain:
-            return iter([self.value(self.whole(text))])
-        if "<|" not in text:
-            try:
-                return map(self.__getitem__, text.lower().encode("latin-1").split())
-            except UnicodeEncodeError:
-                pass
-        return map(self.other, text.encode("utf-8", "replace").split())
+            return [[v] for v in self.encoded(texts)]
+        own = [self.words(t) for t in texts]
+        known = self.known
+        new = list({w for words in own for w in words if w not in known})
+        if new:
+            size = sum(map(len, new)) + len(new) * ENTRY_BYTES
+            if self.held + size > CACHE_BYTES and self.held:
+                self.known, self.held = {}, 0
+                return self.of(texts)
+            known.update(zip(new, self.encoded([w.decode() for w in new])))
+            self.held += size
+        return [[known[w] for w in words] for words in own]
+
+    def ids_of(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.frombuffer(b"".join(values), dtype="<u4") for values in self.of(texts)]
 
     def ids(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(self.each(text)), dtype="<u4")
+        return self.ids_of([text])[0]
 
     def counts(self, texts: list[str]) -> list[int]:
-        return [sum(self.each(text)) for text in texts]
+        return [sum(values) for values in self.of(texts)]
 
 
 def pieces(text: str, size: int) -> Iterator[str]:
@@ -134,14 +132,14 @@ def pieces(text: str, size: int) -> Iterator[str]:
     yield text[start:]
 
 
-def byte_batches(texts: list[str], size: int = BATCH_BYTES) -> Iterator[tuple[list[int], list[str]]]:
-    """Batches of texts or parts of long texts, each with about ``size``
+def byte_batches(texts: list[str], size: int = BATCH_BYTES, cut: bool = True) -> Iterator[tuple[list[int], list[str]]]:
+    """Batches of texts or, with ``cut``, parts of long texts, each with about ``size``
     characters: positions of the texts, and the parts."""
     where: list[int] = []
     parts: list[str] = []
     held = 0
     for i, text in enumerate(texts):
-        for part in pieces(text, size):
+        for part in pieces(text, size) if cut else (text,):
             where.append(i)
             parts.append(part)
             held += len(part)
@@ -182,7 +180,7 @@ def token_counts(
         for batch in batches:
             texts = batch.column("text").to_pylist()
             n_tokens = np.zeros(len(texts), dtype=np.int64)
-            for where, parts in byte_batches(texts):
+            for where, parts in byte_batches(texts, cut=words.plain):
                 np.add.at(n_tokens, where, words.counts(parts))
             n_bytes = [len(t) if t.isascii() else len(t.encode("utf-8", "replace")) for t in texts]
             yield pa.RecordBatch.from_arrays(

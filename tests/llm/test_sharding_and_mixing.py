@@ -33,7 +33,7 @@ def test_bytes_are_even_with_a_hot_key(spark):
 
 
 def test_ranges_are_bounded_and_found_by_halving(spark):
-    sized = spark.range(5000).select(F.col("id").alias("doc_id"), (F.col("id") % 7 + 1).alias("size"), F.when(F.col("id") < 2000, 77).otherwise(F.col("id")).cast("long").alias("key"))
+    sized = spark.range(5000).select(F.col("id").alias("doc_id"), (F.col("id") % 7 + 1).alias("size"), F.when(F.col("id") < 2000, 77).otherwise(F.col("id")).cast("long").alias("key"), F.col("id").alias("spread"))
     sized = settle(sized, "sized")
     bounds = sharding.splitters(sized, sized.agg(F.sum("size")).first()[0], ranges=20)
     assert 77 in bounds and 78 in bounds and len(bounds) <= 39
@@ -94,3 +94,26 @@ def test_words_are_counted_whole(spark):
     frame = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
     got = [r[0] for r in frame.select(mixing.word_count(F.col("text"))).collect()]
     assert got == [0, 0, 1, 4, 1, 2, 0, 1]
+
+
+def test_rows_without_ids_are_drawn_apart(spark):
+    rows = [(None, "a b c d", "a")] * 200 + [(7, "x y z", "b")] * 100 + [(i, "one two", "c") for i in range(100)]
+    frame = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, source string, _place int, _text int")
+    taken = [mixing.mixture(frame.repartition(n)).groupBy("source", "target").agg(F.sum("taken").alias("t")).collect() for n in (2, 7)]
+    assert sorted(map(tuple, taken[0])) == sorted(map(tuple, taken[1]))
+    for r in taken[0]:
+        assert abs(r["t"] - r["target"]) <= 4
+    mixed = mixing.mixed_documents(frame)
+    assert mixed.columns == frame.columns
+    assert mixed.count() == sum(r["t"] / {"a": 4, "b": 3, "c": 2}[r["source"]] for r in taken[0])
+
+
+def test_copies_without_ids_are_spread_over_parts(spark):
+    rows = [(None, "the same text " * 20) for _ in range(3000)] + [(i, f"text {i}") for i in range(300)]
+    placed = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 8).collect()
+    by_shard = {}
+    for r in placed:
+        by_shard.setdefault(r["shard"], []).append(r)
+    assert len(by_shard) == 8 and all(sorted(r["slot"] for r in own) == list(range(len(own))) for own in by_shard.values())
+    sums = [sum(r["size"] for r in own) for own in by_shard.values()]
+    assert max(sums) - min(sums) < 2 * 281
