@@ -19,6 +19,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,8 @@ PART_TOKENS = 1 << 21
 #: Characters that are encoded at once, and after which a long text is cut.
 CHUNK = 1 << 18
 KEY = 16
+#: Token ids in their binary columns.
+ID = np.dtype("<u4")
 
 
 def _pattern(times: str) -> re.Pattern:
@@ -98,23 +101,25 @@ class Codec:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
 
-    def short(self, text: str) -> list[int]:
+    def short(self, text: str) -> bytes:
         """Ids of a header or an end, which come again and again."""
         if text not in self.known:
             if len(self.known) > 1000:
                 self.known.clear()
-            self.known[text] = self.tokenizer.encode(text, add_special_tokens=False).ids
+            self.known.update(self.encode([text]))
         return self.known[text]
 
-    def encode(self, texts: list[str]) -> dict[str, list[int]]:
+    def encode(self, texts: list[str]) -> dict[str, bytes]:
         cut = {t: pieces(t) for t in dict.fromkeys(texts)}
-        ids = iter(self.tokenizer.encode_batch([p for own in cut.values() for p in own], add_special_tokens=False))
-        return {t: [i for _ in own for i in next(ids).ids] for t, own in cut.items()}
+        found = self.tokenizer.encode_batch([p for own in cut.values() for p in own], add_special_tokens=False)
+        ids = (np.array(e.ids, dtype=ID).tobytes() for e in found)
+        return {t: b"".join(islice(ids, len(own))) for t, own in cut.items()}
 
-    def decode(self, rows: list[list[int]]) -> list[str]:
-        return self.tokenizer.decode_batch(rows, skip_special_tokens=False)
+    def decode(self, rows: list[bytes]) -> list[str]:
+        ids = [np.frombuffer(row, dtype=ID).tolist() for row in rows]
+        return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -123,7 +128,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-_TURNS = "conv_id long, n int, position long, tokens array<int>, loss_first int, loss_last int, path binary, ends array<long>"
+_TURNS = "conv_id long, n int, position long, tokens binary, loss_first int, loss_last int, path binary, ends array<long>"
 
 
 def tokenized_turns(conversations: DataFrame, path: str | None = None) -> DataFrame:
@@ -137,7 +142,7 @@ def tokenized_turns(conversations: DataFrame, path: str | None = None) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(path or tokenizer_path())
         names = ["conv_id", "n", "position", "tokens", "loss_first", "loss_last", "path", "ends"]
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
         begun, conv, keys, ends, last = False, None, bytearray(), [], b""
         rows: list[tuple] = []
 
@@ -164,12 +169,13 @@ def tokenized_turns(conversations: DataFrame, path: str | None = None) -> DataFr
                     if not begun or own != conv:
                         close()
                         begun, conv, keys, ends, last = True, own, bytearray(), [], b""
-                    before, middle, after = codec.short(head), ids[text], codec.short(END)
+                    parts = codec.short(head), ids[text], codec.short(END)
+                    sizes = [len(part) // ID.itemsize for part in parts]
                     last = hashlib.blake2b(last + (head + text).encode("utf-8", "replace"), digest_size=KEY).digest()
                     position = ends[-1] if ends else 0
-                    loss = (len(before), len(before) + len(middle)) if role == LOSS_ROLE else (None, None)
-                    rows.append((conv, len(ends), position, before + middle + after, *loss, None, None))
-                    ends.append(position + len(before) + len(middle) + len(after))
+                    loss = (sizes[0], sizes[0] + sizes[1]) if role == LOSS_ROLE else (None, None)
+                    rows.append((conv, len(ends), position, b"".join(parts), *loss, None, None))
+                    ends.append(position + sum(sizes))
                     keys += last
                 if rows:
                     yield hand_on()
@@ -254,7 +260,8 @@ def prefix_trees(conversations: DataFrame, path: str | None = None, part_tokens:
     """Nodes of all trees, and the node that ends each conversation.
 
     Nodes: ``sequence``, ``start`` (the place of the first token in it), ``depth`` (turns before),
-    ``position`` (the position id of the first token; the others follow), ``tokens``, ``attends``
+    ``position`` (the position id of the first token; the others follow), ``tokens`` (ids as
+    little-endian unsigned 32-bit numbers), ``attends``
     (spans of the sequence with the turns before; beside them a token sees those before it in its own
     node), ``loss_first`` and ``loss_last`` (places in the sequence; null where no loss falls) and
     ``leaf`` where a conversation ends.  Ends: ``conv_id``, ``leaf``.
@@ -323,11 +330,14 @@ def read_back(nodes: DataFrame, ends: DataFrame, path: str | None = None) -> Dat
             out: list[tuple] = []
             for a in range(0, batch.num_rows, 256):
                 rows = batch.slice(a, 256).to_pylist()
-                turns = codec.decode([r["tokens"] for r in rows])
-                under = [r["tokens"][r["loss_first"] - r["start"] : r["loss_last"] - r["start"]] if r["loss_first"] is not None else [] for r in rows]
-                for row, turn, loss in zip(rows, turns, codec.decode(under)):
+                # before, under and behind the loss, each decoded once
+                cuts = [[0, *[r[c] - r["start"] for c in ("loss_first", "loss_last")], None] if r["loss_first"] is not None else [0, None] for r in rows]
+                segments = [r["tokens"][i * ID.itemsize : j if j is None else j * ID.itemsize] for r, cut in zip(rows, cuts) for i, j in zip(cut, cut[1:])]
+                texts = iter(codec.decode(segments))
+                for row, cut in zip(rows, cuts):
+                    parts = list(islice(texts, len(cut) - 1))
                     del stack[row["depth"] :]
-                    stack.append(Reading(stack[-1] if stack else None).add(turn, loss if row["loss_first"] is not None else None))
+                    stack.append(Reading(stack[-1] if stack else None).add("".join(parts), parts[1] if len(parts) > 1 else None))
                     if row["leaf"] is not None:
                         r = stack[-1]
                         out.append((row["leaf"], r.n, r.turns.hexdigest(), r.loss_chars, r.loss.hexdigest(), r.chars))

@@ -247,11 +247,12 @@ def test_conversations_are_read_back_and_shared_turns_stand_once(spark, part_tok
         tokens = []
         for row in sorted(own, key=lambda r: r.start):
             assert row.start == len(tokens)
-            tokens += row.tokens
+            mine = np.frombuffer(row.tokens, dtype=chat.ID).tolist()
+            tokens += mine
             above = [t for s in row.attends for t in tokens[s.first : s.last]]
             assert len(above) == row.position
             assert all(a.last < b.first for a, b in zip(row.attends, row.attends[1:]))
-            text = codec.decode([above + row.tokens])[0]
+            text = codec.decode([np.array(above + mine, dtype=chat.ID).tobytes()])[0]
             assert text.count(chat.START) == row.depth + 1
             distinct.add(text)
             written += 1

@@ -53,6 +53,55 @@ def test_large_vectors_are_scored_exactly(spark):
     assert sorted(map(tuple, got)) == sorted(plain_top(numbers, [x for x in numbers if x[0] % 20 == 0], 7))
 
 
+@pytest.mark.parametrize("clustered, share", [(True, 0.5), (False, 1.0)])
+def test_pairs_of_clustered_vectors_are_left_out(clustered, share):
+    rng = np.random.default_rng(3)
+    middles = rng.normal(0, 400, (40, 16))
+    x = np.floor(middles[rng.integers(0, 40, 5000)] + rng.normal(0, 20, (5000, 16))) if clustered else np.floor(rng.normal(0, 400, (5000, 16)))
+    asked = x[:300]
+    best = cover_tree.Best(np.arange(300), 10, np.full(300, -(2**62), dtype=np.int64))
+    queries, scored = cover_tree.CoverTree(asked), 0
+    for first in range(0, 5000, 2500):
+        scored += cover_tree.search(queries, cover_tree.CoverTree(x[first : first + 2500]), np.arange(first, first + 2500), best)
+    assert scored <= share * 300 * 5000
+    products = asked @ x.T
+    for q in range(300):
+        good = sorted((-products[q, j], j) for j in range(5000) if j != q)[:10]
+        assert best.id[q].tolist() == [j for _, j in good]
+
+
+def test_a_tree_of_far_points_is_one_leaf():
+    x = np.floor(np.random.default_rng(1).normal(0, 100, (4000, 64)))
+    assert len(cover_tree.CoverTree(x).centre) == 1
+    tree = cover_tree.CoverTree(np.concatenate([x[:20].repeat(100, axis=0)]))
+    assert len(tree.centre) > 15
+
+
+def test_angles_hold():
+    x = np.floor(np.random.default_rng(2).normal(0, 20, (400, 4)))
+    x[7] = 0
+    tree = cover_tree.CoverTree(x, leaf=4)
+
+    def below(node):
+        own = tree.children[node]
+        return list(tree.points(node)) if own is None else [p for c in own for p in below(c)]
+
+    for node in range(len(tree.centre)):
+        rows, middle = x[below(node)], x[tree.centre[node]]
+        lengths = np.linalg.norm(rows, axis=1)
+        assert lengths.max() <= tree.longest[node] + 1e-9
+        if middle.any() and lengths.all():
+            cosines = rows @ middle / (lengths * np.linalg.norm(middle))
+            assert np.arccos(np.clip(cosines, -1, 1)).max() <= tree.angle[node] + 1e-6
+
+
+def test_repeated_queries_and_further_columns(spark):
+    rows = [(1, [1.0, 2.0]), (1, [1.0, 1.0]), (2, [3.0, 4.0]), (2, [3.0, 4.0]), (None, [9.0, 9.0]), (3, None), (4, [1.0])]
+    frame = spark.createDataFrame([(*r, 5, "c") for r in rows], "id long, vector array<double>, cell int, block string")
+    got = cover_tree.top_inner_products(frame.where("id = 1"), frame, 3).collect()
+    assert sorted(map(tuple, got)) == [(1, 1, 2, 7), (1, 2, 2, 7)]
+
+
 def test_covering_radii_hold():
     x = np.random.default_rng(1).normal(size=(500, 4))
     tree = cover_tree.CoverTree(x, leaf=4)

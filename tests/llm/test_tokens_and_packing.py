@@ -36,6 +36,43 @@ def test_long_texts_are_split_at_white_space():
     assert "".join(p for w, h in zip(where, held) for i, p in zip(w, h) if i == 0) == text
 
 
+@pytest.mark.parametrize("name, plain", [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
+def test_every_tokenizer_file_counts_as_its_library(spark, name, plain):
+    path = tokens.tokenizer_path(name)
+    assert tokens.WordIds(path).plain == plain
+    own, rng = Tokenizer.from_file(path), random.Random(5)
+    words = ["Word", " ", "  ", "\n\n", "naïve", "<|endoftext|>", "'s", "12 34", "日本", "\t", "x" * 50, "\u00a0", "\u0301"]
+    texts = ["".join(rng.choices(words, k=rng.randrange(40))) for _ in range(200)] + ["ab  cd\n" * 170_000, "y" * 1_200_000, None, ""]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_tokens"] for r in tokens.token_counts(frame, path).collect()}
+    assert got == {i: len(own.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts)}
+
+
+def test_what_a_worker_remembers_is_bounded(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 2000)
+    words = tokens.WordIds(tokens.tokenizer_path(), lengths=True)
+    whole = tokens.WordIds(tokens.tokenizer_path(), lengths=True)
+    rng = random.Random(2)
+    for _ in range(30):
+        texts = [" ".join(f"w{rng.randrange(500)}" for _ in range(5)) for _ in range(2)]
+        assert words.counts(texts) == [sum(map(len, whole.tokenizer.encode_batch(t.split(), add_special_tokens=False))) for t in texts]
+        assert words.held <= 2000
+
+
+def test_files_that_look_over_white_space_are_not_cut():
+    import json
+
+    with open(tokens.tokenizer_path(), encoding="utf-8") as source:
+        file = json.load(source)
+    assert tokens.cuts_at_spaces(file)
+    split = file["pre_tokenizer"]["pretokenizers"][0]
+    for change in ({"behavior": "Isolated"}, {"invert": False}, {"pattern": {"Regex": "[a-z ]+"}}, {"pattern": {"String": " "}}):
+        other = {**file, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{**split, **change}]}}
+        assert not tokens.cuts_at_spaces(other)
+    assert not tokens.cuts_at_spaces({**file, "normalizer": {"type": "Prepend", "prepend": "x"}})
+    assert not tokens.cuts_at_spaces({**file, "added_tokens": [{**file["added_tokens"][0], "content": "a b"}]})
+
+
 def test_counts_of_awkward_rows(awkward, empty, library):
     rows = tokens.token_counts(awkward).collect()
     texts = sorted((r["text"] or "") for r in awkward.collect())
