@@ -90,9 +90,12 @@ class WordIds:
 
     def words(self, text: str) -> list[bytes]:
         raw = text.encode("utf-8", "replace")
-        if self.lowers and not any(s in raw for s in self.special):
-            raw = raw.lower()
-        return raw.split()
+        if not self.lowers or any(s in raw for s in self.special):
+            return raw.split()
+        if raw.isascii():
+            return raw.lower().split()
+        # before a mark a capital may compose otherwise than its small letter
+        return [w.lower() if w.isascii() else w for w in raw.split()]
 
     def of(self, texts: list[str]) -> list[list]:
         """The values of each text's words, or of the text itself where it must not be cut."""

@@ -99,13 +99,13 @@ def test_words_are_counted_whole(spark):
 def test_rows_without_ids_are_drawn_apart(spark):
     rows = [(None, "a b c d", "a")] * 200 + [(7, "x y z", "b")] * 100 + [(i, "one two", "c") for i in range(100)]
     frame = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, source string, _place int, _text int")
-    taken = [mixing.mixture(frame.repartition(n)).groupBy("source", "target").agg(F.sum("taken").alias("t")).collect() for n in (2, 7)]
+    taken = [mixing.mixture(frame.repartition(n)).groupBy("source_size", "target").agg(F.sum("taken").alias("t")).collect() for n in (2, 7)]
     assert sorted(map(tuple, taken[0])) == sorted(map(tuple, taken[1]))
     for r in taken[0]:
         assert abs(r["t"] - r["target"]) <= 4
     mixed = mixing.mixed_documents(frame)
     assert mixed.columns == frame.columns
-    assert mixed.count() == sum(r["t"] / {"a": 4, "b": 3, "c": 2}[r["source"]] for r in taken[0])
+    assert mixed.count() == sum(r["t"] / {800: 4, 300: 3, 200: 2}[r["source_size"]] for r in taken[0])
 
 
 def test_copies_without_ids_are_spread_over_parts(spark):
