@@ -59,25 +59,23 @@ def snapshot_diff(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFr
 
     What is shuffled of unchanged rows is their key and a hash of 128 bits.  Equal
     rows cancel out in aggregates, so nothing is paired up and a repeated or null
-    key cannot multiply.  Only rows whose hash is left over are read whole, compared
-    whole and looked at by key.
+    key cannot multiply.  Only rows of keys with a hash left over are read whole,
+    compared whole and looked at by key.
     """
     columns = [*new.columns, *[c for c in old.columns if c not in new.columns]]
     absent = {c: (new if c in new.columns else old).schema[c].dataType for c in columns}
 
     def side(df: DataFrame, sign: int) -> DataFrame:
         whole = df.select(*[F.col(c) if c in df.columns else F.lit(None).cast(absent[c]).alias(c) for c in columns])
-        values = [x for c in columns for x in (F.col(c), F.col(c).isNull())]
-        marks = {f"_hash_{i}": F.xxhash64(F.lit(i), *values) for i in range(2)}
-        return whole.withColumns(marks).withColumn("_sign", F.lit(sign))
+        return whole.withColumn("_sign", F.lit(sign))
 
-    hashes = ["_hash_0", "_hash_1"]
     both = side(new, 1).union(side(old, -1))
-    left_over = (
-        both.select(*keys, *hashes, "_sign").groupBy(*keys, *hashes).agg(F.sum("_sign").alias("_n")).filter("_n <> 0")
-    )
-    left_over = settle(left_over.select(*hashes).distinct(), "changed_hashes")
-    whole = both.join(left_over, hashes, "left_semi").groupBy(*columns).agg(F.sum("_sign").alias("_n"))
+    values = [x for c in columns for x in (F.col(c), F.col(c).isNull())]
+    marks = [F.xxhash64(F.lit(i), *values).alias(f"_hash_{i}") for i in range(2)]
+    left_over = both.select(*keys, *marks, "_sign").groupBy(*keys, "_hash_0", "_hash_1").agg(F.sum("_sign").alias("_n"))
+    # hashes are taken once; rows of a changed key that are equal on both sides cancel out below
+    left_over = settle(left_over.filter("_n <> 0").select(*keys).distinct(), "changed_keys")
+    whole = match_keys(both, left_over, keys, "left_semi").groupBy(*columns).agg(F.sum("_sign").alias("_n"))
     changed = settle(whole.filter(F.col("_n") != 0), "changed_rows")
     on_both = (
         changed.groupBy(*keys)

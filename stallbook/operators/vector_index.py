@@ -179,8 +179,11 @@ def _scan(visits: DataFrame, vectors: DataFrame, strips: DataFrame, k: int, sche
     per_cell = visits.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
     shape = settle(strips.join(per_cell, "cell"), "cells")
     spread = F.xxhash64(F.monotonically_increasing_id())
-    left = visits.join(shape, "cell").withColumns({"block": F.pmod(spread, "blocks"), "strip": F.explode(F.expr("sequence(0, strips - 1)"))})
-    right = vectors.join(shape, "cell").withColumns({"strip": F.pmod(spread, "strips"), "block": F.explode(F.expr("sequence(0, blocks - 1)"))})
+    # a row draws its own block or strip first; in one step with the explosion each copy would draw anew
+    left = visits.join(shape, "cell").withColumn("block", F.pmod(spread, "blocks"))
+    left = left.withColumn("strip", F.explode(F.expr("sequence(0, strips - 1)")))
+    right = vectors.join(shape, "cell").withColumn("strip", F.pmod(spread, "strips"))
+    right = right.withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)")))
     name = F.xxhash64("cell", F.col("block").cast("int"), F.col("strip").cast("int"))
     left = left.select(name.alias("cell"), F.lit(False).alias("is_row"), "query_id", "query")
     right = right.select(name.alias("cell"), F.lit(True).alias("is_row"), "vector_id", "embedding")
