@@ -182,6 +182,25 @@ def load(spark: SparkSession, kind: str, path: str, pattern: str | None = None)
     return PROJECTIONS[kind](read_json(spark, path, FILE_SCHEMAS[kind], pattern))
 
 
+def price_objects(spark: SparkSession, path: str) -> DataFrame:
+    """The objects of JSON lines under the first header of each price column, as texts.
+
+    A header is found in any case; of several for one column the first that is listed and
+    has a value counts.  What can't be read has no values.
+    """
+    file = F.col("_metadata.file_path").alias("source_file")
+    objects = spark.read.text(path).select(F.from_json("value", "map<string,string>").alias("pairs"), file)
+    pairs = F.map_entries("pairs")
+
+    def under(name: str) -> Column:
+        return F.get(F.filter(pairs, lambda p: F.lower(p["key"]) == name), F.lit(0))["value"]
+
+    def value(headers: tuple[str, ...]) -> Column:
+        return F.coalesce(*[under(name) for name in dict.fromkeys(h.lower() for h in headers)])
+
+    return objects.select(*[value(headers).alias(headers[0]) for headers in PRICE_HEADERS.values()], "source_file")
+
+
 def load_prices(
     spark: SparkSession,
     path: str,
@@ -191,12 +210,15 @@ def load_prices(
 ) -> DataFrame:
     """Price files in JSON or CSV, usable rows only (price present and positive).
 
-    JSON headers are looked up by one inference pass unless they are given.
+    JSON lines are read once, whatever headers their objects have and in whatever case.  The
+    headers of multi-line files are looked up by one inference pass unless they are given.
     """
-    if file_format == "json":
+    if file_format == "json" and (headers or multi_line):
         headers = headers or inferred_schema(spark, path, multi_line).names
         schema = T.StructType([T.StructField(h, T.StringType()) for h in headers])
         raw = read_json(spark, path, schema, multi_line=multi_line)
+    elif file_format == "json":
+        return price_columns(price_objects(spark, path)).filter(F.col("modal_price") > 0)
     elif file_format == "csv":
         raw = read_csv(spark, path)
     else:

@@ -214,6 +214,14 @@ def test_every_line_is_loaded_or_rescued(spark, tmp_path):
     assert sorted((r.commodity or "", r.modal_price) for r in rows if r.modal_price) == [("Rice", 12.5)] * 2 and len(rows) == 5
 
 
+def test_headers_of_json_lines_in_any_case(spark, tmp_path):
+    lines = ['{"COMMODITY": "Rice", "modal price (rs./quintal)": 12.5}', '{"Commodity": "Wheat", "Modal_Price": "7", "commodity": "x"}', "broken", '{"Modal_Price": "NR"}']
+    (tmp_path / "p.json").write_text("\n".join(lines))
+    rows = files.load_prices(spark, str(tmp_path / "p.json"), multi_line=False).collect()
+    assert sorted((r.commodity, r.modal_price) for r in rows) == [("Rice", 12.5), ("Wheat", 7.0)]
+    assert all(r.source_file.endswith("p.json") for r in rows)
+
+
 def test_limit_of_no_rows(spark, tmp_path):
     spark.range(5).write.mode("overwrite").option("path", str(tmp_path / "t")).saveAsTable("five_rows")
     assert tables.read_table(spark, "five_rows", limit=0).count() == 0
