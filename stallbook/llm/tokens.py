@@ -64,6 +64,19 @@ def cuts_at_spaces(file: dict) -> bool:
     return not inside and not special and not any(t["lstrip"] or t["rstrip"] for t in file["added_tokens"])
 
 
+class _Numbers(dict):
+    """Numbers of words as they are met; ``new`` has those of no value yet."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        self.new.append(word)
+        return number
+
+
 class WordIds:
     """Ids (little-endian unsigned 32 bits) or numbers of ids of texts and their words."""
 
@@ -81,8 +94,10 @@ class WordIds:
         #: ASCII capitals may be lowered first, if no special string can begin in the text.
         self.lowers = self.plain and any(n["type"] == "Lowercase" for n in _parts(file["normalizer"], "normalizers"))
         self.special = {token["content"][:2].encode() for token in file["added_tokens"]}
-        self.known: dict[bytes, bytes | int] = {}
-        self.held = 0
+        self.forget()
+
+    def forget(self) -> None:
+        self.numbers, self.values, self.held = _Numbers(), [], 0
 
     def encoded(self, texts: list[str]) -> list:
         found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
@@ -102,16 +117,15 @@ class WordIds:
         if not self.plain:
             return [[v] for v in self.encoded(texts)]
         own = [self.words(t) for t in texts]
-        known = self.known
-        new = list({w for words in own for w in words if w not in known})
-        if new:
-            size = sum(map(len, new)) + len(new) * ENTRY_BYTES
-            if self.held + size > CACHE_BYTES and self.held:
-                self.known, self.held = {}, 0
-                return self.of(texts)
-            known.update(zip(new, self.encoded([w.decode() for w in new])))
-            self.held += size
-        return [[known[w] for w in words] for words in own]
+        # as if every word were new; so a batch's words are known together
+        if self.held and self.held + sum(map(len, texts)) + ENTRY_BYTES * sum(map(len, own)) > CACHE_BYTES:
+            self.forget()
+        found = [list(map(self.numbers.__getitem__, words)) for words in own]
+        if new := self.numbers.new:
+            self.values += self.encoded([w.decode() for w in new])
+            self.held += sum(map(len, new)) + len(new) * ENTRY_BYTES
+            new.clear()
+        return [list(map(self.values.__getitem__, numbers)) for numbers in found]
 
     def ids_of(self, texts: list[str]) -> list[np.ndarray]:
         return [np.frombuffer(b"".join(values), dtype="<u4") for values in self.of(texts)]
