@@ -91,14 +91,36 @@ def avg_price(price: str | Column) -> Column:
     return rounded_mean(price_total(price), price_count(price))
 
 
-def rolling_mean(price: str | Column, frame: WindowSpec) -> Column:
-    """Rounded mean of the prices in a frame of up to thousands of rows; null if it has none."""
-    count = price_count(price).over(frame)
-    small, other = F.sum(millionths(price)).over(frame), F.sum(wide(price)).over(frame)
-    whole = _divide(F.abs(small) * 2 + count * 10_000, count * 20_000)
-    quick = F.signum(small.cast("double")) * whole / 100
-    total = F.coalesce(small, F.lit(0).cast("bigint")).cast("decimal(20,0)") / F.lit(MILLION).cast("decimal(7,0)") + other
-    return F.when(count > 0, F.when(other.isNull(), quick).otherwise(rounded_mean(total, count)))
+RUNNING = ("_n", "_units", "_rest", "_wide")
+
+
+def running_sums(price: str | Column, upto: WindowSpec) -> dict[str, Column]:
+    """The columns ``RUNNING``: number and exact sums of the prices up to each row of a window.
+
+    A frame that grows costs one step a row, however long the means are that are taken from it."""
+    small, none = millionths(price), F.lit(0).cast("bigint")
+    sums = {
+        "_n": price_count(price).over(upto),
+        "_units": F.sum(F.floor(small / MILLION)).over(upto),
+        "_rest": F.sum(F.pmod(small, F.lit(MILLION))).over(upto),
+        "_wide": F.sum(wide(price)).over(upto),
+    }
+    return {name: F.coalesce(total, none.cast(WIDE) if name == "_wide" else none) for name, total in sums.items()}
+
+
+def mean_of_last(rows: int, order: WindowSpec, skip: int = 0) -> Column:
+    """Rounded mean of the last ``rows`` prices, those of ``skip`` rows before this one left out,
+    from ``RUNNING`` columns; null if there are none.  Up to thousands of rows."""
+
+    def within(name: str) -> Column:
+        none = F.lit(0).cast(WIDE if name == "_wide" else "bigint")
+        end = F.coalesce(F.lag(name, skip).over(order), none) if skip else F.col(name)
+        return end - F.coalesce(F.lag(name, rows + skip).over(order), none)
+
+    count, small, other = within("_n"), within("_units") * MILLION + within("_rest"), within("_wide")
+    quick = F.signum(small.cast("double")) * _divide(F.abs(small) * 2 + count * 10_000, count * 20_000) / 100
+    total = small.cast("decimal(20,0)") / F.lit(MILLION).cast("decimal(7,0)") + other
+    return F.when(count > 0, F.when(other == 0, quick).otherwise(rounded_mean(total, count)))
 
 
 def _divide(a: Column, b: Column) -> Column:

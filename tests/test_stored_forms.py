@@ -105,10 +105,13 @@ def test_rolling_means_and_changes_of_mixed_prices(spark):
     from pyspark.sql import Window
 
     order = Window.partitionBy(F.lit(0)).orderBy("i")
-    got = frame.select("i", numeric.rolling_mean("p", order.rowsBetween(-2, 0)).alias("m"), numeric.change_pct(F.col("p"), F.lag("p").over(order)).alias("c")).orderBy("i").collect()
+    summed = frame.withColumns(numeric.running_sums("p", order.rowsBetween(Window.unboundedPreceding, 0)))
+    got = summed.select("i", numeric.mean_of_last(3, order).alias("m"), numeric.mean_of_last(2, order, skip=1).alias("before"), numeric.change_pct(F.col("p"), F.lag("p").over(order)).alias("c")).orderBy("i").collect()
     for r in got:
         own = [Decimal(repr(v)) for v in values[max(0, r.i - 2) : r.i + 1]]
         assert r.m == float((sum(own) / len(own)).quantize(Decimal("0.01"), ROUND_HALF_UP))
+        earlier = [Decimal(repr(v)) for v in values[max(0, r.i - 2) : r.i]]
+        assert r.before == (float((sum(earlier) / len(earlier)).quantize(Decimal("0.01"), ROUND_HALF_UP)) if earlier else None)
         if r.i and values[r.i - 1]:
             change = (own[-1] - own[-2]) * 100 / own[-2]
             assert r.c == pytest.approx(float(change.quantize(Decimal("0.01"), ROUND_HALF_UP)), abs=1e-9)
