@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from stallbook.llm.common import pick, ship_package, table, text_or_empty
 
 #: Bytes of words, with what a dictionary needs for each, that one worker remembers before it starts anew.
-CACHE_BYTES, ENTRY_BYTES = 96 << 20, 120
+CACHE_BYTES, ENTRY_BYTES = 144 << 20, 120
 #: Bytes of text that are encoded together, and after which a long text is split.
 BATCH_BYTES = 1 << 20
 SEQUENCE_LIMIT = 2048
