@@ -24,6 +24,8 @@ from stallbook.llm.common import pick, ship_package, table, text_or_empty
 CACHE_BYTES, ENTRY_BYTES = 144 << 20, 120
 #: Bytes of text that are encoded together, and after which a long text is split.
 BATCH_BYTES = 1 << 20
+#: New words that are encoded as one text.
+JOINED = 512
 SEQUENCE_LIMIT = 2048
 
 _SPACES = " \t\n\x0b\x0c\r"
@@ -103,6 +105,21 @@ class WordIds:
         found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
         return [len(e.ids) if self.lengths else np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
+    def encoded_words(self, words: list[bytes]) -> list:
+        """The same for words, which go to the library ``JOINED`` in a text; a token belongs to
+        the word that it begins in."""
+        texts = [[w.decode() for w in words[a : a + JOINED]] for a in range(0, len(words), JOINED)]
+        out: list = []
+        for own, found in zip(texts, self.tokenizer.encode_batch([" ".join(own) for own in texts], add_special_tokens=False)):
+            begins = np.fromiter((first for first, _ in found.offsets), np.int64, len(found.ids))
+            cuts = np.searchsorted(begins, np.cumsum([len(w) + 1 for w in own])).tolist()
+            if self.lengths:
+                out += np.diff(cuts, prepend=0).tolist()
+            else:
+                ids = np.array(found.ids, dtype="<u4").tobytes()
+                out += [ids[4 * a : 4 * b] for a, b in zip([0, *cuts], cuts)]
+        return out
+
     def words(self, text: str) -> list[bytes]:
         raw = text.encode("utf-8", "replace")
         if not self.lowers or any(s in raw for s in self.special):
@@ -122,7 +139,7 @@ class WordIds:
             self.forget()
         found = [list(map(self.numbers.__getitem__, words)) for words in own]
         if new := self.numbers.new:
-            self.values += self.encoded([w.decode() for w in new])
+            self.values += self.encoded_words(new)
             self.held += sum(map(len, new)) + len(new) * ENTRY_BYTES
             new.clear()
         return [list(map(self.values.__getitem__, numbers)) for numbers in found]
