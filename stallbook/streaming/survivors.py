@@ -2,63 +2,36 @@
 
 The survivor of a key is the row of the smallest id, whenever it comes.  State per key is
 the smallest id so far: a row is passed on if it is smaller, so what is written holds the
-survivor and those it superseded, and a reader keeps the smallest.  A timer drops the state
-of a key that was quiet for ``keep``; a repeat that comes later is passed on again and lost
-to the survivor when it is read.  So state is bounded by the keys of one ``keep``, and rows
-late by any time are neither lost nor doubled.
+survivor and those it superseded, and a reader keeps the smallest.  What was passed on in the
+last ``keep`` is the state: a repeat that comes later is passed on again and lost to the
+survivor when it is read.  So what a batch reads is bounded by the keys of one ``keep``, and
+rows late by any time are neither lost nor doubled.
 
-Copies of a key meet in two steps: a task first keeps the smallest of each Arrow batch, so a
-key that holds most rows sends a few from each task to its state.
+Copies of a key meet in steps: a task first keeps the smallest of each Arrow batch, then of
+all its rows, so a key that holds most rows sends one from each task.
 
 Time is that of arrival, so no row is late, and a stream that has read what there is ends.
+Any state store serves, since none is used.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from stallbook.operators.quality import PRICE_IDENTITY, dedupe
 from stallbook.session import ship_package
 
 KEEP_MS = 30 * 24 * 3600 * 1000
 SEEN = "_seen"
-
-
-class Smallest(StatefulProcessor):
-    """Passes a row on if its id is smaller than any before under its key."""
-
-    def __init__(self, order: str, columns: Sequence[str], keep_ms: int):
-        self.order, self.columns, self.keep_ms = order, list(columns), keep_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        state = T.StructType([T.StructField("id", T.StringType()), T.StructField("until", T.LongType())])
-        self.least = handle.getValueState("least", state)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        best = min(rows, key=lambda r: r[self.order])
-        held = self.least.get() if self.least.exists() else None
-        until = int(best[SEEN].timestamp() * 1000) + self.keep_ms
-        if held is not None:
-            self.handle.deleteTimer(held[1])
-        self.handle.registerTimer(until)
-        smaller = held is None or best[self.order] < held[0]
-        self.least.update((best[self.order] if smaller else held[0], until))
-        if smaller:
-            yield Row(**{c: best[c] for c in self.columns})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        self.least.clear()
-        return iter([])
-
-    def close(self) -> None:
-        pass
+BATCH = "_batch"
 
 
 def smallest_of_batches(stream: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
@@ -66,27 +39,27 @@ def smallest_of_batches(stream: DataFrame, keys: Sequence[str], order: str) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            best: dict[tuple, int] = {}
-            ids = batch.column(order).to_pylist()
-            for i, key in enumerate(zip(*[batch.column(k).to_pylist() for k in keys])):
-                if key not in best or ids[i] < ids[best[key]]:
-                    best[key] = i
-            yield batch.take(pa.array(sorted(best.values()), pa.int64()))
+            places = pc.sort_indices(batch.column(order))
+            columns = [batch.column(k).take(places) for k in keys]
+            named = pa.table([*columns, pa.array(range(len(places)), pa.int64())], [*map(str, range(len(keys))), "at"])
+            first = named.group_by([*map(str, range(len(keys)))], use_threads=False).aggregate([("at", "min")])
+            chosen = places.take(first.column("at_min").combine_chunks())
+            yield batch.take(chosen.take(pc.sort_indices(chosen)))
 
     return stream.mapInArrow(run, stream.schema)
 
 
-def survivors(stream: DataFrame, keys: Sequence[str] = PRICE_IDENTITY, order: str = "price_id", keep_ms: int = KEEP_MS) -> DataFrame:
-    """Rows that were the smallest of their key when they came.  ``order`` is a text that no row lacks."""
-    ship_package(stream.sparkSession)
-    few = smallest_of_batches(stream.filter(f"`{order}` IS NOT NULL"), keys, order)
-    timed = few.withColumn(SEEN, F.current_timestamp()).withWatermark(SEEN, "0 seconds")
-    return timed.groupBy(*keys).transformWithState(
-        statefulProcessor=Smallest(order, stream.columns, keep_ms),
-        outputStructType=stream.schema,
-        outputMode="append",
-        timeMode="EventTime",
-    )
+def survivors(batch: DataFrame, held: DataFrame | None, keys: Sequence[str] = PRICE_IDENTITY, order: str = "price_id") -> DataFrame:
+    """Rows that are the smallest of their key, and smaller than any of ``held`` (``keys`` and ``order``).
+    ``order`` is a text that no row lacks."""
+    ship_package(batch.sparkSession)
+    few = smallest_of_batches(batch.filter(f"`{order}` IS NOT NULL"), keys, order)
+    if held is None:
+        return dedupe(few, keys, [order])
+    known = held.select(*keys, order).withColumn(SEEN, F.lit(True))
+    # of equal ids the one that is held wins
+    both = few.withColumn(SEEN, F.lit(False)).unionByName(known, allowMissingColumns=True)
+    return dedupe(both, keys, [order, F.desc(SEEN)]).filter(~F.col(SEEN)).drop(SEEN)
 
 
 def drain_survivors(
@@ -97,14 +70,24 @@ def drain_survivors(
     order: str = "price_id",
     keep_ms: int = KEEP_MS,
 ) -> StreamingQuery:
-    """Append what passes to ``path``, exactly once, and stop."""
+    """Append what passes to ``path``, exactly once, and stop: a batch has a folder of its own
+    number there, so a repeated batch replaces its files."""
+    schema = stream.select(*keys, order).schema.add(SEEN, T.LongType()).add(BATCH, T.LongType())
+
+    def append(batch: DataFrame, number: int) -> None:
+        spark, now = batch.sparkSession, int(time.time() * 1000)
+        held = None
+        if number > 0:
+            stored = spark.read.schema(schema).parquet(path)
+            held = stored.filter((F.col(BATCH) < number) & (F.col(SEEN) >= now - keep_ms))
+        passed = survivors(batch, held, keys, order).withColumn(SEEN, F.lit(now))
+        passed.write.mode("overwrite").parquet(f"{path}/{BATCH}={number}")
+
     query = (
-        survivors(stream, keys, order, keep_ms)
-        .writeStream.format("parquet")
-        .outputMode("append")
+        stream.writeStream.foreachBatch(append)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
-        .start(path)
+        .start()
     )
     query.awaitTermination()
     return query
@@ -112,4 +95,4 @@ def drain_survivors(
 
 def read_survivors(spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str] = PRICE_IDENTITY, order: str = "price_id") -> DataFrame:
     """One row per key of all that was passed on so far."""
-    return dedupe(spark.read.schema(schema).parquet(path), keys, [order])
+    return dedupe(spark.read.schema(schema).parquet(path).select(*schema.names), keys, [order])

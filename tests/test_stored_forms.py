@@ -308,6 +308,24 @@ def test_survivors_of_late_and_hot_keys(spark, tmp_path):
     assert got == {"hot": ("id000", 7.0), "a": ("a", 2.0), None: ("n1", 6.0)}
 
 
+def test_survivors_without_a_state_store_of_several_parts(spark, tmp_path):
+    inbox, schema = str(tmp_path / "in"), "k string, id string"
+    for rows in ([("a", "2"), ("b", "1")], [("a", "1"), ("b", "1"), ("b", "3")], [("a", "3"), (None, "0")]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(inbox)
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store)
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+    try:
+        out = str(tmp_path / "out")
+        stream = ingest.file_stream(spark, inbox, spark.read.parquet(inbox).schema, "parquet", max_files=1)
+        drain_survivors(stream, out, str(tmp_path / "offsets"), ["k"], "id")
+    finally:
+        spark.conf.set(store, before)
+    assert sorted(map(tuple, read_survivors(spark, out, stream.schema, ["k"], "id").collect()), key=str) == [("a", "1"), ("b", "1"), (None, "0")]
+    # each batch passed on what was smaller than all before
+    assert spark.read.parquet(out).count() == 4
+
+
 def test_stump_finds_the_best_split(spark):
     rng = random.Random(4)
     rows = [(float(rng.randrange(5)), float(rng.randrange(7))) for _ in range(500)]
