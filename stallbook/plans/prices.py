@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from stallbook.functions.dates import with_calendar
 from stallbook.operators import quality, windows
@@ -30,11 +31,25 @@ def enriched(
 ) -> DataFrame:
     """Valid, deduplicated prices with change, moving averages and volatility.
 
-    Copies are dropped before the shuffle, one row per key and task at most.  The
-    result is written, since the window step looks for long series in it and
-    then reads it again; long series are cut.  A pipeline that keeps a silver
-    table calls ``windows.with_indicators`` on that table instead.
+    Copies are dropped before the windows.  Where no series is long, copies included,
+    the rows go by series once, and the same exchange and sort serve deduplication and
+    windows.  Else copies are dropped before the shuffle, one row per key and task at
+    most, the result is written, and long series are cut in it.  A pipeline that keeps
+    a silver table calls ``windows.with_indicators`` on that table instead.
     """
     identity = [*keys, *[c for c in quality.PRICE_IDENTITY if c not in keys]]
-    clean = settle(with_calendar(quality.dedupe(quality.valid_prices(raw), identity)), "silver")
-    return windows.with_indicators(clean, keys, rows_per_piece=rows_per_piece)
+    return windows.with_indicators(*clean_series(quality.valid_prices(raw), identity, keys, rows_per_piece))
+
+
+def clean_series(
+    valid: DataFrame, identity: Sequence[str], keys: Sequence[str], rows_per_piece: int
+) -> tuple[DataFrame, Sequence[str], Sequence[str], int | None]:
+    """Deduplicated rows with calendar columns and how windows over ``keys`` take them: keys,
+    order, and rows per piece (``None``: no series is long).
+
+    Counting the rows of every series reads the keys only."""
+    if windows.long_series(valid, keys, rows_per_piece) is None:
+        near = valid.repartition(*[F.col(k) for k in keys])
+        return with_calendar(quality.dedupe(near, identity)), keys, windows.ORDER, None
+    clean = settle(with_calendar(quality.dedupe(valid, identity)), "silver")
+    return clean, keys, windows.ORDER, rows_per_piece

@@ -1244,8 +1244,9 @@ def average_residuals(spark, folder):
 
 @_query
 def lagged_features(spark, folder):
-    clean = quality.dedupe(quality.valid_prices(price_observations(spark, folder)))
-    return windows.with_lagged_averages(settle(clean, "silver")).select(
+    valid = quality.valid_prices(price_observations(spark, folder))
+    clean = price_plan.clean_series(valid, [*windows.SERIES, "arrival_date", "variety"], windows.SERIES, windows.ROWS_PER_PIECE)
+    return windows.with_lagged_averages(*clean).select(
         "price_id", "lagged_avg_7d", "lagged_avg_30d"
     )
 

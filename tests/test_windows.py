@@ -4,6 +4,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
+from stallbook.session import settle
 from stallbook.operators import quality, windows
 from stallbook.plans import prices as plan
 
@@ -95,6 +96,18 @@ def test_indicators_take_one_exchange_and_one_sort(price_frame):
     assert "moving_avg_30d" in text
 
 
+def test_short_series_are_enriched_without_a_copy_of_the_rows(spark, price_frame, monkeypatch):
+    written = []
+    monkeypatch.setattr(plan, "settle", lambda df, name: written.append(name) or settle(df, name))
+    raw = observations(price_frame, seed=9)
+    raw = raw.union(raw.withColumn("price_id", F.concat(F.lit("z"), "price_id")))
+    whole, cut = (sorted(map(str, plan.enriched(raw, rows_per_piece=n).collect())) for n in (10**6, 20))
+    assert whole == cut and written == ["silver"]
+    # a null market is a series as well
+    lone = price_frame([{"market": None, "price": p} for p in (10.0, 20.0)])
+    assert sorted(r.moving_avg_7d for r in plan.enriched(lone).collect()) == [10.0, 15.0]
+
+
 @pytest.mark.parametrize("rows_per_piece", [20, 10**6])
 def test_enriched_deduplicates_before_the_windows(price_frame, rows_per_piece):
     raw = observations(price_frame, seed=9)
