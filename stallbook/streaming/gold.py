@@ -32,9 +32,9 @@ def refresh_months(spark: SparkSession, silver_path: str, gold_path: str) -> Cal
         )
         silver = spark.read.schema(batch.schema).parquet(silver_path).filter(touched)
         (
-            # few, even files per month instead of one per task and month
-            monthly_analytics(silver)
-            .hint("rebalance", *MONTH)
+            # rows, narrow here, go by month and commodity once; they are summed up where they
+            # come and written from there, so a month has as many files as commodities at most
+            monthly_analytics(silver.repartition(*MONTH, "commodity"))
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy(*MONTH)

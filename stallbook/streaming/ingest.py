@@ -69,12 +69,17 @@ def drain(
     Columns the target table does not have yet are added to it first.  A target
     belongs to one checkpoint: its file log remembers the batch numbers, so a
     second stream into the same place would have its first batches skipped.
+
+    A partitioned target gets few files per batch and partition, not one from every
+    task, so that who follows it has files as many as batches, however large they are.
     """
     if (table is None) == (path is None):
         raise ValueError("give either table or path")
     spark = stream.sparkSession
     if table and spark.catalog.tableExists(table):
         add_columns(spark, table, stream.schema)
+    if partition_by:
+        stream = stream.hint("rebalance", *partition_by)
     writer = (
         stream.writeStream.format("parquet")
         .outputMode("append")

@@ -6,8 +6,10 @@ import pytest
 
 from stallbook import schemas
 from stallbook.operators import changes, chunks, quality, recency, treatments
+from stallbook.plans import registry
 from stallbook.plans.prices import silver
 from stallbook.session import clear_scratch, scratch_path, settle, shared_folder
+from stallbook.sinks import layout
 from stallbook.sinks import tables as sinks
 from stallbook.sources import files, tables
 from stallbook.streaming import gold, ingest
@@ -313,3 +315,12 @@ def test_repeated_labels_take_the_last_entry(spark):
     known = spark.createDataFrame([("L", "one", "p", "o"), ("L", "two", "p", "o")], "disease_class string, treatment string, prevention string, organic string").coalesce(1)
     got = treatments.with_treatments(spark.createDataFrame([("L",)], "label string"), known).collect()
     assert [r.treatment for r in got] == ["two"]
+
+
+def test_a_partitioned_target_has_few_files(spark, tmp_path):
+    inbox, out = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.range(4000).selectExpr("id", "id % 2 AS month").repartition(4).write.parquet(inbox)
+    stream = ingest.file_stream(spark, inbox, spark.read.parquet(inbox).schema, "parquet")
+    ingest.drain(stream, str(tmp_path / "offsets"), path=out, partition_by=["month"])
+    assert spark.read.parquet(out).count() == 4000
+    assert len(list((tmp_path / "out").glob("month=*/*.parquet"))) == 2
