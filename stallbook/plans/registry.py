@@ -816,13 +816,18 @@ def _numbered_changes(versions: list[DataFrame], number: int) -> DataFrame:
     return found.withColumn("sequence", F.lit(number))
 
 
+#: Bytes of a silver row as it is shuffled.
+SILVER_BYTES = 128
+
+
 @_query
 def bucketed_enriched(spark, folder):
     """Indicators over a silver table in buckets of its series: no exchange below the windows."""
     path = scratch_path(spark, "silver")
     name = "silver_" + path[-12:]
     rows = price_plan.silver(price_observations(spark, folder))
-    layout.write_bucketed(rows, name, windows.SERIES, windows.ORDER, 8, path)
+    buckets = layout.buckets_for(table(spark, folder, "lineitem").count() * SILVER_BYTES, 8)
+    layout.write_bucketed(rows, name, windows.SERIES, windows.ORDER, buckets, path)
     clean = quality.dedupe(spark.table(name), [*windows.SERIES, "arrival_date", "variety"])
     enriched = windows.with_indicators(clean)
     if layout.exchanges(enriched):

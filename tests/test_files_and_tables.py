@@ -324,3 +324,13 @@ def test_a_partitioned_target_has_few_files(spark, tmp_path):
     ingest.drain(stream, str(tmp_path / "offsets"), path=out, partition_by=["month"])
     assert spark.read.parquet(out).count() == 4000
     assert len(list((tmp_path / "out").glob("month=*/*.parquet"))) == 2
+
+
+def test_buckets_follow_the_rows(spark, data, monkeypatch):
+    asked = []
+    write = layout.write_bucketed
+    monkeypatch.setattr(layout, "write_bucketed", lambda *a, **k: asked.append(a[4]) or write(*a, **k))
+    registry.QUERIES["bucketed_enriched"](spark, data)
+    monkeypatch.setattr(registry, "SILVER_BYTES", 700_000)
+    registry.QUERIES["bucketed_enriched"](spark, data)
+    assert asked[0] == 8 and asked[1] == 16
