@@ -39,6 +39,9 @@ from stallbook.streaming import gold, gold_states, ingest, metrics
 from stallbook.streaming.silver import dedupe_stream, drain_unique, silver_stream
 from stallbook.streaming.survivors import drain_survivors, read_survivors
 
+#: Rows of a table that are written to one file, where files are made to be read again.
+FILE_ROWS = 1_000_000
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -306,8 +309,9 @@ def price_files_remembered(spark, folder):
     """Files read with the schema that was inferred from earlier ones."""
     first, later, memory = (scratch_path(spark, x) for x in ("json", "json", "schema"))
     rows = _raw_price_rows(spark, folder)
-    rows.filter("Grade = 'F'").drop("Variety").write.json(first)
-    rows.write.json(later)
+    for some, path in ((rows.filter("Grade = 'F'").drop("Variety"), first), (rows, later)):
+        # headers in every line: packed, a few files for each task, since each is read by one
+        some.write.option("compression", "lz4").option("maxRecordsPerFile", FILE_ROWS).json(path)
     files.remembered_schema(spark, first, memory, multi_line=False)
     schema = files.remembered_schema(spark, later, memory, multi_line=False)
     raw = files.read_json(spark, later, schema, multi_line=False)
