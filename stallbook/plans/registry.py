@@ -1053,11 +1053,22 @@ def stream_gold(spark, folder):
     return spark.read.parquet(gold_path)
 
 
-def _dropping_box(spark: SparkSession, rows: DataFrame) -> str:
-    """Rows dealt over six files, as a stream finds them one after the other."""
-    inbox = scratch_path(spark, "inbox")
-    rows.repartition(6).write.parquet(inbox)
-    return inbox
+def _files_of_a_drop(spark: SparkSession, folder: str, source: str, drops: int) -> int:
+    """Files that one of ``drops`` parts of a table's rows is dealt over: one, for small tables."""
+    return max(1, -(-table(spark, folder, source).count() // (drops * FILE_ROWS)))
+
+
+def _dropping_box(spark: SparkSession, folder: str, rows: DataFrame, source: str = "lineitem") -> tuple[str, int]:
+    """Rows dealt over six drops, as a stream finds them one after the other, and the files of a drop."""
+    inbox, files_each = scratch_path(spark, "inbox"), _files_of_a_drop(spark, folder, source, 6)
+    rows.repartition(6 * files_each).write.parquet(inbox)
+    return inbox, files_each
+
+
+def _some_twice(rows: DataFrame, which: str) -> DataFrame:
+    """All rows, and those of a condition once more; the rows are computed once."""
+    copies = F.when(F.expr(which), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return rows.withColumn("_copy", F.explode(copies)).drop("_copy")
 
 
 def _with_null_varieties(spark: SparkSession, folder: str) -> DataFrame:
@@ -1068,8 +1079,8 @@ def _with_null_varieties(spark: SparkSession, folder: str) -> DataFrame:
 def stream_unique_batches(spark, folder):
     """Several batches, a third of the rows twice, some keys with a null."""
     rows = price_plan.silver(_with_null_varieties(spark, folder), deduplicate=True)
-    inbox = _dropping_box(spark, rows.union(rows.filter("grade = 'F'")))
-    arriving = ingest.file_stream(spark, inbox, rows.schema, file_format="parquet", max_files=2)
+    inbox, each = _dropping_box(spark, folder, _some_twice(rows, "grade = 'F'"))
+    arriving = ingest.file_stream(spark, inbox, rows.schema, file_format="parquet", max_files=2 * each)
     out = scratch_path(spark, "unique")
     drain_unique(arriving, out, scratch_path(spark, "offsets"))
     return spark.read.schema(rows.schema).parquet(out).select(*rows.columns)
@@ -1079,9 +1090,9 @@ def stream_unique_batches(spark, folder):
 def stream_gold_batches(spark, folder):
     """Silver and gold tables that each grow over several batches."""
     rows = price_plan.silver(price_observations(spark, folder))
-    inbox = _dropping_box(spark, rows)
+    inbox, each = _dropping_box(spark, folder, rows)
     silver_path, gold_path = scratch_path(spark, "silver"), scratch_path(spark, "gold")
-    arriving = ingest.file_stream(spark, inbox, rows.schema, file_format="parquet", max_files=2)
+    arriving = ingest.file_stream(spark, inbox, rows.schema, file_format="parquet", max_files=2 * each)
     ingest.drain(arriving, scratch_path(spark, "offsets"), path=silver_path, partition_by=gold.MONTH)
     follow = ingest.file_stream(spark, silver_path, rows.schema, file_format="parquet", max_files=40)
     gold.drain_gold(spark, follow, silver_path, gold_path, scratch_path(spark, "offsets"))
@@ -1090,12 +1101,15 @@ def stream_gold_batches(spark, folder):
 
 @_query
 def stream_unique_empty_first(spark, folder):
-    """The first file has no valid row."""
+    """The first drop has no valid row."""
     rows = price_plan.silver(price_observations(spark, folder), deduplicate=True)
     inbox = scratch_path(spark, "inbox")
-    rows.limit(1).withColumn("modal_price", F.lit(0.0)).coalesce(1).write.parquet(inbox)
-    rows.repartition(3).write.mode("append").parquet(inbox)
-    arriving = ingest.file_stream(spark, inbox, rows.schema, file_format="parquet", max_files=1)
+    each = _files_of_a_drop(spark, folder, "lineitem", 3)
+    bad = settle(rows.limit(1).withColumn("modal_price", F.lit(0.0)).coalesce(1), "bad")
+    for _ in range(each):  # so that the first drop has no other file
+        bad.write.mode("append").parquet(inbox)
+    rows.repartition(3 * each).write.mode("append").parquet(inbox)
+    arriving = ingest.file_stream(spark, inbox, rows.schema, file_format="parquet", max_files=each)
     out = scratch_path(spark, "unique")
     drain_unique(quality.valid_prices(arriving), out, scratch_path(spark, "offsets"))
     return spark.read.schema(rows.schema).parquet(out).select(*rows.columns)
@@ -1105,8 +1119,8 @@ def stream_unique_empty_first(spark, folder):
 def stream_gold_states(spark, folder):
     """Gold kept as states: every batch adds its own, and every third merges them."""
     rows = price_plan.silver(price_observations(spark, folder))
-    inbox = _dropping_box(spark, rows)
-    arriving = ingest.file_stream(spark, inbox, rows.schema, file_format="parquet", max_files=1)
+    inbox, each = _dropping_box(spark, folder, rows)
+    arriving = ingest.file_stream(spark, inbox, rows.schema, file_format="parquet", max_files=each)
     path = scratch_path(spark, "states")
     gold_states.drain_states(arriving, path, scratch_path(spark, "offsets"), compact_every=3)
     return gold_states.read_gold(spark, path)
@@ -1116,8 +1130,8 @@ def stream_gold_states(spark, folder):
 def stream_survivors(spark, folder):
     """Of every identity the row of the smallest id, in whatever batch it comes."""
     rows = price_plan.silver(_with_null_varieties(spark, folder))
-    inbox = _dropping_box(spark, rows.union(rows.filter("grade = 'F'")))
-    arriving = ingest.file_stream(spark, inbox, rows.schema, file_format="parquet", max_files=2)
+    inbox, each = _dropping_box(spark, folder, _some_twice(rows, "grade = 'F'"))
+    arriving = ingest.file_stream(spark, inbox, rows.schema, file_format="parquet", max_files=2 * each)
     out = scratch_path(spark, "survivors")
     drain_survivors(arriving, out, scratch_path(spark, "offsets"))
     return read_survivors(spark, out, rows.schema)
@@ -1127,8 +1141,8 @@ def stream_survivors(spark, folder):
 def stream_rule_counts(spark, folder):
     """The rules' counts as a stream's batches gave them, added up."""
     rows = _odd_prices(spark, folder)
-    inbox = _dropping_box(spark, rows)
-    arriving = ingest.file_stream(spark, inbox, rows.schema, file_format="parquet", max_files=2)
+    inbox, each = _dropping_box(spark, folder, rows)
+    arriving = ingest.file_stream(spark, inbox, rows.schema, file_format="parquet", max_files=2 * each)
     path, out = scratch_path(spark, "metrics"), scratch_path(spark, "valid")
     listener = metrics.RuleMetrics(spark, path)
     spark.streams.addListener(listener)
@@ -1166,8 +1180,8 @@ def valid_rows_observed(spark, folder):
 def stream_dedupe_events(spark, folder):
     """Events that come twice, in other files, within the delay."""
     events = table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    inbox = _dropping_box(spark, events.union(events.filter("event_type = 'click'")))
-    arriving = ingest.file_stream(spark, inbox, events.schema, file_format="parquet", max_files=2)
+    inbox, each = _dropping_box(spark, folder, _some_twice(events, "event_type = 'click'"), "events")
+    arriving = ingest.file_stream(spark, inbox, events.schema, file_format="parquet", max_files=2 * each)
     rows = dedupe_stream(arriving, ["event_id"], day="ts", delay="60 days")
     out = scratch_path(spark, "events")
     ingest.drain(rows, scratch_path(spark, "offsets"), path=out)

@@ -326,6 +326,18 @@ def test_a_partitioned_target_has_few_files(spark, tmp_path):
     assert len(list((tmp_path / "out").glob("month=*/*.parquet"))) == 2
 
 
+def test_drops_of_an_inbox_have_more_files_for_more_rows(spark, tmp_path, monkeypatch):
+    spark.range(100).write.parquet(str(tmp_path / "lineitem.parquet"))
+    rows = spark.range(100).selectExpr("id", "if(id % 2 = 0, 'F', null) AS grade")
+    folder = str(tmp_path)
+    assert registry._dropping_box(spark, folder, rows)[1] == 1
+    monkeypatch.setattr(registry, "FILE_ROWS", 5)
+    inbox, each = registry._dropping_box(spark, folder, registry._some_twice(rows, "grade = 'F'"))
+    assert each == 4
+    found = spark.read.parquet(inbox)
+    assert len(found.inputFiles()) == 24 and found.count() == 150 and found.distinct().count() == 100
+
+
 def test_buckets_follow_the_rows(spark, data, monkeypatch):
     asked = []
     write = layout.write_bucketed
