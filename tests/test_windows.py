@@ -1,5 +1,6 @@
 import random
 import statistics
+from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -130,3 +131,20 @@ def test_lagged_averages_exclude_the_current_row(price_frame):
     prices = price_frame([{"price": p} for p in (10.0, 20.0, 30.0)])
     got = {r.price_id: r.lagged_avg_7d for r in windows.with_lagged_averages(prices).collect()}
     assert got == {"p00000": None, "p00001": 10.0, "p00002": 15.0}
+
+
+def test_indicators_are_computed_in_steps_of_their_own(price_frame):
+    text = plan_of(windows.with_indicators(observations(price_frame), rows_per_piece=None))
+    # change and volatility, running sums, means: in one step the method is too long to be compiled
+    assert text.count("Window [") == 3
+
+
+def test_means_of_frames_with_and_without_prices_that_are_not_plain(price_frame):
+    prices = [10.0, 2e9, 20.0, 0.12345678, -2e9, *[float(i) for i in range(40)], 3e8]
+    frame = price_frame([{"price": p} for p in prices])
+    got = {r.price_id: r for r in windows.with_indicators(frame, rows_per_piece=None).collect()}
+    for i in range(len(prices)):
+        r = got[f"p{i:05d}"]
+        for mean, rows in ((r.moving_avg_7d, 7), (r.moving_avg_30d, 30)):
+            some = [Decimal(repr(p)) for p in prices[max(0, i + 1 - rows): i + 1]]
+            assert mean == float((sum(some) / len(some)).quantize(Decimal("0.01"), ROUND_HALF_UP))
