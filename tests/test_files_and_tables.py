@@ -346,3 +346,15 @@ def test_buckets_follow_the_rows(spark, data, monkeypatch):
     monkeypatch.setattr(registry, "SILVER_BYTES", 700_000)
     registry.QUERIES["bucketed_enriched"](spark, data)
     assert asked[0] == 8 and asked[1] == 16
+
+
+def test_lines_of_price_files_are_packed_and_parsed_once(spark, data, monkeypatch):
+    written = []
+    monkeypatch.setattr(registry, "settle", lambda df, name: written.append(name) or settle(df, name))
+    monkeypatch.setattr(registry, "scratch_path", lambda s, name: written.append(scratch_path(s, name)) or written[-1])
+    registry.price_files_rescued(spark, data)
+    assert written[1:] == ["read_lines"]
+    registry.stream_ingest_by_name(spark, data)
+    for path in (written[0], written[2]):
+        found = {r[0] for r in spark.read.text(path).select("_metadata.file_path").distinct().collect()}
+        assert any(f.endswith(".lz4") for f in found)
