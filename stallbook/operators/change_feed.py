@@ -13,8 +13,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stallbook.operators.keys import match_keys
-
 DELETE = "delete"
 
 
@@ -60,15 +58,21 @@ def apply_changes(
     """The history with a batch of changes in their places.
 
     Batches may come in any order and more than once: a change that is there already
-    (equal key and number) takes the batch's values.  Null keys are keys.
+    (equal key and number) takes the batch's values.  Null keys are keys.  Intervals of
+    keys that are not in the batch stay as they are.
     """
     events = change_events(changes, keys, sequence, kind)
     columns = [*events.columns]
-    touched = events.select(*keys).distinct()
-    untouched = match_keys(history, touched, keys, "left_anti")
-    known = match_keys(history, touched, keys, "left_semi").select(*columns)
-    known = match_keys(known, events.select(*keys, "valid_from"), [*keys, "valid_from"], "left_anti")
-    return untouched.select(*columns, "valid_to").union(_intervals(known.union(events), keys))
+    old = history.select(*columns, "valid_to", F.lit(False).alias("_new"))
+    both = old.union(events.select(*columns, F.lit(None).cast(history.schema["valid_to"].dataType).alias("valid_to"), F.lit(True).alias("_new")))
+    # one exchange and one sort of the history serve all three
+    of_key = Window.partitionBy(*keys).orderBy("valid_from")
+    whole = of_key.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    same_place = of_key.rangeBetween(Window.currentRow, Window.currentRow)
+    marked = both.withColumns({"_touched": F.max("_new").over(whole), "_replaced": F.max("_new").over(same_place)})
+    left = marked.filter(F.col("_new") | ~F.col("_replaced"))
+    until = F.when(F.col("_touched"), F.lead("valid_from").over(of_key)).otherwise(F.col("valid_to"))
+    return left.withColumn("valid_to", until).select(*columns, "valid_to")
 
 
 def version(history: DataFrame, at: object | None = None) -> DataFrame:

@@ -334,3 +334,22 @@ def test_stump_finds_the_best_split(spark):
     assert [r.feature for r in got] == ["a", "a"] and got[0].threshold == 2.5
     below = [1.0 + b / 100 for a, b in rows if a <= 2]
     assert got[1].rows == len(below) and got[1].prediction == pytest.approx(sum(below) / len(below), abs=1e-3)
+
+
+def test_a_batch_of_changes_reads_and_exchanges_a_history_once(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c"), (None, "c")], "k long, v string")
+    history = change_feed.new_history(rows, ["k"], 0)
+    # an interval that its key's other rows do not give stays as it is while the key is not touched
+    history = history.withColumn("valid_to", F.when(F.col("k") == 2, 7).otherwise(F.col("valid_to")))
+    batch = spark.createDataFrame([(1, "x", 3, "update"), (1, "y", 0, "update"), (3, "z", 1, "insert")], "k long, v string, n int, change string")
+    stored = [scratch_path(spark, "stored") for _ in range(2)]
+    for frame, path in ((history, stored[0]), (batch, stored[1])):
+        frame.write.parquet(path)
+    old, new = (spark.read.parquet(path) for path in stored)
+    after = change_feed.apply_changes(old, new, ["k"], "n")
+    plan = after._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(k") == 2  # the history with the events, and the batch's own
+    got = sorted(map(str, (tuple(r) for r in after.select("k", "v", "valid_from", "valid_to", "deleted").collect() if r.k is not None)))
+    assert got == ["(1, 'x', 3, None, False)", "(1, 'y', 0, 3, False)", "(2, 'b', 0, 7, False)", "(3, 'z', 1, None, False)"]
+    lone = [r for r in after.collect() if r.k is None]
+    assert [r.v for r in lone] == ["c", "c"] and {r.valid_to for r in lone} == {0, None}
