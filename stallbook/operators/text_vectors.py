@@ -46,7 +46,11 @@ def term_weights(
     digits = F.substring(F.md5(F.col("term")), 1, 8)
     place = (F.conv(digits, 16, 10).cast("bigint") % dimensions).cast("int")
     counts = (
-        known.select(key, F.explode(terms).alias("term"))
+        # texts go by key before they are counted: a task holds the places of its partition of
+        # them, not of a whole file, and the counts need no other exchange
+        known.select(key, text)
+        .repartition(key)
+        .select(key, F.explode(terms).alias("term"))
         .groupBy(key, place.alias("place"))
         .agg(F.count(F.lit(1)).alias("times"))
     )

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from stallbook.functions import texts
 from stallbook.operators import chunks, intents, matching, retrieval, treatments, vectors
+from stallbook.operators import text_vectors
 from stallbook.operators.text_vectors import fit_text_vectors, with_text_vectors
 from stallbook.plans import advice
 
@@ -307,3 +308,19 @@ def test_text_vectors_follow_tf_idf(spark):
 
     for i, words in ((0, ["rice", "rice", "wheat"]), (1, ["wheat", "rust"]), (2, ["rust", "in", "wheat"])):
         assert sorted(round(float(x), 4) for x in rows[i] if x) == weights(words)
+
+
+def test_terms_are_counted_by_partitions_of_keys(spark, monkeypatch):
+    """One file of many texts is one task's input; its terms must not be one task's table."""
+    plans = []
+
+    def look(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return df
+
+    monkeypatch.setattr(text_vectors, "settle", look)
+    texts_ = spark.createDataFrame([(1, "a b"), (1, "a"), (None, "b b"), (2, None)], "chunk_id long, text string")
+    got = {(r.chunk_id, r.weight) for r in text_vectors.term_weights(texts_).collect()}
+    assert {k for k, _ in got} <= {1, None}
+    counted = dict(plans)["term_counts"]
+    assert counted.count("Exchange") == 1 and counted.index("HashAggregate") < counted.index("Exchange") < counted.index("Scan")
