@@ -11,7 +11,8 @@ nothing is shuffled and a lost task packs the same rows again.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_left, insort
+from collections.abc import Generator, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +59,9 @@ class Sequences:
                 size = self._head(tokens[i], loss[i], max_tokens, max_loss)
                 yield from self._closed([(int(i), int(start[i]), size)], size)
                 self._take(i, size, start, tokens, loss)
+        if max_loss == max_tokens and np.array_equal(tokens, loss):
+            yield from self._longest_first(tokens, start)
+            return
         tokens[tokens == 0] = _GONE
         left = int((tokens < _GONE).sum())
         while left:
@@ -85,6 +89,34 @@ class Sequences:
                     room -= size
             yield from self._closed(held, max_tokens - room)
 
+    def _longest_first(self, tokens: np.ndarray, start: np.ndarray) -> Iterator[list[tuple[int, int, int]]]:
+        """The same where every token bears loss: the largest dot product is that of the longest
+        piece that fits, of equal ones the first, so a sorted list finds it."""
+        max_tokens, max_segments, _ = self.limits
+        begins = start.tolist()
+        waiting = sorted((n, -i) for i, n in enumerate(tokens.tolist()) if n)
+        held_back = {-i: n for n, i in waiting}
+        first = 0
+        while waiting:
+            room, segments = max_tokens, max_segments
+            held: list[tuple[int, int, int]] = []
+            while segments and room and (at := bisect_left(waiting, (room + 1, -len(tokens)))):
+                size, i = waiting.pop(at - 1)
+                del held_back[-i]
+                held.append((-i, begins[-i], size))
+                room, segments = room - size, segments - 1
+            if waiting and room > self.slack and segments:
+                # nothing fits whole: the first piece is cut
+                while first not in held_back:
+                    first += 1
+                waiting.pop(bisect_left(waiting, (held_back[first], -first)))
+                held.append((first, begins[first], room))
+                begins[first] += room
+                held_back[first] -= room
+                insort(waiting, (held_back[first], -first))
+                room = 0
+            yield from self._closed(held, max_tokens - room)
+
     @staticmethod
     def _head(tokens: int, loss: int, room: int, loss_room: int) -> int:
         """The longest head that fits; the loss-bearing tokens are the last."""
@@ -139,7 +171,7 @@ def pack(
     path = tokenizer or tokenizer_path()
     rule = Sequences(max_tokens, max_segments, max_loss or max_tokens, slack)
 
-    def window(first: int, held: list) -> tuple[int, Iterator[pa.RecordBatch]]:
+    def window(first: int, held: list) -> Generator[pa.RecordBatch, None, int]:
         lengths = np.array([len(ids) for _, ids, _ in held])
         tails = np.array([len(ids) if t is None else min(max(t, 0), len(ids)) for _, ids, t in held])
         rows: list[tuple] = []
@@ -152,7 +184,12 @@ def pack(
                 rows.append((doc, start, length, ids[start : start + length].tobytes(), len(ids), bears, sequence, offset))
                 offset += length
             sequence += 1
-        return sequence, (as_batch(rows[k : k + 1024]) for k in range(0, len(rows), 1024))
+            if len(rows) >= 1024:
+                yield as_batch(rows)
+                rows = []
+        if rows:
+            yield as_batch(rows)
+        return sequence
 
     def as_batch(rows: list[tuple]) -> pa.RecordBatch:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * 4]
@@ -172,11 +209,10 @@ def pack(
                 held.append((doc.as_py(), ids, tail.as_py()))
                 size += len(ids)
                 if len(held) >= WINDOW or size >= WINDOW * max_tokens:
-                    sequence, out = window(sequence, held)
-                    yield from out
+                    sequence = yield from window(sequence, held)
                     held, size = [], 0
         if held:
-            yield from window(sequence, held)[1]
+            yield from window(sequence, held)
 
     tail = F.col(f"`{loss_column}`").cast("long") if loss_column else F.lit(None).cast("long")
     source = documents.select(
