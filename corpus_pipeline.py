@@ -14,6 +14,11 @@ from stallbook.llm.common import table
 from stallbook.session import settle
 
 
+#: Of words that a worker of the last stage remembers: the stages before leave the executors'
+#: JVMs grown, so there is less room beside them than where packing runs alone.
+WORD_BYTES = 32 << 20
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter go, and those whose language stays in doubt."""
     return language.in_known_language(docs, language.fit(language.labelled_rows(docs)))
@@ -36,7 +41,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents and their places in sequences."""
-    return packing.digest(packing.pack(docs))
+    return packing.digest(packing.pack(docs, memory=WORD_BYTES))
 
 
 STAGES = [

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallbook.llm.common import ship_package, table, text_or_empty, uniform
+from stallbook.llm.common import lean, ship_package, table, text_or_empty, uniform
 
 BUCKETS = 1 << 15
 #: Labelled rows of each language that the model is fitted on, on average.
@@ -151,7 +151,7 @@ def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS, seed: int = 5) -> Mod
 
     counted = (
         sample.select("text", "lang")
-        .mapInArrow(count, "lang string, bucket int, n long")
+        .mapInArrow(lean(count), "lang string, bucket int, n long")
         .groupBy("lang", "bucket")
         .agg(F.sum("n").alias("n"))
         .toArrow()
@@ -215,7 +215,7 @@ def in_known_language(documents: DataFrame, model: Model, least: float = LEAST_S
             names, score = own.predict([t or "" for t in batch.column(at).to_pylist()])
             yield batch.filter(pa.array((np.array(names) != UNKNOWN) & (score >= least), pa.bool_()))
 
-    return documents.mapInArrow(keep, documents.schema)
+    return documents.mapInArrow(lean(keep), documents.schema)
 
 
 def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallbook.llm.common import ship_package, table, text_or_empty
+from stallbook.llm.common import lean, ship_package, table, text_or_empty
 from stallbook.llm.components import components
 from stallbook.session import settle
 
@@ -133,7 +133,7 @@ def named_sets(documents: DataFrame, size: int = WORDS) -> DataFrame:
                 [batch.column("doc_id"), batch.column("text_hash"), *columns], names=["doc_id", "text_hash", "name", "n"]
             )
 
-    return texts_of(documents).mapInArrow(name, "doc_id long, text_hash long, name long, n long")
+    return texts_of(documents).mapInArrow(lean(name), "doc_id long, text_hash long, name long, n long")
 
 
 def texts_of(documents: DataFrame) -> DataFrame:
@@ -243,8 +243,8 @@ def shared_signatures(documents: DataFrame, buckets: int, partitions: int, size:
             many = np.repeat(times > 1, times)
             yield from rows((bucket << 32) | short[many].astype(np.int64), name[many])
 
-    packed = texts_of(documents).select("text").mapInArrow(sign, "bucket int, signs binary, names binary")
-    return packed.repartition(partitions, "bucket").mapInArrow(meet, "sign long, name long, need long")
+    packed = texts_of(documents).select("text").mapInArrow(lean(sign), "bucket int, signs binary, names binary")
+    return packed.repartition(partitions, "bucket").mapInArrow(lean(meet), "sign long, name long, need long")
 
 
 def filter_of(names: DataFrame, column: str) -> tuple[np.ndarray, int]:
@@ -290,7 +290,7 @@ def sets_of(documents: DataFrame, names: DataFrame, size: int) -> DataFrame:
                     [pa.array(found, pa.int64()), pa.array(features, pa.list_(pa.int64()))], names=["name", "features"]
                 )
 
-    found = texts_of(documents).select("text").mapInArrow(find, "name long, features array<long>")
+    found = texts_of(documents).select("text").mapInArrow(lean(find), "name long, features array<long>")
     wanted = found.join(names, "name", "left_semi")
     return wanted.dropDuplicates(["name"])
 
@@ -400,7 +400,7 @@ def pairs_across(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     [pa.array(np.concatenate(c), pa.int64()) for c in columns], names=["name", "root", "n", "at", "feature"]
                 )
 
-    rows = settle(ours.mapInArrow(first_features, "name long, root long, n long, at long, feature long"), "first_features")
+    rows = settle(ours.mapInArrow(lean(first_features), "name long, root long, n long, at long, feature long"), "first_features")
     top = rows.groupBy("feature", "root").agg(F.count("*").alias("m")).groupBy("feature").agg(
         F.max(F.struct("m", "root")).getField("root").alias("top"), F.min("root").alias("low"), F.max("root").alias("high")
     )

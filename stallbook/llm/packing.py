@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallbook.llm.common import pick, ship_package, table, text_or_empty
+from stallbook.llm.common import lean, pick, ship_package, table, text_or_empty
 from stallbook.llm.tokens import BATCH_BYTES, WordIds, tokenizer_path, words_of
 
 MAX_TOKENS = 2048
@@ -153,6 +153,7 @@ def pack(
     max_loss: int | None = None,
     loss_column: str | None = None,
     slack: int = SLACK,
+    memory: int | None = None,
 ) -> DataFrame:
     """Pieces of all documents (``doc_id``, ``text``) and their places.
 
@@ -163,6 +164,9 @@ def pack(
     leaves at most ``slack`` of its tokens empty, or its length is a power of two;
     what would be a shorter last sequence is dealt into such ones.
 
+    ``memory`` bounds the bytes of words that a worker remembers (``tokens.CACHE_BYTES``);
+    fewer take more time and give the same pieces.
+
     Rows may repeat or have a null ``doc_id``: each is packed by itself.  Ties go
     to the row that was read first.  Further columns are ignored; an empty table
     gives no pieces.
@@ -198,7 +202,7 @@ def pack(
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = words_of(path, False)
+        words = words_of(path, False, memory)
         sequence = TaskContext.get().partitionId() << 33
         held: list[tuple] = []
         size = 0
@@ -218,7 +222,7 @@ def pack(
     source = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), tail.alias("tail")
     )
-    return source.mapInArrow(run, PIECES)
+    return source.mapInArrow(lean(run), PIECES)
 
 
 def _ids(words: WordIds, texts: pa.StringArray) -> Iterator[np.ndarray]:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallbook.llm.common import ship_package, table, text_or_empty, uniform
+from stallbook.llm.common import lean, ship_package, table, text_or_empty, uniform
 
 #: Labelled rows that the trees are grown on, on average.
 TRAIN_ROWS = 20_000
@@ -226,7 +226,7 @@ def learn(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS,
 
     schema = "doc_id long, quality int, " + ", ".join(f"{f} double" for f in FEATURES)
     # the size of the drawn labels is bounded above, so they are broadcast
-    found = texts.join(F.broadcast(drawn), "doc_id").select("doc_id", "quality", "text").mapInArrow(measure, schema).toArrow().to_pandas()
+    found = texts.join(F.broadcast(drawn), "doc_id").select("doc_id", "quality", "text").mapInArrow(lean(measure), schema).toArrow().to_pandas()
     found = found.sort_values(["doc_id", "quality", *FEATURES], kind="stable")
     return grow(found[list(FEATURES)].to_numpy(float), found["quality"].to_numpy(float))
 
@@ -272,7 +272,7 @@ def good_documents(documents: DataFrame, trees: Trees) -> DataFrame:
             kept = verdicts([t or "" for t in batch.column(at).to_pylist()], trees)[-1]
             yield batch.filter(pa.array(kept, pa.bool_()))
 
-    return documents.mapInArrow(keep, documents.schema)
+    return documents.mapInArrow(lean(keep), documents.schema)
 
 
 def op2_boosted_quality(spark: SparkSession, folder: str) -> DataFrame:

@@ -82,7 +82,7 @@ class _Numbers(dict):
 class WordIds:
     """Ids (little-endian unsigned 32 bits) or numbers of ids of texts and their words."""
 
-    def __init__(self, path: str, lengths: bool = False):
+    def __init__(self, path: str, lengths: bool = False, memory: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -91,7 +91,7 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.lengths = lengths
+        self.lengths, self.memory = lengths, memory or CACHE_BYTES
         self.plain = cuts_at_spaces(file)
         #: ASCII capitals may be lowered first, if no special string can begin in the text.
         self.lowers = self.plain and any(n["type"] == "Lowercase" for n in _parts(file["normalizer"], "normalizers"))
@@ -135,7 +135,7 @@ class WordIds:
             return [[v] for v in self.encoded(texts)]
         own = [self.words(t) for t in texts]
         # as if every word were new; so a batch's words are known together
-        if self.held and self.held + sum(map(len, texts)) + ENTRY_BYTES * sum(map(len, own)) > CACHE_BYTES:
+        if self.held and self.held + sum(map(len, texts)) + ENTRY_BYTES * sum(map(len, own)) > self.memory:
             self.forget()
         found = [list(map(self.numbers.__getitem__, words)) for words in own]
         if new := self.numbers.new:
@@ -184,14 +184,14 @@ def byte_batches(texts: list[str], size: int = BATCH_BYTES, cut: bool = True) ->
         yield where, parts
 
 
-_workers: dict[tuple[str, bool], WordIds] = {}
+_workers: dict[tuple[str, bool, int | None], WordIds] = {}
 
 
-def words_of(path: str, lengths: bool) -> WordIds:
+def words_of(path: str, lengths: bool, memory: int | None = None) -> WordIds:
     """One per Python worker, kept from task to task."""
-    key = (path, lengths)
+    key = (path, lengths, memory)
     if key not in _workers:
-        _workers[key] = WordIds(path, lengths)
+        _workers[key] = WordIds(path, lengths, memory)
     return _workers[key]
 
 

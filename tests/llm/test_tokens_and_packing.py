@@ -152,3 +152,36 @@ def test_the_longest_fit_by_a_sorted_list_is_that_of_the_dot_product(monkeypatch
         with monkeypatch.context() as patched:
             patched.setattr(packing.np, "array_equal", lambda a, b: False)
             assert quick == list(rule.packed(lengths, lengths))
+
+
+def test_packing_remembers_no_more_words_than_told(spark, library):
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(2000))) for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    ids = {i: [*library.encode(t, add_special_tokens=False).ids, 1] for i, t in rows}
+    pieces = packing.pack(frame, memory=1 << 20).collect()
+    checked(pieces, ids, (2048, 256, 2048))
+    assert sorted(pieces) == sorted(packing.pack(frame).collect())
+    words = tokens.WordIds(tokens.tokenizer_path(), memory=1 << 20)
+    for _, text in rows:
+        words.ids_of([text])
+        assert words.held <= 1 << 20
+    assert tokens.WordIds(tokens.tokenizer_path()).memory == tokens.CACHE_BYTES
+
+
+def test_a_lean_function_gives_the_same_batches_and_ends_with_its_input():
+    from stallbook.llm.common import lean
+
+    ended = []
+
+    def run(batches):
+        try:
+            for b in batches:
+                yield b + 1
+        finally:
+            ended.append(True)
+
+    assert list(lean(run)(iter([1, 2]))) == [2, 3] and ended == [True]
+    left = lean(run)(iter([1, 2]))
+    assert next(left) == 2
+    left.close()
+    assert ended == [True, True]
