@@ -41,10 +41,12 @@ def price_states(prices: DataFrame) -> DataFrame:
 
 
 def merge_states(states: DataFrame) -> DataFrame:
-    """One state per group from any number of states of its disjoint parts."""
+    """One state per group from any number of states of its disjoint parts.
+
+    Most groups have few parts, so states are shuffled as they are and merged where they come."""
     sums = [F.sum(f"{p}_{part}").alias(f"{p}_{part}") for p in PRICES for part in ("n", "units", "rest", "wide")]
     pieces = F.collect_list(F.struct(F.col("modal_price_n").alias("n"), "mean", "moment"))
-    merged = states.groupBy(*MONTH_KEYS).agg(
+    merged = states.repartition(*MONTH_KEYS).groupBy(*MONTH_KEYS).agg(
         F.sum("rows").alias("rows"),
         F.bit_or("days").alias("days"),
         *sums,

@@ -29,13 +29,18 @@ def _folders(spark: SparkSession, path: str, name: str) -> dict[int, str]:
     return {int(re.sub(r"\D", "", f.getName().split("=")[1])): f.toString() for f in folders}
 
 
-def stored_states(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """The newest base and all later batches' states (those below ``before``), several per group."""
+def _current(spark: SparkSession, path: str, before: int | None = None) -> list[str]:
+    """The folders of the newest base and of all later batches (those below ``before``)."""
     bases = {n: f for n, f in _folders(spark, path, "base").items() if before is None or n < before}
     through = max(bases, default=-1)
     batches = {n: f for n, f in _folders(spark, path, "batch").items() if n > through and (before is None or n < before)}
     chosen = [bases[through]] if bases else []
-    chosen += [batches[n] for n in sorted(batches)]
+    return chosen + [batches[n] for n in sorted(batches)]
+
+
+def stored_states(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """The newest base and all later batches' states (those below ``before``), several per group."""
+    chosen = _current(spark, path, before)
     return spark.read.parquet(*chosen) if chosen else None
 
 
@@ -61,9 +66,11 @@ def drain_states(silver_stream: DataFrame, path: str, checkpoint: str, compact_e
 
 def read_gold(spark: SparkSession, path: str, **month: int) -> DataFrame:
     """Monthly analytics of all rows so far, of one month only if ``year`` and ``month`` are given."""
-    states = stored_states(spark, path)
-    if states is None:
+    folders = _current(spark, path)
+    if not folders:
         raise FileNotFoundError(f"no states in {path}")
+    states = spark.read.parquet(*folders)
     for column, value in month.items():
         states = states.filter(F.col(column) == value)
-    return finished(merge_states(states))
+    # one base or batch by itself has one state per group
+    return finished(merge_states(states) if len(folders) > 1 else states)

@@ -145,6 +145,21 @@ def test_states_of_parts_merge_to_the_state_of_all(spark, price_frame, tmp_path)
     assert price_states.finished(twice).count() == len(whole)
 
 
+def test_states_that_are_one_per_group_are_read_without_a_shuffle(spark, price_frame, tmp_path):
+    prices = price_plan.silver(price_frame([{"market": f"M{i % 3}", "day": 9 * i, "price": 2.5 * i + 1} for i in range(30)]))
+    path = str(tmp_path / "states")
+    for number in range(2):
+        gold_states.add_batch(prices, number, path, compact_every=2)
+    base = gold_states.read_gold(spark, path)
+    assert "Exchange" not in base._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in base.collect()} == {tuple(r) for r in summaries.monthly_analytics(prices.union(prices)).collect()}
+    # a later batch has states of its own for the same groups
+    gold_states.add_batch(prices, 2, path, compact_every=2)
+    assert {tuple(r) for r in gold_states.read_gold(spark, path).collect()} == {
+        tuple(r) for r in summaries.monthly_analytics(prices.union(prices).union(prices)).collect()
+    }
+
+
 # ---- change rows ------------------------------------------------------------------
 
 
