@@ -54,3 +54,10 @@ def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, pa.Rec
         for first, last in zip([0, *edges], [*edges, len(number)]):
             if last > first:
                 yield int(number[first]), bool(side[first]), batch.slice(first, last - first)
+
+
+def parts_of(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most so many rows."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)

@@ -7,8 +7,11 @@ table of vectors partitioned by cell, and a small one of the cells with their ex
 widest angles.  It is built once and read for every search.
 
 A search first visits each query's nearest cells, which gives a k-th score, then all
-other cells that could still hold that score or better.  Both visits send queries to
-cells by a shuffle; a cell that holds very many vectors is visited in strips.
+other cells that could still hold that score or better.  Both visits send queries by a
+shuffle: the first one to cells, the second one to groups of cells, in which the task
+itself passes over the cells that cannot hold such a score.  So a query travels once for
+a group, not for a cell, however many cells it visits.  What holds very many vectors is
+visited in strips, and queries in blocks.
 """
 
 from __future__ import annotations
@@ -22,8 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from stallbook.operators.blocks import cells
-from stallbook.operators.vectors import DIGITS, DOUBT, _Best, _matrix, found_rows, whole_vectors
+from stallbook.operators.blocks import CELLS_PER_SLOT, cells, parts_of
+from stallbook.operators.vectors import BLOCK_BYTES, DIGITS, DOUBT, LEAST_ROWS, _Best, _matrix, found_rows, whole_vectors
 from stallbook.session import settle, ship_package
 
 #: Vectors, on average, that the centres are fitted on; the cells hold every vector.
@@ -33,8 +36,12 @@ CELL_ROWS, MOST_CELLS = 256, 4096
 ROUNDS = 8
 #: Cells that a query visits first.
 FIRST_CELLS = 4
-#: Vectors of a cell that one task reads for a block of its queries, and queries of such a block.
+#: Vectors of a cell or a group that one task reads for a block of its queries, and queries of such a block.
 STRIP_ROWS, BLOCK_ROWS = 1 << 18, 1 << 14
+#: Places of tasks for each pair of a block and a strip of a group.
+PLACES = 3
+#: Queries whose angles to all centres, and vectors, whose cosines with all centres, are held at once.
+BOUND_ROWS, ASSIGN_ROWS = 256, 1024
 #: Vectors of length zero have no angle; they lie in a cell of their own.
 NO_ANGLE = -1
 
@@ -77,9 +84,7 @@ def build_index(vectors: DataFrame, path: str, vector_id: str = "vector_id", emb
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in parts_of(batches, ASSIGN_ROWS):
             unit = _matrix(batch.column("embedding"))
             cell, angle = np.full(len(unit), NO_ANGLE), np.zeros(len(unit))
             flat = np.flatnonzero((unit * unit).sum(axis=1) > 0)
@@ -107,88 +112,153 @@ def angles(cosines: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(cosines, -1.0, 1.0))
 
 
-def _visits(queries: DataFrame, cells_of: pa.Table, first: bool, schema: str) -> DataFrame:
-    """``query_id``, ``query``, ``cell``: the cells that each query visits.
+class _Cells:
+    """The index's cells by number, as tasks hold them (``MOST_CELLS`` and one at most)."""
 
-    On the first visit the nearest ones; then all others in which the angle allows a
-    score of at least ``least``, the k-th score so far (null: any).
-    """
-    order = np.argsort(cells_of["cell"].to_numpy())
-    number, reach = cells_of["cell"].to_numpy()[order], cells_of["angle"].to_numpy()[order]
-    centres = [cells_of["centre"][int(i)].as_py() for i in order]
-    angled = np.array([c is not None for c in centres], dtype=bool)
-    middle = np.array([c for c in centres if c is not None])
-    shared = queries.sparkSession.sparkContext.broadcast((number, reach, angled, middle))
+    def __init__(self, table: pa.Table):
+        order = np.argsort(table["cell"].to_numpy())
+        self.number, self.reach, self.rows = (table[c].to_numpy()[order] for c in ("cell", "angle", "rows"))
+        centres = [table["centre"][int(i)].as_py() for i in order]
+        self.angled = np.array([c is not None for c in centres], dtype=bool)
+        self.middle = np.array([c for c in centres if c is not None])
+        self.place = {int(n): i for i, n in enumerate(self.number)}
+        self.row = np.cumsum(self.angled) - 1  # of the centre in ``middle``
+
+    def most(self, unit: np.ndarray, place: int | None = None) -> np.ndarray:
+        """No score of a query in a cell (of all, or of the one at ``place``) is above this; zero where either side has no angle."""
+        flat = ((unit * unit).sum(axis=1) > 0)[:, None]
+        which = slice(None) if place is None else slice(place, place + 1)
+        most = np.zeros((len(unit), len(self.number[which])))
+        angled = self.angled[which]
+        if angled.any():
+            if len(unit) and unit.shape[1] != self.middle.shape[1]:
+                raise ValueError("queries and vectors differ in length")
+            middle = self.middle if place is None else self.middle[self.row[which]]
+            away = np.maximum(angles(unit @ middle.T) - self.reach[which][angled][None, :], 0.0)
+            most[:, angled] = np.where(flat, np.cos(away), 0.0)
+        return most
+
+
+def _list_array(values: np.ndarray, rows: np.ndarray, n: int) -> pa.Array:
+    """Lists of ``n`` rows, from values by ascending row."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(n + 1)).astype(np.int32)), pa.array(values.astype(np.int32)))
+
+
+def _nearest(queries: DataFrame, shared, kind: str) -> DataFrame:
+    """``query_id``, ``query`` and ``near``: the ``FIRST_CELLS`` nearest cells (all, if fewer)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = shared.value
+        for batch in parts_of(batches, BOUND_ROWS):
+            most = of.most(_matrix(batch.column("query")))
+            best = np.argsort(-most, axis=1, kind="stable")[:, :FIRST_CELLS]
+            near = _list_array(of.number[best].ravel(), np.repeat(np.arange(len(best)), best.shape[1]), len(best))
+            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("query"), near], ["query_id", "query", "near"])
+
+    return queries.mapInArrow(run, f"query_id {kind}, query array<double>, near array<int>")
+
+
+def _may_hold(most: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Where a cell could hold the score ``least`` (-inf: any) or a better one."""
+    return most >= np.maximum(least, -2.0)[:, None] - 2 * DOUBT
+
+
+def _others(queries: DataFrame, shared, groups: list[tuple[int, int]], kind: str) -> DataFrame:
+    """Queries with ``groups``, those with another cell that could hold ``least``, the k-th score so
+    far (null: any), or better; and how many such cells (``visited``) of how many vectors (``scored``)."""
+    starts = np.array([first for first, _ in groups], dtype=np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, reach, angled, middle = shared.value
-        for whole in batches:
-            for start in range(0, whole.num_rows, 1024):
-                batch = whole.slice(start, 1024)
-                unit = _matrix(batch.column("query"))
-                # no score of a cell is above this; zero where either side has no angle
-                most = np.zeros((len(unit), len(number)))
-                flat = (unit * unit).sum(axis=1) > 0
-                if len(middle):
-                    if len(unit) and unit.shape[1] != middle.shape[1]:
-                        raise ValueError("queries and vectors differ in length")
-                    away = np.maximum(angles(unit @ middle.T) - reach[angled][None, :], 0.0)
-                    most[:, angled] = np.where(flat[:, None], np.cos(away), 0.0)
-                nearest = np.zeros(most.shape, dtype=bool)
-                best = np.argsort(-most, axis=1, kind="stable")[:, :FIRST_CELLS]
-                np.put_along_axis(nearest, best, True, axis=1)
-                if first:
-                    visit = nearest
-                else:
-                    least = batch.column("least").to_numpy(zero_copy_only=False).astype(np.float64)
-                    least = np.where(np.isnan(least), -2.0, least)
-                    visit = ~nearest & (most >= least[:, None] - 2 * DOUBT)
-                row, at = np.nonzero(visit)
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("query_id").take(take), batch.column("query").take(take), pa.array(number[at].astype(np.int32))],
-                    ["query_id", "query", "cell"],
-                )
-
-    return queries.mapInArrow(run, schema)
-
-
-def _scan(visits: DataFrame, vectors: DataFrame, strips: DataFrame, k: int, schema: T.StructType) -> DataFrame:
-    """The ``k`` best of every query in the cells it visits, for each strip of a cell."""
+        of = shared.value
+        for batch in parts_of(batches, BOUND_ROWS):
+            visit = _may_hold(of.most(_matrix(batch.column("query"))), _least(batch))
+            near = batch.column("near")
+            row = np.repeat(np.arange(len(near)), np.diff(near.offsets.to_numpy()))
+            visit[row, np.searchsorted(of.number, near.flatten().to_numpy())] = False
+            row, group = np.nonzero(np.logical_or.reduceat(visit, starts, axis=1))
+            extra = [_list_array(group, row, len(visit)), pa.array(visit.sum(axis=1)), pa.array((visit * of.rows).sum(axis=1))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, "groups", "visited", "scored"])
+
+    schema = f"query_id {kind}, query array<double>, near array<int>, least double, groups array<int>, visited bigint, scored bigint"
+    return queries.select("query_id", "query", "near", "least").mapInArrow(run, schema)
+
+
+def _least(batch: pa.RecordBatch) -> np.ndarray:
+    least = batch.column("least").to_numpy(zero_copy_only=False).astype(np.float64)
+    return np.where(np.isnan(least), -np.inf, least)
+
+
+def _groups(rows: np.ndarray, strips: int) -> list[tuple[int, int]]:
+    """Consecutive cells in groups that hold about as many vectors: first cell, vectors.  A cell that
+    holds more by itself is a group, which is cut into strips later."""
+    wanted, groups = max(1.0, rows.sum() / strips), []
+    for i, n in enumerate(rows.tolist()):
+        if not groups or groups[-1][1] + n > wanted:
+            groups.append((i, 0))
+        groups[-1] = (groups[-1][0], groups[-1][1] + n)
+    return groups
+
+
+def _scan(visits: DataFrame, vectors: DataFrame, strips: DataFrame, k: int, schema: T.StructType, block_rows: int, shared=None) -> DataFrame:
+    """The ``k`` best of every query in the groups it visits, for each strip of a group.
+
+    ``visits`` have ``groups``, those of each query, ``vectors`` a ``group`` and the ``cell``.  With the
+    cells given, of a group only those cells are searched that are not in ``near`` and could hold ``least``."""
     types = tuple(to_arrow_type(schema[c].dataType) for c in ("query_id", "vector_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        present, names, parts, best = None, [], [], None
+        present, names, parts, near, least, best = None, [], [], [], [], None
         for cell, is_row, part in cells(batches):
             if cell != present:
                 if best:
                     yield from found_rows(names, best, types)
-                present, names, parts, best = cell, [], [], None
+                present, names, parts, near, least, best = cell, [], [], [], [], None
             if not is_row:
                 names += part.column("query_id").to_pylist()
                 parts.append(_matrix(part.column("query")))
+                if shared:
+                    near.append(part.column("near").flatten().to_numpy().reshape(part.num_rows, -1))
+                    least.append(_least(part))
                 continue
             if parts:
-                best, parts = _Best(np.concatenate(parts), k), []
-            if best:
-                best.take(part.column("vector_id").to_numpy(zero_copy_only=False), _matrix(part.column("embedding")))
+                best, parts = _Best(np.concatenate(parts), k, np.concatenate(least) if shared else None), []
+                near = np.concatenate(near) if shared else None
+            if not best:
+                continue
+            ids, rows = part.column("vector_id").to_numpy(zero_copy_only=False), _matrix(part.column("embedding"))
+            if not shared:
+                best.take(ids, rows)
+                continue
+            of = part.column("of").to_numpy()
+            edges = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1), len(of)]
+            for first, last in zip(edges[:-1], edges[1:]):
+                most = shared.value.most(best.queries, shared.value.place[int(of[first])])
+                visit = _may_hold(most, best.least)[:, 0] & ~(near == of[first]).any(axis=1)
+                best.take(ids[first:last], rows[first:last], np.flatnonzero(visit))
         if best:
             yield from found_rows(names, best, types)
 
-    # a cell's queries in blocks, its vectors in strips; each block meets each strip
-    per_cell = visits.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
-    shape = settle(strips.join(per_cell, "cell"), "cells")
+    # a group's queries in blocks, its vectors in strips; each block meets each strip
+    per_group = visits.select(F.explode("groups").alias("group")).groupBy("group").agg(F.count("*").alias("n"))
+    blocks = F.ceil(F.col("n") / block_rows).cast("int").alias("blocks")
+    shape = settle(strips.join(per_group, "group").select("group", "strips", blocks), "groups")
     spread = F.xxhash64(F.monotonically_increasing_id())
     # a row draws its own block or strip first; in one step with the explosion each copy would draw anew
-    left = visits.join(shape, "cell").withColumn("block", F.pmod(spread, "blocks"))
+    left = visits.withColumn("group", F.explode("groups")).join(shape, "group").withColumn("block", F.pmod(spread, "blocks"))
     left = left.withColumn("strip", F.explode(F.expr("sequence(0, strips - 1)")))
-    right = vectors.join(shape, "cell").withColumn("strip", F.pmod(spread, "strips"))
+    right = vectors.join(shape, "group").withColumn("strip", F.pmod(spread, "strips"))
     right = right.withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)")))
-    name = F.xxhash64("cell", F.col("block").cast("int"), F.col("strip").cast("int"))
-    left = left.select(name.alias("cell"), F.lit(False).alias("is_row"), "query_id", "query")
-    right = right.select(name.alias("cell"), F.lit(True).alias("is_row"), "vector_id", "embedding")
+    name = F.xxhash64("group", F.col("block").cast("int"), F.col("strip").cast("int"))
+    also = ["near", "least"] if shared else []
+    left = left.select(name.alias("cell"), F.lit(False).alias("is_row"), "query_id", "query", *also)
+    of = [F.col("cell").alias("of")] if shared else []
+    right = right.select(name.alias("cell"), F.lit(True).alias("is_row"), "vector_id", "embedding", *of)
     both = left.unionByName(right, allowMissingColumns=True)
-    return both.repartition("cell").sortWithinPartitions("cell", "is_row").mapInArrow(run, schema)
+    if not shared:
+        return both.repartition("cell").sortWithinPartitions("cell", "is_row").mapInArrow(run, schema)
+    # little data and much work: more places than blocks meet strips, so that few of these share a task
+    pairs = shape.agg(F.sum(F.col("blocks") * F.col("strips")).alias("n")).first()["n"] or 1
+    return both.repartition(PLACES * int(pairs), "cell").sortWithinPartitions("cell", "is_row", "of").mapInArrow(run, schema)
 
 
 def search_index(
@@ -208,11 +278,11 @@ def search_index(
     ship_package(spark)
     vectors = spark.read.parquet(f"{path}/vectors").select("vector_id", "embedding", "cell")
     held = spark.read.parquet(f"{path}/cells")
-    cells_of = held.toArrow()  # MOST_CELLS rows at most
-    strips = held.select("cell", F.ceil(F.col("rows") / STRIP_ROWS).cast("int").alias("strips"))
+    cells_of = _Cells(held.toArrow())  # MOST_CELLS rows and one at most
+    shared = spark.sparkContext.broadcast(cells_of)
     asked = whole_vectors(queries, query_id, "query_id", embedding, "array<double>").withColumnRenamed("embedding", "query")
     asked = settle(asked, "query_vectors")
-    kinds = {f.name: f.dataType.simpleString() for f in asked.schema}
+    kind = asked.schema["query_id"].dataType.simpleString()
     schema = T.StructType(
         [
             T.StructField("query_id", asked.schema["query_id"].dataType),
@@ -220,22 +290,36 @@ def search_index(
             T.StructField("score", T.DoubleType()),
         ]
     )
-    visit_schema = f"query_id {kinds['query_id']}, query array<double>, cell int"
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vector_id")
+    n_cells, n_vectors, n_queries = len(cells_of.number), int(cells_of.rows.sum()), asked.count()
+    width = cells_of.middle.shape[1] if len(cells_of.middle) else 1
+    block_rows = max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * width)))
 
     def best(found: DataFrame) -> DataFrame:
         return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
-    first = settle(_visits(asked, cells_of, True, visit_schema), "first_visits")
-    near = settle(best(_scan(first, vectors, strips, k, schema)).drop("rank"), "near")
+    first = settle(_nearest(asked, shared, kind), "first_visits")
+    by_cell = held.select(F.col("cell").alias("group"), F.ceil(F.col("rows") / STRIP_ROWS).cast("int").alias("strips"))
+    visits = first.withColumnRenamed("near", "groups")
+    near = settle(best(_scan(visits, vectors.withColumn("group", F.col("cell")), by_cell, k, schema, block_rows)).drop("rank"), "near")
     least = near.groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n")).filter(F.col("n") == k)
-    bounded = asked.join(least.select("query_id", "least"), "query_id", "left").select("query_id", "query", "least")
-    others = settle(_visits(bounded, cells_of, False, visit_schema), "other_visits")
-    found = near.union(_scan(others, vectors, strips, k, schema))
-    visited = first.select("cell").union(others.select("cell")).join(held, "cell")
-    about = visited.agg(F.count("*").alias("visited"), F.coalesce(F.sum("rows"), F.lit(0)).alias("vectors_scored"))
-    n_cells, n_vectors = cells_of.num_rows, sum(cells_of["rows"].to_pylist())
-    n_queries = asked.count()
+    bounded = first.join(least.select("query_id", "least"), "query_id", "left")
+
+    # as many groups as keep a task's vectors few, and the blocks of all groups as many as tasks run at once
+    blocks = max(1, -(-n_queries // block_rows))
+    slots = CELLS_PER_SLOT * spark.sparkContext.defaultParallelism
+    groups = _groups(cells_of.rows, max(1, -(-n_vectors // STRIP_ROWS), min(-(-slots // blocks), n_vectors // LEAST_ROWS)))
+    others = settle(_others(bounded, shared, groups, kind), "other_visits")
+    ends = [*[first_cell for first_cell, _ in groups[1:]], n_cells]
+    members = [(int(cells_of.number[i]), g) for g, ((a, _), b) in enumerate(zip(groups, ends)) for i in range(a, b)]
+    members = settle(spark.createDataFrame(members, "cell int, group int").coalesce(1), "members")
+    by_group = spark.createDataFrame([(g, max(1, -(-n // STRIP_ROWS))) for g, (_, n) in enumerate(groups)], "group int, strips int")
+    found = near.union(_scan(others, vectors.join(members, "cell"), by_group, k, schema, block_rows, shared))
+
+    near_rows = first.select(F.explode("near").alias("cell")).join(held, "cell")
+    near_sums = near_rows.agg(F.count("*").alias("visited"), F.coalesce(F.sum("rows"), F.lit(0)).alias("scored"))
+    sums = near_sums.union(others.agg(F.coalesce(F.sum("visited"), F.lit(0)), F.coalesce(F.sum("scored"), F.lit(0))))
+    about = sums.agg(F.sum("visited").alias("visited"), F.sum("scored").alias("vectors_scored"))
     about = about.select(F.lit(n_queries * n_cells).alias("pairs"), "visited", F.lit(n_queries * n_vectors).alias("vectors"), "vectors_scored")
     ranked = best(found).select("query_id", "rank", "vector_id", F.round("score", DIGITS).alias("score"))
     return ranked, about

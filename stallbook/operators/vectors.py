@@ -22,7 +22,8 @@ from stallbook.session import settle, ship_package
 
 BLOCK_BYTES = 16 << 20  # queries that travel together
 STRIP_ROWS, LEAST_ROWS = 1 << 20, 256  # vectors of a strip
-STEP_ROWS = 256  # queries scored at a time: bounds the score matrix of a batch
+STEP_PAIRS = 1 << 21  # scored at a time: bounds the score matrix of a batch
+FOUND_QUERIES = 1024  # whose candidates leave a task together
 #: Matrix products may differ in the last digits with the size of the batch.  What
 #: lies this close to the k-th score is scored again, one by one.
 DOUBT = 1e-9
@@ -47,44 +48,65 @@ def _matrix(vectors: pa.Array) -> np.ndarray:
 
 
 class _Best:
-    """The k best (score, id) of every query, ties by id."""
+    """The k best (score, id) of every query, ties by id.
 
-    def __init__(self, queries: np.ndarray, k: int):
+    ``least`` are scores known to be reached by k rows elsewhere (-inf: none); what lies below
+    is not kept.  Products in single precision find what may be kept, with their rounding left
+    as doubt; what they find is scored again, one by one."""
+
+    def __init__(self, queries: np.ndarray, k: int, least: np.ndarray | None = None):
         self.queries, self.k = queries, k
+        self.coarse = queries.astype(np.float32)
+        self.doubt = DOUBT + (queries.shape[1] + 2) * 2.0**-23
+        self.least = np.full(len(queries), -np.inf) if least is None else least
         self.scores: list = [np.empty(0)] * len(queries)
         self.ids: list = [None] * len(queries)
 
-    def take(self, ids: np.ndarray, rows: np.ndarray) -> None:
+    def take(self, ids: np.ndarray, rows: np.ndarray, asked: np.ndarray | None = None) -> None:
+        """Rows for all queries, or for those at the places ``asked``."""
         if not len(ids):
             return
         if rows.shape[1] != self.queries.shape[1]:
             raise ValueError("queries and vectors differ in length")
-        for start in range(0, len(self.queries), STEP_ROWS):
-            about = self.queries[start : start + STEP_ROWS] @ rows.T
-            for i, row in enumerate(about, start):
-                least = np.partition(row, -self.k)[-self.k] if len(row) > self.k else -np.inf
-                if len(self.scores[i]) == self.k:
-                    least = max(least, self.scores[i][-1])
-                near = np.flatnonzero(row >= least - DOUBT)
-                score = (rows[near] * self.queries[i]).sum(axis=1)
-                found = ids[near] if self.ids[i] is None else np.concatenate([self.ids[i], ids[near]])
-                score = np.concatenate([self.scores[i], score])
-                order = np.lexsort((found, -score))[: self.k]
-                self.scores[i], self.ids[i] = score[order], found[order]
+        across = rows.astype(np.float32).T
+        step = max(1, STEP_PAIRS // len(ids))
+        places = np.arange(len(self.queries)) if asked is None else asked
+        for start in range(0, len(places), step):
+            at = places[start : start + step]
+            about = self.coarse[at] @ across
+            least = self.least[at]
+            fresh = np.flatnonzero(np.isneginf(least))
+            if len(fresh) and about.shape[1] > self.k:
+                least[fresh] = np.partition(about[fresh], -self.k, axis=1)[:, -self.k]
+            found, near = np.nonzero(about >= (least - self.doubt)[:, None])
+            if not len(found):
+                continue
+            for one in np.split(np.arange(len(found)), np.flatnonzero(np.diff(found)) + 1):
+                self._keep(int(at[found[one[0]]]), ids, rows, near[one])
+
+    def _keep(self, i: int, ids: np.ndarray, rows: np.ndarray, near: np.ndarray) -> None:
+        score = (rows[near] * self.queries[i]).sum(axis=1)
+        found = ids[near] if self.ids[i] is None else np.concatenate([self.ids[i], ids[near]])
+        score = np.concatenate([self.scores[i], score])
+        order = np.lexsort((found, -score))[: self.k]
+        self.scores[i], self.ids[i] = score[order], found[order]
+        if len(order) == self.k:
+            self.least[i] = max(self.least[i], self.scores[i][-1])
 
 
 def found_rows(names: list, best: _Best, types: tuple[pa.DataType, pa.DataType]) -> Iterator[pa.RecordBatch]:
     """The candidates (query_id, vector_id, score) that a task keeps."""
-    for name, ids, scores in zip(names, best.ids, best.scores):
-        if len(scores):
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([name] * len(scores), type=types[0]),
-                    pa.array(ids, type=types[1], from_pandas=True),
-                    pa.array(scores, type=pa.float64()),
-                ],
-                ["query_id", "vector_id", "score"],
-            )
+    some = [i for i, scores in enumerate(best.scores) if len(scores)]
+    for start in range(0, len(some), FOUND_QUERIES):
+        part = some[start : start + FOUND_QUERIES]
+        yield from pa.Table.from_arrays(
+            [
+                pa.array([names[i] for i in part for _ in best.scores[i]], type=types[0]),
+                pa.array(np.concatenate([best.ids[i] for i in part]), type=types[1], from_pandas=True),
+                pa.array(np.concatenate([best.scores[i] for i in part]), type=pa.float64()),
+            ],
+            ["query_id", "vector_id", "score"],
+        ).to_batches()
 
 
 def _searcher(k: int, types: tuple[pa.DataType, pa.DataType]):

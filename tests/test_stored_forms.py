@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from stallbook.functions import numeric
 from stallbook.operators import change_feed, changes, matching, pages, price_states, quality, summaries, treatments, vector_index, vectors, windows
 from stallbook.plans import model
 from stallbook.plans import prices as price_plan
-from stallbook.session import scratch_path
+from stallbook.session import scratch_path, settle
 from stallbook.sinks import layout
 from stallbook.sources import files, rescue, tables
 from stallbook.streaming import gold_states, ingest, metrics
@@ -73,6 +74,47 @@ def test_vector_index_equals_the_scan_and_visits_few_cells(spark, monkeypatch, s
     assert held.count() == 972 and held.filter("cell = -1").count() == 2
 
 
+def test_a_query_that_visits_every_cell_is_stored_once_and_leaves_in_small_batches(spark, monkeypatch):
+    monkeypatch.setattr(vector_index, "CELL_ROWS", 10)
+    monkeypatch.setattr(vector_index, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(vectors, "FOUND_QUERIES", 16)
+    rng = np.random.default_rng(5)
+    x = [[float(v) for v in np.float32(rng.normal(0, 1, 12))] for _ in range(400)]  # no direction is like another
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(x)], "vector_id long, embedding array<float>")
+    queries = frame.withColumnRenamed("vector_id", "query_id")
+    stored = {}
+
+    def spy(df, name):
+        stored[name] = settle(df, name)
+        return stored[name]
+
+    monkeypatch.setattr(vector_index, "settle", spy)
+    path = scratch_path(spark, "index")
+    vector_index.build_index(frame, path)
+    found, about = vector_index.search_index(spark, path, queries, 3)
+    seen = about.first()
+    assert seen["visited"] > 20 * 400
+    assert stored["first_visits"].count() == 400 and stored["other_visits"].count() == 400
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, vectors.cosine_top_k(queries, frame, 3).collect()))
+
+
+def test_scores_are_kept_by_what_is_known_of_them():
+    rng = np.random.default_rng(1)
+    unit = vectors._unit(rng.normal(0, 1, (500, 16)))
+    exact = unit[:40] @ unit.T
+    least = np.sort(exact, axis=1)[:, -3]
+    for known, asked in ((None, None), (least, None), (least, np.arange(0, 40, 3))):
+        best = vectors._Best(unit[:40], 3, None if known is None else known.copy())
+        for start in range(0, 500, 70):
+            best.take(np.arange(start, min(500, start + 70)), unit[start : start + 70], asked)
+        for i in range(40):
+            wanted = np.argsort(-exact[i], kind="stable")[:3].tolist() if asked is None or i in asked else None
+            assert (None if best.ids[i] is None else best.ids[i].tolist()) == wanted
+    names = [f"q{i}" for i in range(40)]
+    batches = list(vectors.found_rows(names, best, (pa.string(), pa.int64())))
+    assert len(batches) == 1 and batches[0].num_rows == 3 * 14
+
+
 def test_vector_index_of_nothing(spark):
     none = spark.createDataFrame([], "vector_id long, embedding array<float>")
     some = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "vector_id long, embedding array<float>")
