@@ -4,14 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from stallbook.operators.keys import match_keys
+from stallbook.operators.keys import pack_ids, unpack_ids
 from stallbook.operators.quality import PRICE_IDENTITY, dedupe
 from stallbook.plans.prices import silver
+from stallbook.session import freed
+
+#: Parts that the keys of a batch are dealt over, for each task: uneven ones then even out.
+PLACES = 4
+#: Keys of a month that may be found to have very many copies, keys that the sketch counts at once,
+#: and copies that are not very many.
+OFTEN, SKETCH, HOT_ROWS = 256, 4096, 10_000
+HELD, PLACE = "_held", "_place"
 
 silver_stream = silver  # the batch projection and rules apply to a stream unchanged
 
@@ -47,42 +55,76 @@ def drain_unique(
 ) -> StreamingQuery:
     """Append only rows whose key the target has not seen, however long ago.
 
-    The target itself is the state.  Each batch is deduplicated by the batch
-    operator, which sends one row per key and task, so a key with very many
-    copies does not gather in one task; what remains is checked against the
-    months it falls into.  A batch writes to partitions of its own number, so a
-    repeated batch replaces its files.  Rows need ``year`` and ``month``, derived
-    from a date among the keys.
+    The target itself is the state.  Rows and the keys that the target holds of the
+    same months go by month and key once: there copies and known keys are dropped,
+    and from there a month is written in few files.  Keys with very many copies, as a
+    sketch of the batch finds them, go on as one row per key and task before, so they
+    do not gather in one task.  A batch writes to partitions of its own number, so a
+    repeated batch replaces its files.  Rows need ``year`` and ``month``, derived from
+    a date among the keys.
     """
 
     def append(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        months = batch.select("year", "month").distinct().collect()  # bounded by the calendar
+        key = F.xxhash64(*keys)
+        often = F.call_function("approx_top_k", key, F.lit(OFTEN), F.lit(SKETCH)).alias("often")
+        months = batch.groupBy("year", "month").agg(F.count(F.lit(1)).alias("n"), often).collect()  # bounded by the calendar
         if not months and number > 0:
             return
         # a first batch without a row still makes the target
-        fresh = dedupe(batch, keys, order)
-        schema = batch.select(*keys, "year", "month").schema.add("batch", T.LongType())
+        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        hot = _hot(months, tasks)
+        if hot:
+            batch = batch.filter(~key.isin(hot)).unionByName(dedupe(batch.filter(key.isin(hot)), keys, order))
+        both = batch.withColumn(HELD, F.lit(False))
         if number > 0:
+            schema = batch.select(*keys, "year", "month").schema.add("batch", T.LongType())
             inside = F.struct("year", "month").isin(
                 *[F.struct(F.lit(m["year"]), F.lit(m["month"])) for m in months]
             )
             stored = spark.read.schema(schema).parquet(path).filter((F.col("batch") < number) & inside)
-            fresh = match_keys(fresh, stored.select(*keys), keys, "left_anti")
+            both = both.unionByName(stored.drop("batch").withColumn(HELD, F.lit(True)), allowMissingColumns=True)
+        ids = [c for c in order if c not in keys]
+        place = F.pmod(key, _places(months, tasks))
+        near = pack_ids(both, ids).withColumn(PLACE, place).repartition("year", "month", PLACE)
+        first = dedupe(unpack_ids(near, ids), ["year", "month", PLACE, *keys], [F.desc(HELD), *order])
         (
-            fresh.withColumn("batch", F.lit(number).cast("bigint"))
-            .hint("rebalance", "year", "month")
+            first.filter(~F.col(HELD))
+            .drop(HELD, PLACE)
+            .withColumn("batch", F.lit(number).cast("bigint"))
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
+            .option("compression", "zstd")
             .partitionBy("batch", "year", "month")
             .parquet(path)
         )
 
-    query = (
-        stream.writeStream.foreachBatch(append)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    with freed(stream.sparkSession):
+        query = (
+            stream.writeStream.foreachBatch(append)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
     return query
+
+
+def _hot(months: Sequence[Row], tasks: int) -> list[int]:
+    """Hashes of keys with more copies than a place has rows, about, and than are worth the step."""
+    most = max(HOT_ROWS, sum(m["n"] for m in months) // (PLACES * tasks))
+    return [x["item"] for m in months for x in m["often"] if x["count"] > most]
+
+
+def _places(months: Sequence[Row], tasks: int) -> Column:
+    """Places that a month's keys are dealt over: by its share of the rows, ``PLACES`` for each task in all."""
+    known = [m for m in months if m["year"] is not None and m["month"] is not None]
+    if not known:
+        return F.lit(1)
+    whole, first = sum(m["n"] for m in months), min(m["year"] for m in known)
+    many = [1] * (12 * (max(m["year"] for m in known) - first + 1))
+    for m in known:
+        many[12 * (m["year"] - first) + m["month"] - 1] = -(-m["n"] * PLACES * tasks // whole)
+    # looked up by number: a chain of conditions would make a method too long for the JVM to compile
+    number = 12 * (F.col("year") - first) + F.col("month") - 1
+    return F.coalesce(F.get(F.array(*map(F.lit, many)), number), F.lit(1))

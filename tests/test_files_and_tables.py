@@ -1,11 +1,14 @@
 import datetime as dt
 import json
 import uuid
+from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from stallbook import schemas
 from stallbook.operators import changes, chunks, quality, recency, treatments
+from stallbook.operators.keys import pack_ids, unpack_ids
 from stallbook.plans import registry
 from stallbook.plans.prices import silver
 from stallbook.session import clear_scratch, scratch_path, settle, shared_folder
@@ -13,6 +16,7 @@ from stallbook.sinks import layout
 from stallbook.sinks import tables as sinks
 from stallbook.sources import files, tables
 from stallbook.streaming import gold, ingest
+from stallbook.streaming import silver as streaming_silver
 from stallbook.streaming.silver import dedupe_stream, drain_unique, silver_stream
 
 
@@ -247,6 +251,52 @@ def test_unique_across_batches_without_a_watermark(spark, tmp_path):
     assert run() == [(0, 1, "V"), (0, 2, "V"), (1, 2, "W")]
 
 
+def test_ids_travel_as_bytes_and_come_back(spark):
+    ids = ["00ff", "0", "", "AB", "ab", "abc", "zz", None, "ab" * 32, "é"]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(ids)], "n int, id string")
+    packed = pack_ids(rows, ["id", "n"])
+    assert [r.n for r in packed.filter("id is null").sort("n").collect()] == [0, 2, 4, 7, 8]
+    assert packed.filter("n = 8").select(F.length("_bytes_of_id")).first()[0] == 32
+    back = unpack_ids(packed, ["id", "n"])
+    assert back.schema == rows.schema and [r.id for r in back.sort("n").collect()] == ids
+
+
+def test_unique_rows_of_hot_and_null_keys_are_written_closely(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streaming_silver, "HOT_ROWS", 5)
+    monkeypatch.setattr(streaming_silver, "PLACES", 2)
+    found, asked = [], streaming_silver._hot
+    monkeypatch.setattr(streaming_silver, "_hot", lambda *a: found.append(asked(*a)) or found[-1])
+    inbox, schema = str(tmp_path / "in"), "k string, v string, id string, year int, month int"
+    drops = [
+        [("hot", None, f"{i:04x}", 2024, 1) for i in range(60, 0, -1)] + [(None, None, "b", 2024, 2), (None, None, "0a", 2024, 2), ("x", "y", None, 2024, 3)],
+        [("hot", None, "0000", 2024, 1), (None, None, "00", 2024, 2), ("x", "y", "0", 2024, 3), ("hot", "v", "zz", 2024, 1)],
+    ]
+    for rows in drops:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(inbox)
+    stream = ingest.file_stream(spark, inbox, spark.read.parquet(inbox).schema, "parquet", max_files=1)
+    drain_unique(stream, str(tmp_path / "out"), str(tmp_path / "offsets"), ["k", "v"], ["id"])
+    got = spark.read.parquet(str(tmp_path / "out")).select("k", "v", "id", "year", "month", "batch")
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(
+        map(str, [("hot", None, "0001", 2024, 1, 0), (None, None, "0a", 2024, 2, 0), ("x", "y", None, 2024, 3, 0), ("hot", "v", "zz", 2024, 1, 1)])
+    )
+    assert [len(x) for x in found] == [1, 0]
+    files_of = list((tmp_path / "out").rglob("*.parquet"))
+    assert len(files_of) == 4 and all(f.name.endswith(".zstd.parquet") for f in files_of)
+
+
+def test_shuffle_files_of_a_drained_stream_are_gone(spark, tmp_path):
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    inbox, out, seen = str(tmp_path / "in"), str(tmp_path / "out"), []
+    spark.range(50).selectExpr("id", "cast(id % 3 as int) AS month", "2024 AS year", "date'2024-01-01' AS day").write.parquet(inbox)
+    stream = ingest.file_stream(spark, inbox, spark.read.parquet(inbox).schema, "parquet")
+    start = streaming_silver.dedupe
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(streaming_silver, "dedupe", lambda df, *a: seen.append(df.sparkSession.conf.get(setting)) or start(df, *a))
+        drain_unique(stream, out, str(tmp_path / "offsets"), ["id"], ["id"])
+    assert seen == ["true"] and spark.conf.get(setting, "false") == "false"
+    assert spark.read.parquet(out).count() == 50
+
+
 def test_scratch_can_be_cleared(spark, monkeypatch, tmp_path):
     monkeypatch.setattr("stallbook.session.shared_folder", lambda _: str(tmp_path))
     kept = settle(spark.range(3), "numbers").inputFiles()[0]
