@@ -7,8 +7,8 @@ last ``keep`` is the state: a repeat that comes later is passed on again and los
 survivor when it is read.  So what a batch reads is bounded by the keys of one ``keep``, and
 rows late by any time are neither lost nor doubled.
 
-Copies of a key meet in steps: a task first keeps the smallest of each Arrow batch, then of
-all its rows, so a key that holds most rows sends one from each task.
+Copies of a key meet in steps: a task first keeps the smallest of each Arrow batch, so a key
+that holds most rows sends one from each such batch, and these meet in the key's task.
 
 Time is that of arrival, so no row is late, and a stream that has read what there is ends.
 Any state store serves, since none is used.
@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from stallbook.operators.keys import pack_ids, unpack_ids
 from stallbook.operators.quality import PRICE_IDENTITY, dedupe
-from stallbook.session import ship_package
+from stallbook.session import freed, ship_package
 
 KEEP_MS = 30 * 24 * 3600 * 1000
 SEEN = "_seen"
@@ -51,15 +52,19 @@ def smallest_of_batches(stream: DataFrame, keys: Sequence[str], order: str) -> D
 
 def survivors(batch: DataFrame, held: DataFrame | None, keys: Sequence[str] = PRICE_IDENTITY, order: str = "price_id") -> DataFrame:
     """Rows that are the smallest of their key, and smaller than any of ``held`` (``keys`` and ``order``).
-    ``order`` is a text that no row lacks."""
+    ``order`` is a text that no row lacks.  Rows and what is held go by key once, ids as bytes."""
     ship_package(batch.sparkSession)
-    few = smallest_of_batches(batch.filter(f"`{order}` IS NOT NULL"), keys, order)
-    if held is None:
-        return dedupe(few, keys, [order])
-    known = held.select(*keys, order).withColumn(SEEN, F.lit(True))
+    both = smallest_of_batches(batch.filter(f"`{order}` IS NOT NULL"), keys, order).withColumn(SEEN, F.lit(False))
+    if held is not None:
+        both = both.unionByName(held.select(*keys, order).withColumn(SEEN, F.lit(True)), allowMissingColumns=True)
     # of equal ids the one that is held wins
-    both = few.withColumn(SEEN, F.lit(False)).unionByName(known, allowMissingColumns=True)
-    return dedupe(both, keys, [order, F.desc(SEEN)]).filter(~F.col(SEEN)).drop(SEEN)
+    return dedupe(_by_key(both, keys, order), keys, [order, F.desc(SEEN)]).filter(~F.col(SEEN)).drop(SEEN)
+
+
+def _by_key(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """Rows where their key's others are."""
+    ids = [order] if order not in keys else []
+    return unpack_ids(pack_ids(rows, ids).repartition(*[F.col(k) for k in keys]), ids)
 
 
 def drain_survivors(
@@ -81,18 +86,19 @@ def drain_survivors(
             stored = spark.read.schema(schema).parquet(path)
             held = stored.filter((F.col(BATCH) < number) & (F.col(SEEN) >= now - keep_ms))
         passed = survivors(batch, held, keys, order).withColumn(SEEN, F.lit(now))
-        passed.write.mode("overwrite").parquet(f"{path}/{BATCH}={number}")
-
-    query = (
-        stream.writeStream.foreachBatch(append)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+        passed.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{BATCH}={number}")
+
+    with freed(stream.sparkSession):
+        query = (
+            stream.writeStream.foreachBatch(append)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
     return query
 
 
 def read_survivors(spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str] = PRICE_IDENTITY, order: str = "price_id") -> DataFrame:
-    """One row per key of all that was passed on so far."""
-    return dedupe(spark.read.schema(schema).parquet(path).select(*schema.names), keys, [order])
+    """One row per key of all that was passed on so far, where a key has one row a batch at most."""
+    return dedupe(_by_key(spark.read.schema(schema).parquet(path).select(*schema.names), keys, order), keys, [order])

@@ -381,6 +381,11 @@ def test_survivors_without_a_state_store_of_several_parts(spark, tmp_path):
     assert sorted(map(tuple, read_survivors(spark, out, stream.schema, ["k"], "id").collect()), key=str) == [("a", "1"), ("b", "1"), (None, "0")]
     # each batch passed on what was smaller than all before
     assert spark.read.parquet(out).count() == 4
+    assert all(f.name.endswith(".zstd.parquet") for f in (tmp_path / "out").rglob("*.parquet"))
+    # rows go by key once, with their ids as bytes
+    read = read_survivors(spark, out, stream.schema, ["k"], "id")
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(k") == 1 and "_bytes_of_id" in plan
 
 
 def test_stump_finds_the_best_split(spark):
