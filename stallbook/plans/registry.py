@@ -27,11 +27,12 @@ from stallbook.operators import (
     windows,
 )
 from stallbook.operators import vectors as vectors_op
+from stallbook.operators.keys import pack_ids, unpack_ids
 from stallbook.operators.text_vectors import fit_text_vectors, term_weights, with_text_vectors
 from stallbook.plans import advice, model, report
 from stallbook.plans import prices as price_plan
 from stallbook.plans.observations import from_lines, price_observations, table, unit_prices
-from stallbook.session import scratch_path, settle
+from stallbook.session import freed, scratch_path, settle
 from stallbook.sinks import layout
 from stallbook.sinks import tables as sinks
 from stallbook.sources import files, rescue, tables
@@ -1053,7 +1054,7 @@ def stream_unique(spark, folder):
 def stream_gold(spark, folder):
     rows = silver_stream(_observation_stream(spark, folder))
     silver_path, gold_path = scratch_path(spark, "silver"), scratch_path(spark, "gold")
-    ingest.drain(rows, scratch_path(spark, "offsets"), path=silver_path, partition_by=gold.MONTH)
+    ingest.drain(rows, scratch_path(spark, "offsets"), path=silver_path, partition_by=gold.MONTH, ids=["price_id"])
     follow = ingest.file_stream(spark, silver_path, rows.schema, file_format="parquet")
     gold.drain_gold(spark, follow, silver_path, gold_path, scratch_path(spark, "offsets"))
     return spark.read.parquet(gold_path)
@@ -1067,10 +1068,26 @@ def _files_of_a_drop(spark: SparkSession, folder: str, source: str, drops: int)
 def _dropping_box(spark: SparkSession, folder: str, rows: DataFrame, source: str = "lineitem") -> tuple[str, int]:
     """Rows dealt over six drops, as a stream finds them one after the other, and the files of a drop."""
     inbox, files_each = scratch_path(spark, "inbox"), _files_of_a_drop(spark, folder, source, 6)
-    rows.repartition(6 * files_each).write.parquet(inbox)
+    _write_dealt(rows, 6 * files_each, inbox)
     return inbox, files_each
 
 
+def _stored(rows: DataFrame, name: str) -> DataFrame:
+    """Rows that took a shuffle, written once and closely, so that the next shuffle doesn't lie beside it."""
+    path = scratch_path(rows.sparkSession, name)
+    with freed(rows.sparkSession):
+        rows.write.option("compression", "zstd").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def _write_dealt(rows: DataFrame, files_all: int, inbox: str) -> None:
+    """Appends rows to an inbox in so many files; price ids go there as bytes."""
+    ids = ["price_id"] if "price_id" in rows.columns else []
+    with freed(rows.sparkSession):
+        dealt = unpack_ids(pack_ids(rows, ids).repartition(files_all), ids)
+        dealt.write.mode("append").option("compression", "zstd").parquet(inbox)
+
+
 def _some_twice(rows: DataFrame, which: str) -> DataFrame:
     """All rows, and those of a condition once more; the rows are computed once."""
     copies = F.when(F.expr(which), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
@@ -1084,7 +1101,7 @@ def _with_null_varieties(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def stream_unique_batches(spark, folder):
     """Several batches, a third of the rows twice, some keys with a null."""
-    rows = price_plan.silver(_with_null_varieties(spark, folder), deduplicate=True)
+    rows = _stored(price_plan.silver(_with_null_varieties(spark, folder), deduplicate=True), "silver")
     inbox, each = _dropping_box(spark, folder, _some_twice(rows, "grade = 'F'"))
     arriving = ingest.file_stream(spark, inbox, rows.schema, file_format="parquet", max_files=2 * each)
     out = scratch_path(spark, "unique")
@@ -1099,7 +1116,7 @@ def stream_gold_batches(spark, folder):
     inbox, each = _dropping_box(spark, folder, rows)
     silver_path, gold_path = scratch_path(spark, "silver"), scratch_path(spark, "gold")
     arriving = ingest.file_stream(spark, inbox, rows.schema, file_format="parquet", max_files=2 * each)
-    ingest.drain(arriving, scratch_path(spark, "offsets"), path=silver_path, partition_by=gold.MONTH)
+    ingest.drain(arriving, scratch_path(spark, "offsets"), path=silver_path, partition_by=gold.MONTH, ids=["price_id"])
     follow = ingest.file_stream(spark, silver_path, rows.schema, file_format="parquet", max_files=40)
     gold.drain_gold(spark, follow, silver_path, gold_path, scratch_path(spark, "offsets"))
     return spark.read.parquet(gold_path)
@@ -1108,13 +1125,13 @@ def stream_gold_batches(spark, folder):
 @_query
 def stream_unique_empty_first(spark, folder):
     """The first drop has no valid row."""
-    rows = price_plan.silver(price_observations(spark, folder), deduplicate=True)
+    rows = _stored(price_plan.silver(price_observations(spark, folder), deduplicate=True), "silver")
     inbox = scratch_path(spark, "inbox")
     each = _files_of_a_drop(spark, folder, "lineitem", 3)
     bad = settle(rows.limit(1).withColumn("modal_price", F.lit(0.0)).coalesce(1), "bad")
     for _ in range(each):  # so that the first drop has no other file
         bad.write.mode("append").parquet(inbox)
-    rows.repartition(3 * each).write.mode("append").parquet(inbox)
+    _write_dealt(rows, 3 * each, inbox)
     arriving = ingest.file_stream(spark, inbox, rows.schema, file_format="parquet", max_files=each)
     out = scratch_path(spark, "unique")
     drain_unique(quality.valid_prices(arriving), out, scratch_path(spark, "offsets"))

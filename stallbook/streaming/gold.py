@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from stallbook.operators.summaries import monthly_analytics
+from stallbook.session import freed
 
 MONTH = ("year", "month")
 
@@ -37,6 +38,7 @@ def refresh_months(spark: SparkSession, silver_path: str, gold_path: str) -> Cal
             monthly_analytics(silver.repartition(*MONTH, "commodity"))
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
+            .option("compression", "zstd")
             .partitionBy(*MONTH)
             .parquet(gold_path)
         )
@@ -48,11 +50,12 @@ def drain_gold(
     spark: SparkSession, silver_stream: DataFrame, silver_path: str, gold_path: str, checkpoint: str
 ) -> StreamingQuery:
     """Follow the silver table and refresh the touched months, then stop."""
-    query = (
-        silver_stream.writeStream.foreachBatch(refresh_months(spark, silver_path, gold_path))
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    with freed(spark):
+        query = (
+            silver_stream.writeStream.foreachBatch(refresh_months(spark, silver_path, gold_path))
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
     return query

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from stallbook.operators.keys import pack_ids, unpack_ids
+from stallbook.session import freed
 from stallbook.sinks.tables import add_columns
 from stallbook.sources.files import FILE_PATTERNS, FILE_SCHEMAS, PROJECTIONS
 
@@ -63,6 +65,7 @@ def drain(
     table: str | None = None,
     path: str | None = None,
     partition_by: Sequence[str] = (),
+    ids: Sequence[str] = (),
 ) -> StreamingQuery:
     """Process everything available, append it exactly once, and stop.
 
@@ -72,6 +75,7 @@ def drain(
 
     A partitioned target gets few files per batch and partition, not one from every
     task, so that who follows it has files as many as batches, however large they are.
+    ``ids`` are columns of hashes, which go there as bytes; its files are packed closely.
     """
     if (table is None) == (path is None):
         raise ValueError("give either table or path")
@@ -79,7 +83,7 @@ def drain(
     if table and spark.catalog.tableExists(table):
         add_columns(spark, table, stream.schema)
     if partition_by:
-        stream = stream.hint("rebalance", *partition_by)
+        stream = unpack_ids(pack_ids(stream, ids).hint("rebalance", *partition_by), ids)
     writer = (
         stream.writeStream.format("parquet")
         .outputMode("append")
@@ -87,9 +91,10 @@ def drain(
         .trigger(availableNow=True)
     )
     if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    query = writer.toTable(table) if table else writer.start(path)
-    query.awaitTermination()
+        writer = writer.partitionBy(*partition_by).option("compression", "zstd")
+    with freed(spark):
+        query = writer.toTable(table) if table else writer.start(path)
+        query.awaitTermination()
     return query
 
 

@@ -297,6 +297,22 @@ def test_shuffle_files_of_a_drained_stream_are_gone(spark, tmp_path):
     assert spark.read.parquet(out).count() == 50
 
 
+def test_drops_and_gold_are_written_closely(spark, tmp_path, price_frame):
+    spark.range(4).write.parquet(str(tmp_path / "lineitem.parquet"))
+    rows = silver(price_frame([{"id": x, "day": 20 * i} for i, x in enumerate(["00ff", "x1", "AB", "ab"])]))
+    inbox, each = registry._dropping_box(spark, str(tmp_path), rows)
+    assert each == 1 and sorted(spark.read.parquet(inbox).collect()) == sorted(rows.collect())
+    stream = ingest.file_stream(spark, inbox, rows.schema, "parquet")
+    stored, months = str(tmp_path / "silver"), str(tmp_path / "gold")
+    ingest.drain(stream, str(tmp_path / "offsets"), path=stored, partition_by=gold.MONTH, ids=["price_id"])
+    assert sorted(spark.read.parquet(stored).select(rows.columns).collect()) == sorted(rows.collect())
+    follow = ingest.file_stream(spark, stored, rows.schema, "parquet")
+    gold.drain_gold(spark, follow, stored, months, str(tmp_path / "offsets_of_gold"))
+    assert spark.read.parquet(months).count() == 3
+    for folder in (inbox, stored, months):
+        assert all(f.name.endswith(".zstd.parquet") for f in Path(folder).rglob("*.parquet"))
+
+
 def test_scratch_can_be_cleared(spark, monkeypatch, tmp_path):
     monkeypatch.setattr("stallbook.session.shared_folder", lambda _: str(tmp_path))
     kept = settle(spark.range(3), "numbers").inputFiles()[0]
